@@ -14,6 +14,9 @@ Only (id, piece, length) rows are packed; a partition holds about PER_PARTITION
 from __future__ import annotations
 
 import bisect
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -55,9 +58,6 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import json
-
-        import regex
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
