@@ -65,7 +65,9 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split, self.plain = regex.compile(split), regex.compile("[!-~\u00a1-\u024f]+")
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        split = split.replace("[\\p{L}]", "[" + kinds["L"] + "]").replace("[\\p{N}]", "[" + kinds["N"] + "]").replace("\\p{L}\\p{N}", kinds["L"] + kinds["N"])
+        self.split, self.plain = re.compile(split), re.compile("[!-~\u00a1-\u024f]+")
         # a byte stands for itself where Latin-1 prints it, the others follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
