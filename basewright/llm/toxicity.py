@@ -198,6 +198,18 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_scored(lexicon), "doc_id long, score double")
 
 
+def _clean(lexicon: Lexicon, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+    return run
+
+
+def keep_clean(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of documents, with all their columns, that score under 0.5."""
+    return documents.mapInArrow(_clean(lexicon, documents.columns.index("text")), documents.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
