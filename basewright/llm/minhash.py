@@ -4,12 +4,13 @@
    digest of that set, MINIMA minima of universal hashes and a key for each of BANDS bands of ROWS minima.
 2. Documents with equal sets are one class; only its least doc_id goes on, so exact copies cost a count, not pairs.
 3. In each band bucket every member is paired with one pivot, never with all others. Signatures drop pairs that agree in
-   fewer than AGREE of the minima (chance of dropping a pair of similarity 0.8: about 1e-8).
+   fewer than AGREE of the minima (chance of dropping a pair of similarity 0.8: about 4e-7).
 4. Whole texts of the pairs left are dealt by (pivot, salt), SALT documents to each copy of the pivot, and the exact
    Jaccard similarity of the full sets confirms each link.
-5. Components of the confirmed links. A bucket whose members still lie in several components gets another pivot, drawn anew,
-   for its members elsewhere; what is left once few pairs remain, or after PIVOTS rounds, is compared in full, limited to
-   pairs in different components whose signatures agree. So a bucket's pivots never hide a link between its other members.
+5. Components of the confirmed links. In a bucket whose members still lie in several components the pivot may have hidden a
+   link, so its members' signatures are compared in blocks of about BLOCK rows, inside a task and without emitting pairs that don't
+   agree: first the best agreeing partner of each member in each other component is verified, then, if need be, all agreeing
+   pairs left that are still in different components.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**4)**32, about 5e-8.
 """
@@ -29,8 +30,8 @@ from basewright.llm.components import connected_components
 
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
-AGREE = 77
-SALT, PIVOTS, FEW_PAIRS = 64, 8, 100_000
+AGREE = 80
+SALT, BLOCK = 64, 512
 #: Pairs up to which their ids are broadcast to the scan of the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(20240229)
@@ -103,6 +104,65 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(keep)
 
 
+def _compared(best: bool):
+    """Rows (bucket, i, j, side, doc_id, c, sig), a block pair (bucket, i, j) together -> agreeing pairs (p, d) of different components."""
+
+    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        one_block = rows[0][1] == rows[0][2]
+        left = rows if one_block else [r for r in rows if r[3] == r[1]]
+        right = rows if one_block else [r for r in rows if r[3] == r[2]]
+        (da, ca, sa), (db, cb, sb) = ((np.array([r[4] for r in x], np.int64), np.array([r[5] for r in x], np.int64), np.frombuffer(b"".join(r[6] for r in x), "<u2").reshape(-1, MINIMA)) for x in (left, right))
+        out = []
+        for at in range(0, len(da), 64):
+            agree = (sa[at : at + 64, None, :] == sb[None, :, :]).sum(axis=2, dtype=np.uint8)
+            x, y = np.nonzero((agree >= AGREE) & (ca[at : at + 64, None] != cb[None, :]))
+            out.append((x + at, y, agree[x, y]))
+        x, y, n = (np.concatenate(c) for c in zip(*out, strict=True))
+        if best and len(x):
+            order = np.argsort(-n.astype(int), kind="stable")
+            x, y = x[order], y[order]
+            keep = np.zeros(len(x), bool)
+            for key in (np.stack([da[x], cb[y]], 1), np.stack([db[y], ca[x]], 1)):
+                keep[np.unique(key, axis=0, return_index=True)[1]] = True
+            x, y = x[keep], y[keep]
+        return np.minimum(da[x], db[y]), np.maximum(da[x], db[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, p, d = None, [], [], []
+
+        def emit() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (p, d)], names=["p", "d"])
+            p.clear()
+            d.clear()
+            return out
+
+        def close() -> None:
+            if len(rows) > 1:
+                for into, found in zip((p, d), pairs(rows), strict=True):
+                    into.append(found)
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != now:
+                    close()
+                    now, rows = r[:3], []
+                rows.append(r)
+            yield emit()
+        close()
+        yield emit()
+    return run
+
+
+def _agreeing_pairs(members: DataFrame, best: bool) -> DataFrame:
+    """members (bucket, n, doc_id, c, sig) of open buckets -> distinct pairs (p, d), p < d, in different components."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    rows = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "sig")
+    rows = rows.repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "doc_id")
+    return rows.mapInArrow(_compared(best), "p long, d long").distinct()
+
+
 def _confirmed(k: int, percent: int):
     """Rows (p, salt, role, doc_id, text), a pivot before its documents -> links (u, v)."""
 
@@ -169,29 +229,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = _links(texts, sigs, shared.where("doc_id <> p").select("p", F.col("doc_id").alias("d")).distinct(), k, percent)
     links = links.unionByName(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     comps = checkpointed(connected_components(links))
-    shared = shared.select("bucket", "doc_id")
-    for turn in range(1, PIVOTS + 1):
+    shared, tested = shared.select("bucket", "doc_id"), None
+    for best in (True, False):
         placed = shared.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         placed = checkpointed(placed)
-        open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("a"), F.xxhash64("doc_id", F.lit(turn)).alias("b"), F.col("doc_id").alias("p"), F.col("c").alias("pc"))).alias("x")).where("lo <> hi")
-        open_ = checkpointed(open_.select("bucket", "n", "x.p", "x.pc"))
-        left = open_.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.count("*")).first()
-        if not left[1]:
-            break
-        last = left[0] <= FEW_PAIRS or turn == PIVOTS
-        here = placed.join(open_.select("bucket", "p", "pc"), "bucket")
-        if last:
-            a = here.select("bucket", F.col("doc_id").alias("p"), F.col("c").alias("ca"))
-            b = here.select("bucket", F.col("doc_id").alias("d"), F.col("c").alias("cb"))
-            pairs = a.join(b, "bucket").where("p < d AND ca <> cb").select("p", "d")
-        else:
-            pairs = here.where("c <> pc").select("p", F.col("doc_id").alias("d"))
-        more = _links(texts, sigs, pairs.distinct(), k, percent)
-        comps = checkpointed(connected_components(links.unionByName(more)))
-        links = links.unionByName(more)
-        shared = here.select("bucket", "doc_id")
-        if last:
+        open_ = checkpointed(placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"))
+        here = placed.join(open_, "bucket").join(sigs, "doc_id")
+        pairs = _agreeing_pairs(here, best)
+        if tested is not None:
+            pairs = pairs.join(tested, ["p", "d"], "left_anti")
+        tested = checkpointed(pairs)
+        if tested.isEmpty():
             break
+        links = links.unionByName(_links(texts, sigs, tested, k, percent))
+        comps = checkpointed(connected_components(links))
     comps = comps.select(F.col("node").alias("doc_id"), "component")
     out = f.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
