@@ -1,11 +1,371 @@
-"""Queries over the driver tables, one for each operator, and the SQL that gives the same rows."""
+"""Queries over the driver tables, one for each operator, and the SQL that gives the same rows.
+
+embeddings stand in for intensities: 16 cycles of 4 channels, shifted by 0.6; vec_id is the cluster, and gives its location.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from basewright.functions import expr as E
+from basewright.operators import blocks, quality, spatial
+
+SHIFT = 0.6
+
+
+def signals(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cycles = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: F.transform(F.slice("embedding", c * 4 + 1, 4), lambda x: x.cast("double") + F.lit(shift)))
+    return t.select(F.lit("t").alias("tile"), F.lit(0).alias("end_id"), F.col("vec_id").cast("int").alias("cluster"), cycles.alias("signal"))
+
+
+def cycles(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame:
+    return signals(spark, sf_dir, shift).select("cluster", F.posexplode("signal").alias("cycle", "v"))
+
+
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lit("t").alias("tile"), v.cast("int").alias("cluster"), ((v * v * 31 + v * 7919) % 499).cast("double").alias("x"), ((v * v * 17 + v * 10473) % 97).cast("double").alias("y"))
+
+
+#: DuckDB: the same relations as above.
+_C = "c AS (SELECT CAST(vec_id AS INTEGER) AS cluster, i AS cycle, list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: CAST(x AS DOUBLE) + {shift}) AS v FROM (SELECT *, CAST(unnest(range(16)) AS INTEGER) AS i FROM embeddings))"
+C, C0 = _C.format(shift="0.6"), _C.format(shift="0.0")
+XY = "xy AS (SELECT CAST(vec_id AS INTEGER) AS cluster, CAST((vec_id * vec_id * 31 + vec_id * 7919) % 499 AS DOUBLE) AS x, CAST((vec_id * vec_id * 17 + vec_id * 10473) % 97 AS DOUBLE) AS y FROM embeddings)"
+CALL = "CAST(list_position(v, list_max(v)) - 1 AS INTEGER)"
+ABS = "list_transform(v, lambda x: abs(x))"
+#: cycles with call, gap, runner-up rank and the read's statistics
+S = f"""{C}, s0 AS (SELECT *, {CALL} AS call, list_sort(v, 'DESC')[1] - list_sort(v, 'DESC')[2] AS gap, list_max(v) AS top FROM c),
+s1 AS (SELECT *, list_transform(range(1, 5), lambda i: CASE WHEN i = call + 1 THEN -100000.0 ELSE v[i] END) AS rest FROM s0),
+s2 AS (SELECT *, CAST(list_position(rest, list_max(rest)) - 1 AS INTEGER) AS second FROM s1),
+s AS (SELECT *, second - CASE WHEN second > call THEN 1 ELSE 0 END AS rank, lag(call) OVER o AS prev, avg(gap) OVER r AS tsr, var_pop(gap) OVER r AS var, avg(top) OVER r AS sig, count(*) OVER r AS n
+      FROM s2 WINDOW r AS (PARTITION BY cluster), o AS (PARTITION BY cluster ORDER BY cycle))"""
+HAT = """h0 AS (SELECT *, least(5 * gap, 19.5) AS sc FROM s), h1 AS (SELECT *, CAST(least(CASE WHEN sc >= 8 THEN floor((sc + 1) / 3 + 2) WHEN sc >= 2 THEN floor(sc / 2 + 1) ELSE floor(sc) END, 7) AS INTEGER) AS bin FROM h0),
+h AS (SELECT *, 1 - (sc - [0,1,2,4,6,8,11,14,17][bin + 1]) / ([0,1,2,4,6,8,11,14,17][bin + 2] - [0,1,2,4,6,8,11,14,17][bin + 1]) AS beta FROM h1)"""
+W = "list_transform(range(1, 71), lambda i: ((i * 37) % 19 - 9) / 10.0)"
+Z = f"""z AS (SELECT *, w[bin + 1] * beta + w[bin + 2] * (1 - beta) + w[10] / (0.02 + sqrt(least(var, 1))) + w[11] * ln(0.02 + least(var, 1)) + w[12] / (0.01 + greatest(least(sig, 3), 0)) + w[13] / (n - cycle)
+  + w[14] * CASE WHEN cycle = 0 THEN greatest(least(sig, 30), 3) ELSE 3 END + w[70] + CASE WHEN cycle <= 6 THEN w[cycle + 15] ELSE 0 END + CASE WHEN cycle > 0 THEN w[prev * 12 + call * 3 + rank + 22] ELSE 0 END AS z
+  FROM (SELECT *, {W} AS w FROM h)),
+q AS (SELECT *, CAST(greatest(floor(10 * log10(1 + exp(least(z, 12)))), 0) AS INTEGER) AS q FROM z)"""
+SNAP = f"""{XY}, box AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM xy),
+g0 AS (SELECT cluster, floor(x - trunc(lx) + 0.5) AS a, floor(y - trunc(ly) + 0.5) AS b, floor(hx - trunc(lx) + 0.5) + 1 AS ea, floor(hy - trunc(ly) + 0.5) + 2 AS eb FROM xy, box),
+g AS (SELECT cluster, CAST(CASE WHEN ea < eb THEN b ELSE a END AS INTEGER) AS gx, CAST(CASE WHEN ea < eb THEN a ELSE b END AS INTEGER) AS gy, CAST(greatest(ea, eb) AS INTEGER) AS extent FROM g0)"""
+
+R = 6
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+    return add
+
+
+def rnd(c, digits: int = R):
+    return F.round(c, digits)
+
+
+@query(f"WITH {C} SELECT cluster, cycle, CAST(ch AS INTEGER) AS ch, round(v[ch + 1], 6) AS v FROM (SELECT *, unnest(range(4)) AS ch FROM c)")
+def tensor_explode(spark, d):
+    return cycles(spark, d).select("cluster", "cycle", F.posexplode("v").alias("ch", "v")).withColumn("v", rnd("v"))
+
+
+@query(f"WITH {C} SELECT cluster, CAST(cycle - 4 AS INTEGER) AS cycle, round(v[1], 6) AS v0 FROM c WHERE cycle BETWEEN 4 AND 9")
+def cycle_slice(spark, d):
+    return signals(spark, d).select("cluster", F.posexplode(F.slice("signal", 5, 6)).alias("cycle", "v")).select("cluster", "cycle", rnd(F.col("v")[0]).alias("v0"))
+
+
+@query(f"WITH {C0} SELECT cluster, cycle, substr('ACGT', {CALL} + 1, 1) AS base FROM c")
+def call_base(spark, d):
+    return cycles(spark, d, 0.0).select("cluster", "cycle", E.base(E.call(F.col("v"))).alias("base"))
+
+
+@query(f"WITH {C0} SELECT cluster, cycle, CASE WHEN list_max(v) > 0 THEN {CALL} ELSE 0 END AS idx, round(greatest(list_max(v) / greatest(list_sum({ABS}), 1e-6), 0), 6) AS purity FROM c")
+def purity_argmax(spark, d):
+    return cycles(spark, d, 0.0).select("cluster", "cycle", E.positive_call(F.col("v")).alias("idx"), rnd(E.purity(F.col("v"))).alias("purity"))
+
+
+@query(f"WITH {S} SELECT cluster, cycle, second, rank, round(gap, 6) AS gap FROM s")
+def runner_up_gap(spark, d):
+    return quality.scored_cycles(signals(spark, d), ["cluster"]).select("cluster", "cycle", "second", "rank", rnd("gap").alias("gap"))
+
+
+@query(f"WITH {S} SELECT cluster, round(avg(gap), 6) AS tsr, round(var_pop(gap), 6) AS tsr2, round(avg(top), 6) AS sig FROM s GROUP BY cluster")
+def read_stats(spark, d):
+    t = cycles(spark, d)
+    return t.groupBy("cluster").agg(rnd(F.avg(E.gap(F.col("v")))).alias("tsr"), rnd(F.var_pop(E.gap(F.col("v")))).alias("tsr2"), rnd(F.avg(F.array_max("v"))).alias("sig"))
+
+
+@query(f"WITH {C} SELECT cluster, string_agg(substr('ACGT', {CALL} + 1, 1), '' ORDER BY cycle) AS seq FROM c GROUP BY cluster")
+def read_string(spark, d):
+    return signals(spark, d).select("cluster", F.array_join(F.transform("signal", lambda v: E.base(E.call(v))), "").alias("seq"))
+
+
+@query(f"WITH {S}, {HAT} SELECT cluster, cycle, bin, round(beta, 6) AS beta FROM h")
+def hat_basis(spark, d):
+    s = F.least(5 * E.gap(F.col("v")), F.lit(19.5))
+    return cycles(spark, d).select("cluster", "cycle", E.hat_bin(s).alias("bin"), rnd(E.hat_beta(s, E.hat_bin(s))).alias("beta"))
+
+
+def _scored(spark, d):
+    w = F.array(*[F.lit(x) for x in quality.synthetic_weights()])
+    return quality.scored_cycles(signals(spark, d), ["cluster"]).withColumn("z", quality.log_odds(w)).withColumn("q", E.phred(F.col("z")))
+
+
+@query(f"WITH {S}, {HAT}, {Z} SELECT cluster, cycle, round(z, 6) AS z FROM q")
+def feature_vector(spark, d):
+    return _scored(spark, d).select("cluster", "cycle", rnd("z").alias("z"))
+
+
+@query(f"WITH {S}, {HAT}, {Z} SELECT cluster, cycle, q FROM q")
+def phred(spark, d):
+    return _scored(spark, d).select("cluster", "cycle", "q")
+
+
+@query(f"WITH {S}, {HAT}, {Z} SELECT q, count(*) AS n FROM q GROUP BY q")
+def quality_histogram(spark, d):
+    return _scored(spark, d).groupBy("q").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S}, {HAT}, {Z} SELECT cluster, '@Cluster_t_' || CAST(cluster + 1 AS VARCHAR) || chr(10) || string_agg(substr('ACGT', call + 1, 1), '' ORDER BY cycle) || chr(10) || '+' || chr(10) || string_agg(chr(q + 33), '' ORDER BY cycle) || chr(10) AS record FROM q GROUP BY cluster")
+def fastq_record(spark, d):
+    return quality.fastq(quality.reads(signals(spark, d), ["tile", "cluster"], quality.synthetic_weights())).select("cluster", "record")
+
+
+@query(f"WITH {C} SELECT cluster, string_agg(chr(21 + 33), '' ORDER BY cycle) AS qual FROM c GROUP BY cluster")
+def constant_quality(spark, d):
+    return quality.reads(signals(spark, d), ["cluster"], quality.synthetic_weights(), constant=True).select("cluster", "qual")
+
+
+@query(f"WITH {C0} SELECT cluster, cycle, CAST(ch AS INTEGER) AS ch, CAST(greatest(trunc(least(v[ch + 1] * 4000, 32767) + 0.5), -32768) AS INTEGER) AS q FROM (SELECT *, unnest(range(4)) AS ch FROM c)")
+def cif_quantise(spark, d):
+    return cycles(spark, d, 0.0).select("cluster", "cycle", F.posexplode("v").alias("ch", "x")).select("cluster", "cycle", "ch", E.quantise(F.col("x"), 4000.0).alias("q"))
+
+
+@query(f"WITH {C} SELECT count(*) AS n, sum(CASE WHEN abs(x) > 10 THEN 1 ELSE 0 END) < 0.5 * count(*) AS multiscale FROM (SELECT unnest(v) AS x FROM c)")
+def autoscale_flag(spark, d):
+    x = cycles(spark, d).select(F.explode("v").alias("x"))
+    big = F.sum(F.when(F.abs("x") > 10, 1).otherwise(0))
+    return x.agg(F.count("*").alias("n"), (big < 0.5 * F.count("*")).alias("multiscale"))
+
+
+@query("""WITH p AS (SELECT n AS cycles, CAST(ceil(n / 14.0) AS INTEGER) AS nb FROM (SELECT unnest([16, 37, 101]) AS n)), b AS (SELECT *, unnest(range(nb)) AS block FROM p),
+l AS (SELECT *, cycles // nb + CASE WHEN block < cycles % nb THEN 1 ELSE 0 END AS len FROM b), s AS (SELECT *, sum(len) OVER (PARTITION BY cycles ORDER BY block) - len AS start FROM l)
+SELECT CAST(cycles AS INTEGER) AS cycles, CAST(block AS INTEGER) AS block, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len, CAST(greatest(start - 6, 0) AS INTEGER) AS buf_start, CAST(least(start + len + 6, cycles) - greatest(start - 6, 0) AS INTEGER) AS buf_len FROM s""")
+def cycle_blocks(spark, d):
+    out = [blocks.cycle_blocks(spark, n).withColumn("cycles", F.lit(n)) for n in (16, 37, 101)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("WITH t AS (SELECT count(*) AS n FROM embeddings) SELECT CAST(k AS INTEGER) AS chunk, count(*) AS clusters FROM (SELECT (vec_id >= floor(n / 3.0 * 1 + 0.5))::INT + (vec_id >= floor(n / 3.0 * 2 + 0.5))::INT AS k FROM embeddings, t) GROUP BY k")
+def chunk_bounds(spark, d):
+    s = signals(spark, d)
+    total = s.agg(F.count("*").alias("total"))
+    return s.join(F.broadcast(total)).groupBy(blocks.chunk_of(F.col("cluster"), F.col("total"), 3).alias("chunk")).agg(F.count("*").alias("clusters"))
+
+
+@query(f"WITH {C}, x AS (SELECT cluster, cycle, v[1] AS v0 FROM c) SELECT cluster, cycle, round(coalesce(sum(v0) OVER (PARTITION BY cluster ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(5, cycle), 6) AS previous FROM x")
+def previous_mean(spark, d):
+    w = Window.partitionBy("cluster").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
+    return cycles(spark, d).select("cluster", "cycle", rnd(F.coalesce(F.sum(F.col("v")[0]).over(w), F.lit(0.0)) / F.greatest(F.lit(5), "cycle")).alias("previous"))
+
+
+_K = "k AS (SELECT * FROM (VALUES (0, [0.9, 0.4, 0.0, 0.0]), (1, [0.3, 0.95, 0.0, 0.0]), (2, [0.0, 0.0, 0.9, 0.4]), (3, [0.0, 0.0, 0.3, 0.95])) AS t(k, c))"
+_F = f"{C}, f0 AS (SELECT cluster, v, sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS norm FROM c WHERE cycle = 0), f AS (SELECT * FROM f0 WHERE norm > (SELECT avg(norm) FROM f0) / 2)"
+_A = f"""{_F}, {_K}, cs AS (SELECT cluster, v, norm, list((v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4]) ORDER BY k) AS cos FROM f, k GROUP BY cluster, v, norm),
+a AS (SELECT *, CASE WHEN list_max(cos) > 0 THEN CAST(list_position(cos, list_max(cos)) - 1 AS INTEGER) ELSE 0 END AS cls FROM cs)"""
+
+
+def _filtered(spark, d):
+    f = signals(spark, d).select("cluster", F.col("signal")[0].alias("v"))
+    f = f.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    mean = f.agg(F.avg("norm").alias("mean"))
+    return f.join(F.broadcast(mean)).where("norm > mean / 2").drop("mean")
+
+
+def _assigned(spark, d):
+    from basewright.operators.estimate import CENTROIDS
+
+    cos = F.array(*[sum((F.col("v")[i] * float(x) for i, x in enumerate(c)), F.lit(0.0)) / F.col("norm") / float((c @ c) ** 0.5) for c in CENTROIDS])
+    return _filtered(spark, d).withColumn("cos", cos).withColumn("cls", E.positive_call(F.col("cos")))
+
+
+@query(f"WITH {_F} SELECT cluster, round(norm, 6) AS norm FROM f")
+def color_norm_filter(spark, d):
+    return _filtered(spark, d).select("cluster", rnd("norm").alias("norm"))
+
+
+@query(f"WITH {_A} SELECT cluster, cls FROM a")
+def color_assign(spark, d):
+    return _assigned(spark, d).select("cluster", "cls")
+
+
+@query(f"WITH {_A} SELECT cls, count(*) AS n, round(avg(v[1]), 6) AS m0, round(avg(v[2]), 6) AS m1, round(avg(v[3]), 6) AS m2, round(avg(v[4]), 6) AS m3 FROM a GROUP BY cls")
+def color_means(spark, d):
+    return _assigned(spark, d).groupBy("cls").agg(F.count("*").alias("n"), *[rnd(F.avg(F.col("v")[i])).alias(f"m{i}") for i in range(4)])
+
+
+_H = f"{C}, u AS (SELECT *, CASE WHEN list_max(v) > 0 THEN {CALL} ELSE 0 END AS call FROM c)"
+
+
+def _called(spark, d):
+    return cycles(spark, d).withColumn("call", E.positive_call(F.col("v")))
+
+
+@query(f"WITH {_H}, x AS (SELECT cluster, list_concat(list_transform(range(4), lambda k: CASE WHEN k = call THEN 1.0 ELSE 0.0 END), [1.0]) AS r, v FROM u WHERE cycle = cluster % 8) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(r[i + 1] * r[j + 1]), 6) AS g, round(sum(r[i + 1] * v[least(j, 3) + 1]), 6) AS rhs FROM x, range(5) AS a(i), range(5) AS b(j) GROUP BY i, j")
+def gram_color(spark, d):
+    x = _called(spark, d).where(F.col("cycle") == F.col("cluster") % 8)
+    r = F.concat(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == F.col("call"), 1.0).otherwise(0.0)), F.array(F.lit(1.0)))
+    x = x.select("v", r.alias("r")).select("v", "r", F.posexplode("r").alias("i", "a")).select("v", "i", "a", F.posexplode("r").alias("j", "b"))
+    return x.groupBy("i", "j").agg(rnd(F.sum(F.col("a") * F.col("b"))).alias("g"), rnd(F.sum(F.col("a") * F.element_at("v", F.least("j", F.lit(3)) + 1))).alias("rhs"))
+
+
+@query(f"WITH {_H}, x AS (SELECT cluster, list(CASE WHEN call = cluster % 4 THEN 1.0 ELSE 0.0 END ORDER BY cycle)[1:14] AS r, list(v[cluster % 4 + 1] ORDER BY cycle)[1:8] AS y FROM u GROUP BY cluster) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(r[i + 1] * r[j + 1]), 6) AS g, round(sum(r[i + 1] * y[least(j, 7) + 1]), 6) AS rhs FROM x, range(14) AS a(i), range(14) AS b(j) GROUP BY i, j")
+def gram_phasing(spark, d):
+    s = signals(spark, d)
+    ch = F.pmod("cluster", F.lit(4))
+    r = F.slice(F.transform("signal", lambda v: F.when(E.positive_call(v) == ch, 1.0).otherwise(0.0)), 1, 14)
+    y = F.slice(F.transform("signal", lambda v: F.element_at(v, (ch + 1).cast("int"))), 1, 8)
+    x = s.select(r.alias("r"), y.alias("y")).select("y", "r", F.posexplode("r").alias("i", "a")).select("y", "i", "a", F.posexplode("r").alias("j", "b"))
+    return x.groupBy("i", "j").agg(rnd(F.sum(F.col("a") * F.col("b"))).alias("g"), rnd(F.sum(F.col("a") * F.element_at("y", F.least("j", F.lit(7)) + 1))).alias("rhs"))
+
+
+_L = f"""{_H}, e AS (SELECT cluster, sum(v[call + 1]) AS hy, count(*) AS hh FROM u GROUP BY cluster), sc AS (SELECT cluster, greatest(0.2, least(5, hy / hh)) AS scale FROM e)"""
+
+
+def _scales(spark, d):
+    u = _called(spark, d)
+    e = u.groupBy("cluster").agg(F.sum(F.element_at("v", F.col("call") + 1)).alias("hy"), F.count("*").alias("hh"))
+    return e.select("cluster", F.greatest(F.lit(0.2), F.least(F.lit(5.0), F.col("hy") / F.col("hh"))).alias("scale"))
+
+
+@query(f"WITH {_L} SELECT cluster, round(scale / (SELECT avg(scale) FROM sc), 6) AS lambda FROM sc")
+def lambda_scale(spark, d):
+    s = _scales(spark, d)
+    return s.join(F.broadcast(s.agg(F.avg("scale").alias("m")))).select("cluster", rnd(F.col("scale") / F.col("m")).alias("lambda"))
+
+
+@query(f"WITH {_L} SELECT cluster, round(exp(-30 * sum((CASE WHEN k = call THEN scale ELSE 0 END - v[k + 1]) ** 2) / 64), 6) AS w FROM u JOIN sc USING (cluster), range(4) AS r(k) GROUP BY cluster")
+def robust_weight(spark, d):
+    u = _called(spark, d).join(_scales(spark, d), "cluster").select("cluster", "call", "scale", F.posexplode("v").alias("k", "x"))
+    r = F.when(F.col("k") == F.col("call"), F.col("scale")).otherwise(0.0) - F.col("x")
+    return u.groupBy("cluster").agg(rnd(F.exp(-30 * F.sum(r * r) / 64)).alias("w"))
+
+
+@query(f"""WITH {_H}, p AS (SELECT a.call AS prev, b.call AS call, list_max(b.v) AS top FROM u a JOIN u b ON a.cluster = b.cluster AND a.cycle = 0 AND b.cycle = 1), m AS (SELECT avg(top) AS mean FROM p)
+SELECT prev, call, round(0.1 + 0.9 * (any_value(mean) + sum(top)) / (1 + count(*)), 6) AS factor FROM p, m WHERE top > mean / 2 AND top < 2 * mean GROUP BY prev, call""")
+def neighbour_factor(spark, d):
+    s = signals(spark, d).select(E.positive_call(F.col("signal")[0]).alias("prev"), E.positive_call(F.col("signal")[1]).alias("call"), F.array_max(F.col("signal")[1]).alias("top"))
+    p = s.join(F.broadcast(s.agg(F.avg("top").alias("mean")))).where("top > mean / 2 AND top < 2 * mean")
+    return p.groupBy("prev", "call").agg(rnd(0.1 + 0.9 * (F.first("mean") + F.sum("top")) / (1 + F.count("*"))).alias("factor"))
+
+
+@query(f"WITH {SNAP} SELECT cluster, gx, gy, extent FROM g")
+def grid_snap(spark, d):
+    return spatial.grid_snap(locations(spark, d)).select("cluster", "gx", "gy", "extent")
+
+
+@query(f"""WITH {SNAP}, n AS (SELECT *, greatest(CAST(ceil(extent / 250.0) AS INTEGER), 1) AS n FROM g), x AS (SELECT *, unnest(range(n)) AS stripe FROM n),
+y AS (SELECT *, 250 * stripe - 15 AS lo, CASE WHEN stripe = n - 1 THEN 1000000000 ELSE 250 * stripe + 235 END AS hi FROM x)
+SELECT cluster, CAST(stripe AS INTEGER) AS stripe, gx >= lo AND gx < hi AS in_core FROM y WHERE gx >= lo - 15 AND gx < hi + 15""")
+def stripe_halo(spark, d):
+    return blocks.stripes(spatial.grid_snap(locations(spark, d)), F.col("extent")).select("cluster", "stripe", "in_core")
+
+
+@query(f"WITH {C}, a AS (SELECT cluster, cycle, list_sort({ABS}, 'DESC') AS s FROM c) SELECT cluster, round(min(s[1] - s[2]) / max(s[1]), 6) AS qd FROM a GROUP BY cluster")
+def cluster_quality(spark, d):
+    return spatial.cluster_quality(signals(spark, d)).select("cluster", rnd("qd").alias("qd"))
+
+
+_WD = f"{C}, a AS (SELECT cluster, cycle, list_sort({ABS}) AS s FROM c), w AS (SELECT cycle, count(*) / sum(s[2]) AS width, avg(s[4]) AS top FROM a GROUP BY cycle)"
+
+
+@query(f"WITH {_WD} SELECT cycle, round(width, 6) AS width, round(top, 6) AS top FROM w")
+def cycle_width(spark, d):
+    return spatial.cycle_width(signals(spark, d), ["tile"]).select("cycle", rnd("width").alias("width"), rnd("top").alias("top"))
+
+
+@query(f"WITH {_WD} SELECT round((1.5 * 0.7 - 0.75) * sum(width * top), 6) AS thr FROM w")
+def acc_threshold(spark, d):
+    return spatial.threshold(spatial.cycle_width(signals(spark, d), ["tile"]), ["tile"]).select(rnd("thr").alias("thr"))
+
+
+_NB = f"{SNAP}, nb AS (SELECT a.cluster AS i, b.cluster AS j FROM g a JOIN g b ON a.cluster <> b.cluster AND abs(a.gx - b.gx) <= 4 AND abs(a.gy - b.gy) <= 4)"
+
+
+def _near(spark, d):
+    return spatial.neighbours(spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gx", "gy"), ["tile"])
+
+
+@query(f"WITH {_NB} SELECT i, j FROM nb")
+def neighbour_pairs(spark, d):
+    return _near(spark, d).select("i", "j")
+
+
+@query(f"WITH {_NB} SELECT i, count(*) AS n FROM nb GROUP BY i")
+def neighbour_count(spark, d):
+    return _near(spark, d).groupBy("i").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {C}, {_NB}, v AS (SELECT cluster, v[1] AS v FROM c WHERE cycle = 0), e AS (SELECT i, sum(((i * 7 + j * 3) % 10) / 100.0 * v.v) AS d FROM nb JOIN v ON v.cluster = j GROUP BY i) SELECT v.cluster, round(v.v - coalesce(d, 0), 6) AS v FROM v LEFT JOIN e ON e.i = v.cluster")
+def acc_jacobi_1(spark, d):
+    values = signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("v"))
+    edges = _near(spark, d).withColumn("coef", (F.col("i") * 7 + F.col("j") * 3) % 10 / 100.0)
+    return spatial.jacobi(values, edges).select("cluster", rnd("v").alias("v"))
+
+
+_MD = "md AS (SELECT vec_id AS k, CAST(vec_id % 9 + 1 AS VARCHAR) || substr('ACGT', CAST(vec_id % 4 AS INTEGER) + 1, 1) || CAST(9 - vec_id % 9 AS VARCHAR) || CASE WHEN vec_id % 5 = 0 THEN '^AC3' ELSE '' END AS md FROM embeddings)"
+
+
+def _md(spark, d):
+    k = F.col("vec_id")
+    md = F.concat((k % 9 + 1).cast("string"), F.lit("ACGT").substr((k % 4 + 1).cast("int"), F.lit(1)), (9 - k % 9).cast("string"), F.when(k % 5 == 0, "^AC3").otherwise(""))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(k.alias("k"), E.md_flags(md).alias("flags"))
+
+
+_FL = f"{_MD}, fl AS (SELECT k, flatten(list_transform(regexp_extract_all(md, '\\d+|\\^[A-Z]+|[A-Z]'), lambda t: CASE WHEN regexp_full_match(t, '\\d+') THEN list_transform(range(CAST(CASE WHEN regexp_full_match(t, '\\d+') THEN t ELSE '0' END AS BIGINT)), lambda x: 2) WHEN starts_with(t, '^') THEN [] ELSE [1] END)) AS f FROM md)"
+
+
+@query(f"WITH {_FL} SELECT k, array_to_string(f, '') AS flags FROM fl")
+def md_match_flags(spark, d):
+    return _md(spark, d).select("k", F.array_join(F.transform("flags", lambda x: x.cast("string")), "").alias("flags"))
+
+
+@query(f"WITH {_FL} SELECT CAST(i - 1 AS INTEGER) AS cycle, count(*) AS n, round(avg(CASE WHEN f[i] = 1 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT f, unnest(range(1, len(f) + 1)) AS i FROM fl) GROUP BY i")
+def mismatch_rate_by_cycle(spark, d):
+    x = _md(spark, d).select(F.posexplode("flags").alias("cycle", "f"))
+    return x.groupBy("cycle").agg(F.count("*").alias("n"), rnd(F.avg(F.when(F.col("f") == 1, 1.0).otherwise(0.0))).alias("rate"))
+
+
+@query("SELECT page_id, url FROM pages WHERE ends_with(split_part(split_part(url, '?', 1), '#', 1), '5') AND (url LIKE 'http://%' OR url LIKE 'https://m.%')")
+def tile_filter(spark, d):
+    from basewright.plans.tiles import matching
+
+    stem = F.regexp_extract("url", r"^[^?#]*", 0)
+    return spark.read.parquet(f"{d}/pages.parquet").where(stem.endswith("5") & matching(F.col("url"), ["http://+", "https://m.+"])).select("page_id", "url")
+
+
+@query(None)
+def deconvolve_full(spark, d):
+    from basewright.operators.estimate import basecall
+
+    return basecall(signals(spark, d)).select("cluster", F.posexplode("signal").alias("cycle", "v")).select("cluster", "cycle", E.base(E.positive_call(F.col("v"))).alias("base"))
+
+
+@query(None)
+def acc_full(spark, d):
+    s = signals(spark, d)
+    return spatial.correct_acc(s, s, locations(spark, d)).select("cluster", F.array_join(F.transform("signal", lambda v: E.base(E.call(v))), "").alias("seq"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
