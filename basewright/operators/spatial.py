@@ -46,7 +46,7 @@ def cluster_quality(signals: DataFrame) -> DataFrame:
 def cycle_width(signals: DataFrame, keys: list[str]) -> DataFrame:
     """keys, cycle, width: the number of clusters over the sum of their second-smallest magnitudes; top: the mean largest."""
     long = signals.select(*keys, F.posexplode("signal").alias("cycle", "v")).withColumn("s", F.sort_array(F.transform("v", lambda x: F.abs(x))))
-    return long.groupBy(*keys, "cycle").agg((F.count("*") / F.sum(F.col("s")[1])).alias("width"), F.avg(F.col("s")[3]).alias("top"))
+    return long.groupBy(*keys, "cycle").agg(F.coalesce(F.try_divide(F.count("*").cast("double"), F.sum(F.col("s")[1])), F.lit(0.0)).alias("width"), F.avg(F.col("s")[3]).alias("top"))
 
 
 def threshold(widths: DataFrame, keys: list[str], ks: float = KS) -> DataFrame:
