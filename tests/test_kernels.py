@@ -58,7 +58,7 @@ def test_spatial_correction(spark):
     n, cycles = 40, 12
     truth = rng.integers(0, 4, (n, cycles))
     clean = np.eye(4)[truth] * 1.0
-    x = clean.copy()
+    x = clean + rng.normal(0, 0.02, clean.shape)
     x[1] += 0.4 * clean[0]
     loc = spark.createDataFrame([("t", i, float(i * 40), float(i % 7)) if i > 1 else ("t", i, float(i * 2), 0.0) for i in range(n)], "tile string, cluster int, x double, y double")
     s = frame(spark, x)
