@@ -8,9 +8,10 @@
 4. Whole texts of the pairs left are dealt by (pivot, salt), SALT documents to each copy of the pivot, and the exact
    Jaccard similarity of the full sets confirms each link.
 5. Components of the confirmed links. In a bucket whose members still lie in several components the pivot may have hidden a
-   link, so its members' signatures are compared in blocks of about BLOCK rows, inside a task and without emitting pairs that don't
-   agree: first the best agreeing partner of each member in each other component is verified, then, if need be, all agreeing
-   pairs left that are still in different components.
+   link, so its members' signatures are compared in blocks of about BLOCK rows, inside a task. Only the members that agree with
+   one of another component go on, not the pairs.
+6. Full sets of those members are dealt to the same kind of blocks, and all intersections of a block pair are counted as
+   matrix products. A spanning forest of the links found is given out, at most one a row, and joins the components.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**4)**32, about 5e-8.
 """
@@ -31,7 +32,7 @@ from basewright.llm.components import connected_components
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 AGREE = 80
-SALT, BLOCK = 64, 512
+SALT, BLOCK, BLOCK_SHINGLES, WIDTH = 64, 512, 2_000_000, 8192
 #: Pairs up to which their ids are broadcast to the scan of the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(20240229)
@@ -104,42 +105,23 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(keep)
 
 
-def _compared(best: bool):
-    """Rows (bucket, i, j, side, doc_id, c, sig), a block pair (bucket, i, j) together -> agreeing pairs (p, d) of different components."""
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        one_block = rows[0][1] == rows[0][2]
-        left = rows if one_block else [r for r in rows if r[3] == r[1]]
-        right = rows if one_block else [r for r in rows if r[3] == r[2]]
-        (da, ca, sa), (db, cb, sb) = ((np.array([r[4] for r in x], np.int64), np.array([r[5] for r in x], np.int64), np.frombuffer(b"".join(r[6] for r in x), "<u2").reshape(-1, MINIMA)) for x in (left, right))
-        out = []
-        for at in range(0, len(da), 64):
-            agree = (sa[at : at + 64, None, :] == sb[None, :, :]).sum(axis=2, dtype=np.uint8)
-            x, y = np.nonzero((agree >= AGREE) & (ca[at : at + 64, None] != cb[None, :]))
-            out.append((x + at, y, agree[x, y]))
-        x, y, n = (np.concatenate(c) for c in zip(*out, strict=True))
-        if best and len(x):
-            order = np.argsort(-n.astype(int), kind="stable")
-            x, y = x[order], y[order]
-            keep = np.zeros(len(x), bool)
-            for key in (np.stack([da[x], cb[y]], 1), np.stack([db[y], ca[x]], 1)):
-                keep[np.unique(key, axis=0, return_index=True)[1]] = True
-            x, y = x[keep], y[keep]
-        return np.minimum(da[x], db[y]), np.maximum(da[x], db[y])
+def _blocks(decide):
+    """Rows (bucket, i, j, side, doc_id, c, data), a block pair (bucket, i, j) together -> what decide(left, right) gives, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, p, d = None, [], [], []
+        now, rows, out = None, [], []
 
         def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (p, d)], names=["p", "d"])
-            p.clear()
-            d.clear()
-            return out
+            a, b = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) if out else np.empty(0, np.int64) for i in (0, 1))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def close() -> None:
-            if len(rows) > 1:
-                for into, found in zip((p, d), pairs(rows), strict=True):
-                    into.append(found)
+            if len({r[5] for r in rows}) > 1:
+                left = [r for r in rows if r[3] == r[1]]
+                right = [r for r in rows if r[3] == r[2]]
+                if left and right:
+                    out.append(decide(left, right))
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -153,14 +135,92 @@ def _compared(best: bool):
     return run
 
 
-def _agreeing_pairs(members: DataFrame, best: bool) -> DataFrame:
-    """members (bucket, n, doc_id, c, sig) of open buckets -> distinct pairs (p, d), p < d, in different components."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "sig")
+def _column(rows: list[tuple], at: int) -> np.ndarray:
+    return np.array([r[at] for r in rows], np.int64)
+
+
+def _with_partner(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, doc_id) of the rows whose signature agrees with one of another component."""
+    sa, sb = (np.frombuffer(b"".join(r[6] for r in x), "<u2").reshape(-1, MINIMA) for x in (left, right))
+    ca, cb = _column(left, 5), _column(right, 5)
+    x, y = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for at in range(0, len(left), 64):
+        agree = (sa[at : at + 64, None, :] == sb[None, :, :]).sum(axis=2, dtype=np.uint8) >= AGREE
+        agree &= ca[at : at + 64, None] != cb[None, :]
+        x[at : at + 64] |= agree.any(axis=1)
+        y |= agree.any(axis=0)
+    docs = np.unique(np.concatenate([_column(left, 4)[x], _column(right, 4)[y]]))
+    return np.full(len(docs), left[0][0]), docs
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets of either side, as products of 0/1 matrices over WIDTH shared shingles at a time."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), WIDTH):
+        part = shared[at : at + WIDTH]
+        ones = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for row, s in zip(m, sets, strict=True):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                k = np.searchsorted(part, s)
+                row[k[part[k] == s]] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _spanning(percent: int):
+    """Component pairs of a spanning forest of the links between rows of different components: at most one a row."""
+
+    def decide(left: list[tuple], right: list[tuple]) -> tuple[list[int], list[int]]:
+        a, b = ([np.frombuffer(r[6], np.uint64) for r in x] for x in (left, right))
+        both = _common(a, b)
+        na, nb = (np.array([len(s) for s in x], np.float32) for x in (a, b))
+        ca, cb = _column(left, 5), _column(right, 5)
+        link = (100 * both.astype(np.float64) >= percent * (na[:, None] + nb[None, :] - both).astype(np.float64)) & (ca[:, None] != cb[None, :])
+        u, v = [], []
+        new_a, new_b = np.ones(len(left), bool), np.ones(len(right), bool)
+        for start in np.flatnonzero(link.any(axis=1)):
+            todo = [(True, start)] if new_a[start] else []
+            new_a[start] = False
+            while todo:
+                is_left, at = todo.pop()
+                new, own, other = (new_b, ca, cb) if is_left else (new_a, cb, ca)
+                found = np.flatnonzero((link[at] if is_left else link[:, at]) & new)
+                new[found] = False
+                u.extend([own[at]] * len(found))
+                v.extend(other[found])
+                todo.extend((not is_left, x) for x in found)
+        return u, v
+    return decide
+
+
+def _sets(k: int):
+    """(doc_id, text) -> (doc_id, data): the set of shingles as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                piece = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in piece.column(1)], pa.binary())], names=["doc_id", "data"])
+    return run
+
+
+def _by_blocks(members: DataFrame, decide) -> DataFrame:
+    """members (bucket, blocks, doc_id, c, data) -> distinct (a, b) that decide gives for all pairs of a bucket's blocks."""
+    side = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
     rows = rows.repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "doc_id")
-    return rows.mapInArrow(_compared(best), "p long, d long").distinct()
+    return rows.mapInArrow(_blocks(decide), "a long, b long").distinct()
+
+
+def _open(members: DataFrame, *blocks) -> DataFrame:
+    """bucket, blocks of the buckets whose members (bucket, doc_id, c) lie in several components."""
+    found = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.greatest(*blocks, F.lit(1)).cast("int").alias("blocks"))
+    return checkpointed(found.where("lo <> hi").select("bucket", "blocks"))
 
 
 def _confirmed(k: int, percent: int):
@@ -229,21 +289,22 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = _links(texts, sigs, shared.where("doc_id <> p").select("p", F.col("doc_id").alias("d")).distinct(), k, percent)
     links = links.unionByName(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     comps = checkpointed(connected_components(links))
-    shared, tested = shared.select("bucket", "doc_id"), None
-    for best in (True, False):
-        placed = shared.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        placed = checkpointed(placed)
-        open_ = checkpointed(placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"))
-        here = placed.join(open_, "bucket").join(sigs, "doc_id")
-        pairs = _agreeing_pairs(here, best)
-        if tested is not None:
-            pairs = pairs.join(tested, ["p", "d"], "left_anti")
-        tested = checkpointed(pairs)
-        if tested.isEmpty():
-            break
-        links = links.unionByName(_links(texts, sigs, tested, k, percent))
-        comps = checkpointed(connected_components(links))
     comps = comps.select(F.col("node").alias("doc_id"), "component")
+    placed = shared.where("doc_id <> p").join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = checkpointed(placed)
+    here = placed.join(_open(placed, F.ceil(F.count("*") / BLOCK)), "bucket")
+    hopeful = checkpointed(_by_blocks(here.join(sigs.withColumnRenamed("sig", "data"), "doc_id"), _with_partner))
+    if not hopeful.isEmpty():
+        sizes = reps.select("doc_id", "n_shingles")
+        placed = checkpointed(hopeful.select(F.col("a").alias("bucket"), F.col("b").alias("doc_id")).join(placed, ["bucket", "doc_id"]).join(sizes, "doc_id"))
+        here = placed.join(_open(placed, F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)), "bucket").drop("n_shingles")
+        ids = checkpointed(here.select("doc_id").distinct())
+        wanted = texts.join(F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        more = _by_blocks(here.join(wanted.mapInArrow(_sets(k), "doc_id long, data binary"), "doc_id"), _spanning(percent))
+        joined = checkpointed(connected_components(more.toDF("u", "v"))).withColumnRenamed("component", "least")
+        renamed = comps.join(joined.withColumnRenamed("node", "component"), "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
+        alone = joined.join(comps.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("least").alias("component"))
+        comps = renamed.unionByName(alone)
     out = f.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -103,15 +103,44 @@ def test_minhash_equals_brute_force(spark):
     assert got == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()} and links
 
 
-def test_blocks_find_what_a_pivot_hides():
+def test_minhash_group_around_a_base(spark, monkeypatch):
+    """Copies at many distances from a base: the pivots alone don't find all links. Small blocks, so that pairs cross them."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    base = ["b" + str(i) for i in range(100)]
+    rows = []
+    for d in range(1, 120):
+        words = list(base)
+        for at in rng.choice(100, int(rng.integers(0, 12)), replace=False):
+            words[at] = f"x{rng.integers(4)}"
+        rows.append((d, " ".join(words)))
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(97)} for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(sets, links)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(want)
+
+
+def test_blocks_decide_over_all_pairs_of_two_components():
+    import pyarrow as pa
     sig = np.zeros(minhash.MINIMA, "<u2").tobytes()
     other = np.arange(1, minhash.MINIMA + 1, dtype="<u2").tobytes()
-    import pyarrow as pa
-    rows = [(7, 0, 0, 0, d, d, s) for d, s in ((1, sig), (2, other), (3, other), (4, sig))]
+    rows = [(7, 0, 0, 0, d, c, s) for d, c, s in ((1, 1, sig), (2, 2, other), (3, 3, other), (4, 4, sig), (5, 5, other[2:] + other[:2]))]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefg"))
-    for best in (True, False):
-        out = [tuple(r.values()) for b in minhash._compared(best)(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
-        assert set(out) == {(1, 4), (2, 3)}
+    out = [tuple(r.values()) for b in minhash._blocks(minhash._with_partner)(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    assert sorted(out) == [(7, 1), (7, 2), (7, 3), (7, 4)]
+
+
+def test_spanning_links_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(minhash, "WIDTH", 16)
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[: int(n)], rng.integers(0, 2**63, int(m), dtype=np.uint64)])) for n, m in zip(rng.integers(0, 100, 60), rng.integers(0, 20, 60), strict=True)]
+    assert (minhash._common(sets[:25], sets[25:]) == [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]).all()
+    rows = [(0, 0, 0, 0, i, i // 2, s.tobytes()) for i, s in enumerate(sets)]
+    u, v = minhash._spanning(80)(rows, rows)
+    linked = [(a // 2, b // 2) for a in range(60) for b in range(a) if a // 2 != b // 2 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert components_of(range(30), list(zip(u, v, strict=True))) == components_of(range(30), linked) and linked and len(u) <= 120
 
 
 def test_components(spark):
