@@ -32,7 +32,7 @@ from basewright.llm.components import connected_components
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 AGREE = 80
-SALT, BLOCK, BLOCK_SHINGLES, WIDTH = 64, 512, 2_000_000, 8192
+SALT, BLOCK, BLOCK_SHINGLES, WIDTH, STEP = 64, 512, 2_000_000, 2048, 250_000
 #: Pairs up to which their ids are broadcast to the scan of the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(20240229)
@@ -154,20 +154,28 @@ def _with_partner(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets of either side, as products of 0/1 matrices over WIDTH shared shingles at a time."""
-    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    """Sizes of all intersections of the sets of either side, as products of 0/1 matrices over WIDTH shared shingles at a time.
+
+    The hashes are taken by ranges of about STEP of them, so that sorting them needs little memory.
+    """
     out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(shared), WIDTH):
-        part = shared[at : at + WIDTH]
-        ones = []
-        for sets in (left, right):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for row, s in zip(m, sets, strict=True):
-                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
-                k = np.searchsorted(part, s)
-                row[k[part[k] == s]] = 1
-            ones.append(m)
-        out += ones[0] @ ones[1].T
+    steps = -(-sum(map(len, (*left, *right))) // STEP)
+    bounds = np.array([2**64 * i // steps for i in range(1, steps)], np.uint64)
+    cuts = [[[0, *np.searchsorted(s, bounds), len(s)] for s in sets] for sets in (left, right)]
+    for step in range(steps):
+        sides = [[s[c[step] : c[step + 1]] for s, c in zip(sets, cut, strict=True)] for sets, cut in zip((left, right), cuts, strict=True)]
+        shared = np.intersect1d(*map(np.concatenate, sides))
+        for at in range(0, len(shared), WIDTH):
+            part = shared[at : at + WIDTH]
+            ones = []
+            for sets in sides:
+                m = np.zeros((len(sets), len(part)), np.float32)
+                for row, s in zip(m, sets, strict=True):
+                    s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                    k = np.searchsorted(part, s)
+                    row[k[part[k] == s]] = 1
+                ones.append(m)
+            out += ones[0] @ ones[1].T
     return out
 
 
