@@ -48,9 +48,11 @@ class Lattice:
         hashes = self._hash_all(real)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array([i for i, p in enumerate(pieces) if p])[order]
-        self.lengths = sorted({len(p) for p in real})
+        self.longest = max(map(len, real))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> np.uint64(44)] = True
+        self.begun = np.zeros(1 << 22, bool)
+        self.begun[self._hash_all(list({p[:n] for p in real for n in range(1, len(p) + 1)})) >> np.uint64(42)] = True
         single = np.full(256, -1)
         for i, p in enumerate(pieces):
             if len(p) == 1:
@@ -83,22 +85,22 @@ class Lattice:
             h[i + 1] = h[i] * _P + m[:, i] + np.uint64(1)
         out: list[list] = [[] for _ in range(n + 1)]
         everyone = np.arange(rows)
-        for size in self.lengths:
-            if size > n:
-                break
-            power = np.uint64(pow(int(_P), size, 2**64))
-            for i in range(n - size + 1):
-                if size == 1:
-                    out[i + 1].append((i, everyone, self.single[m[:, i]]))
-                    continue
-                x = h[i + size] - h[i] * power
+        powers = [np.uint64(pow(int(_P), size, 2**64)) for size in range(min(n, self.longest) + 1)]
+        for i in range(n):
+            out[i + 1].append((i, everyone, self.single[m[:, i]]))
+            r, before = everyone, h[i]
+            for size in range(2, min(n - i, self.longest) + 1):
+                x = h[i + size][r] - before * powers[size]
                 x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                r = np.flatnonzero(self.maybe[x >> np.uint64(44)])
-                if len(r):
-                    at = np.searchsorted(self.keys, x[r])
-                    good = self.keys[np.minimum(at, len(self.keys) - 1)] == x[r]
-                    if good.any():
-                        out[i + size].append((i, r[good], self.ids[at[good]]))
+                on = self.begun[x >> np.uint64(42)]  # the others begin no longer piece either
+                r, before, x = r[on], before[on], x[on]
+                if not len(r):
+                    break
+                maybe = np.flatnonzero(self.maybe[x >> np.uint64(44)])
+                at = np.searchsorted(self.keys, x[maybe])
+                good = self.keys[np.minimum(at, len(self.keys) - 1)] == x[maybe]
+                if good.any():
+                    out[i + size].append((i, r[maybe[good]], self.ids[at[good]]))
         return out
 
     @staticmethod
@@ -171,6 +173,18 @@ def vocabulary(path: str) -> Lattice:
     return Lattice(pieces, w)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, as words are worked on by length."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most or sum(b.nbytes for b in held) >= most_bytes:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 _COUNTED = "word binary, n long"
 
 
@@ -199,7 +213,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expected(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(lattice.pieces)))
-        for batch in batches:
+        for batch in _gathered(batches):
             total += lattice.expected(batch.column(0).to_pylist(), np.ones(batch.num_rows))
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[0][used], pa.float64()), pa.array(total[1][used], pa.float64())], names=["piece", "n", "e"])
@@ -210,7 +224,7 @@ def _word_scores(lattice: Lattice, words: int, distinct: int, discount: float, w
     """words, distinct: training tokens and types without ends; word_share: the probability that the text goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             lp, n = lattice.scores(batch.column(0).to_pylist()), batch.column(1).to_numpy().astype(float)
             if words:
                 own = np.log(np.maximum(n - discount, 1e-300) / words)
