@@ -8,7 +8,8 @@
 4. Whole texts of the pairs left are dealt by (pivot, salt), SALT documents to each copy of the pivot, and the exact
    Jaccard similarity of the full sets confirms each link.
 5. Components of the confirmed links. In a bucket whose members still lie in several components the pivot may have hidden a
-   link, so its members' signatures are compared in blocks of about BLOCK rows, inside a task. Only the members that agree with
+   link, so its members' signatures are compared in blocks of about BLOCK rows, inside a task; those of its largest
+   component meet only the others. Only the members that agree with
    one of another component go on, not the pairs.
 6. Full sets of those members are dealt to the same kind of blocks, and all intersections of a block pair are counted as
    matrix products. A spanning forest of the links found is given out, at most one a row, and joins the components.
@@ -217,18 +218,29 @@ def _sets(k: int):
 
 
 def _by_blocks(members: DataFrame, decide) -> DataFrame:
-    """members (bucket, blocks, doc_id, c, data) -> distinct (a, b) that decide gives for all pairs of a bucket's blocks."""
-    side = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """members (bucket, main, rest, blocks, doc_id, c, data) -> distinct (a, b) that decide gives for the pairs of a bucket's blocks.
+
+    The members of the component `main` fill blocks of their own, which meet only the others' blocks, never each other.
+    """
+    is_main, place = F.col("c") == F.col("main"), F.xxhash64("doc_id")
+    side = F.when(is_main, F.col("rest") + F.pmod(place, F.col("blocks") - F.col("rest"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("blocks")) - 1)
+    rows = members.withColumn("side", side).withColumn("other", F.explode(others))
     rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
     rows = rows.repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "doc_id")
     return rows.mapInArrow(_blocks(decide), "a long, b long").distinct()
 
 
-def _open(members: DataFrame, *blocks) -> DataFrame:
-    """bucket, blocks of the buckets whose members (bucket, doc_id, c) lie in several components."""
-    found = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.greatest(*blocks, F.lit(1)).cast("int").alias("blocks"))
-    return checkpointed(found.where("lo <> hi").select("bucket", "blocks"))
+def _open(members: DataFrame, weight=None) -> DataFrame:
+    """bucket, main, rest, blocks of the buckets whose members (bucket, doc_id, c) lie in several components.
+
+    main is the component with most of them; rest and blocks are the numbers of blocks for the others and for all.
+    """
+    parts = members.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "w", "c")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > m.n")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    rest = blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w"))
+    return checkpointed(whole.select("bucket", F.col("m.c").alias("main"), rest.alias("rest"), (rest + blocks(F.col("m.n"), F.col("m.w"))).alias("blocks")))
 
 
 def _confirmed(k: int, percent: int):
@@ -300,12 +312,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     comps = comps.select(F.col("node").alias("doc_id"), "component")
     placed = shared.where("doc_id <> p").join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     placed = checkpointed(placed)
-    here = placed.join(_open(placed, F.ceil(F.count("*") / BLOCK)), "bucket")
+    here = placed.join(_open(placed), "bucket")
     hopeful = checkpointed(_by_blocks(here.join(sigs.withColumnRenamed("sig", "data"), "doc_id"), _with_partner))
     if not hopeful.isEmpty():
         sizes = reps.select("doc_id", "n_shingles")
         placed = checkpointed(hopeful.select(F.col("a").alias("bucket"), F.col("b").alias("doc_id")).join(placed, ["bucket", "doc_id"]).join(sizes, "doc_id"))
-        here = placed.join(_open(placed, F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)), "bucket").drop("n_shingles")
+        here = placed.join(_open(placed, F.col("n_shingles")), "bucket").drop("n_shingles")
         ids = checkpointed(here.select("doc_id").distinct())
         wanted = texts.join(F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         more = _by_blocks(here.join(wanted.mapInArrow(_sets(k), "doc_id long, data binary"), "doc_id"), _spanning(percent))
