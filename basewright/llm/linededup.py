@@ -1,13 +1,12 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by the hashes of windows of lines.
 
 Lines are compared without outer white space; lines without words carry no weight and are never deleted alone.
-A window is the shortest run of consecutive lines, from any line on, with at least WORDS words. Of each window the line of
-the least hash (the last of equal ones) is selected as a fingerprint. Two texts that share a run of lines with WORDS words
-or more share a whole window and so select the same line of it: no such run is missed.
+A window is the shortest run of consecutive lines, from any line on or up to any line, with at least WORDS words. A run of
+WORDS words or more is the union of its windows, and a copy of it has the same ones: no repeated run is missed.
 
-Each fingerprint's later positions are joined to its first position in the corpus, in order of (doc_id, line). The match is
-extended line by line both ways; a run of WORDS words or more is deleted at the later place. Every deleted line has an equal
-line at a strictly earlier place, so the earliest copy of any line always stays.
+Each window's later places are joined to its first place in the corpus, in order of (doc_id, line), by a 64-bit hash of all
+its lines; the lines of the later places are deleted. Every deleted line has an equal line at a strictly earlier place, so
+the earliest copy of any line always stays.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import types as T
 
 from basewright.llm.common import checkpointed, table
 
-WORDS = 10
+WORDS, MOST_WINDOWS = 10, 100_000
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
@@ -36,7 +35,7 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
 
 
 def fingerprints(hashes: list[int], weights: list[int], least: int = WORDS) -> list[int]:
-    """Positions that are the minimum of some window; amortised constant time a line."""
+    """Positions that are the minimum of some window; amortised constant time a line. line_dedup takes all windows instead."""
     out: set[int] = set()
     queue: list[int] = []  # positions with ascending hashes; the head is the minimum
     head, start, total = 0, 0, 0
@@ -56,44 +55,41 @@ def fingerprints(hashes: list[int], weights: list[int], least: int = WORDS) -> l
     return sorted(out)
 
 
-def repeated(own: np.ndarray, weights: np.ndarray, other: np.ndarray, at: int, there: int, least: int = WORDS) -> tuple[int, int] | None:
-    """The run (first, end) of own around line `at` that equals other's around `there`, if it has enough words."""
-    n = min(len(own) - at, len(other) - there)
-    differ = own[at : at + n] != other[there : there + n]
-    end = at + (int(differ.argmax()) if differ.any() else n)
-    n = min(at, there)
-    differ = (own[at - n : at] != other[there - n : there])[::-1]
-    first = at - (int(differ.argmax()) if differ.any() else n)
-    return (first, end) if weights[first:end].sum() >= least else None
-
+def windows(weights: list[int], least: int = WORDS) -> list[tuple[int, int]]:
+    """The shortest (first, end) of `least` words or more from each line on, and those up to each line: together they cover
+    every run of so many words, and whether a window is one of them depends on its own lines alone."""
+    out: set[tuple[int, int]] = set()
+    start, total = 0, 0
+    for i, w in enumerate(weights):
+        total += w
+        while total >= least:
+            out.add((start, i + 1))
+            total -= weights[start]
+            start += 1
+        if start:  # the last start from which `least` words were reached
+            out.add((start - 1, i + 1))
+    return sorted(out)
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes, weights, marks = [], [], []
-        for text in batch.column(1):
-            h, w = line_hashes(text.as_py())
-            hashes.append(h)
-            weights.append(w)
-            marks.append(fingerprints(h, w))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "hashes", "weights", "marks"])
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) -> each window's document, first line, lines and hash, in batches of about MOST_WINDOWS."""
+    def batch_of(docs, pos, n, h):
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "pos", "n", "h"])
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, at, hashes, weights, other) -> (doc_id, lines to delete)."""
     for batch in batches:
-        docs, gone = [], []
-        for doc, at, own, weights, other in zip(*batch.columns, strict=True):
-            own, weights, other = (np.array(x.values) for x in (own, weights, other))
-            cut, seen = np.zeros(len(own), bool), {}
-            for pos, there in sorted((x["pos"], x["there"]) for x in at.as_py()):
-                if seen.get(pos - there, -1) <= pos:  # else a run found on this diagonal holds the line already
-                    run = repeated(own, weights, other, pos, there)
-                    if run:
-                        cut[run[0] : run[1]] = True
-                        seen[pos - there] = run[1]
-            docs.append(doc.as_py())
-            gone.append(np.flatnonzero(cut).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+        docs, pos, n, h = [], [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hashes, weights = line_hashes(text.as_py())
+            packed = np.array(hashes, np.int64).tobytes()
+            for first, end in windows(weights):
+                docs.append(doc)
+                pos.append(first)
+                n.append(end - first)
+                h.append(xxhash.xxh3_64_intdigest(packed[8 * first : 8 * end]) - (1 << 63))
+            if len(docs) >= MOST_WINDOWS:
+                yield batch_of(docs, pos, n, h)
+                docs, pos, n, h = [], [], [], []
+        yield batch_of(docs, pos, n, h)
 
 
 @F.pandas_udf(T.StringType())
@@ -108,19 +104,15 @@ def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
     """doc_id, cut: the lines of each document that repeat earlier ones. Rows with a null doc_id take no part; rows that repeat a doc_id must repeat its text."""
-    lines = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_lines, "doc_id long, hashes array<long>, weights array<int>, marks array<int>")
-    lines = checkpointed(lines)
-    marks = lines.select("doc_id", F.posexplode(F.transform("marks", lambda m: F.struct(m.alias("pos"), F.element_at("hashes", m + 1).alias("h")))).alias("i", "m")).select("doc_id", "m.pos", "m.h").distinct()
-    marks = checkpointed(marks)
-    first = marks.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max(F.struct("doc_id", "pos")).alias("l")).where("f <> l").select("h", F.col("f.doc_id").alias("src"), F.col("f.pos").alias("there"))
+    found = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_windows, "doc_id long, pos int, n int, h long")
+    found = checkpointed(found)
+    place = F.struct("doc_id", "pos")
+    first = found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", F.col("f.doc_id").alias("src"), F.col("f.pos").alias("there"))
     first = checkpointed(first)
-    later = marks.join(first, "h").where("doc_id <> src OR pos <> there").select("doc_id", "src", "pos", "there")
-    later = later.groupBy("doc_id", "src").agg(F.collect_list(F.struct("pos", "there")).alias("at"))  # a document's lines at most
-    own = lines.select("doc_id", "hashes", "weights").dropDuplicates(["doc_id"])
-    other = own.select(F.col("doc_id").alias("src"), F.col("hashes").alias("other"))
-    both = checkpointed(later).join(own, "doc_id").join(other, "src").select("doc_id", "at", "hashes", "weights", "other")
-    gone = both.mapInArrow(_runs, "doc_id long, gone array<int>").where(F.size("gone") > 0)
-    return gone.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("cut"))
+    later = found.join(first, "h").where("doc_id <> src OR pos <> there")
+    later = later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("at"))  # a document's windows at most
+    lines = F.flatten(F.transform("at", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1)))
+    return later.select("doc_id", F.array_sort(F.array_distinct(lines)).alias("cut"))
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
