@@ -1,8 +1,9 @@
 """Line deduplication by the hashes of windows of lines.
 
 Lines are compared without outer white space; lines without words carry no weight and are never deleted alone.
-A window is the shortest run of consecutive lines, from any line on or up to any line, with at least WORDS words. A run of
-WORDS words or more is the union of its windows, and a copy of it has the same ones: no repeated run is missed.
+A window is the shortest run of consecutive lines, from any line with words on or up to any such line, with at least WORDS
+words. A run of WORDS words or more is the union of its windows and of wordless lines before and after them, and a copy of
+it has the same ones: no repeated run is missed. Wordless lines between others count as lines of the window.
 
 Each window's later places are joined to its first place in the corpus, in order of (doc_id, line), by a 64-bit hash of all
 its lines; the lines of the later places are deleted. Every deleted line has an equal line at a strictly earlier place, so
@@ -56,36 +57,56 @@ def fingerprints(hashes: list[int], weights: list[int], least: int = WORDS) -> l
 
 
 def windows(weights: list[int], least: int = WORDS) -> list[tuple[int, int]]:
-    """The shortest (first, end) of `least` words or more from each line on, and those up to each line: together they cover
-    every run of so many words, and whether a window is one of them depends on its own lines alone."""
+    """The shortest (first, end) of `least` words or more from each line with words on, and those up to each such line: together
+    they cover every run of so many words but for wordless lines at its ends, and whether a window is one of them depends on
+    its own lines alone. A line is in 2 * `least` windows at most."""
     out: set[tuple[int, int]] = set()
     start, total = 0, 0
     for i, w in enumerate(weights):
         total += w
         while total >= least:
-            out.add((start, i + 1))
+            if weights[start]:
+                out.add((start, i + 1))
             total -= weights[start]
             start += 1
-        if start:  # the last start from which `least` words were reached
+        if start and w:  # the last start from which `least` words were reached
             out.add((start - 1, i + 1))
     return sorted(out)
 
 
+def places(hashes: list[int], weights: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(first, lines, hash) of each window, and of each wordless line before or after one: its hash is that of all lines from it to the window's other end."""
+    mixed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+    packed, onward, upto = np.array(hashes, np.int64).tobytes(), {}, {}
+    for first, end in windows(weights):  # in order: of each first line the shortest comes first, of each end last
+        h = mixed(packed[8 * first : 8 * end])
+        onward.setdefault(first, h)
+        upto[end] = h
+        yield first, end - first, h
+    empty = [i for i, w in enumerate(weights) if not w]
+    for i in empty:
+        if i in upto:
+            upto[i + 1] = mixed(upto[i].to_bytes(8, "little", signed=True) + b">")
+            yield i, 1, upto[i + 1]
+    for i in reversed(empty):
+        if i + 1 in onward:
+            onward[i] = mixed(onward[i + 1].to_bytes(8, "little", signed=True) + b"<")
+            yield i, 1, onward[i]
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) -> each window's document, first line, lines and hash, in batches of about MOST_WINDOWS."""
+    """Rows (doc_id, text) -> each place's document, first line, lines and hash, in batches of about MOST_WINDOWS."""
     def batch_of(docs, pos, n, h):
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "pos", "n", "h"])
 
     for batch in batches:
         docs, pos, n, h = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            hashes, weights = line_hashes(text.as_py())
-            packed = np.array(hashes, np.int64).tobytes()
-            for first, end in windows(weights):
+            for first, length, key in places(*line_hashes(text.as_py())):
                 docs.append(doc)
                 pos.append(first)
-                n.append(end - first)
-                h.append(xxhash.xxh3_64_intdigest(packed[8 * first : 8 * end]) - (1 << 63))
+                n.append(length)
+                h.append(key)
             if len(docs) >= MOST_WINDOWS:
                 yield batch_of(docs, pos, n, h)
                 docs, pos, n, h = [], [], [], []

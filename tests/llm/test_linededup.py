@@ -37,3 +37,25 @@ def test_equals_enumeration(spark):
     rows = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, 12, int(rng.integers(1, 12))))) for i in range(60)]
     want = enumerated(rows)
     assert removed(spark, rows) == want and sum(map(len, want.values())) > 100
+
+
+def test_passages_with_empty_lines(spark):
+    """Copies among other neighbours are found whichever line has the least hash; the empty lines at their ends repeat too."""
+    passages = [f"\n{i} one two three four five\n\n{i} six seven eight nine ten\n" for i in range(60)]
+    rows = [(100 * side + i, f"start {i} {side}\n{p}\nend {i} {side}") for side in range(2) for i, p in enumerate(passages)]
+    assert removed(spark, rows) == {d: [1, 2, 3, 4, 5] if d >= 100 else [] for d, _ in rows}
+
+
+def test_empty_lines_equal_enumeration(spark):
+    rng = np.random.default_rng(10)
+    lines = ["", "  ", "\t", *(" ".join(f"w{k}" for k in rng.integers(0, 50, int(rng.integers(1, 9)))) for _ in range(5))]
+    rows = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, 8, int(rng.integers(1, 14))))) for i in range(60)]
+    want = enumerated(rows)
+    assert removed(spark, rows) == want and sum(map(len, want.values())) > 100
+
+
+def test_many_empty_lines_cost_in_proportion(spark):
+    n = 50_000
+    text = "one two three four five" + "\n" * n + "six seven eight nine ten" + "\n" * n
+    got = removed(spark, [(1, f"a\n{text}b"), (2, f"c\n{text}d"), (3, "\n" * n)])
+    assert got == {1: [], 2: list(range(1, 2 * n + 1)), 3: []}
