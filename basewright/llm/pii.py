@@ -41,7 +41,8 @@ _PATTERNS = {
     "name": rf"(?<!\w)(?:{'|'.join(n for names in NAMES.values() for n in names)}) [A-ZА-Я][a-zа-я]+(?!\w)",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
-_HINT = re.compile(r"[0-9@]|" + "|".join(f"{n} " for names in NAMES.values() for n in names))
+#: Every match of _PATTERNS holds a match of this: a secret without digits is a prefixed one or 32 hex letters of one case.
+_HINT = re.compile(r"[\d@]|(?:sk|pk|ghp|xox[bp])[-_]|[a-f]{32}|[A-F]{32}|" + "|".join(f"{n} " for names in NAMES.values() for n in names))
 
 
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
