@@ -31,6 +31,9 @@ NAMES = {
 }
 _KIND = {n.lower(): k for k, names in NAMES.items() for n in names}
 _VOWELS = {"latin": ("aeiou", "bcdfghjklmnprstvz"), "cyrillic": ("аеиоу", "бвгдклмнпрст")}
+#: A family name: letters of any script with their accents, the first a capital; parts after hyphens too. An ending 's isn't part of it.
+_CAPITAL = "[" + "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and c.isupper()) + "]"
+_FAMILY = rf"{_CAPITAL}(?:[^\W\d_]|[\u0300-\u036f]|['’](?![sS](?!\w))(?=[^\W\d_])|-(?={_CAPITAL}))+(?![\w\u0300-\u036f])"
 _PATTERNS = {
     "mail": r"(?<![\w.+-])[\w.+-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z]{16,})(?![0-9A-Za-z])",
@@ -38,7 +41,7 @@ _PATTERNS = {
     "card": r"(?<![\dA-Za-z])\d{4}(?:[ -]?\d{4}){3}(?![\dA-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)",
-    "name": rf"(?<!\w)(?:{'|'.join(n for names in NAMES.values() for n in names)}) [A-ZА-Я][a-zа-я]+(?!\w)",
+    "name": rf"(?<!\w)(?:{'|'.join(n for names in NAMES.values() for n in names)}) {_FAMILY}",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: Every match of _PATTERNS holds a match of this: a secret without digits is a prefixed one or 32 hex letters of one case.
@@ -86,7 +89,9 @@ def surrogate(kind: str, form: str, turn: int, key: bytes = KEY) -> str:
         gender_script = _KIND[given]
         choices = [n.lower() for n in NAMES[gender_script] if n.lower() != given]
         vowels, others = _VOWELS[gender_script[1]]
-        return choices[s.below(len(choices))] + " " + "".join((others if i % 2 == 0 else vowels)[s.below(len(others if i % 2 == 0 else vowels))] for i in range(max(4, len(family))))
+        given = choices[s.below(len(choices))]
+        letters = [(others if i % 2 == 0 else vowels)[s.below(len(others if i % 2 == 0 else vowels))] for i in range(max(4, len(family)))]
+        return given + " " + "".join(family[i] if family[i : i + 1] in ("-", "'", "’") else c for i, c in enumerate(letters))
     if kind in ("card", "ssn"):
         out = "".join(str(s.below(10)) for _ in form)
         if kind == "card" and _luhn(form) == 0:
@@ -110,7 +115,8 @@ def dressed(kind: str, value: str, form: str) -> str:
         digits = iter(form)
         return "".join(next(digits) if c.isdigit() else c for c in value)
     if kind == "name":
-        return " ".join(w.capitalize() for w in form.split(" "))
+        given, family, old = *form.split(" "), value.partition(" ")[2]
+        return given.capitalize() + " " + "".join(c.upper() if i == 0 or old[i : i + 1].isupper() else c for i, c in enumerate(family))
     if len(form) == len(value):
         return "".join(f.upper() if v.isupper() else f for f, v in zip(form, value, strict=True))
     return form

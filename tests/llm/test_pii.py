@@ -14,3 +14,15 @@ def test_entities_without_ascii_digits(spark):
     out = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (kind, x) in enumerate(LONE):
         assert (out[i].n_entities, out[i].kinds) == (1, f"{kind}=1") and x not in out[i].text and out[i].text.startswith("my key is ") and out[i].text.endswith(" please")
+
+
+def test_family_names_of_any_letters(spark):
+    names = ["Anna Müller", "Mary Smith-Jones", "John O'Brien", "Peter McDonald", "Елена Ёлкина", "Eva Łoś", "Paul BROWN", "Clara Ne\u0301mec"]
+    rows = [(i, f"so {x}, and {x}'s too") for i, x in enumerate(names)] + [(90, "Mary went home, John Smith-like")]
+    out = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(names):
+        new = out[i].text[3:].split(",")[0]
+        assert out[i].text == f"so {new}, and {new}'s too" and out[i].kinds == "name=2" and not set(x.split(" ")) & set(new.split(" "))
+        assert all((a in "-'") == (b in "-'") and a.isupper() == b.isupper() for a, b in zip(new.split(" ")[1], x.split(" ")[1]))
+    assert out[90].kinds == "name=1" and out[90].text.startswith("Mary went home, ") and out[90].text.endswith("-like")
+    assert pii.dressed("name", "Mary Brown", pii.surrogate("name", "mary brown", 0)).istitle()
