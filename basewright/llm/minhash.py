@@ -3,14 +3,15 @@
 1. A pass over the whole texts makes, for each document, the set of its distinct word shingles (64-bit hashes), a 128-bit
    digest of that set, MINIMA minima of universal hashes and a key for each of BANDS bands of ROWS minima.
 2. Documents with equal sets are one class; only its least doc_id goes on, so exact copies cost a count, not pairs.
-3. In each band bucket every member is paired with one pivot, never with all others. Signatures drop pairs that agree in
-   fewer than AGREE of the minima (chance of dropping a pair of similarity 0.8: about 4e-7).
+3. Buckets with the same members are one. In each, every member is paired with one pivot, never with all others. Signatures
+   drop pairs that agree in fewer than AGREE of the minima (chance of dropping a pair of similarity 0.8: about 4e-7).
 4. Whole texts of the pairs left are dealt by (pivot, salt), SALT documents to each copy of the pivot, and the exact
    Jaccard similarity of the full sets confirms each link.
 5. Components of the confirmed links. In a bucket whose members still lie in several components the pivot may have hidden a
-   link, so its members' signatures are compared in blocks of about BLOCK rows, inside a task; those of its largest
-   component meet only the others. Only the members that agree with
-   one of another component go on, not the pairs.
+   link. Such buckets of over LARGE members are put together by their largest component, so that a document that misses
+   the component's pivots meets it once and not once a bucket. Signatures of such a group are compared in blocks of about
+   BLOCK rows, inside a task; those of the largest component meet only the others. Only the members that agree with one of
+   another component go on, not the pairs.
 6. Full sets of those members are dealt to the same kind of blocks, and all intersections of a block pair are counted as
    matrix products. A spanning forest of the links found is given out, at most one a row, and joins the components.
 
@@ -33,9 +34,9 @@ from basewright.llm.components import connected_components
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 AGREE = 80
-SALT, BLOCK, BLOCK_SHINGLES, WIDTH, STEP = 64, 512, 2_000_000, 2048, 250_000
-#: Pairs up to which their ids are broadcast to the scan of the texts; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+SALT, BLOCK, BLOCK_SHINGLES, WIDTH, STEP, LARGE = 64, 512, 2_000_000, 2048, 250_000, 64
+#: Rows up to which ids or pivots' sizes (24 bytes each) and signatures (280 bytes) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_SIGNATURES = 1_000_000, 50_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
@@ -217,30 +218,38 @@ def _sets(k: int):
     return run
 
 
-def _by_blocks(members: DataFrame, decide) -> DataFrame:
-    """members (bucket, main, rest, blocks, doc_id, c, data) -> distinct (a, b) that decide gives for the pairs of a bucket's blocks.
+def _near_to(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if small_enough(df, most) else df
 
-    The members of the component `main` fill blocks of their own, which meet only the others' blocks, never each other.
+
+def _groups(members: DataFrame) -> DataFrame:
+    """members (bucket, doc_id, c) of all buckets -> (key, main, doc_id, c), each once: the members of the buckets that lie in several components.
+
+    main is the component with most of a bucket's members; buckets of over LARGE members with the same main are one group.
     """
-    is_main, place = F.col("c") == F.col("main"), F.xxhash64("doc_id")
-    side = F.when(is_main, F.col("rest") + F.pmod(place, F.col("blocks") - F.col("rest"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("blocks")) - 1)
-    rows = members.withColumn("side", side).withColumn("other", F.explode(others))
-    rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
-    rows = rows.repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "doc_id")
-    return rows.mapInArrow(_blocks(decide), "a long, b long").distinct()
+    parts = members.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
+    key = F.when(F.col("n") > LARGE, F.xxhash64(F.lit("component"), "m.c")).otherwise(F.col("bucket"))
+    whole = checkpointed(whole.select("bucket", key.alias("key"), F.col("m.c").alias("main")))
+    return members.join(_near_to(whole, BROADCAST_ROWS), "bucket").select("key", "main", "doc_id", "c").distinct()
 
 
-def _open(members: DataFrame, weight=None) -> DataFrame:
-    """bucket, main, rest, blocks of the buckets whose members (bucket, doc_id, c) lie in several components.
+def _by_blocks(rows: DataFrame, data: DataFrame, decide, weight=None) -> DataFrame:
+    """rows (key, main, doc_id, c) and data (doc_id, data) -> distinct (a, b) that decide gives for the pairs of a group's blocks.
 
-    main is the component with most of them; rest and blocks are the numbers of blocks for the others and for all.
+    The members of the component `main` fill blocks of their own, which meet only the others' blocks, never each other.
     """
-    parts = members.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w"))
-    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "w", "c")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > m.n")
-    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    rest = blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w"))
-    return checkpointed(whole.select("bucket", F.col("m.c").alias("main"), rest.alias("rest"), (rest + blocks(F.col("m.n"), F.col("m.w"))).alias("blocks")))
+    is_main, place = F.col("c") == F.col("main"), F.xxhash64("doc_id")
+    w = F.lit(0) if weight is None else weight
+    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, w).otherwise(0)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = checkpointed(rows.groupBy("key").agg(blocks(~is_main).alias("rest"), blocks(is_main).alias("more")))
+    side = F.when(is_main, F.col("rest") + F.pmod(place, F.col("more"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1)
+    placed = rows.join(_near_to(sizes, BROADCAST_ROWS), "key").withColumn("side", side).join(data, "doc_id").withColumn("other", F.explode(others))
+    placed = placed.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
+    placed = placed.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
+    return placed.mapInArrow(_blocks(decide), "a long, b long").distinct()
 
 
 def _confirmed(k: int, percent: int):
@@ -265,19 +274,17 @@ def _confirmed(k: int, percent: int):
 
 
 def _links(texts: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (p, d), each once -> those confirmed on full sets, as (u, v)."""
+    """pairs (p, d), each once -> those confirmed on full sets, as (u, v). A hot pivot's signature and size are broadcast, or joined where AQE splits them."""
     spark = texts.sparkSession
+    of_pivots = checkpointed(sigs.join(pairs.select(F.col("p").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("p"), F.col("sig").alias("sp")))
     with_d = pairs.join(sigs.select(F.col("doc_id").alias("d"), F.col("sig").alias("sd")), "d")
-    both = with_d.join(sigs.select(F.col("doc_id").alias("p"), F.col("sig").alias("sp")), "p")
+    both = with_d.join(_near_to(of_pivots, BROADCAST_SIGNATURES), "p")
     pairs = checkpointed(both.select("p", "d", "sd", "sp").mapInArrow(_agreeing, "p long, d long"))
-    salt = F.pmod(F.xxhash64("d"), F.greatest(F.ceil(F.col("size") / SALT), F.lit(1))).cast("int")
-    sizes = checkpointed(pairs.groupBy("p").agg(F.count("*").alias("size")))
-    docs = pairs.join(sizes, "p").select("p", salt.alias("salt"), F.lit(1).alias("role"), F.col("d").alias("doc_id"))
-    own = sizes.select("p", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / SALT), F.lit(1)).cast("int") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("p").alias("doc_id"))
+    sizes = checkpointed(pairs.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / SALT), F.lit(1)).cast("int").alias("salts")))
+    docs = pairs.join(_near_to(sizes, BROADCAST_ROWS), "p").select("p", F.pmod(F.xxhash64("d"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("d").alias("doc_id"))
+    own = sizes.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("p").alias("doc_id"))
     wanted = checkpointed(docs.unionByName(own))
-    if small_enough(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
-    rows = texts.join(wanted, "doc_id").select("p", "salt", "role", "doc_id", "text")
+    rows = texts.join(_near_to(wanted, BROADCAST_ROWS), "doc_id").select("p", "salt", "role", "doc_id", "text")
     rows = rows.repartition(shuffle_partitions(spark), "p", "salt").sortWithinPartitions("p", "salt", "role", "doc_id")
     return checkpointed(rows.mapInArrow(_confirmed(k, percent), "u long, v long").distinct())
 
@@ -304,23 +311,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     sigs = reps.select("doc_id", "sig")
     texts = texts.where("doc_id IS NOT NULL")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    pivots = checkpointed(buckets.groupBy("bucket").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p <> q").select("bucket", "p"))
+    held = buckets.groupBy("bucket").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).where("p <> q")
+    pivots = checkpointed(held.groupBy("p", "q", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "p"))
     shared = checkpointed(buckets.join(pivots, "bucket").select("bucket", "doc_id", "p"))
     links = _links(texts, sigs, shared.where("doc_id <> p").select("p", F.col("doc_id").alias("d")).distinct(), k, percent)
     links = links.unionByName(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    comps = checkpointed(connected_components(links))
-    comps = comps.select(F.col("node").alias("doc_id"), "component")
+    comps = checkpointed(connected_components(links).select(F.col("node").alias("doc_id"), "component"))
     placed = shared.where("doc_id <> p").join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    placed = checkpointed(placed)
-    here = placed.join(_open(placed), "bucket")
-    hopeful = checkpointed(_by_blocks(here.join(sigs.withColumnRenamed("sig", "data"), "doc_id"), _with_partner))
+    groups = checkpointed(_groups(checkpointed(placed)))
+    hopeful = checkpointed(_by_blocks(groups, sigs.withColumnRenamed("sig", "data"), _with_partner).toDF("key", "doc_id"))
     if not hopeful.isEmpty():
-        sizes = reps.select("doc_id", "n_shingles")
-        placed = checkpointed(hopeful.select(F.col("a").alias("bucket"), F.col("b").alias("doc_id")).join(placed, ["bucket", "doc_id"]).join(sizes, "doc_id"))
-        here = placed.join(_open(placed, F.col("n_shingles")), "bucket").drop("n_shingles")
-        ids = checkpointed(here.select("doc_id").distinct())
-        wanted = texts.join(F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        more = _by_blocks(here.join(wanted.mapInArrow(_sets(k), "doc_id long, data binary"), "doc_id"), _spanning(percent))
+        groups = checkpointed(groups.join(hopeful, ["key", "doc_id"]).join(reps.select("doc_id", "n_shingles"), "doc_id"))
+        ids = checkpointed(groups.select("doc_id").distinct())
+        wanted = texts.join(_near_to(ids, BROADCAST_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        more = _by_blocks(groups, wanted.mapInArrow(_sets(k), "doc_id long, data binary"), _spanning(percent), F.col("n_shingles"))
         joined = checkpointed(connected_components(more.toDF("u", "v"))).withColumnRenamed("component", "least")
         renamed = comps.join(joined.withColumnRenamed("node", "component"), "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
         alone = joined.join(comps.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("least").alias("component"))

@@ -106,6 +106,7 @@ def test_minhash_equals_brute_force(spark):
 def test_minhash_group_around_a_base(spark, monkeypatch):
     """Copies at many distances from a base: the pivots alone don't find all links. Small blocks, so that pairs cross them."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "LARGE", 16)
     rng = np.random.default_rng(1)
     base = ["b" + str(i) for i in range(100)]
     rows = []
