@@ -1,13 +1,17 @@
-"""Line deduplication by the hashes of windows of lines.
+"""Line deduplication by winnowing.
 
 Lines are compared without outer white space; lines without words carry no weight and are never deleted alone.
 A window is the shortest run of consecutive lines, from any line with words on or up to any such line, with at least WORDS
-words. A run of WORDS words or more is the union of its windows and of wordless lines before and after them, and a copy of
-it has the same ones: no repeated run is missed. Wordless lines between others count as lines of the window.
-
-Each window's later places are joined to its first place in the corpus, in order of (doc_id, line), by a 64-bit hash of all
-its lines; the lines of the later places are deleted. Every deleted line has an equal line at a strictly earlier place, so
-the earliest copy of any line always stays.
+words. Its fingerprint is its least line hash (of a line with words, the last of equals), placed at that line and keyed by the
+hash of all lines of the window: a line that is the minimum of several windows is a fingerprint of each. Plain winnowing
+would join a line hash to its first place alone and lose the runs whose minimum stands elsewhere first, or to all its places,
+which a frequent line has millions of; with the window in the key one join to the first place loses none.
+
+Fingerprints of later places are joined to their first place in the corpus, in order of (doc_id, text hash, line). From its
+position a match extends both ways to the ends of its window, and on as far as further windows of the run match: a run of
+WORDS words or more is the union of its windows and of wordless lines before and after them, and a copy of it has the same
+ones, so no repeated run is missed. Every deleted line has an equal line at a strictly earlier place, so the earliest copy
+of any line always stays.
 """
 
 from __future__ import annotations
@@ -35,27 +39,6 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines], [len(x.split()) for x in lines]
 
 
-def fingerprints(hashes: list[int], weights: list[int], least: int = WORDS) -> list[int]:
-    """Positions that are the minimum of some window; amortised constant time a line. line_dedup takes all windows instead."""
-    out: set[int] = set()
-    queue: list[int] = []  # positions with ascending hashes; the head is the minimum
-    head, start, total = 0, 0, 0
-    for i, w in enumerate(weights):
-        while len(queue) > head and hashes[queue[-1]] >= hashes[i]:
-            queue.pop()
-        queue.append(i)
-        total += w
-        while total >= least:
-            out.add(queue[head])
-            total -= weights[start]
-            start += 1
-            if queue[head] < start:
-                head += 1
-                if head == len(queue):
-                    queue, head = [], 0
-    return sorted(out)
-
-
 def windows(weights: list[int], least: int = WORDS) -> list[tuple[int, int]]:
     """The shortest (first, end) of `least` words or more from each line with words on, and those up to each such line: together
     they cover every run of so many words but for wordless lines at its ends, and whether a window is one of them depends on
@@ -74,43 +57,45 @@ def windows(weights: list[int], least: int = WORDS) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def places(hashes: list[int], weights: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(first, lines, hash) of each window, and of each wordless line before or after one: its hash is that of all lines from it to the window's other end."""
+def fingerprints(hashes: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(position, lines before, lines after, key) of each window's minimum. A wordless line before or after a window is one by
+    itself: its key is that of the window and all lines from it on."""
     mixed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
     packed, onward, upto = np.array(hashes, np.int64).tobytes(), {}, {}
     for first, end in windows(weights):  # in order: of each first line the shortest comes first, of each end last
         h = mixed(packed[8 * first : 8 * end])
         onward.setdefault(first, h)
         upto[end] = h
-        yield first, end - first, h
+        least = first if end == first + 1 else min((i for i in range(first, end) if weights[i]), key=lambda i: (hashes[i], -i))
+        yield least, least - first, end - 1 - least, h
     empty = [i for i, w in enumerate(weights) if not w]
     for i in empty:
         if i in upto:
             upto[i + 1] = mixed(upto[i].to_bytes(8, "little", signed=True) + b">")
-            yield i, 1, upto[i + 1]
+            yield i, 0, 0, upto[i + 1]
     for i in reversed(empty):
         if i + 1 in onward:
             onward[i] = mixed(onward[i + 1].to_bytes(8, "little", signed=True) + b"<")
-            yield i, 1, onward[i]
+            yield i, 0, 0, onward[i]
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("h", pa.int64())])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) -> each place's document, first line, lines and hash, in batches of about MOST_WINDOWS."""
-    def batch_of(docs, pos, n, h):
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "pos", "n", "h"])
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, version, text) -> each document's fingerprints, in batches of about MOST_WINDOWS."""
+    def batch_of(rows):
+        cols = zip(*rows, strict=True) if rows else [[] for _ in _FOUND]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
 
     for batch in batches:
-        docs, pos, n, h = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for first, length, key in places(*line_hashes(text.as_py())):
-                docs.append(doc)
-                pos.append(first)
-                n.append(length)
-                h.append(key)
-            if len(docs) >= MOST_WINDOWS:
-                yield batch_of(docs, pos, n, h)
-                docs, pos, n, h = [], [], [], []
-        yield batch_of(docs, pos, n, h)
+        rows: list[tuple] = []
+        for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            rows.extend((doc, version, *x) for x in fingerprints(*line_hashes(text.as_py())))
+            if len(rows) >= MOST_WINDOWS:
+                yield batch_of(rows)
+                rows = []
+        yield batch_of(rows)
 
 
 @F.pandas_udf(T.StringType())
@@ -124,16 +109,16 @@ def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
-    """doc_id, cut: the lines of each document that repeat earlier ones. Rows with a null doc_id take no part; rows that repeat a doc_id must repeat its text."""
-    found = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_windows, "doc_id long, pos int, n int, h long")
+    """doc_id, version (hash of the text), cut: the lines of each document that repeat earlier ones. Rows with a null doc_id take no part."""
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    found = texts.mapInArrow(_fingerprints, "doc_id long, version long, pos int, before int, after int, h long")
     found = checkpointed(found)
-    place = F.struct("doc_id", "pos")
-    first = found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", F.col("f.doc_id").alias("src"), F.col("f.pos").alias("there"))
-    first = checkpointed(first)
-    later = found.join(first, "h").where("doc_id <> src OR pos <> there")
-    later = later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("at"))  # a document's windows at most
-    lines = F.flatten(F.transform("at", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1)))
-    return later.select("doc_id", F.array_sort(F.array_distinct(lines)).alias("cut"))
+    place = F.struct("doc_id", "version", (F.col("pos") - F.col("before")).alias("line"))
+    first = found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", "f")
+    later = found.join(checkpointed(first), "h").where(place != F.col("f"))
+    later = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "before", "after")).alias("at"))  # a document's windows at most
+    lines = F.flatten(F.transform("at", lambda r: F.sequence(r["pos"] - r["before"], r["pos"] + r["after"])))
+    return later.select("doc_id", "version", F.array_sort(F.array_distinct(lines)).alias("cut"))
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
@@ -141,13 +126,15 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 
     Defined cases: null text stays null, with no lines; a text of which every line is a repeat becomes empty; texts under
     WORDS words are never changed; null doc_ids and their texts stay as they are; ties of order cannot occur, as a place is
-    (doc_id, line); input columns named n_lines, n_removed or removed are replaced.
+    (doc_id, text hash, line); repeated rows are one document, and each of them loses the same lines; rows that repeat a doc_id
+    with another text are documents of their own; input columns named n_lines, n_removed or removed are replaced.
     """
     base = documents.drop("n_lines", "n_removed", "removed")
-    cut = "cut"
-    while cut in base.columns:
-        cut += "_"
-    out = base.join(checkpointed(repeated_runs(documents)).withColumnRenamed("cut", cut), "doc_id", "left")
+    cut, version = "cut", "version"
+    while {cut, version} & set(base.columns):
+        cut, version = cut + "_", version + "_"
+    runs = checkpointed(repeated_runs(documents)).withColumnsRenamed({"cut": cut, "version": version})
+    out = base.withColumn(version, F.xxhash64("text")).join(runs, ["doc_id", version], "left")
     cols = [_without("text", cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select(*cols, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(cut, F.array().cast("array<int>")).alias("removed"))

@@ -59,3 +59,32 @@ def test_many_empty_lines_cost_in_proportion(spark):
     text = "one two three four five" + "\n" * n + "six seven eight nine ten" + "\n" * n
     got = removed(spark, [(1, f"a\n{text}b"), (2, f"c\n{text}d"), (3, "\n" * n)])
     assert got == {1: [], 2: list(range(1, 2 * n + 1)), 3: []}
+
+
+def test_run_whose_minimum_stands_first_elsewhere(spark):
+    """The shared line stands in another context before the run's first copy, whichever of the lines has the least hash."""
+    for at in range(3):
+        a, b, c = (f"{x}{at} b{at} c{at} d{at}" for x in "xyz")
+        rows = [(1, f"p q r s\n{b}\nt u v w"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}")]
+        assert [len(x) for x in removed(spark, rows).values()] == [0, 0, 3]
+
+
+def test_minimum_of_each_window():
+    rng = np.random.default_rng(11)
+    text = "\n".join(" ".join("w" * int(n)) for n in rng.integers(0, 8, 60))
+    hashes, weights = linededup.line_hashes(text)
+    seen = {}
+    for pos, before, after, key in linededup.fingerprints(hashes, weights):
+        run = tuple(range(pos - before, pos + after + 1))
+        if weights[pos]:
+            assert sum(weights[i] for i in run) >= 10 and hashes[pos] == min(hashes[i] for i in run if weights[i])
+            assert seen.setdefault(key, tuple(hashes[i] for i in run)) == tuple(hashes[i] for i in run)
+    assert seen
+
+
+def test_repeated_rows_and_ids(spark):
+    a = "one two three four five six seven eight nine ten"
+    rows = [(1, a), (1, a), (2, f"x\n{a}"), (2, f"y\n{a}"), (None, a), (3, None), (4, "")]
+    out = spark.createDataFrame([(d, t, 7, "v") for d, t in rows], "doc_id long, text string, cut long, version string")
+    got = sorted((r.doc_id or 0, r.text or "", r.n_removed, r.cut, r.version) for r in linededup.line_dedup(out).collect())
+    assert got == [(0, a, 0, 7, "v"), (1, a, 0, 7, "v"), (1, a, 0, 7, "v"), (2, "x", 1, 7, "v"), (2, "y", 1, 7, "v"), (3, "", 0, 7, "v"), (4, "", 0, 7, "v")]
