@@ -1,18 +1,22 @@
 """Document scores of a subword lattice model.
 
 Every word is a lattice of all its segmentations into the pieces of an existing vocabulary, over bytes, so that byte pieces
-cover what no other piece does. A segmentation's probability is that of its pieces, where a word's first piece is drawn from
-those with a leading mark, and after each piece the word ends or goes on with a probability of that piece. The forward
-recursion in log space sums all segmentations: the marginal probability of the word. A word of the training texts has one more
-edge, over all of it, with its count less an absolute discount; the mass so saved goes to the lattice of pieces, which is
-therefore learned from distinct words (the scheme of interpolated Kneser-Ney smoothing). A text is its words and an end. The vocabulary's own scores (ranks) weight the first lattices;
-expectation maximisation over all distinct training words then fits the pieces' probabilities.
+cover what no other piece does. The vocabulary's own scores weight the pieces, here and throughout: a word's first piece is
+drawn from those with a leading mark, the others from the rest, each with its score's share. After each piece the word ends
+or goes on with a probability of that piece. The forward recursion in log space sums all segmentations: the marginal
+probability of the word. A text is its words and an end; `score` is its marginal log probability.
+
+Learned from the training texts are how often a word ends after each piece (expected uses under the vocabulary's scores, over
+distinct words) and how often a text ends; the counts of the base score; and for the column fitted_score an edge over each
+whole training word, with its count less an absolute discount, beside its lattice.
 
 1. Word counts of the whole corpus, added up within tasks and then by word.
-2. EM rounds over the distinct training words; only a vector as long as the vocabulary comes to the driver.
-3. Lattice scores of all distinct words, once each.
-4. A pass over the texts: the HOT most frequent words (a fixed bound) are looked up in a broadcast table, so no frequent word
-   is ever shuffled by document; the rest is counted per document and joined by word.
+2. One expectation step over the distinct training words; only vectors as long as the vocabulary come to the driver.
+3. Lattice scores of all distinct words, once each. Words over LONG bytes are worked on in blocks of STEP bytes by a recursion
+   that holds only the last ends, with the same result.
+4. A pass over the texts: at most HOT of the most frequent words, those over a count that a histogram of counts gives, are
+   looked up in a broadcast table, so no frequent word is ever shuffled by document; the rest is counted per document and
+   joined by word.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import checkpointed, crc_mod, table
 
-HOT, EM_ROUNDS, FLUSH, SMOOTH = 50_000, 3, 200_000, 0.01
+HOT, FLUSH, LONG, STEP = 50_000, 200_000, 512, 16_384
 MARK = b" "
 _P = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = math.log(10)
@@ -39,11 +44,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Lattice:
-    """pieces: byte strings (a leading space marks a word's start), the last is the end of a text; weight: their uses; stop: how often a word ends after them."""
+    """pieces: byte strings (a leading space marks a word's start), the last is the end of a text; weight: their scores' shares."""
 
-    def __init__(self, pieces: list[bytes], weight: np.ndarray, stop: np.ndarray | None = None):
+    def __init__(self, pieces: list[bytes], weight: np.ndarray):
         self.pieces, self.first = pieces, np.array([p[:1] == MARK or not p for p in pieces])
-        self.learn(weight, weight / 2 if stop is None else stop)
+        weight = np.asarray(weight, np.float64)
+        self.logp = np.log(weight / np.where(self.first, weight[self.first].sum(), weight[~self.first].sum()))
+        self.learn_stops(np.zeros(len(pieces)), np.zeros(len(pieces)))
         real = [p for p in pieces if p]
         hashes = self._hash_all(real)
         order = np.argsort(hashes)
@@ -59,12 +66,10 @@ class Lattice:
                 single[p[0]] = i
         self.single = single
 
-    def learn(self, weight: np.ndarray, stop: np.ndarray) -> None:
-        """Word starts and the text's end share one distribution, later pieces another; stops are smoothed by one use at the mean rate."""
-        weight = np.asarray(weight, np.float64)
-        self.logp = np.log(weight / np.where(self.first, weight[self.first].sum(), weight[~self.first].sum()))
-        rate = min(max(stop.sum() / weight.sum(), 1e-6), 1 - 1e-6)
-        p = (stop + rate) / (weight + 1)
+    def learn_stops(self, uses: np.ndarray, stops: np.ndarray) -> None:
+        """How often a word ends after each piece, smoothed by one use at the mean rate; one half where nothing is known."""
+        rate = min(max(stops.sum() / uses.sum(), 1e-6), 1 - 1e-6) if uses.sum() else 0.5
+        p = (stops + rate) / (uses + 1)
         self.logend, self.loggo = self.logp + np.log(p), self.logp + np.log1p(-np.minimum(p, 1 - 1e-9))
 
     @staticmethod
@@ -116,11 +121,68 @@ class Lattice:
                 self._add(a[j], rows, a[i][rows] + w[ids])
         return a
 
+    def matches(self, m: np.ndarray) -> np.ndarray:
+        """m: bytes as uint64 -> piece ids by (start, length - 1), -1 for none."""
+        n, sizes = len(m), min(len(m), self.longest)
+        out = np.full((n, sizes), -1, np.int32)
+        out[:, 0] = self.single[m]
+        h = m + np.uint64(1)  # of the substrings of one more byte in each turn
+        for size in range(2, sizes + 1):
+            h = h[:-1] * _P + m[size - 1 :] + np.uint64(1)
+            x = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            maybe = np.flatnonzero(self.maybe[x >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.keys, x[maybe]), len(self.keys) - 1)
+            good = self.keys[at] == x[maybe]
+            out[maybe[good], size - 1] = self.ids[at[good]]
+        return out
+
+    def _sweep(self, text: np.ndarray, go: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log sums of all segmentations up to each end, for one word that may be long; of the edges only a block is held."""
+        n = len(text)
+        a = np.full(n + 1, -np.inf)
+        a[0] = 0
+        for at in range(0, n, STEP):
+            block = text[at : at + STEP + self.longest - 1]
+            ids = self.matches(block)
+            for i in range(at, min(at + STEP, n)):
+                row = ids[i - at]
+                size = np.flatnonzero(row >= 0)
+                size = size[size < n - i]
+                to = i + 1 + size
+                w = np.where(to == n, end[row[size]], go[row[size]])
+                a[to] = np.logaddexp(a[to], a[i] + w)
+        return a
+
+    def long_score(self, word: bytes) -> float:
+        """As scores, for a word of any length."""
+        return float(self._sweep(np.frombuffer(MARK + word, np.uint8).astype(np.uint64), self.loggo, self.logend)[-1])
+
+    def long_expected(self, word: bytes) -> np.ndarray:
+        """As expected, for one word of any length: the sums from the end on are those of the turned-round recursion."""
+        text = np.frombuffer(MARK + word, np.uint8).astype(np.uint64)
+        n, total = len(text), np.zeros((2, len(self.pieces)))
+        a, b = self._sweep(text, self.loggo, self.logend), np.full(n + 1, -np.inf)
+        b[n] = 0
+        for at in reversed(range(0, n, STEP)):
+            ids = self.matches(text[at : at + STEP + self.longest - 1])
+            for i in reversed(range(at, min(at + STEP, n))):
+                row = ids[i - at]
+                size = np.flatnonzero(row >= 0)
+                size = size[size < n - i]
+                to, piece = i + 1 + size, row[size]
+                w = np.where(to == n, self.logend[piece], self.loggo[piece]) + b[to]
+                b[i] = np.logaddexp.reduce(w)
+                uses = np.exp(a[i] + w - a[n])
+                total[0, piece] += uses
+                total[1, piece[to == n]] += uses[to == n]
+        return total
+
     def grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(numbers of words, their bytes by row), of equal length and a bounded size."""
+        """(numbers of words, their bytes by row), of equal length and a bounded size; words over LONG bytes are left out."""
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
+            if len(w) <= LONG:
+                by.setdefault(len(w), []).append(i)
         for n, idx in by.items():
             step = max(1, 400_000 // (n + 1))
             for s in range(0, len(idx), step):
@@ -132,10 +194,13 @@ class Lattice:
         out = np.zeros(len(words))
         for idx, m in self.grouped(words):
             out[idx] = self.forward(m, self.edges(m))[-1]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.long_score(w)
         return out
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words, each as often as counted, and how often a word ends there."""
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece in the words, and how often a word ends there."""
         total = np.zeros((2, len(self.pieces)))
         for idx, m in self.grouped(words):
             edges = self.edges(m)
@@ -147,10 +212,13 @@ class Lattice:
                 for i, rows, ids in edges[j]:
                     w = (self.logend if j == n else self.loggo)[ids] + b[j][rows]
                     self._add(b[i], rows, w)
-                    uses = np.bincount(ids, np.exp(a[i][rows] + w - a[n][rows]) * counts[idx][rows], len(self.pieces))
+                    uses = np.bincount(ids, np.exp(a[i][rows] + w - a[n][rows]), len(self.pieces))
                     total[0] += uses
                     if j == n:
                         total[1] += uses
+        for w in words:
+            if len(w) > LONG:
+                total += self.long_expected(w)
         return total
 
 
@@ -214,7 +282,7 @@ def _expected(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(lattice.pieces)))
         for batch in _gathered(batches):
-            total += lattice.expected(batch.column(0).to_pylist(), np.ones(batch.num_rows))
+            total += lattice.expected(batch.column(0).to_pylist())
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[0][used], pa.float64()), pa.array(total[1][used], pa.float64())], names=["piece", "n", "e"])
     return run
@@ -226,14 +294,16 @@ def _word_scores(lattice: Lattice, words: int, distinct: int, discount: float, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             lp, n = lattice.scores(batch.column(0).to_pylist()), batch.column(1).to_numpy().astype(float)
+            fit = lp
             if words:
                 own = np.log(np.maximum(n - discount, 1e-300) / words)
-                lp = np.logaddexp(np.where(n > 0, own, -np.inf), lp + math.log(discount * distinct / words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((lp + math.log(word_share)) / LOG10, pa.float64())], names=["word", "n", "lp"])
+                fit = np.logaddexp(np.where(n > 0, own, -np.inf), lp + math.log(discount * distinct / words))
+            logs = [pa.array((x + math.log(word_share)) / LOG10, pa.float64()) for x in (lp, fit)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *logs], names=["word", "n", "lp", "fit"])
     return run
 
 
-_PARTS = pa.schema([("doc_id", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
+_PARTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("fit", pa.float64())])
 
 
 def _parts(hot):
@@ -251,30 +321,47 @@ def _parts(hot):
                         c.append(v)
 
                 for d, text in zip(piece.column(0).to_pylist(), piece.column(1), strict=True):
-                    words = words_of(text.as_py())
-                    n_known, base, lp = 0, 0.0, 0.0
+                    text = text.as_py() or b""
+                    words, version = words_of(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                    n_known, base, lp, fit = 0, 0.0, 0.0, 0.0
                     for w, tf in Counter(words).items():
                         got = known.get(w)
                         if got is None:
-                            put(d, w, tf, 0, 0, 0, 0.0, 0.0)
+                            put(d, version, w, tf, 0, 0, 0, 0.0, 0.0, 0.0)
                         else:
                             n_known += tf
                             base += tf * got[0]
                             lp += tf * got[1]
-                    put(d, None, 0, 1, len(words), n_known, base, lp)
+                            fit += tf * got[2]
+                    put(d, version, None, 0, 1, len(words), n_known, base, lp, fit)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARTS, strict=True)], schema=_PARTS)
     return run
 
 
+def _frequent(scored: DataFrame, most: int) -> list:
+    """All words of at least some count: the least count that a histogram shows to leave at most so many of them."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    have = {r.s: r.k for r in scored.where("n > 0").groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()}  # 512 rows at most
+    total, cut = 0, None
+    for s in sorted(have, reverse=True):
+        total += have[s]
+        if total > most:
+            break
+        cut = s
+    return [] if cut is None else scored.where("n > 0").where(step >= cut).collect()
+
+
 def score_documents(documents: DataFrame, path: str, held_out_of: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each doc_id.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, fitted_score: a row for each row of documents.
 
     Learned from the texts whose crc32(doc_id as text) modulo held_out_of is not held_out. Defined cases: null and empty texts
-    are their end alone; rows that repeat a doc_id must repeat its text and give one row; rows with a null doc_id are left
-    out; with no training texts all counts are 0 and the first weights score; an empty table gives no rows.
+    are their end alone; repeated rows count as often as they occur and score alike; rows that repeat a doc_id with another
+    text score by their own; a null doc_id is scored like any other and isn't learned from (held_out is null); with no training
+    texts all counts are 0 and the vocabulary alone scores; an empty table gives no rows; extra columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"), (crc_mod(F.col("doc_id"), held_out_of) != held_out).alias("train"))
+    train = F.coalesce(crc_mod(F.col("doc_id"), held_out_of) != held_out, F.lit(False))
+    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), train.alias("train"))
     counted = docs.select("text", "train").mapInArrow(_counts, _COUNTED).groupBy("word").agg(F.sum("n").alias("n"))
     counted = checkpointed(counted)
     ends = docs.where("train").count()
@@ -285,27 +372,29 @@ def score_documents(documents: DataFrame, path: str, held_out_of: int = 7, held_
     discount = min(0.95, max(0.3, row.n1 / (row.n1 + 2 * row.n2))) if row.n1 else 0.5
     end_share = min(ends / n, 0.5) if n else 0.5
     lattice = vocabulary(path)
-    for _ in range(EM_ROUNDS if ends else 0):
-        got = counted.where("n > 0").mapInArrow(_expected(lattice), "piece long, n double, e double").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).collect()
-        uses, stops = np.full(len(lattice.pieces), SMOOTH), np.zeros(len(lattice.pieces))
-        for r in got:
-            uses[r.piece] += r.n
-            stops[r.piece] += r.e
-        lattice.learn(uses, stops)
-    scored = checkpointed(counted.mapInArrow(_word_scores(lattice, words, distinct, discount, 1 - end_share), "word binary, n long, lp double"))
-    top = scored.where("n > 0").orderBy(F.desc("n"), "word").limit(HOT).collect()
-    hot = spark.sparkContext.broadcast({bytes(r.word): (math.log10(r.n + 1), r.lp) for r in top})
-    parts = docs.select("doc_id", "text").mapInArrow(_parts(hot), "doc_id long, word binary, tf long, copies long, n_tokens long, n_known long, base double, lp double")
+    uses, stops = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
+    got = counted.where("n > 0").mapInArrow(_expected(lattice), "piece long, n double, e double").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    for r in got.collect():  # a row a piece
+        uses[r.piece], stops[r.piece] = r.n, r.e
+    lattice.learn_stops(uses, stops)
+    scored = checkpointed(counted.mapInArrow(_word_scores(lattice, words, distinct, discount, 1 - end_share), "word binary, n long, lp double, fit double"))
+    hot = spark.sparkContext.broadcast({bytes(r.word): (math.log10(r.n + 1), r.lp, r.fit) for r in _frequent(scored, HOT)})
+    parts = docs.select("doc_id", "text").mapInArrow(_parts(hot), "doc_id long, version long, word binary, tf long, copies long, n_tokens long, n_known long, base double, lp double, fit double")
     parts = checkpointed(parts)
-    rare = parts.where("word IS NOT NULL").select("doc_id", "word", "tf").join(scored, "word").select(
-        "doc_id", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("n") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10(F.col("n") + 1)).alias("base"), (F.col("tf") * F.col("lp")).alias("lp"))
-    sums = parts.where("word IS NULL").drop("word", "tf").unionByName(rare).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "lp")])
+    none = F.lit(0).cast("long")
+    rare = parts.where("word IS NOT NULL").select("doc_id", "version", "word", "tf").join(scored, "word").select(
+        "doc_id", "version", none.alias("copies"), none.alias("n_tokens"), F.when(F.col("n") > 0, F.col("tf")).otherwise(0).alias("n_known"),
+        (F.col("tf") * F.log10(F.col("n") + 1)).alias("base"), (F.col("tf") * F.col("lp")).alias("lp"), (F.col("tf") * F.col("fit")).alias("fit"))
+    sums = parts.where("word IS NULL").drop("word", "tf").unionByName(rare)
+    sums = sums.groupBy("doc_id", "version").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "lp", "fit")])
+    sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     mean = lambda c: F.col(c) / F.col("copies")  # noqa: E731  each repeated row adds the same
     whole = lambda c: (F.col(c) / F.col("copies")).cast("long")
     end_known, end_base = int(ends > 0), math.log10(ends + 1)
     return sums.select(
         "doc_id", (crc_mod(F.col("doc_id"), held_out_of) == held_out).alias("held_out"), (whole("n_tokens") + 1).alias("n_tokens"), (whole("n_known") + end_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (mean("base") + end_base - (whole("n_tokens") + 1) * math.log10(n + v + 1)).alias("base_score"), (mean("lp") + math.log10(end_share)).alias("score"))
+        (mean("base") + end_base - (whole("n_tokens") + 1) * math.log10(n + v + 1)).alias("base_score"),
+        (mean("lp") + math.log10(end_share)).alias("score"), (mean("fit") + math.log10(end_share)).alias("fitted_score"))
 
 
 def vocabulary_path() -> str:
