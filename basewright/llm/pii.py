@@ -2,17 +2,26 @@
 
 Detected entities (mail addresses, phone numbers, IPv4 addresses, card-like numbers, secrets, personal names) get keyed replacements of the same
 kind and format: digits for digits, letters of the same script and case, valid octets, Luhn digits where the original has them, given
-names of the same gender and script. Equal entities (in any case) have equal surrogates everywhere: coreference stays.
+names of the same gender and script. Equal entities (in any case) have equal surrogates everywhere: coreference stays. Of a
+mail's domain the last label stays, and the whole of it where it is one of PROVIDERS; equal domains have equal surrogates.
+
+A personal name is a given name and a family name, both capitalised: a given name of NAMES, or any after a title or another
+cue (CUES), before a verb of speech or the like (VERBS), or joined to such a name by "and" or a comma. Given names beyond NAMES
+are of unknown gender and take one of either.
 
 Distinctness is checked over the whole corpus: distinct entities whose surrogates would coincide, with each other or with an
-entity that occurs, are drawn again (all but the least) until none do. Only the drawn-again ones have to be known when texts
-are rewritten; they are joined by document, broadcast only if they are at most BROADCAST_ROWS.
+entity that occurs, are drawn again (all but the least) until none do. Where a format is used up the draws after the first
+grow: longer local parts and family names, octets of any length, at last more digits; so the draws come to an end.
+
+The finder runs once. What it found is kept for the rows that hold entities alone, and joined to the texts by row; that side
+is broadcast only if it is at most BROADCAST_BYTES.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +30,7 @@ from pyspark.sql import functions as F
 
 from basewright.llm.common import checkpointed, small_enough, table
 
-KEY, BROADCAST_ROWS, TRIES = b"surrogates-1", 100_000, 32
+KEY, BROADCAST_ROWS, BROADCAST_BYTES = b"surrogates-1", 100_000, 16 << 20
 #: Given names by (gender, script).
 NAMES = {
     ("f", "latin"): ["Alice", "Anna", "Barbara", "Clara", "Diana", "Elena", "Emma", "Eva", "Hannah", "Helen", "Julia", "Laura", "Linda", "Maria", "Mary", "Nina", "Olivia", "Paula", "Sarah", "Susan"],
@@ -43,16 +52,51 @@ _PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)",
     "name": rf"(?<!\w)(?:{'|'.join(n for names in NAMES.values() for n in names)}) {_FAMILY}",
 }
+#: What stands before a name, after one, and between two; mail providers, whose domains name nobody; second-level labels of countries.
+CUES = r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Dear|Signed|Sincerely|Regards|met|named|called|name is)[.,:]?\s"
+VERBS = r"(?=(?:,? who)? (?:met|said|says|told|asked|wrote|replied|answered|called|lives|lived|works|worked|was born)(?!\w))"
+JOINS = re.compile(r", and |, | and | & ")
+PROVIDERS = {"gmail.com", "googlemail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "aol.com", "gmx.de", "gmx.net", "web.de", "mail.ru", "yandex.ru", "qq.com", "163.com", "protonmail.com"}
+SECOND_LEVEL = {"ac", "co", "com", "edu", "gov", "net", "org"}
+_PAIR = rf"(?<!\w){_CAPITAL}(?:[^\W\d_]|[\u0300-\u036f])+ {_FAMILY}"
+_CUED, _SPEAKS, _AT_END, _HERE = re.compile(CUES), re.compile(VERBS), re.compile(_PAIR + "$"), re.compile(_PAIR)
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 #: Every match of _PATTERNS holds a match of this: a secret without digits is a prefixed one or 32 hex letters of one case.
 _HINT = re.compile(r"[\d@]|(?:sk|pk|ghp|xox[bp])[-_]|[a-f]{32}|[A-F]{32}|" + "|".join(f"{n} " for names in NAMES.values() for n in names))
 
 
+def _names(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """known (start, end, kind) and the names that their context tells, in order, without overlaps."""
+    found = {(a, e) for a, e, kind in known if kind == "name"}
+    for m in _CUED.finditer(text):
+        if got := _HERE.match(text, m.end()):
+            found.add(got.span())
+    for m in _SPEAKS.finditer(text):
+        low = max(0, m.start() - 80)
+        if got := _AT_END.search(text[low : m.start()]):
+            found.add((low + got.start(), m.start()))
+    todo = sorted(found)
+    while todo:
+        _, end = todo.pop()
+        if (joint := JOINS.match(text, end)) and (got := _HERE.match(text, joint.end())) and got.span() not in found:
+            found.add(got.span())
+            todo.append(got.span())
+    out: list[tuple[int, int, str]] = []
+    for a, e, kind in sorted([k for k in known if k[2] != "name"] + [(a, e, "name") for a, e in found]):
+        if not out or a >= out[-1][1]:
+            out.append((a, e, kind))
+    return out
+
+
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) in order, without overlaps."""
+    found: list[tuple[int, int, str]] = []
     if text and _HINT.search(text):
-        for m in _FIND.finditer(text):
-            yield m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])
+        found = [(m.start(), m.end(), m.lastgroup) for m in _FIND.finditer(text)]
+    if text and (any(k == "name" for _, _, k in found) or _CUED.search(text) or _SPEAKS.search(text)):
+        found = _names(text, found)
+    for a, e, kind in found:
+        yield a, e, kind, canonical(kind, text[a:e])
 
 
 def canonical(kind: str, value: str) -> str:
@@ -79,53 +123,82 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
+def _swapped(s: _Stream, x: str) -> str:
+    """A letter for each letter, of its script, and a digit for each digit."""
+    def one(c: str) -> str:
+        if c.isdigit():
+            return str(s.below(10))
+        if not c.isalpha():
+            return c
+        if c.isascii():
+            return chr(97 + s.below(26))
+        low = ord(c) & ~63
+        near = [x for x in map(chr, range(low, low + 64)) if x.isalpha() and x.lower() == x and (x.isupper() or x.upper() != x) == (c.isupper() or c.upper() != c)]
+        return near[s.below(len(near))] if near else c
+    return "".join(map(one, x))
+
+
 def surrogate(kind: str, form: str, turn: int, key: bytes = KEY) -> str:
-    """The canonical surrogate of a canonical form."""
+    """The canonical surrogate of a canonical form. Draws from the third on grow by a character each, those of fixed formats from the ninth."""
     s = _Stream(key, kind, form, turn)
+    more, late = max(0, turn - 1), max(0, turn - 7)
     if kind == "ip":
-        return ".".join(str([s.below(10), 10 + s.below(90), 100 + s.below(156)][len(x) - 1]) for x in form.split("."))
+        old = form.split(".")
+        octet = lambda x: s.below(256) if more else [s.below(10), 10 + s.below(90), 100 + s.below(156)][len(x) - 1]
+        return ".".join(str(octet(x)) for x in [*old, *["0"] * late])
     if kind == "name":
         given, _, family = form.partition(" ")
-        gender_script = _KIND[given]
-        choices = [n.lower() for n in NAMES[gender_script] if n.lower() != given]
-        vowels, others = _VOWELS[gender_script[1]]
+        script = "cyrillic" if "а" <= given[:1] <= "ё" else "latin" if unicodedata.name(given[:1], "").startswith("LATIN") else None
+        gender, script = _KIND.get(given, (None, script))
+        if script is None:
+            return _swapped(s, given) + " " + _swapped(s, family + family[-1:] * more)
+        choices = [n.lower() for k, names in NAMES.items() if k[1] == script and gender in (None, k[0]) for n in names if n.lower() != given]
+        vowels, others = _VOWELS[script]
         given = choices[s.below(len(choices))]
-        letters = [(others if i % 2 == 0 else vowels)[s.below(len(others if i % 2 == 0 else vowels))] for i in range(max(4, len(family)))]
+        letters = [(others if i % 2 == 0 else vowels)[s.below(len(others if i % 2 == 0 else vowels))] for i in range(max(4, len(family)) + more)]
         return given + " " + "".join(family[i] if family[i : i + 1] in ("-", "'", "’") else c for i, c in enumerate(letters))
     if kind in ("card", "ssn"):
-        out = "".join(str(s.below(10)) for _ in form)
+        out = "".join(str(s.below(10)) for _ in form + "0" * late)
         if kind == "card" and _luhn(form) == 0:
             out = next(out[:-1] + str(d) for d in range(10) if _luhn(out[:-1] + str(d)) == 0)
         return out
     if kind == "phone":
         keep = max(0, len(form) - 10)  # the country's digits
-        return form[:keep] + "".join(str(s.below(10)) for _ in form[keep:])
+        return form[:keep] + "".join(str(s.below(10)) for _ in form[keep:] + "0" * late)
     if kind == "secret":
         hexed = re.fullmatch("[0-9a-f]+", form)
-        return "".join(c if c in "-_" or not hexed and i < 3 else "0123456789abcdef"[s.below(16)] if hexed else str(s.below(10)) if c.isdigit() else chr(97 + s.below(26)) for i, c in enumerate(form))
-    local, _, domain = form.rpartition("@")  # the last two labels of a mail's domain name nobody
-    host, tail = domain.split(".")[:-2], domain.split(".")[-2:]
-    swap = lambda x: "".join(str(s.below(10)) if c.isdigit() else chr(97 + s.below(26)) if c.isalpha() else c for c in x)
-    return swap(local) + "@" + ".".join([*map(swap, host), *tail])
+        return "".join(c if c in "-_" or not hexed and i < 3 else "0123456789abcdef"[s.below(16)] if hexed else str(s.below(10)) if c.isdigit() else chr(97 + s.below(26)) for i, c in enumerate(form + "a" * late))
+    local, _, domain = form.rpartition("@")
+    local = _swapped(s, local) + "".join(chr(97 + s.below(26)) for _ in range(more))
+    if domain not in PROVIDERS:
+        labels = domain.split(".")
+        keep = 2 if len(labels) > 2 and labels[-2] in SECOND_LEVEL else 1
+        own = _Stream(key, "domain", domain, 0)
+        domain = ".".join([*[_swapped(own, x) for x in labels[:-keep]], *labels[-keep:]])
+    return f"{local}@{domain}"
 
 
 def dressed(kind: str, value: str, form: str) -> str:
-    """A canonical surrogate in the format of the value it replaces."""
+    """A canonical surrogate in the format of the value it replaces; what a longer one has more stands at its end."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(form)
-        return "".join(next(digits) if c.isdigit() else c for c in value)
+        return "".join(next(digits) if c.isdigit() else c for c in value) + "".join(digits)
     if kind == "name":
-        given, family, old = *form.split(" "), value.partition(" ")[2]
+        given, family, old = *form.split(" ", 1), value.partition(" ")[2]
         return given.capitalize() + " " + "".join(c.upper() if i == 0 or old[i : i + 1].isupper() else c for i, c in enumerate(family))
     if len(form) == len(value):
         return "".join(f.upper() if v.isupper() else f for f, v in zip(form, value, strict=True))
     return form
 
 
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("form", pa.string())])
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, version, text) -> doc_id, version, spans of the rows with entities."""
     for batch in batches:
-        rows = [(d.as_py(), k, f) for d, t in zip(batch.column(0), batch.column(1), strict=True) for k, f in sorted({(k, f) for _, _, k, f in entities(t.as_py())})]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "kind", "form"])
+        rows = [(d, v, got) for d, v, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) if (got := [dict(zip(("start", "end", "kind", "form"), e, strict=True)) for e in entities(t.as_py())])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(_SPAN))], names=["doc_id", "version", "spans"])
 
 
 def _drawn(key: bytes):
@@ -138,9 +211,9 @@ def _drawn(key: bytes):
 
 def drawn_again(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """found (kind, form), distinct -> kind, form, turn > 0 of the entities that need another draw than the first to be distinct."""
-    todo = found.select("kind", "form", F.lit(0).alias("turn"))
+    todo, turn = found.select("kind", "form", F.lit(0).alias("turn")), 0
     taken, again = None, None
-    for turn in range(TRIES):
+    while True:  # each turn's draws come from a space many times the last one's
         new = checkpointed(todo.mapInArrow(_drawn(key), "kind string, form string, turn int, new string"))
         first = new.groupBy("kind", "new").agg(F.min("form").alias("form"))
         ok = new.join(first, ["kind", "new", "form"]).join(found.select("kind", F.col("form").alias("new")), ["kind", "new"], "left_anti")
@@ -150,47 +223,54 @@ def drawn_again(found: DataFrame, key: bytes = KEY) -> DataFrame:
         taken = ok.select("kind", "new") if taken is None else taken.unionByName(ok.select("kind", "new"))
         settled = ok.where("turn > 0").select("kind", "form", "turn")
         again = settled if again is None else again.unionByName(settled)
-        todo = checkpointed(new.join(ok.select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form", F.lit(turn + 1).alias("turn")))
+        turn += 1
+        todo = checkpointed(new.join(ok.select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form", F.lit(turn).alias("turn")))
         if todo.isEmpty():
             return again
-    raise ValueError(f"some entities have no distinct surrogate after {TRIES} draws")
 
 
 _OUT = "doc_id long, n_entities long, kinds string, text string"
 
 
 def _rewritten(key: bytes):
+    """(doc_id, text, spans) -> the rows with their entities replaced; spans are null where there are none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, kinds, texts = [], [], [], []
-            for d, text, again in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text, turns = text.as_py(), {(a["kind"], a["form"]): a["turn"] for a in again or []}
-                out, at, seen = [], 0, {}
-                for start, end, kind, form in entities(text):
-                    out += [text[at:start], dressed(kind, text[start:end], surrogate(kind, form, turns.get((kind, form), 0), key))]
-                    at, seen[kind] = end, seen.get(kind, 0) + 1
-                ids.append(d)
+            texts, counts, kinds = batch.column(1).to_pylist(), [], []
+            for i, spans in enumerate(batch.column(2).to_pylist()):
+                out, at, seen, text = [], 0, {}, texts[i]
+                for x in sorted(spans or [], key=lambda x: x["start"]):
+                    new = dressed(x["kind"], text[x["start"] : x["end"]], surrogate(x["kind"], x["form"], x["turn"], key))
+                    out += [text[at : x["start"]], new]
+                    at, seen[x["kind"]] = x["end"], seen.get(x["kind"], 0) + 1
+                if seen:
+                    texts[i] = "".join(out) + text[at:]
                 counts.append(sum(seen.values()))
                 kinds.append(",".join(f"{k}={n}" for k, n in sorted(seen.items())))
-                texts.append("".join(out) + text[at:] if seen else text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_entities", "kinds", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_entities", "kinds", "text"])
     return run
 
 
 def with_surrogates(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, n_entities, kinds, text (rewritten): a row for each row of documents.
 
-    Null texts stay null, empty ones empty; repeated rows give equal rows; null ids stay (their entities are distinct from
-    all others too, but for draws after the first); an empty table gives no rows; extra columns are ignored.
+    Null texts stay null, empty ones empty; repeated rows give equal rows; null ids stay and their rows are treated like any
+    other; rows that repeat a doc_id with another text are told apart by it; an empty table gives no rows; extra columns are ignored.
     """
-    docs = documents.select("doc_id", "text")
-    found = checkpointed(docs.mapInArrow(_found, "doc_id long, kind string, form string"))
-    again = checkpointed(drawn_again(found.select("kind", "form").distinct(), key))
-    by_doc = found.where("doc_id IS NOT NULL").join(again, ["kind", "form"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "form", "turn")).alias("again"))
-    by_doc = checkpointed(by_doc)
-    if small_enough(by_doc, BROADCAST_ROWS):
-        by_doc = F.broadcast(by_doc)
-    return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "again").mapInArrow(_rewritten(key), _OUT)
+    docs = documents.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    found = checkpointed(docs.mapInArrow(_found, "doc_id long, version long, spans array<struct<start:int,end:int,kind:string,form:string>>"))
+    each = found.select("doc_id", "version", F.inline("spans"))
+    again = checkpointed(drawn_again(each.select("kind", "form").distinct(), key))
+    near = F.broadcast(again) if small_enough(again, BROADCAST_ROWS) else again
+    span = F.struct("start", "end", "kind", "form", F.coalesce("turn", F.lit(0)).alias("turn"))
+    by_row = checkpointed(each.join(near, ["kind", "form"], "left").groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans")))
+    size = by_row.agg(F.sum(F.aggregate("spans", F.lit(64).cast("long"), lambda a, x: a + 64 + F.octet_length(x["form"])))).first()[0] or 0
+    by_row = by_row.withColumnsRenamed({"doc_id": "d", "version": "v"})
+    if size <= BROADCAST_BYTES:
+        by_row = F.broadcast(by_row)
+    out = docs.join(by_row, docs["doc_id"].eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return out.select("doc_id", "text", "spans").mapInArrow(_rewritten(key), _OUT)
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

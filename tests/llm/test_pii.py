@@ -26,3 +26,59 @@ def test_family_names_of_any_letters(spark):
         assert all((a in "-'") == (b in "-'") and a.isupper() == b.isupper() for a, b in zip(new.split(" ")[1], x.split(" ")[1]))
     assert out[90].kinds == "name=1" and out[90].text.startswith("Mary went home, ") and out[90].text.endswith("-like")
     assert pii.dressed("name", "Mary Brown", pii.surrogate("name", "mary brown", 0)).istitle()
+
+
+def surrogates_of(spark, rows):
+    return {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_used_up_formats_grow(spark):
+    """All one-letter addresses of a provider and all short addresses of two nets: no draw of their own length is free."""
+    mails = [f"{chr(97 + i)}@gmail.com" for i in range(26)]
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    out = surrogates_of(spark, [(0, " ; ".join(mails)), *((1 + i, " ; ".join(ips[1000 * i : 1000 * i + 1000])) for i in range(10))])
+    new = out[0].text.split(" ; ")
+    assert len(set(new)) == 26 and not set(new) & set(mails) and all(x.endswith("@gmail.com") for x in new)
+    other = [x for i in range(10) for x in out[1 + i].text.split(" ; ")]
+    assert len(set(other)) == 10_000 and not set(other) & set(ips) and all(0 <= int(o) < 256 for x in other for o in x.split("."))
+
+
+def test_late_draws_are_longer():
+    for kind, form in (("card", "4111111111111111"), ("ssn", "123456789"), ("phone", "0175557713"), ("ip", "1.2.3.4"), ("name", "mary brown"), ("mail", "a@x.org"), ("secret", "ab" * 20), ("name", "νίκος λάμπρου")):
+        assert len(pii.surrogate(kind, form, 12)) > len(pii.surrogate(kind, form, 0)) and pii.surrogate(kind, form, 12) == pii.surrogate(kind, form, 12)
+    assert pii.dressed("ssn", "123-45-6789", "98765432100") == "987-65-432100"
+
+
+def test_personal_domains_go_and_stay_equal(spark):
+    out = surrogates_of(spark, [(1, "john@johnsmith.com"), (2, "JANE@JohnSmith.com, x@a.johnsmith.co.uk")])
+    a, b = out[1].text, out[2].text.split(", ")[0]
+    assert "smith" not in (out[1].text + out[2].text).lower() and a.split("@")[1] == b.split("@")[1].lower() and out[2].text.endswith(".co.uk")
+
+
+def test_names_by_context(spark):
+    text = "Priya Sharma met Wei Zhang and Mohammed Ali. Later Dr. Kemal Öztürk, Ada Obi and some friends left New York."
+    out = surrogates_of(spark, [(1, text), (2, "then Wei Zhang said so; the Grand Hotel said nothing of New York"), (3, "Νίκος Λάμπρου said it")])
+    for x in ("Priya", "Sharma", "Wei", "Zhang", "Mohammed", "Ali.", "Kemal", "Öztürk", "Ada", "Obi"):
+        assert x not in out[1].text
+    assert out[1].kinds == "name=5" and out[1].text.endswith(" and some friends left New York.")
+    wei = out[1].text.split(" met ")[1].split(" and ")[0]
+    assert out[2].text.startswith(f"then {wei} said so") and out[2].text.endswith("New York") and "Νίκος" not in out[3].text
+
+
+def test_distinct_and_coreferent_by_brute_force(spark):
+    import itertools
+    import random
+    rng = random.Random(5)
+    pool = [f"{a}{b}@{c}.{d}" for a, b, c, d in itertools.product("abc", ["", "1"], ["x", "gmail"], ["com", "de"])] + [f"10.0.0.{i}" for i in range(256)]
+    pool += [f"{g} {f}" for g in ("Mary", "John", "Anna") for f in ("Fox", "Lee", "Ng")] + [f"{i:03}-55-{i:04}" for i in range(40)]
+    rows = [(None if i % 7 == 0 else i, " ; ".join(rng.choices(pool, k=12))) for i in range(200)]
+    out = pii.with_surrogates(spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, spans long")).collect()
+    old, new = {}, {}
+    for (_, t), r in zip(sorted(rows, key=lambda r: (r[0] or -1)), sorted(out, key=lambda r: (r.doc_id or -1)), strict=True):
+        if r.doc_id is None:
+            continue
+        for a, b in zip(t.split(" ; "), r.text.split(" ; "), strict=True):
+            assert old.setdefault(a, b) == b and new.setdefault(b, a) == a and b not in pool
+    lone = [x for r in out if r.doc_id is None for x in r.text.split(" ; ")]
+    assert lone and set(lone) <= set(new) | set(lone) and not set(lone) & set(pool)
+    assert all(old.get(new.get(x)) == x for x in lone if x in new)
