@@ -58,3 +58,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; counts no further than that."""
     return df.limit(most + 1).count() <= most
+
+
+def string_bytes(df: DataFrame) -> int:
+    """Bytes of all strings in df, with 32 more for each row and column."""
+    size = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.lit(0), F.lit(0)) + 32 for c, kind in df.dtypes), F.lit(0).cast("long"))
+    return df.agg(F.sum(size)).first()[0] or 0

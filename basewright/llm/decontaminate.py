@@ -2,17 +2,18 @@
 
 Every benchmark item is cut into windows of WINDOW consecutive words; an item of fewer words, but not none, is one window.
 A window is a set of positioned shingles of three words (fewer in shorter windows). To hold the window a text must hold all
-of them, so a single necessary prefix shingle suffices as the join key: the window's rarest one in the whole corpus.
+of them, so in any order of the shingles a prefix of one is necessary. The order is by rarity in the corpus.
 
-1. One pass over the texts finds every occurrence of any benchmark shingle (exact words, no hashes).
-2. Those occurrences give each shingle's corpus frequency, and so each window's prefix shingle.
-3. Occurrences of prefix shingles give candidate starts; length and position bounds drop those that overrun the text.
-4. A candidate holds exactly if all shingles of its window occur at their offsets: a count over the occurrences of step 1.
+1. A counting pass over the texts: how often each benchmark shingle occurs (exact words, added up within tasks). A window
+   with a shingle that never occurs goes; of the others the rarest shingle is the prefix.
+2. A second pass joins prefix shingles alone. Each occurrence gives a candidate start, kept if position and length bounds
+   allow: the window must begin in the text and end in it.
+3. Texts with candidates are verified exactly: the words at the start, as many as the window has, must be the window's.
 
-The benchmark side is broadcast if it has at most BROADCAST_ROWS shingles; a larger one is joined by shuffle.
+The benchmark's side of a join is broadcast if its strings have at most BROADCAST_BYTES; a larger one is joined by shuffle.
 
-Defined cases: a null or empty text, or one without words, has no words, hits or items; null doc_ids are kept as they are and
-share no statistics (they get no hits); rows that repeat a doc_id with the same text give equal rows; null or wordless items
+Defined cases: a null or empty text, or one without words, has no words, hits or items; rows with a null doc_id get their own
+answers; rows that repeat a doc_id are told apart by a hash of the text, equal rows give equal rows; null or wordless items
 have no window; an empty benchmark or table gives no hits or no rows; extra columns of the inputs are ignored here.
 """
 
@@ -21,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import ascii_lower, checkpointed, small_enough, table
+from basewright.llm.common import ascii_lower, checkpointed, string_bytes, table
 
 WINDOW, SHINGLE = 10, 3
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 #: What stands between words in lower-cased text, and in text as it is.
 BREAKS, RAW_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,62 +46,88 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, window))).alias("window")).distinct()
 
 
-def _zip_rows(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _near(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if string_bytes(df) <= BROADCAST_BYTES else df
+
+
+def _shingled(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """rows (keys, words) -> keys, n (words), pos, w0 ...: a row for each of the k-word shingles."""
     n = F.size("words")
-    named = rows.where(n >= k).select(*keys, *[(F.slice("words", i + 1, F.greatest(n - i, F.lit(0))) if i else F.col("words")).alias(f"w{i}") for i in range(k)])
-    return named.select(*keys, F.posexplode(F.arrays_zip(*[F.col(f"w{i}") for i in range(k)])).alias("pos", "g")).select(*keys, "pos", *[f"g.w{i}" for i in range(k)])
+    columns = [(F.slice("words", i + 1, F.greatest(n - i, F.lit(0))) if i else F.col("words")).alias(f"w{i}") for i in range(k)]
+    named = rows.where(n >= k).select(*keys, n.alias("n"), *columns)
+    pairs = named.select(*keys, "n", F.posexplode(F.arrays_zip(*[F.col(f"w{i}") for i in range(k)])).alias("pos", "g"))
+    return pairs.select(*keys, "n", "pos", *[f"g.w{i}" for i in range(k)])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+ROW = ["doc_id", "version"]
+
+
+def _same_row(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
 
 
 def spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, window_id, start, length) of every window occurrence, and (window_id, item_id)."""
+    """(doc_id, version, window_id, start, length) of every window occurrence, each once, and (window_id, item_id). version is xxhash64(text)."""
     items = windows_of(benchmark, window)
-    ids = items.select("window").distinct().select(F.sha2(F.to_json("window"), 256).alias("window_id"), "window")
-    owners = checkpointed(items.select(F.sha2(F.to_json("window"), 256).alias("window_id"), "item_id"))
-    ids = checkpointed(ids.withColumn("length", F.size("window")))
+    key = F.sha2(F.to_json("window"), 256)
+    owners = checkpointed(items.select(key.alias("window_id"), "item_id"))
+    ids = checkpointed(items.select("window").distinct().select(key.alias("window_id"), "window", F.size("window").alias("length")))
     sizes = [r.k for r in ids.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()]  # SHINGLE rows at most
-    docs = documents.where("doc_id IS NOT NULL").select("doc_id", words(F.col("text")).alias("words"))
-    found, shingles = None, None
+    if not sizes:
+        return owners.sparkSession.createDataFrame([], "doc_id long, version long, window_id string, start int, length int"), owners
+    docs = documents.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
+    name = lambda k: F.sha2(F.to_json(F.array(*[f"w{i}" for i in range(k)])), 256).alias("shingle")
+    own, seen = {}, []
+    for k in sizes:
+        rows = ids.where(F.least("length", F.lit(SHINGLE)) == k).select("window_id", "length", F.col("window").alias("words"))
+        cols = [f"w{i}" for i in range(k)]
+        own[k] = checkpointed(_shingled(rows, ["window_id", "length"], k).dropna(subset=cols).select("window_id", "length", F.col("pos").alias("offset"), name(k), *cols))
+        count = _shingled(docs, [], k).join(_near(own[k].select(*cols).distinct()), cols).groupBy(*cols).agg(F.count("*").alias("seen"))
+        seen.append(count.select(name(k), "seen"))
+    rarity = checkpointed(_union(seen))
+    each = _union([own[k].select("window_id", "length", "offset", "shingle") for k in sizes]).join(rarity, "shingle", "left")
+    rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset")).alias("p")
+    prefix = each.groupBy("window_id", "length").agg(rarest).where("p.seen > 0").select("window_id", "length", "p.shingle", "p.offset")
+    prefix = checkpointed(prefix)
+    found = []
     for k in sizes:
-        keys = [f"w{i}" for i in range(k)]
-        own = _zip_rows(ids.where(F.least("length", F.lit(SHINGLE)) == k).select("window_id", "length", F.col("window").alias("words")), ["window_id", "length"], k).dropna(subset=keys)
-        own = own.withColumn("shingle", F.sha2(F.to_json(F.array(*keys)), 256))
-        distinct = own.select("shingle", *keys).distinct()
-        if small_enough(distinct, BROADCAST_ROWS):
-            distinct = F.broadcast(distinct)
-        here = _zip_rows(docs, ["doc_id"], k).join(distinct, keys).select("doc_id", "pos", "shingle")
-        own = own.select("window_id", "length", "pos", "shingle")
-        found = here if found is None else found.unionByName(here)
-        shingles = own if shingles is None else shingles.unionByName(own)
-    if found is None:
-        none = owners.sparkSession.createDataFrame([], "doc_id long, window_id string, start int, length int")
-        return none, owners
-    found = checkpointed(found.distinct())
-    shingles = checkpointed(shingles.withColumnRenamed("pos", "offset"))
-    rarity = found.groupBy("shingle").agg(F.count("*").alias("seen"))
-    prefix = checkpointed(
-        shingles.join(rarity, "shingle", "left").groupBy("window_id", "length")
-        .agg(F.count("*").alias("needed"), F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset")).alias("p"))
-        .where("p.seen > 0").select("window_id", "length", "needed", "p.shingle", "p.offset"))
-    few = small_enough(shingles, BROADCAST_ROWS)
-    near = F.broadcast if few else (lambda df: df)
-    cand = found.join(near(prefix), "shingle").select("doc_id", "window_id", "length", "needed", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")  # a start before the text; an end beyond it fails as its last shingle cannot occur
-    want = cand.join(near(shingles.select("window_id", "shingle", "offset")), "window_id").select("doc_id", "window_id", "length", "needed", "start", "shingle", (F.col("start") + F.col("offset")).alias("pos"))
-    hits = want.join(found, ["doc_id", "pos", "shingle"]).groupBy("doc_id", "window_id", "start", "length", "needed").agg(F.count("*").alias("n")).where("n = needed")
-    return hits.select("doc_id", "window_id", "start", "length"), owners
+        cols = [f"w{i}" for i in range(k)]
+        wanted = own[k].join(prefix, ["window_id", "length", "shingle", "offset"]).select("window_id", "length", "offset", *cols)
+        start = F.col("pos") - F.col("offset")
+        at = _shingled(docs, ROW, k).join(_near(wanted), cols).where((start >= 0) & (start + F.col("length") <= F.col("n")))
+        found.append(at.select(*ROW, F.struct("window_id", start.alias("start"), "length").alias("c")))
+    cand = checkpointed(_union(found).groupBy(*ROW).agg(F.collect_set("c").alias("c")))
+    held = docs.join(_near(cand.withColumn("size", F.to_json("c"))).drop("size"), _same_row(docs, cand)).select(docs["doc_id"], docs["version"], "words", "c")
+    got = held.select(*ROW, F.inline(F.transform("c", lambda c: F.struct(c["window_id"].alias("window_id"), c["start"].alias("start"), c["length"].alias("length"), F.slice("words", c["start"] + 1, c["length"]).alias("window")))))
+    return got.join(_near(ids.select("window_id", "window")), ["window_id", "window"]).select(*ROW, "window_id", "start", "length").distinct(), owners
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of documents."""
     hit, owners = spans(documents, benchmark, window)
     hit = checkpointed(hit)
-    at = hit.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
-    covered = at.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    held = hit.select("doc_id", "window_id").distinct().join(owners, "window_id").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    held = held.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    base = documents.select("doc_id", word_count(F.col("text")).alias("n_words"))
-    out = base.join(covered, "doc_id", "left").join(held, "doc_id", "left")
+    at = hit.select(*ROW, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
+    covered = at.groupBy(*ROW).agg(F.count("*").alias("n_hit"))
+    held = hit.select(*ROW, "window_id").distinct().join(owners, "window_id").select(*ROW, F.col("item_id").cast("string").alias("item")).distinct()
+    held = held.groupBy(*ROW).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    got = covered.join(held, _same_row(covered, held), "left").select(covered["doc_id"], covered["version"], "n_hit", "items")
+    base = documents.select("doc_id", F.xxhash64("text").alias("version"), word_count(F.col("text")).alias("n_words"))
+    out = base.join(got, _same_row(base, got), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select(base["doc_id"], "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows and columns of documents that hold no window; cases as above."""
+    hit = checkpointed(spans(documents, benchmark, window)[0].select(*ROW).distinct()).toDF("_hit_id", "_hit_version")
+    return documents.join(hit, documents["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(documents["text"]) == F.col("_hit_version")), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,26 @@ def test_decontaminate_equals_brute_force(spark):
         assert got[d] == (len(w), len(hit), len(who))
 
 
+def test_decontaminate_tells_rows_apart(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, f"so {text}"), (None, "clean"), (1, text), (1, "also clean"), (2, text), (2, text), (3, None)]
+    bench = spark.createDataFrame([(1, text, 5)], "item_id long, text string, version int")
+    d = docs(spark, rows)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.decontaminate(d, bench).collect())
+    assert got == [(0, 1, 0), (0, 11, 10), (1, 2, 0), (1, 10, 10), (2, 10, 10), (2, 10, 10), (3, 0, 0)]
+    left = decontaminate.without_contaminated(d, bench)
+    assert left.columns == d.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean"), (1, "also clean"), (3, "")]
+
+
+def test_decontaminate_by_shuffle_and_repetitions(spark, monkeypatch):
+    """No broadcast; a text in which the prefix occurs many times, and at its ends."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    rows = [(0, "a b c a b c a b c a b c a b"), (1, "b c a b c a b c a b"), (2, "c a b c a b c a b"), (3, "a b c a b c a b c")]
+    items = [(1, "a b c a b c a b c a"), (2, "b c a b c a b c a b"), (3, "c a")]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {0: (14, 3), 1: (10, 2), 2: (6, 1), 3: (4, 1)}
+
+
 def components_of(nodes, links):
     up = {n: n for n in nodes}
 
