@@ -3,8 +3,9 @@
 1. A logistic classifier on features of the text (length, word shapes, signs, repetition) gives each document's evidence; it is fit on at
    most about TRAIN_ROWS labelled rows, drawn by hash of the id.
 2. The evidence of all documents, added up by site (host) and by path of it, gives their posterior rates: a site's rate is
-   shrunk toward the global rate, a path's toward its site's, each with a strength of as many documents as the spread
-   between groups warrants (method of moments). Sparse sites so stay near the prior.
+   shrunk toward the global rate, a path's toward its site's. Each strength, in documents, is the variance within groups over
+   that between the groups' true means (method of moments, with the sampling noise of the means taken off), sites around the
+   global rate and paths around their site. Sparse sites so stay near the prior.
 3. A document's posterior adds its own log odds and its path's, relative to the global rate. Its own share is left out of its site's and path's sums.
 """
 
@@ -89,12 +90,33 @@ def _evidence(weights: list[float]):
     return run
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Documents' worth of prior: mean(1 - mean) / variance between groups, less one; between 1 and 1000."""
-    row = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("s") / F.col("n") - rate) ** 2).alias("q")).first()
-    if not row.n or not row.q:
-        return 1000.0
-    return min(1000.0, max(1.0, rate * (1 - rate) / (row.q / row.n) - 1))
+def _worth(between: float, within: float, groups: int, rows: float, spread_rows: float) -> float:
+    """Documents' worth of prior by the method of moments for unbalanced groups: the variance within groups over that between
+    their true means. `between` is the weighted sum of squares of the group means; what sampling alone makes of it,
+    `groups` times the variance within, is taken off. Groups that differ no more than by chance give 1e6."""
+    if rows <= 0 or groups <= 0 or spread_rows <= 0 or within <= 0:
+        return 1e6
+    true = (between - groups * within) / spread_rows
+    return min(1e6, max(0.01, within / true)) if true > 0 else 1e6
+
+
+def strengths(sites: DataFrame, paths: DataFrame, rate: float) -> tuple[float, float]:
+    """(of the global rate for sites, of a site's rate for its paths); sites and paths (s, n, q): sums, numbers and sums of squares; paths have their site's ss, sn.
+
+    Nested: sites spread around the global rate, paths around their site's mean, documents around their path's.
+    """
+    n, mean = F.col("n"), F.col("s") / F.col("n")
+    p = paths.agg(
+        F.sum("n").alias("rows"), F.count("*").alias("groups"), F.sum(F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))).alias("rest"),
+        F.sum(n * (mean - F.col("ss") / F.col("sn")) ** 2).alias("between"), F.sum(n * n / F.col("sn")).alias("own")).first()
+    s = sites.agg(
+        F.sum("n").alias("rows"), F.count("*").alias("groups"), F.sum(F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))).alias("rest"),
+        F.sum(n * (mean - F.lit(rate)) ** 2).alias("between"), F.sum(n * n).alias("own")).first()
+    if not s.rows:
+        return 1e6, 1e6
+    of_site = _worth(s.between, s.rest / max(s.rows - s.groups, 1), s.groups - 1, s.rows, s.rows - s.own / s.rows)
+    of_path = _worth(p.between, p.rest / max(p.rows - p.groups, 1), p.groups - s.groups, p.rows, p.rows - p.own)
+    return of_site, of_path
 
 
 def quality(documents: DataFrame, labels: DataFrame, site: Column, path: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -105,13 +127,14 @@ def quality(documents: DataFrame, labels: DataFrame, site: Column, path: Column,
     """
     rows = documents.select("doc_id", F.coalesce(site, F.lit("")).alias("site"), F.coalesce(path, F.lit("")).alias("path"), "text")
     scored = checkpointed(rows.mapInArrow(_evidence(fit(documents, labels, train_rows)), "doc_id long, site string, path string, evidence double"))
-    paths = scored.groupBy("site", "path").agg(F.sum("evidence").alias("s"), F.count("*").alias("n"))
+    paths = scored.groupBy("site", "path").agg(F.sum("evidence").alias("s"), F.count("*").alias("n"), F.sum(F.col("evidence") ** 2).alias("q"))
     paths = checkpointed(paths)
-    sites = checkpointed(paths.groupBy("site").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    sites = checkpointed(paths.groupBy("site").agg(*[F.sum(c).alias(c) for c in "snq"]))
     row = sites.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     rate = min(0.999, max(0.001, row.s / row.n)) if row.n else 0.5
-    a, b = _strength(sites, rate), _strength(paths, rate)
     groups = checkpointed(paths.join(sites.select("site", F.col("s").alias("ss"), F.col("n").alias("sn")), "site"))
+    a, b = strengths(sites, groups, rate)
+    groups = groups.drop("q")
     if small_enough(groups, BROADCAST_ROWS):
         groups = F.broadcast(groups)
     e = F.col("evidence")

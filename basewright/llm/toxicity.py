@@ -1,20 +1,25 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps look-alike letters and digits that stand for letters, and turns what is not a letter into spaces.
+Folding lower-cases, drops accents and invisible characters, maps look-alike letters, and digits and signs beside a letter to
+the letters they stand for; all else that is not a letter becomes a space, numbers too.
 The lexicon is learned from labelled training rows: whole words and word beginnings of PREFIX letters, weighted by their
 log odds; of nested terms the most telling is kept. Phrases of a term and its neighbour that clean training texts have and toxic ones don't
 are exceptions: matches inside them don't count. A small logistic model turns the weight sum, its density over the text's
 length and the length into a score.
 
-The fit uses at most about TRAIN_ROWS labelled rows, drawn by hash of their id, equal texts once; scoring covers every row, whole texts.
+The fit uses at most about TRAIN_ROWS labelled rows, drawn by hash of their id, equal texts once; that bounds terms and exceptions,
+of which none are left out. Scoring covers every row, whole texts.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +28,38 @@ from pyspark.sql import functions as F
 
 from basewright.llm.common import crc_mod, table
 
-TRAIN_ROWS, LEAST_DOCS, MOST_TERMS = 12_000, 4, 5_000
+TRAIN_ROWS, LEAST_DOCS = 12_000, 4
 PREFIX = range(4, 10)
 #: Cyrillic and Greek letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-_FOLD = {i: " " for i in range(128) if not chr(i).isalpha()} | {ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()}
-_SIGNS = re.compile(r"(?<=[^\W\d_])[$@](?=[^\W\d_])")
-_WIDE = {i + 0xFEE0: chr(i) for i in range(33, 127)}
+_STAND_INS = re.compile(r"(?<=[^\W\d_])[0-9$@]+|[0-9$@]+(?=[^\W\d_])")
+_BLANK = str.maketrans("0123456789$@", " " * 12)
+_LETTERS = str.maketrans(DIGITS | {"2": " ", "6": " ", "$": "s", "@": "a"})
+
+
+class _Fold(dict):
+    """Character -> what it folds to: itself or its Latin look-alike for letters, nothing for marks and invisible ones, else a space."""
+
+    def __missing__(self, at: int) -> str | None:
+        c = chr(at)
+        kind = unicodedata.category(c)
+        self[at] = HOMOGLYPHS.get(c, c) if kind[0] == "L" else None if kind in ("Mn", "Me", "Cf") else c if c in "0123456789$@" else " "
+        return self[at]
+
+
+_FOLD = _Fold()
 
 
 def fold(text: str | None) -> str:
     """Lower-case words of letters, each with one space on either side; empty for no words."""
     low = (text or "").lower()
-    if "$" in low or "@" in low:
-        low = _SIGNS.sub(lambda m: "s" if m[0] == "$" else "a", low)
     if not low.isascii():
-        low = low.translate(_WIDE) if any("＀" <= c <= "｟" for c in low) else low
-    words = low.translate(_FOLD).split()
+        low = unicodedata.normalize("NFKD", low)
+    low = low.translate(_FOLD)
+    if _STAND_INS.search(low):
+        low = _STAND_INS.sub(lambda m: m[0].translate(_LETTERS), low)
+    words = low.translate(_BLANK).split()
     return f" {' '.join(words)} " if words else ""
 
 
@@ -79,11 +98,16 @@ class Lexicon:
         hits, safe = [], []
         for end, (t, excepted) in self._machine.iter(folded):
             (safe if excepted else hits).append((end - len(t) + 1, t))
-        return [h for h in hits if not any(s <= h[0] and h[0] + len(h[1]) <= s + len(t) for s, t in safe)] if safe else hits
+        if not safe or not hits:
+            return hits
+        safe.sort()
+        starts, reach = [s for s, _ in safe], list(accumulate((s + len(t) for s, t in safe), max))
+        # of the exceptions that begin no later than the match, the farthest end tells whether one holds it
+        return [h for h in hits if not (k := bisect.bisect_right(starts, h[0])) or reach[k - 1] < h[0] + len(h[1])]
 
     def features(self, folded: str) -> list[float]:
         total, n = sum(self.terms[t] for _, t in self.found(folded)), folded.count(" ")
-        return [1.0, min(total, 50.0) > 0, math.log1p(total), 100 * total / (n + 100), math.log1p(n)]
+        return [1.0, float(total > 0), math.log1p(total), 100 * total / (n + 100), math.log1p(n)]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.coef, self.features(fold(text)), strict=True))
@@ -146,7 +170,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, held_out_of: int = 5) -> Lexicon:
-    """Learn from labelled rows whose crc32(doc_id as text) modulo held_out_of is not 0; without any, nothing is toxic."""
+    """Learn from labelled rows whose crc32(doc_id as text) modulo held_out_of is not 0; without any, nothing is toxic. A row labelled twice counts as toxic if one label says so."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_mod(F.col("doc_id"), held_out_of) != 0).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if not n:
@@ -160,7 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
         if not p_all:
             return Lexicon({}, [], [-3.0, 0, 0, 0, 0])
         pos = rows.where("toxic = 1").select("text").mapInArrow(_candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(min(LEAST_DOCS, max(1, p_all // 3)), p_all // 150))
-        p = {r.term: r.n for r in pos.orderBy(F.desc("n"), "term").limit(20 * MOST_TERMS).collect()}
+        p = {r.term: r.n for r in pos.collect()}
         n = {r.term: r.n for r in rows.where("toxic = 0").select("text").mapInArrow(_counted(set(p)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         scored = []
         for t, a in p.items():
@@ -170,13 +194,15 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
             if a / p_all > 4 * b / max(n_all, 1) and a - expected > 3.5 * math.sqrt(expected + 0.25) and weight > 2:
                 scored.append(((a - expected) / math.sqrt(expected + 0.25), t[-1] == " ", len(t), t, weight))
         chosen: dict[str, float] = {}
-        for _, _, _, t, weight in sorted(scored, reverse=True)[:MOST_TERMS]:
+        begun: set[str] = set()  # beginnings of chosen terms
+        for _, _, _, t, weight in sorted(scored, reverse=True):
             stem = t.rstrip()
-            if not any(stem[:i] in chosen for i in range(2, len(stem) + 1)) and not any(c.startswith(stem) for c in chosen):
+            if stem not in begun and not any(stem[:i] in chosen for i in range(2, len(stem) + 1)):
                 chosen[t] = weight
+                begun.update(stem[:i] for i in range(2, len(stem) + 1))
         lexicon = Lexicon(chosen, [], [0.0] * 5)
         ctx = rows.mapInArrow(_contexts(lexicon), "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where("p = 0 AND n >= 3")
-        lexicon = Lexicon(chosen, sorted(r.term for r in ctx.orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()), [0.0] * 5)
+        lexicon = Lexicon(chosen, sorted(r.term for r in ctx.collect()), [0.0] * 5)
         got = rows.mapInArrow(_measured(lexicon), "toxic long, x array<double>").collect()
         x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
         return Lexicon(chosen, lexicon.exceptions, _logistic(x, y))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basewright.llm import decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, toxicity
 from basewright.llm.components import connected_components
@@ -277,6 +278,24 @@ def test_toxicity_learns_terms_and_exceptions(spark):
     assert toxicity.keep_clean(d, lex).count() == 350
 
 
+def test_folding():
+    for text, want in (("a$$hole", "asshole"), ("@ss", "ass"), ("cra$", "cras"), ("2024 1000 $5 @", ""), ("a\u2014b", "a b"), ("ba\u200bd", "bad"), ("ba\u0301d, bád", "bad bad"), ("VІLЕ", "vile"), ("Ｖｉｌｅ", "vile"), ("b4d 1diot", "bad idiot"), ("x-y_z", "x y z")):
+        assert toxicity.fold(text).strip() == want
+
+
+def test_matching_equals_naive_scan():
+    rng = np.random.default_rng(12)
+    word = lambda: "".join("ab"[int(k)] for k in rng.integers(0, 2, int(rng.integers(1, 5))))
+    for _ in range(200):
+        terms = {f" {word()}" + (" " if rng.integers(2) else ""): 1.0 for _ in range(4)}
+        safe = [f" {word()} {word()} " for _ in range(6)]
+        text = f" {' '.join(word() for _ in range(12))} "
+        at = lambda t: [i for i in range(len(text)) if text.startswith(t, i)]
+        spans = [(i, i + len(t)) for t in safe if t not in terms for i in at(t)]
+        want = sorted((i, t) for t in terms for i in at(t) if not any(a <= i and i + len(t) <= b for a, b in spans))
+        assert sorted(toxicity.Lexicon(terms, safe, [0.0] * 5).found(text)) == want
+
+
 @pytest.mark.parametrize("up,down", [(1, 2), (3, 2), (2, 3)])
 def test_resampling_equals_direct_convolution(up, down):
     x, m = np.random.default_rng(8).normal(size=999).astype(np.float32), max(up, down)
@@ -337,6 +356,53 @@ def test_quality_shrinks_sparse_sites(spark):
     assert (out.keep == (out.doc_id % 2 == 1)).all() and out.site_rate.between(0.3, 0.7).all()
 
 
+def test_strengths_know_noise_from_spread(spark):
+    """Simulated groups: the strength is near the true ratio of variances, and large where groups differ by chance alone."""
+    rng = np.random.default_rng(13)
+    for between, path_sd in ((0.2, 0.1), (0.0, 0.0)):
+        rows = []
+        for site in range(300):
+            mean = 0.5 + between * rng.normal()
+            for path in range(3):
+                m = mean + path_sd * rng.normal()
+                rows += [(f"s{site}", f"p{path}", float(m + 0.2 * rng.normal())) for _ in range(int(rng.integers(2, 7)))]
+        d = spark.createDataFrame(rows, "site string, path string, e double")
+        agg = lambda *k: d.groupBy(*k).agg(F.sum("e").alias("s"), F.count("*").alias("n"), F.sum(F.col("e") ** 2).alias("q"))
+        sites = agg("site")
+        paths = agg("site", "path").join(sites.select("site", F.col("s").alias("ss"), F.col("n").alias("sn")), "site")
+        a, b = quality.strengths(sites, paths, float(np.mean([r[2] for r in rows])))
+        if between:
+            assert 0.5 * 0.04 / 0.04 < a < 2 * 0.05 / 0.04 and 2.5 < b < 6.5
+        else:
+            assert a > 15 and b > 15
+
+
+def test_quality_equals_direct_formulas(spark):
+    """Posterior rates and scores recomputed row by row from the evidence."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(["good"] * int(rng.integers(1, 40)) + ["#x&"] * int(rng.integers(0, 20))), "ab"[i % 2], f"s{int(rng.integers(6))}") for i in range(200)] + [(None, None, None, None), (7, "again", "a", "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(100)], LABELS)
+    out = quality.quality(d, lab, d.source, d.lang).toPandas()
+    e, rate = out.evidence.to_numpy(), float(out.evidence.mean())
+    def sums(keys):
+        g = out.groupby(keys).evidence
+        return g.sum(), g.count(), (out.evidence**2).groupby([out[k] for k in keys]).sum()
+    (ss, sn, sq), (ps, pn, pq) = sums(["site"]), sums(["site", "path"])
+    within_s, within_p = (sq - ss**2 / sn).sum() / (len(out) - len(sn)), (pq - ps**2 / pn).sum() / (len(out) - len(pn))
+    of = ps.index.get_level_values(0)
+    between_s, between_p = (sn * (ss / sn - rate) ** 2).sum(), (pn * (ps / pn - (ss / sn).loc[of].to_numpy()) ** 2).sum()
+    a = quality._worth(between_s, within_s, len(sn) - 1, len(out), len(out) - (sn**2).sum() / len(out))
+    b = quality._worth(between_p, within_p, len(pn) - len(sn), len(out), len(out) - (pn**2 / sn.loc[of].to_numpy()).sum())
+    clip = lambda x: min(0.999, max(0.001, x))
+    for r in out.itertuples():
+        site = clip((ss[r.site] - r.evidence + a * rate) / (sn[r.site] - 1 + a))
+        path = clip((ps[(r.site, r.path)] - r.evidence + b * site) / (pn[(r.site, r.path)] - 1 + b))
+        z = math.log(r.evidence / (1 - r.evidence)) + 0.5 * (math.log(path / (1 - path)) - math.log(rate / (1 - rate)))
+        assert abs(r.site_rate - site) < 1e-6 and abs(r.path_rate - path) < 1e-6 and abs(r.quality - 1 / (1 + math.exp(-z))) < 1e-6
+    assert len(out) == 202 and len(e)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_pipeline(spark):
     import corpus_pipeline
