@@ -2,8 +2,11 @@
 
 A payload is kept losslessly as 8-bit mono WAV. Features come from the bytes read back: polyphase resampling from RATE to
 OUT_RATE, overlapped log-mel frames, and energy segmentation with hysteresis. Frames are stored in tensors of the fixed
-shape (FRAMES, MELS) with their time spans. Long payloads are worked through in blocks of BLOCK tensors, so memory is bounded, and a payload's
-features depend on its bytes alone.
+shape (FRAMES, MELS), an Arrow extension array, with a time span for each tensor and those of the active stretches, as an
+Arrow stream; the summary is made from the stream read back. A payload's features depend on its bytes alone.
+
+Of one payload the samples, the resampled signal and the frames are held, about 12 bytes a byte of text; spectra are made in
+blocks of BLOCK tensors, and rows go out at OUT_BYTES of tensors.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import functions as F
 
 from basewright.llm.common import table
 
-UNIT, PAD, RATE, UP, DOWN = 576, 255, 16_000, 1, 2
+UNIT, PAD, RATE, UP, DOWN = 576, 255, 16_000, 3, 4
 OUT_RATE = RATE * UP // DOWN
-SIZE, HOP, FFT, MELS, FRAMES, BLOCK = 200, 80, 256, 32, 96, 64
+SIZE, HOP, FFT, MELS, FRAMES, BLOCK, OUT_BYTES = 300, 120, 512, 32, 32, 128, 8 << 20
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -134,6 +137,35 @@ def tensor_array(tensors: np.ndarray) -> pa.ExtensionArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
 
 
+_STORED = pa.schema([("tensor", pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))), ("start_s", pa.float64()), ("end_s", pa.float64()), ("active", pa.list_(pa.list_(pa.float64(), 2)))])
+
+
+def store(tensors: np.ndarray, active: list[tuple[int, int]], spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream: a row for each tensor, its time span, and the spans of the active stretches (cut at its ends), in seconds."""
+    parts: list[list] = [[] for _ in spans]
+    for a, e in active:
+        for i in range(a // FRAMES, (e - 1) // FRAMES + 1):
+            parts[i].append([max(a, i * FRAMES) * HOP / OUT_RATE, min(e, (i + 1) * FRAMES) * HOP / OUT_RATE])
+    columns = [tensor_array(tensors), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array(parts, _STORED.field("active").type)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=_STORED))
+    return sink.getvalue().to_pybytes()
+
+
+def restore(stored: bytes) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[float, float]]]:
+    """What store was given; active stretches that meet at a tensor's end are one."""
+    rows = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    tensors = rows.column("tensor").chunk(0).to_numpy_ndarray()
+    active: list[tuple[int, int]] = []
+    for part in rows.column("active").to_pylist():
+        for a, e in ((round(x * OUT_RATE / HOP) for x in s) for s in part):
+            if active and active[-1][1] == a:
+                a = active.pop()[0]
+            active.append((a, e))
+    return tensors, active, list(zip(rows.column("start_s").to_pylist(), rows.column("end_s").to_pylist(), strict=True))
+
+
 def summary(tensors: np.ndarray, active: list[tuple[int, int]], spans: list[tuple[float, float]]) -> str:
     frames = int(round(spans[-1][1] * OUT_RATE / HOP))
     rows = tensors.reshape(-1, MELS)[:frames].astype(np.float64)
@@ -142,45 +174,51 @@ def summary(tensors: np.ndarray, active: list[tuple[int, int]], spans: list[tupl
     return f"frames={frames};tensors={len(spans)};segments={len(active)};active={on};mel={means};sd={rows.std():.2f}"
 
 
-def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for d, text in zip(batch.column(0), batch.column(1), strict=True):
-            t, active, spans = features(from_wav(to_wav(payload_of(text.as_py()))))
-            on = np.zeros(len(t) * FRAMES, bool)
-            for a, b in active:
-                on[a:b] = True
-            n = len(t)
-            yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array(on.reshape(n, FRAMES).sum(axis=1), pa.int32()), pa.array(list(t.reshape(n, -1)), pa.list_(pa.float32()))], names=["doc_id", "tensor", "start_s", "end_s", "active", "mel"])
-
-
-def audio_tensors(documents: DataFrame) -> DataFrame:
-    """doc_id, tensor, start_s, end_s, active (frames), mel: a row for each tensor, its FRAMES * MELS values in row order."""
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_tensors, "doc_id long, tensor int, start_s double, end_s double, active int, mel array<float>")
-
-
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors binary"
+_NAMES = _DIGEST.replace(",", "").split()[::2]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for d, text in zip(batch.column(0), batch.column(1), strict=True):
             text = text.as_py() or b""
             media = to_wav(payload_of(text))
             back = from_wav(media)
-            rows.append((d.as_py(), len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), summary(*features(back))))
-            if len(rows) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_DIGEST.replace(",", "").split()[::2])
-                rows = []
+            stored = store(*features(back))
+            rows.append((d.as_py(), len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), summary(*restore(stored)), stored))
+            size += len(stored)
+            if size >= OUT_BYTES:
+                yield batch_of(rows)
+                rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_DIGEST.replace(",", "").split()[::2])
+            yield batch_of(rows)
 
 
 def audio_digests(documents: DataFrame) -> DataFrame:
-    """A row for each row of documents. Null and empty texts are one unit of padding; null ids stay; repeated rows give equal rows; extra columns are ignored."""
+    """A row for each row of documents: digests of payload and media, the summary, and the tensors as an Arrow stream (see store).
+
+    Null and empty texts are one unit of padding; null ids stay; repeated rows give equal rows; extra columns are ignored."""
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_digests, _DIGEST)
 
 
+def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for d, stored in zip(batch.column(0), batch.column(1), strict=True):
+            t, active, spans = restore(stored.as_py())
+            on = np.zeros(len(t) * FRAMES, bool)
+            for a, b in active:
+                on[a:b] = True
+            n = len(t)
+            yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array(on.reshape(n, FRAMES).sum(axis=1), pa.int32()), pa.array(list(t.reshape(n, -1)), pa.list_(pa.float32()))], names=["doc_id", "tensor", "start_s", "end_s", "active", "mel"])
+
+
+def audio_tensors(documents: DataFrame) -> DataFrame:
+    """doc_id, tensor, start_s, end_s, active (frames), mel: a row for each stored tensor, as a Spark list of FRAMES * MELS values in row order."""
+    return audio_digests(documents).select("doc_id", "tensors").mapInArrow(_tensors, "doc_id long, tensor int, start_s double, end_s double, active int, mel array<float>")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(table(spark, sf_dir, "documents"))

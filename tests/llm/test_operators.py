@@ -296,7 +296,7 @@ def test_matching_equals_naive_scan():
         assert sorted(toxicity.Lexicon(terms, safe, [0.0] * 5).found(text)) == want
 
 
-@pytest.mark.parametrize("up,down", [(1, 2), (3, 2), (2, 3)])
+@pytest.mark.parametrize("up,down", [(1, 2), (3, 4), (3, 2), (2, 3)])
 def test_resampling_equals_direct_convolution(up, down):
     x, m = np.random.default_rng(8).normal(size=999).astype(np.float32), max(up, down)
     n = np.arange(-10 * m, 10 * m + 1)
@@ -312,7 +312,59 @@ def test_media_round_trip():
         assert len(p) % 576 == 0 and len(p) > 0 and media.from_wav(media.to_wav(p)) == p
         t, active, spans = media.features(p)
         assert t.shape[1:] == (media.FRAMES, media.MELS) and len(spans) == len(t) and all(a < b for a, b in active)
-        assert media.tensor_array(t).to_numpy_ndarray().shape == t.shape
+        back = media.restore(media.store(t, active, spans))
+        assert (back[0] == t).all() and back[1] == active and back[2] == spans
+
+
+def test_log_mel_and_segments_equal_direct_loops():
+    y = np.random.default_rng(15).normal(size=4000).astype(np.float32) * np.repeat([0.01, 1, 0.02, 0.5], 1000).astype(np.float32)
+    got = media.log_mel(y)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top, bottom = 2595 * math.log10(1 + media.OUT_RATE / 2 / 700), 2595 * math.log10(1 + 20 / 700)
+    edges = [hz(bottom + (top - bottom) * i / (media.MELS + 1)) for i in range(media.MELS + 2)]
+    for f in (0, 5, len(got) - 1):
+        part = np.zeros(media.SIZE)
+        piece = y[f * media.HOP : f * media.HOP + media.SIZE]
+        part[: len(piece)] = piece
+        part *= [0.5 - 0.5 * math.cos(2 * math.pi * i / (media.SIZE - 1)) for i in range(media.SIZE)]
+        t = np.arange(media.SIZE)
+        power = [abs(sum(part * np.exp(-2j * math.pi * k * t / media.FFT))) ** 2 for k in range(media.FFT // 2 + 1)]
+        for m in range(media.MELS):
+            total = 0.0
+            for k, p in enumerate(power):
+                x = k * media.OUT_RATE / media.FFT
+                total += p * max(0.0, min((x - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - x) / (edges[m + 2] - edges[m + 1])))
+            assert abs(got[f, m] - math.log(total + 1e-6)) < 1e-2
+    assert len(got) == 1 + -(-(4000 - media.SIZE) // media.HOP)
+    e = [float(np.mean(r, dtype=np.float64)) for r in got]
+    mean, sd = sum(e) / len(e), (sum((x - sum(e) / len(e)) ** 2 for x in e) / len(e)) ** 0.5
+    on, start, want = False, 0, []
+    for i, x in enumerate(e):
+        z = (x - mean) / sd
+        if not on and z > 0.5:
+            on, start = True, i
+        elif on and z < 0.0:
+            on = False
+            want.append((start, i))
+    if on:
+        want.append((start, len(e)))
+    assert media.segments(got) == want and len(want) > 1
+
+
+def test_media_contract(spark):
+    import hashlib
+    rows = [(1, "é" * 400), (2, None), (3, ""), (4, "x" * 576), (4, "x" * 576), (None, "y" * 9000)]
+    out = media.audio_digests(docs(spark, rows)).collect()
+    for (d, text), r in zip(sorted(rows, key=lambda r: r[0] or 0), sorted(out, key=lambda r: r.doc_id or 0), strict=True):
+        data = (text or "").encode()
+        payload = data + b"\xff" * (max(576, math.ceil(len(data) / 576) * 576) - len(data))
+        wav = media.to_wav(payload)
+        assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest()) and r.feature == media.summary(*media.restore(bytes(r.tensors)))
+    import io
+    import wave
+    with wave.open(io.BytesIO(wav)) as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())) == (1, 1, media.RATE, payload)
 
 
 def test_preference(spark):
