@@ -69,8 +69,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 ROW = ["doc_id", "version"]
 
 
-def _same_row(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
+def _join_rows(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """a and b (ROW and others) joined by row, null ids too; of b's row columns none stay."""
+    b = b.withColumnsRenamed({"doc_id": "_b_id", "version": "_b_version"})
+    return a.join(b, F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("version") == F.col("_b_version")), how).drop("_b_id", "_b_version")
 
 
 def spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +106,8 @@ def spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> t
         at = _shingled(docs, ROW, k).join(_near(wanted), cols).where((start >= 0) & (start + F.col("length") <= F.col("n")))
         found.append(at.select(*ROW, F.struct("window_id", start.alias("start"), "length").alias("c")))
     cand = checkpointed(_union(found).groupBy(*ROW).agg(F.collect_set("c").alias("c")))
-    held = docs.join(_near(cand.withColumn("size", F.to_json("c"))).drop("size"), _same_row(docs, cand)).select(docs["doc_id"], docs["version"], "words", "c")
+    small = string_bytes(cand.select("doc_id", F.to_json("c").alias("c"))) <= BROADCAST_BYTES
+    held = _join_rows(docs, F.broadcast(cand) if small else cand, "inner")
     got = held.select(*ROW, F.inline(F.transform("c", lambda c: F.struct(c["window_id"].alias("window_id"), c["start"].alias("start"), c["length"].alias("length"), F.slice("words", c["start"] + 1, c["length"]).alias("window")))))
     return got.join(_near(ids.select("window_id", "window")), ["window_id", "window"]).select(*ROW, "window_id", "start", "length").distinct(), owners
 
@@ -117,11 +120,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     covered = at.groupBy(*ROW).agg(F.count("*").alias("n_hit"))
     held = hit.select(*ROW, "window_id").distinct().join(owners, "window_id").select(*ROW, F.col("item_id").cast("string").alias("item")).distinct()
     held = held.groupBy(*ROW).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    got = covered.join(held, _same_row(covered, held), "left").select(covered["doc_id"], covered["version"], "n_hit", "items")
+    got = _join_rows(covered, held, "left")
     base = documents.select("doc_id", F.xxhash64("text").alias("version"), word_count(F.col("text")).alias("n_words"))
-    out = base.join(got, _same_row(base, got), "left")
+    out = _join_rows(base, got, "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(base["doc_id"], "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
