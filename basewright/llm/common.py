@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,26 +11,35 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch, where the session leaves that to Spark: whole texts can be long, and each Python worker holds some batches.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch, where the session leaves them to Spark: whole texts can be long, and each Python worker holds some batches.
+BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless it has a bound of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches of this session, unless it has bounds of its own. The setting stays: a plan reads it when it runs."""
+    for key, left, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", {"10000"}, BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", {"67108864", "2147483647", str(2**63 - 1)}, BATCH_BYTES)):
+        if spark.conf.get(key).removesuffix("b").removesuffix("B") in left:
+            spark.conf.set(key, str(own))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set, a temporary one in local mode; a cluster must name one."""
     small_batches(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        own = sc.getConf().get("spark.checkpoint.dir", None)
+        if not own and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the shared folder."""
     shared_folder(df.sparkSession)

@@ -4,9 +4,9 @@
 2. Pieces are dealt by hash into partitions. Each packs its pieces by best-fit decreasing and compares its bin count with a
    lower bound from dual-feasible functions; where both agree the partition is certified: no packing of it has fewer bins.
 3. Bins that are full to within SLACK are final. The others are opened: a partition with a gap hands over all of them, a
-   certified one its least filled bin (that is where a bin can still be saved across partitions). Their pieces are dealt to
-   fewer partitions, which pack anew. The last round is one partition of at most LAST pieces; rounds end earlier if the bin count meets
-   the bound of the whole input.
+   certified one its least filled bin (that is where a bin can still be saved across partitions). Their pieces are dealt anew
+   to partitions of about LAST pieces, fewer from round to round as bins close, and packed again. Rounds end with one partition,
+   after ROUNDS, or when the bin count meets the bound of the whole input.
 
 Only (id, piece, length) rows are packed; a partition holds about PER_PARTITION of them.
 """
@@ -235,7 +235,7 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if closed + opened <= bound:  # certified as a whole: nothing left to gain
             done = done.unionByName(out.where("NOT done"))
             break
-        parts = max(1, min(parts // 4, -(-left // LAST)))
+        parts = -(-left // LAST)
     span = F.col("turn").cast("long") * (1 << 56) + F.col("part").cast("long") * (1 << 32) + F.col("bin")
     return done.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "length", "ids_crc32", span.alias("sequence_id"), "offset")
 

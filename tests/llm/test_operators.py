@@ -193,6 +193,23 @@ def test_packing(spark):
         assert sorted(zip(out[out.doc_id == d].start, out[out.doc_id == d].ids_crc32)) == [(s, zlib.crc32(ids[s : s + 4096].tobytes())) for s in range(0, len(ids), 4096)]
 
 
+def test_packing_in_many_partitions(spark, monkeypatch):
+    """Small partitions, so that rounds exchange pieces: every piece once, no overfull bin, near the bound, no task over its share."""
+    monkeypatch.setattr(packing, "PER_PARTITION", 40)
+    monkeypatch.setattr(packing, "LAST", 20)
+    rng = np.random.default_rng(16)
+    rows = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(300, 1400, 400))], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(rows).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(out.doc_id) == list(range(400)) and (out.groupby("sequence_id").length.cumsum() - out.length == out.offset).all()
+    assert out.groupby("sequence_id").length.sum().max() <= 4096 and out.sequence_id.nunique() <= 1.1 * packing.lower_bound(Counter(out.length), 4096)
+
+
+def test_packing_odd_rows(spark):
+    out = packing.pack_documents(docs(spark, [(1, None), (2, ""), (None, "a b"), (4, "x"), (4, "x")]), packing.tokenizer_path()).collect()
+    ends = zlib.crc32(np.array([1], "<u4").tobytes())
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length) for r in out) == [(0, 0, 0, 3), (1, 0, 0, 1), (2, 0, 0, 1), (4, 0, 0, 2), (4, 0, 0, 2)] and sum(r.ids_crc32 == ends for r in out) == 2
+
+
 def test_encoder_equals_tokenizer():
     import tokenizers
     tok, e = tokenizers.Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
