@@ -74,3 +74,11 @@ def string_bytes(df: DataFrame) -> int:
     """Bytes of all strings in df, with 32 more for each row and column."""
     size = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.lit(0), F.lit(0)) + 32 for c, kind in df.dtypes), F.lit(0).cast("long"))
     return df.agg(F.sum(size)).first()[0] or 0
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until none of the columns has one of them in any case."""
+    taken = {c.lower() for c in columns}
+    while any(n in taken for n in names):
+        names = tuple(n + "_" for n in names)
+    return list(names)

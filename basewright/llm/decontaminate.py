@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import ascii_lower, checkpointed, string_bytes, table
+from basewright.llm.common import ascii_lower, checkpointed, string_bytes, table, unused
 
 WINDOW, SHINGLE = 10, 3
 BROADCAST_BYTES = 64 << 20
@@ -129,8 +129,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of documents that hold no window; cases as above."""
-    hit = checkpointed(spans(documents, benchmark, window)[0].select(*ROW).distinct()).toDF("_hit_id", "_hit_version")
-    return documents.join(hit, documents["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(documents["text"]) == F.col("_hit_version")), "left_anti")
+    hit_id, version = unused(documents.columns, "hit_id", "hit_version")
+    hit = checkpointed(spans(documents, benchmark, window)[0].select(*ROW).distinct()).toDF(hit_id, version)
+    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(version)), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basewright.llm.common import checkpointed, table
+from basewright.llm.common import checkpointed, table, unused
 
 WORDS, MOST_WINDOWS = 10, 100_000
 
@@ -121,6 +121,24 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     return later.select("doc_id", "version", F.array_sort(F.array_distinct(lines)).alias("cut"))
 
 
+def _with_cuts(documents: DataFrame) -> tuple[DataFrame, str]:
+    """documents with a further column that holds the lines to delete, and that column's name."""
+    cut, version, doc_id = unused(documents.columns, "cut", "version", "cut_id")
+    runs = checkpointed(repeated_runs(documents)).withColumnsRenamed({"cut": cut, "version": version, "doc_id": doc_id})
+    same = (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(version))
+    return documents.join(runs, same, "left").drop(version, doc_id), cut
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """As line_dedup, with the columns of documents alone; documents of which every line with words goes, go as well. n_chars, if there is one, is that of a changed text."""
+    out, cut = _with_cuts(documents)
+    (new,) = unused(out.columns, "left")
+    out = out.withColumn(new, _without("text", cut)).where(F.col(cut).isNull() | (F.length(F.trim(new)) > 0))
+    n_chars = F.when(F.col(cut).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
+    instead = {"text": F.col(new), "n_chars": n_chars}
+    return out.select(*[instead[c].alias(c) if c in instead else F.col(f"`{c}`") for c in documents.columns])
+
+
 def line_dedup(documents: DataFrame) -> DataFrame:
     """The rows and columns of documents, with repeated runs of lines deleted from text; n_lines, n_removed and removed (lines' numbers from 0) follow.
 
@@ -129,15 +147,11 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     (doc_id, text hash, line); repeated rows are one document, and each of them loses the same lines; rows that repeat a doc_id
     with another text are documents of their own; input columns named n_lines, n_removed or removed are replaced.
     """
-    base = documents.drop("n_lines", "n_removed", "removed")
-    cut, version = "cut", "version"
-    while {cut, version} & set(base.columns):
-        cut, version = cut + "_", version + "_"
-    runs = checkpointed(repeated_runs(documents)).withColumnsRenamed({"cut": cut, "version": version})
-    out = base.withColumn(version, F.xxhash64("text")).join(runs, ["doc_id", version], "left")
-    cols = [_without("text", cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
+    out, cut = _with_cuts(documents)
+    cols = [_without("text", cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed", "removed")]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return out.select(*cols, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(cut, F.array().cast("array<int>")).alias("removed"))
+    n_removed = F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))
+    return out.select(*cols, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.coalesce(cut, F.array().cast("array<int>")).alias("removed"))
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
