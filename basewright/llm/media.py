@@ -26,7 +26,7 @@ from basewright.llm.common import table
 
 UNIT, PAD, RATE, UP, DOWN = 576, 255, 16_000, 3, 4
 OUT_RATE = RATE * UP // DOWN
-SIZE, HOP, FFT, MELS, FRAMES, BLOCK, OUT_BYTES = 300, 120, 512, 32, 32, 128, 8 << 20
+SIZE, HOP, FFT, MELS, FRAMES, BLOCK, OUT_BYTES = 300, 120, 512, 32, 16, 256, 2 << 20
 
 
 def payload_of(text: bytes | None) -> bytes:
