@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import table
+from basewright.llm.common import checkpointed, small_enough, table
+
+#: Openings (a hash and two ids each) up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 #: Fixed values of the template.
 START, END, TRAINED = "<|im_start|>", "<|im_end|>\n", "assistant"
@@ -81,7 +84,8 @@ def opening_ids(conversations: DataFrame) -> DataFrame:
     """Every conversation (rejected, its id is the pair's) with the least one (chosen) that begins with the same turn, itself left out."""
     first = conversation_turns(conversations).select("conv_id", F.sha2(F.to_json(F.col("turns")[0]), 256).alias("opening"))
     least = first.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("last")).where("chosen_id < last")
-    return first.join(least, "opening").where("conv_id <> chosen_id").select(F.col("conv_id").alias("pair_id"), "chosen_id", F.col("conv_id").alias("rejected_id"))
+    least = checkpointed(least)  # so that a common opening's join is one that Spark can split
+    return first.join(F.broadcast(least) if small_enough(least, BROADCAST_ROWS) else least, "opening").where("conv_id <> chosen_id").select(F.col("conv_id").alias("pair_id"), "chosen_id", F.col("conv_id").alias("rejected_id"))
 
 
 def retry_pairs(conversations: DataFrame) -> DataFrame:
