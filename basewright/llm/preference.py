@@ -65,34 +65,38 @@ def preference_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     empty; null roles and texts count as empty; turns with equal numbers are ordered by role and text; repeated rows are
     repeated turns; rows without conv_id belong to no conversation; empty tables give no rows; extra columns are ignored.
     """
-    turns = conversation_turns(conversations)
+    return paired(conversation_turns(conversations), pairs)
+
+
+def paired(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """preference_pairs of conversation_turns. Where one conversation is in many pairs, turns should be checkpointed, so that Spark can split the join."""
     side = lambda name: turns.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
     out = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
     none = F.array().cast("array<struct<role:string,text:string>>")
     return formatted(out.select("pair_id", "chosen_id", "rejected_id", F.coalesce("chosen", none).alias("a"), F.coalesce("rejected", none).alias("b")))
 
 
-def neighbour_ids(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) as pair k; a pair with one of them missing is kept."""
+def neighbour_ids(turns: DataFrame) -> DataFrame:
+    """Of conversation_turns: conversations 2k (chosen) and 2k + 1 (rejected) as pair k; a pair with one of them missing is kept."""
     k = F.floor(F.col("conv_id") / 2).cast("long")
-    ids = conversations.where("conv_id IS NOT NULL").select(k.alias("pair_id"), "conv_id").distinct()
+    ids = turns.select(k.alias("pair_id"), "conv_id")
     odd = F.pmod(F.col("conv_id"), F.lit(2)) == 1
     return ids.groupBy("pair_id").agg(F.max(F.when(~odd, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(odd, F.col("conv_id"))).alias("rejected_id"))
 
 
-def opening_ids(conversations: DataFrame) -> DataFrame:
-    """Every conversation (rejected, its id is the pair's) with the least one (chosen) that begins with the same turn, itself left out."""
-    first = conversation_turns(conversations).select("conv_id", F.sha2(F.to_json(F.col("turns")[0]), 256).alias("opening"))
+def opening_ids(turns: DataFrame) -> DataFrame:
+    """Of conversation_turns: every conversation (rejected, its id is the pair's) with the least one (chosen) that begins with the same turn, itself left out."""
+    first = turns.select("conv_id", F.sha2(F.to_json(F.col("turns")[0]), 256).alias("opening"))
     least = first.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("last")).where("chosen_id < last")
     least = checkpointed(least)  # so that a common opening's join is one that Spark can split
     return first.join(F.broadcast(least) if small_enough(least, BROADCAST_ROWS) else least, "opening").where("conv_id <> chosen_id").select(F.col("conv_id").alias("pair_id"), "chosen_id", F.col("conv_id").alias("rejected_id"))
 
 
-def retry_pairs(conversations: DataFrame) -> DataFrame:
-    """Conversations cut after their last TRAINED turn (chosen) and the same with that turn replaced by the TRAINED one before it
+def retry_pairs(turns: DataFrame) -> DataFrame:
+    """Of conversation_turns: conversations cut after their last TRAINED turn (chosen) and the same with that turn replaced by the TRAINED one before it
     (rejected), as formatted; conversations with fewer than two such turns have no pair."""
     places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED)
-    cut = conversation_turns(conversations).withColumn("at", places).where(F.size("at") > 1)
+    cut = turns.withColumn("at", places).where(F.size("at") > 1)
     last, before = F.element_at("at", -1), F.element_at("at", -2)
     a, b = F.slice("turns", F.lit(1), last), F.concat(F.slice("turns", F.lit(1), last - 1), F.array(F.element_at("turns", before)))
     return formatted(cut.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), a.alias("a"), b.alias("b")))
@@ -100,8 +104,8 @@ def retry_pairs(conversations: DataFrame) -> DataFrame:
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of three kinds: neighbours, conversations with one opening, and retries within a conversation."""
-    c = table(spark, sf_dir, "conversations")
-    kinds = [("neighbours", preference_pairs(c, neighbour_ids(c))), ("opening", preference_pairs(c, opening_ids(c))), ("retry", retry_pairs(c))]
+    turns = checkpointed(conversation_turns(table(spark, sf_dir, "conversations")))
+    kinds = [("neighbours", paired(turns, neighbour_ids(turns))), ("opening", paired(turns, opening_ids(turns))), ("retry", retry_pairs(turns))]
     out = [df.select(F.lit(kind).alias("kind"), *df.columns) for kind, df in kinds]
     return out[0].unionByName(out[1]).unionByName(out[2])
 

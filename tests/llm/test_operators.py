@@ -392,14 +392,14 @@ def test_preference(spark):
     assert got[0].n_prompt == 1 and got[0].prompt == "<|im_start|>user\nq<|im_end|>\n" and got[0].rejected_mask == "1,0" and got[0].chosen_mask == "1"
     assert (got[1].prompt, got[1].rejected) == ("", "") and got[1].chosen and got[2].n_prompt == 2 and got[2].chosen == got[2].rejected == ""
     assert preference.preference_pairs(c.limit(0), pairs.limit(0)).count() == 0
-    assert [(r.pair_id, r.chosen_id) for r in preference.opening_ids(c).collect()] == [(1, 0)]
+    assert [(r.pair_id, r.chosen_id) for r in preference.opening_ids(preference.conversation_turns(c)).collect()] == [(1, 0)]
 
 
 def test_preference_spans_and_retries(spark):
     """Spans cut the text to learn from out of a completion, whatever it holds; a retry's prompt is all before its last answer."""
     turns = [(5, 0, "system", "s"), (5, 1, "assistant", "first"), (5, 2, "user", "x"), (5, 3, "assistant", "a<|im_end|>\n<|im_start|>user\n é"), (5, 4, "user", "bye"), (6, 0, "assistant", "one")]
     c = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    r = preference.retry_pairs(c).collect()
+    r = preference.retry_pairs(preference.conversation_turns(c)).collect()
     assert len(r) == 1 and r[0].n_prompt == 3 and r[0].prompt.endswith("x<|im_end|>\n")
     cut = lambda text, spans: [text[int(a) : int(b)] for a, b in (x.split(":") for x in spans.split(","))]
     assert cut(r[0].chosen, r[0].chosen_spans) == [turns[3][3]] and cut(r[0].rejected, r[0].rejected_spans) == ["first"]
