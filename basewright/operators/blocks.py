@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK, BUFFER, STRIPE, HALO = 14, 6, 250, 15
@@ -24,14 +24,18 @@ def cycle_blocks(spark: SparkSession, cycles: int) -> DataFrame:
     return spark.createDataFrame(block_plan(cycles), "block int, start int, len int, buf_start int, buf_len int")
 
 
-def chunk_size(blocks: int) -> int:
+def chunk_size(blocks):
     return 625 * (2 * BUFFER + BLOCK + 2) * blocks
 
 
-def chunk_of(cluster, total, chunks: int):
-    """The chunk of a cluster number; boundary k lies at floor(total / chunks * k + 0.5)."""
-    bounds = [F.floor(total / F.lit(float(chunks)) * k + 0.5) for k in range(1, chunks)]
-    return sum([(cluster >= b).cast("int") for b in bounds], F.lit(0)).cast("int")
+def chunk_of(cluster, total, chunks):
+    """The chunk of a cluster number; boundary k lies at floor(total / chunks * k + 0.5). All three may be columns."""
+    cluster, total, chunks = (x if isinstance(x, Column) else F.lit(x) for x in (cluster, total, chunks))
+    share = total / chunks.cast("double")
+    near = F.least(F.floor(cluster / share), chunks - 1)  # a boundary off by one at most
+    beyond = (near < chunks - 1) & (cluster >= F.floor(share * (near + 1) + 0.5))
+    short = (near > 0) & (cluster < F.floor(share * near + 0.5))
+    return (near + beyond.cast("int") - short.cast("int")).cast("int")
 
 
 def stripes(snapped: DataFrame, extent, size: int = STRIPE, halo: int = HALO) -> DataFrame:

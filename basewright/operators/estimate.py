@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewright.operators.blocks import block_plan, chunk_of, chunk_size
+from basewright.operators.blocks import BLOCK, block_plan, chunk_of, chunk_size
 
-#: Ideal directions of the four bases in channel space, to start from.
-CENTROIDS = np.array([[0.9, 0.4, 0.0, 0.0], [0.3, 0.95, 0.0, 0.0], [0.0, 0.0, 0.9, 0.4], [0.0, 0.0, 0.3, 0.95]])
+#: The four bases' signals in channel space that k-means starts from.
+CENTROIDS = np.array([[3300.0, 3300.0, 0.0, 0.0], [600.0, 2800.0, 0.0, 0.0], [0.0, 0.0, 2800.0, 2600.0], [0.0, 0.0, 0.0, 3300.0]])
 
 
 @dataclass
@@ -31,77 +31,117 @@ def calls_of(z: np.ndarray) -> np.ndarray:
     return np.where(z.max(axis=-1) > 0, z.argmax(axis=-1), 0)
 
 
-def color_seed(first: np.ndarray, rounds: int = 5) -> np.ndarray:
-    """First cycle (n x 4) -> 4 x 5: k-means on direction, trimmed and over-relaxed, and the background."""
+def bright(first: np.ndarray) -> np.ndarray:
+    """Which clusters' norms exceed half the mean norm."""
     norm = np.linalg.norm(first, axis=1)
-    x = first[norm > norm.mean() / 2]
-    c = CENTROIDS.copy()
-    if not len(x):
-        return np.hstack([c.T, np.zeros((4, 1))])
+    return norm > norm.mean() / 2
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, cosines) of each row of x to the rows of c."""
+    cos = x @ c.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(c, axis=1) + 1e-12)
+    return calls_of(cos), cos
 
-    def nearest(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cos = x @ c.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(c, axis=1) + 1e-12)
-        return calls_of(cos), cos
 
+def centroids_of(x: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Class means; an empty class keeps its centroid of c."""
+    return np.array([x[k == j].mean(axis=0) if (k == j).any() else c[j] for j in range(4)])
+
+
+def trimmed(members: np.ndarray, c: np.ndarray, rounds: int = 2, step: float = 1.25, limit: float = 0.2) -> np.ndarray:
+    """A centroid moved over-relaxed toward the mean of its members of near direction, under a limit that tightens."""
     for _ in range(rounds):
-        k, _ = nearest(c)
-        new = np.array([x[k == j].mean(axis=0) if (k == j).any() else c[j] for j in range(4)])
-        small = np.linalg.norm(new - c) < np.linalg.norm(c) / 1e4
-        c = new
-        if small:
-            break
-    limit = 0.2
-    for _ in range(2):
-        k, cos = nearest(c)
-        for j in range(4):
-            near = x[(k == j) & (1 - cos[:, j] < limit)]
-            if len(near) > 2:
-                c[j] += 1.25 * (near.mean(axis=0) - c[j])
+        near = members[1 - nearest(members, c[None])[1][:, 0] < limit]
+        if len(near) > 2:
+            c = c + step * (near.mean(axis=0) - c)
         limit = limit**2 * 3
+    return c
+
+
+def with_background(c: np.ndarray) -> np.ndarray:
+    """Centroids -> 4 x 5: mixing columns and background. The first two channels' background is what the last two bases have there, and the other way round."""
     back = np.array([*[(c[2, i] + c[3, i]) / 2 for i in (0, 1)], *[(c[0, i] + c[1, i]) / 2 for i in (2, 3)]])
     return np.hstack([c.T - back[:, None], back[:, None]])
 
 
-def phase_seed(plan: list[tuple], before: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """The phasing bands before any fit: each row carries the last on, a little of it behind or ahead."""
-    out: list[np.ndarray] = []
+def color_seed(first: np.ndarray, rounds: int = 5) -> np.ndarray:
+    """First cycle (n x 4) -> 4 x 5: k-means on direction, trimmed and over-relaxed, and the background. Trimming keeps the classes of the last assignment."""
+    x, c = first[bright(first)], CENTROIDS.copy()
+    if not len(x):
+        return np.hstack([c.T, np.zeros((4, 1))])
+    for _ in range(rounds):
+        k, _ = nearest(x, c)
+        before, c = c, centroids_of(x, k, c)
+        if np.linalg.norm(c - before) < np.linalg.norm(before) / 1e4:
+            break
+    return with_background(np.array([trimmed(x[k == j], c[j]) for j in range(4)]))
+
+
+def infer_phase(plan: list[tuple], phase: list[np.ndarray], b: int) -> np.ndarray:
+    """Block b's phasing before any fit, from those of block 0 and b - 1: each row carries the last on, a little of it behind or ahead."""
+    _, _, length, lo, size = plan[b]
+    p = np.zeros((length, size + 2))
     pha = pre = 0.002
-    stop, const, dim = 0.001, 0.0, 0.997
-    for b, start, length, lo, size in plan:
-        p = np.zeros((length, size + 2))
-        if b:
-            _, _, len0, _, size0 = plan[0]
-            first, last = before[0] if before else out[0], out[-1]
-            i = len0 - 1
-            pre = first[i, min(i + 1, size0 - 1)] / first[i, i] / len0
-            pha = first[i, i - 1] / first[i, i] / len0 if i else 0.0
-            stop, const = last[:, -2].mean(), last[:, -1].mean()
-            lenb = plan[b - 1][2]
-            ratio = last[-1, :-2].sum() / last[0, :-2].sum()
-            dim = (ratio + lenb - 1) / lenb
-            up = np.zeros(size)
-            shift = lo - plan[b - 1][3]
-            keep = last[-1, shift:-2][:size]
-            up[: len(keep)] = keep
+    stop, const, dim, up = 0.001, 0.0, 0.997, None
+    if b:
+        first, last = phase[0], phase[b - 1]
+        _, _, len0, _, size0 = plan[0]
+        i = len0 - 1
+        pre = first[i, min(i + 1, size0 - 1)] / first[i, i] / len0
+        pha = first[i, i - 1] / first[i, i] / len0 if i else 0.0
+        stop, const = last[:, -2].mean(), last[:, -1].mean()
+        lenb = plan[b - 1][2]
+        dim = (last[-1, :-2].sum() / last[0, :-2].sum() + lenb - 1) / lenb
+        up = np.zeros(size)
+        keep = last[-1, lo - plan[b - 1][3] : -2][:size]
+        up[: len(keep)] = keep
+    for t in range(length):
+        if up is None:
+            p[0, 0] = 1
         else:
-            up = None
-        for t in range(length):
-            if up is None:
-                p[0, 0] = 1
-            else:
-                row = dim * (pha * up + (1 - pha - pre) * np.concatenate([[0], up[:-1]]) + pre * np.concatenate([[0, 0], up[:-2]]))
-                p[t, :size], p[t, -2], p[t, -1] = row, stop, const
-            up = p[t, :size]
-        out.append(p)
+            p[t, :size] = dim * (pha * up + (1 - pha - pre) * np.concatenate([[0], up[:-1]]) + pre * np.concatenate([[0, 0], up[:-2]]))
+            p[t, -2], p[t, -1] = stop, const
+        up = p[t, :size]
+    return p
+
+
+def phase_seed(plan: list[tuple]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for b in range(len(plan)):
+        out.append(infer_phase(plan, out, b))
+    return out
+
+
+@dataclass(frozen=True)
+class Round:
+    """One round of estimation: how strongly parameters are held, how sharply residuals weigh, and the extra hold on the constant terms."""
+
+    stein: float
+    wl: float
+    extra: int
+    last: bool
+
+
+def schedule(chunk: int, iterations: int, fast: bool, serial: bool = False) -> list[Round]:
+    """The rounds of a chunk; none where a fast run reuses its parameters. serial: the block-by-block variant, which adds no rounds."""
+    if serial:
+        rounds = iterations if chunk == 0 else 1
+    else:
+        rounds = iterations + 1 if chunk == 0 else 1 + (chunk < 2 or chunk < 4 and not fast)
+        if fast and rounds == 1 and chunk % 4:
+            return []
+    out, stein, wl = [], *((0.05, 30.0) if chunk == 0 else (0.01, 40.0))
+    for i in range(rounds):
+        out.append(Round(stein, wl, rounds - i + 1 - 2 * (i > 0) if rounds > 1 else 0, i == rounds - 1))
+        stein, wl = (stein - 0.0162 if stein > 0.02 else stein / 1.5), 10.0 * (i + (3 if serial else 4))
     return out
 
 
-def ridge(x: np.ndarray, y: np.ndarray, prior: np.ndarray, tw: float, extra: float) -> np.ndarray:
-    """Least squares toward prior (outputs x regressors)."""
+def normal(x: np.ndarray, y: np.ndarray, prior: np.ndarray, tw: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+    """The normal equations of least squares toward prior (outputs x regressors), with an extra hold on the last regressor."""
     g = x.T @ x + tw * np.eye(x.shape[1])
-    rhs = x.T @ y + tw * prior.T
     g[-1, -1] += tw * extra
-    return np.linalg.solve(g, rhs).T
+    return g, x.T @ y + tw * prior.T
 
 
 class Chunk:
@@ -136,105 +176,136 @@ class Chunk:
         _, start, length, _, _ = self.plan[b]
         return self.x[:, start : start + length]
 
-    def fit_phase(self, b: int, stein: float, extra: float) -> None:
+    def phase_normal(self, b: int, stein: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+        """One channel a cluster, in turn: what the buffer's cycles, the light before and a constant add to the block's cycles."""
         n = len(self.x)
         c, w = np.arange(n) % 4, self.w[b]
         h = self.source(b) @ self.color[b][:, :4].T
         rows = np.arange(n)
         x = np.concatenate([h[rows, :, c], self.previous[b][rows, c][:, None], np.full((n, 1), self.scale)], axis=1) * w[:, None]
         y = (self.own(b)[rows, :, c] - self.color[b][c, 4][:, None]) * w[:, None]
-        self.phase[b] = ridge(x, y, self.phase[b], stein * self.scale**2 * (w**2).sum(), extra)
+        return normal(x, y, self.phase[b], stein * self.scale**2 * (w**2).sum(), extra)
 
-    def fit_color(self, b: int, stein: float, extra: float) -> None:
+    def fit_phase(self, b: int, stein: float, extra: float) -> np.ndarray:
+        return np.linalg.solve(*self.phase_normal(b, stein, extra)).T
+
+    def color_normal(self, b: int, stein: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+        """One cycle a cluster, in turn: what the four bases and a constant add to the channels."""
         n, w = len(self.x), self.w[b]
         t, rows = np.arange(n) % self.plan[b][2], np.arange(n)
         h = np.einsum("ns,nsk->nk", self.phase[b][t, :-2], self.source(b))
         x = np.concatenate([h, np.ones((n, 1))], axis=1) * w[:, None]
         y = (self.own(b) - self.constants(b, False))[rows, t] * w[:, None]
-        c = ridge(x, y, self.color[b], stein * (w**2).sum(), extra)
+        return normal(x, y, self.color[b], stein * (w**2).sum(), extra)
+
+    def fit_color(self, b: int, stein: float, extra: float) -> np.ndarray:
+        c = np.linalg.solve(*self.color_normal(b, stein, extra)).T
         c[:, :4] *= 2 * self.scale / np.linalg.norm(np.diag(c[:, :4]))
-        self.color[b] = c
+        return c
 
-    def deconvolve(self, b: int, sides: bool) -> np.ndarray:
-        """n x len x 4: constants removed, colors and phasing inverted over the block, with its neighbours' parts of the buffer if sides."""
+    def reach(self, b: int, side: int) -> tuple[int, int]:
+        """First cycle and end of what a solve of block b takes in: side -1 the block alone, 0 the buffer before it too, 1 that after it too."""
         _, start, length, lo, size = self.plan[b]
-        parts = [k for k in range(len(self.plan)) if k == b or sides and abs(k - b) == 1]
-        z, m = [], []
-        for k in parts:
-            _, s, n, klo, ksize = self.plan[k]
-            first, last = (max(s, lo), min(s + n, lo + size)) if sides else (start, start + length)
-            if first >= last:
-                continue
-            y = (self.own(k) - self.constants(k, True))[:, first - s : last - s]
-            z.append(y @ np.linalg.inv(self.color[k][:, :4]).T)
-            rows = np.zeros((last - first, size))
-            a, e = max(lo, klo), min(lo + size, klo + ksize)
-            rows[:, a - lo : e - lo] = self.phase[k][first - s : last - s, a - klo : e - klo]
-            m.append(rows)
-        z, m = np.concatenate(z, axis=1), np.concatenate(m, axis=0)
-        if not sides:
-            m = m[:, start - lo : start - lo + length]
-            return np.einsum("ts,nsk->ntk", np.linalg.inv(m), z)
-        return np.einsum("ts,nsk->ntk", np.linalg.inv(m), z)[:, start - lo : start - lo + length]
-
-    def weigh(self, b: int, wl: float) -> None:
+        return (start if side < 0 else lo), (lo + size if side > 0 else start + length)
+
+    def deconvolve(self, b: int, side: int) -> np.ndarray:
+        """n x len x 4: constants removed, colors and phasing inverted over the cycles within reach; neighbours' rows come from their blocks."""
+        _, start, length, _, _ = self.plan[b]
+        first, last = self.reach(b, side)
+        z, m = [], np.zeros((last - first, last - first))
+        for k, (_, s, n, klo, ksize) in enumerate(self.plan):
+            lo, hi = max(s, first), min(s + n, last)
+            if lo < hi:
+                y = (self.own(k) - self.constants(k, True))[:, lo - s : hi - s]
+                z.append(y @ np.linalg.inv(self.color[k][:, :4]).T)
+                a, e = max(first, klo), min(last, klo + ksize)
+                m[lo - first : hi - first, a - first : e - first] = self.phase[k][lo - s : hi - s, a - klo : e - klo]
+        own = np.linalg.inv(m)[start - first : start - first + length]
+        return np.einsum("ts,nsk->ntk", own, np.concatenate(z, axis=1))
+
+    def predicted(self, b: int, side: int = 1) -> np.ndarray:
+        """n x len x 4: the block's signal without constants, from the calls within reach."""
+        first, last = self.reach(b, side)
+        lo = self.plan[b][3]
+        part = slice(first - lo, last - lo)
+        return np.einsum("ts,nsk->ntk", self.phase[b][:, :-2][:, part], self.source(b)[:, part]) @ self.color[b][:, :4].T
+
+    def weigh(self, b: int, wl: float, side: int = 1) -> None:
+        """Brightness and weight of each cluster in block b, from how its signal fits the prediction."""
         length = self.plan[b][2]
-        y = self.own(b) - self.constants(b, True)
-        h = np.einsum("ts,nsk->ntk", self.phase[b][:, :-2], self.source(b)) @ self.color[b][:, :4].T
-        hh = (h * h).sum(axis=(1, 2))
-        s = np.clip((h * y).sum(axis=(1, 2)) / np.maximum(hh, 1e-12), 0.2, 5)
+        y, h = self.own(b) - self.constants(b, True), self.predicted(b, side)
+        s = np.clip((h * y).sum(axis=(1, 2)) / np.maximum((h * h).sum(axis=(1, 2)), 1e-12), 0.2, 5)
         err = ((s[:, None, None] * h - y) ** 2).sum(axis=(1, 2)) / (4 * length * max(self.color[b][:, :4].max() ** 2, 1e-12))
         self.w[b] = np.exp(-wl * err)
         self.lam[b] *= s
         self.lam[b] /= self.lam[b].mean()
 
-    def solve(self, sides: bool, wl: float, weigh: list[bool]) -> None:
-        for b, (_, start, length, _, _) in enumerate(self.plan):
-            z = self.deconvolve(b, sides)
+    def solve(self, blocks: range | list[int], side: int, wl: float, weigh) -> None:
+        """New signals and calls of the blocks, then their brightness and weights where weigh(block)."""
+        for b in blocks:
+            _, start, length, _, _ = self.plan[b]
+            z = self.deconvolve(b, side)
             self.out[:, start : start + length] = z
             self.calls[:, start : start + length] = calls_of(z)
-        for b in range(len(self.plan)):
-            if weigh[b]:
-                self.weigh(b, wl)
-
-    def run(self, rounds: int, fast: bool = False) -> np.ndarray:
-        stein, wl = (0.05, 30.0) if self.fresh else (0.01, 40.0)
-        self.solve(False, wl, [True] * len(self.plan))
-        for i in range(rounds):
-            extra = rounds - i + 1 - 2 * (i > 0) if rounds > 1 else 0
-            for b in range(len(self.plan)):
-                self.fit_phase(b, stein, extra)
-            for b in range(len(self.plan)):
-                self.fit_color(b, stein, extra)
-            last = i == rounds - 1
-            self.solve(True, wl, [not last or (b == 0 and not fast) for b in range(len(self.plan))])
-            stein, wl = stein - 0.0162 if stein > 0.02 else stein / 1.5, 10.0 * (i + 4)
+        for b in blocks:
+            if weigh(b):
+                self.weigh(b, wl, side)
+
+    def run(self, rounds: list[Round], fast: bool = False) -> np.ndarray:
+        """All blocks' phasing from the old parameters, then all colors, then all signals, round by round. No rounds: the parameters are used as they are."""
+        every = range(len(self.plan))
+        if rounds:
+            self.solve(every, -1, rounds[0].wl, lambda b: True)
+        for r in rounds:
+            self.phase = [self.fit_phase(b, r.stein, r.extra) for b in every]
+            self.color = [self.fit_color(b, r.stein, r.extra) for b in every]
+            self.solve(every, 1, r.wl, lambda b, r=r: not r.last or (b == 0 and not fast))
         if not rounds:
-            self.solve(True, wl, [False] * len(self.plan))
+            self.solve(every, 1, 0.0, lambda b: False)
         return self.out if fast else neighbour_factor(self.out, self.calls, self.lam)
 
+    def run_serial(self, rounds: list[Round]) -> np.ndarray:
+        """The block-by-block variant: each block is fitted with what the blocks before it have just become; brightness follows neighbours at once, and no neighbour factor is taken out."""
+        every = range(len(self.plan))
+        for i, r in enumerate(rounds):
+            for b in every:
+                if i == 0:
+                    for k in ([b] if b == 0 else []) + ([b + 1] if b + 1 < len(self.plan) else []):
+                        if self.fresh:
+                            self.phase[k] = infer_phase(self.plan, self.phase, k)
+                        self.solve([k], 0, r.wl, lambda b: True)
+                self.phase[b] = self.fit_phase(b, r.stein, r.extra)
+                self.color[b] = self.fit_color(b, r.stein, r.extra)
+                self.solve([b], 1, r.wl, lambda b, r=r: not r.last or b == 0)
+        return self.out
+
     def params(self) -> Params:
         return Params(self.color, self.phase)
 
 
-def neighbour_factor(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """Divide each cycle after the first by the brightness that its base has after the base before it."""
-    if z.shape[1] < 2:
-        return z
+def neighbour_ratios(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """4 x 4: the light that a base has after the base before it, from the second cycle's clusters of middling light."""
     top, light = z[:, 1].max(axis=1), lam[0]
     mean = top.mean()
     use = (top > mean / 2) & (top < 2 * mean)
-    f = np.ones((4, 4))
+    f = np.empty((4, 4))
     for p in range(4):
         for c in range(4):
             m = use & (calls[:, 0] == p) & (calls[:, 1] == c)
-            f[p, c] = 0.1 + 0.9 * (mean + top[m].sum()) / (1 + light[m].sum()) / max(mean, 1e-12)
+            f[p, c] = 0.1 + 0.9 * (mean + top[m].sum()) / (1 + light[m].sum())
+    return f
+
+
+def neighbour_factor(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """Divide each cycle after the first by the light that its channels have after the base before it."""
+    if z.shape[1] < 2:
+        return z
     out = z.copy()
-    out[:, 1:] /= f[calls[:, :-1]]
+    out[:, 1:] /= neighbour_ratios(z, calls, lam)[calls[:, :-1]]
     return out
 
 
-def _kernel(rounds: int, fast: bool):
+def _kernel(chunk: int, iterations: int, fast: bool, serial: bool):
     """Clusters of one chunk of one (tile, end) and the parameters so far -> deconvolved clusters and a row (cluster -1) with the new parameters."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -243,41 +314,43 @@ def _kernel(rounds: int, fast: bool):
             return state(right["params"].iloc[0])
         left = left.sort_values("cluster")
         before = Params(*pickle.loads(right["params"].iloc[0])) if len(right) else None  # noqa: S301  our own bytes
-        chunk = Chunk(np.array([np.stack(s) for s in left["signal"]]), before)
-        z = chunk.run(rounds, fast)
-        p = chunk.params()
+        work, rounds = Chunk(np.array([np.stack(s) for s in left["signal"]]), before), schedule(chunk, iterations, fast, serial)
+        z = work.run_serial(rounds) if serial else work.run(rounds, fast)
+        p = work.params()
         rows = pd.DataFrame({"tile": key[0], "end_id": key[1], "cluster": left["cluster"].to_numpy(), "signal": [s.tolist() for s in z], "params": None})
         return pd.concat([rows, state(pickle.dumps((p.color, p.phase)))], ignore_index=True)
     return run
 
 
-def rounds_of(chunk: int, iterations: int, fast: bool) -> int:
-    if chunk == 0:
-        return iterations + 1
-    return 1 + (chunk < 2 or chunk < 4 and not fast)
+def in_chunks(clusters: DataFrame, most: int | None = None) -> DataFrame:
+    """clusters with their chunk: each (tile, end) is divided by its own numbers of clusters and cycles."""
+    keys = ["tile", "end_id"]
+    sizes = clusters.groupBy(*keys).agg(F.count("*").alias("total"), F.max(F.size("signal")).alias("cycles"))
+    size = F.lit(most) if most else chunk_size(F.ceil(F.col("cycles") / BLOCK))
+    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int"))
+    return clusters.join(F.broadcast(sizes), keys).withColumn("chunk", chunk_of(F.col("cluster"), F.col("total"), F.col("chunks"))).drop("total", "cycles")
+
 
+def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most: int | None = None, serial: bool = False) -> DataFrame:
+    """clusters (tile, end_id, cluster, signal) -> the same with deconvolved signals. All clusters of a tile have as many cycles and are numbered from 0.
 
-def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most: int | None = None) -> DataFrame:
-    """clusters (tile, end_id, cluster, signal) -> the same with deconvolved signals. All clusters of a tile have as many cycles."""
+    Chunks of a (tile, end) run one after another, as each starts from the parameters of the one before; (tile, end)s run side
+    by side. The table of (tile, end) sizes is broadcast: a row for each input file.
+    """
     from basewright.operators.state import kept
 
     iterations = 3 if fast and iterations == 4 else iterations
-    head = clusters.agg(F.max(F.size("signal"))).first()[0]
-    if not head:
+    data = kept(in_chunks(clusters.select("tile", "end_id", "cluster", "signal"), most))
+    chunks = data.agg(F.max("chunks")).first()[0]
+    if not chunks:
         return clusters.select("tile", "end_id", "cluster", "signal")
-    sizes = clusters.groupBy("tile", "end_id").agg(F.count("*").alias("total"))
-    most_in = sizes.agg(F.max("total")).first()[0]
-    size = most or chunk_size(len(block_plan(head)))
-    chunks = max(1, -(-most_in // size))
-    data = clusters.join(F.broadcast(sizes), ["tile", "end_id"]) if chunks > 1 else clusters.withColumn("total", F.lit(most_in))
-    data = kept(data.withColumn("chunk", chunk_of(F.col("cluster"), F.col("total"), chunks)))
     params, parts = None, []
     schema = "tile string, end_id int, cluster int, signal array<array<double>>, params binary"
     for k in range(chunks):
         now = data.where(F.col("chunk") == k).select("tile", "end_id", "cluster", "signal").groupBy("tile", "end_id")
         if params is None:
             params = data.sparkSession.createDataFrame([], "tile string, end_id int, params binary")
-        out = kept(now.cogroup(params.groupBy("tile", "end_id")).applyInPandas(_kernel(rounds_of(k, iterations, fast), fast), schema))
+        out = kept(now.cogroup(params.groupBy("tile", "end_id")).applyInPandas(_kernel(k, iterations, fast, serial), schema))
         params = out.where("cluster = -1").select("tile", "end_id", "params")
         parts.append(out.where("cluster >= 0").select("tile", "end_id", "cluster", "signal"))
     result = parts[0]

@@ -1,9 +1,7 @@
-"""Adjacent-cluster correction: grid, stripes, neighbour join, edge search and sparse solve, tile by tile."""
+"""Adjacent-cluster correction: grid, stripes, neighbour join, edge search and block-sparse solve, stripe by stripe."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,7 +48,8 @@ def cycle_width(signals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def threshold(widths: DataFrame, keys: list[str], ks: float = KS) -> DataFrame:
-    return widths.groupBy(*keys).agg((F.lit(1.5 * ks - 0.75) * F.sum(F.col("width") * F.col("top"))).alias("thr"), F.array_sort(F.collect_list(F.struct("cycle", "width"))).alias("w"))
+    """thr: (1.5 ks - 0.75) times the sum of the widths times the mean largest magnitude over all cycles and clusters."""
+    return widths.groupBy(*keys).agg((F.lit(1.5 * ks - 0.75) * F.sum("width") * F.avg("top")).alias("thr"), F.array_sort(F.collect_list(F.struct("cycle", "width"))).alias("w"))
 
 
 def objective(a: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -69,15 +68,6 @@ def edge_coefficients(x: np.ndarray, y: np.ndarray, width: np.ndarray, thr: np.n
     return lo
 
 
-def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in batches:
-        if d.empty:
-            continue
-        x, y = (np.array([np.stack(s) for s in d[c]], float) for c in ("si", "sj"))
-        width = np.array([[v["width"] for v in w] for w in d["w"]], float)
-        yield pd.DataFrame({"tile": d["tile"], "end_id": d["end_id"], "stripe": d["stripe"], "i": d["i"], "j": d["j"], "coef": edge_coefficients(x, y, width, d["thr"].to_numpy(float))})
-
-
 def jacobi(values: DataFrame, edges: DataFrame, rounds: int = 1) -> DataFrame:
     """values (keys..., cluster, v), edges (keys..., i, j, coef): X <- Z - (A - I) X, so many times."""
     keys = [c for c in values.columns if c not in ("cluster", "v")]
@@ -88,52 +78,121 @@ def jacobi(values: DataFrame, edges: DataFrame, rounds: int = 1) -> DataFrame:
     return now
 
 
-def _solve(d: pd.DataFrame) -> pd.DataFrame:
-    """One stripe: components of the edge graph are solved apart, each densely; a bounded number of pixels bounds them."""
-    ids = d["cluster"].to_numpy()
-    at = {c: k for k, c in enumerate(ids)}
-    z = np.array([np.stack(s) for s in d["signal"]], float)
-    edges = [(k, at[e["j"]], e["coef"]) for k, es in enumerate(d["edges"]) if es is not None for e in es if e["j"] in at]
-    parent = list(range(len(ids)))
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for i, j, _ in edges:
-        parent[find(i)] = find(j)
-    members: dict[int, list[int]] = {}
-    for k in range(len(ids)):
-        members.setdefault(find(k), []).append(k)
-    of: dict[int, list] = {}
-    for e in edges:
-        of.setdefault(find(e[0]), []).append(e)
-    out = z.copy()
-    for root, es in of.items():
-        rows = members[root]
-        place = {k: n for n, k in enumerate(rows)}
-        a = np.eye(len(rows))
-        for i, j, c in es:
-            a[place[i], place[j]] += c
-        out[rows] = np.linalg.solve(a, z[rows].reshape(len(rows), -1)).reshape(len(rows), *z.shape[1:])
+def occupied(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """The row on which each cluster, in order, finds its pixel free: later ones of a taken pixel go up by one row at a time."""
+    taken: set[tuple[int, int]] = set()
+    out = gy.copy()
+    for k, (x, y) in enumerate(zip(gx.tolist(), gy.tolist(), strict=True)):
+        while (x, y) in taken:
+            y += 1
+        taken.add((x, y))
+        out[k] = y
+    return out
+
+
+def edges_of(gx: np.ndarray, gy: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of clusters and the others that the pixel map holds within reach of their own pixel."""
+    row = occupied(gx, gy)
+    order = np.lexsort((row, gx))
+    key = gx.astype(np.int64) * (1 << 32) + row  # columns one after another, rows ascending
+    sorted_key = key[order]
+    left, right = [], []
+    for dx in range(-reach, reach + 1):
+        at = (gx.astype(np.int64) + dx) * (1 << 32) + gy
+        lo, hi = np.searchsorted(sorted_key, at - reach), np.searchsorted(sorted_key, at + reach, "right")
+        n = hi - lo
+        left.append(np.repeat(np.arange(len(gx)), n))
+        right.append(order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+    i, j = np.concatenate(left), np.concatenate(right)
+    return i[i != j], j[i != j]
+
+
+def block_solve(rows: np.ndarray, i: np.ndarray, j: np.ndarray, coef: np.ndarray, z: np.ndarray, height: int) -> np.ndarray:
+    """x of (I + coef at (i, j)) x = z, where edges reach no further than `height` rows: slabs of so many rows meet only the
+    next ones, so the matrix is block tridiagonal and is eliminated slab by slab. Memory is that of one slab pair's matrices a slab."""
+    slab = (rows - rows.min()) // height
+    order = np.argsort(slab, kind="stable")
+    numbers, starts = np.unique(slab[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    place, of = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows)) - np.repeat(starts, ends - starts)
+    of[order] = np.repeat(np.arange(len(numbers)), ends - starts)
+    if len(i) and np.abs(of[i] - of[j]).max() > 1:
+        raise ValueError("an edge reaches over a slab")
+    near = {d: np.flatnonzero(of[j] - of[i] == d) for d in (-1, 0, 1)}
+    near = {d: k[np.argsort(of[i[k]], kind="stable")] for d, k in near.items()}
+    cut = {d: np.searchsorted(of[i[k]], np.arange(len(numbers) + 1)) for d, k in near.items()}
+
+    def block(b: int, d: int) -> np.ndarray:
+        m = np.zeros((ends[b] - starts[b], ends[b + d] - starts[b + d]))
+        k = near[d][cut[d][b] : cut[d][b + 1]]
+        np.add.at(m, (place[i[k]], place[j[k]]), coef[k])
+        return m + np.eye(len(m)) if d == 0 else m
+
+    def solved(z: np.ndarray) -> np.ndarray:
+        ahead, rest = [], []
+        for b in range(len(numbers)):
+            diagonal, right = block(b, 0), z[order[starts[b] : ends[b]]]
+            if b:
+                low = block(b, -1)
+                diagonal, right = diagonal - low @ ahead[-1], right - low @ rest[-1]
+            up = block(b, 1) if b + 1 < len(numbers) else np.zeros((len(diagonal), 0))
+            both = np.linalg.solve(diagonal, np.hstack([up, right]))
+            ahead.append(both[:, : up.shape[1]])
+            rest.append(both[:, up.shape[1] :])
+        x, last = np.empty_like(z), None
+        for b in reversed(range(len(numbers))):
+            last = rest[b] if last is None else rest[b] - ahead[b] @ last
+            x[order[starts[b] : ends[b]]] = last
+        return x
+
+    def residual(x: np.ndarray) -> np.ndarray:
+        r = z - x
+        np.subtract.at(r, i, coef[:, None] * x[j])
+        return r
+
+    x = solved(z)
+    for _ in range(2):  # iterative refinement
+        r = residual(x)
+        if np.abs(r).max() <= 1e-9 * max(np.abs(z).max(), 1e-300):
+            return x
+        x = x + solved(r)
+    if not np.abs(residual(x)).max() <= 1e-6 * max(np.abs(z).max(), 1e-300):
+        raise np.linalg.LinAlgError("the neighbours' shares have no stable solution")
+    return x
+
+
+EDGES_A_BATCH = 20_000
+
+
+def _stripe(d: pd.DataFrame) -> pd.DataFrame:
+    """One stripe with its halo, each cluster once: neighbours, their shares, and the solve; core rows go out."""
+    d = d.sort_values("cluster")
+    ids, gx, gy, qd = (d[c].to_numpy() for c in ("cluster", "gx", "gy", "qd"))
+    shape = (len(d), -1, 4)
+    z, evidence = (np.array([np.concatenate(list(s)) for s in d[c]], float).reshape(shape) for c in ("signal", "evidence"))
+    width, thr = np.array([w["width"] for w in d["w"].iloc[0]], float)[None], float(d["thr"].iloc[0])
+    i, j = edges_of(gx, gy)
+    i, j = i[qd[i] < MAX_QD], j[qd[i] < MAX_QD]
+    coef = np.zeros(len(i))
+    for at in range(0, len(i), EDGES_A_BATCH):
+        k = slice(at, at + EDGES_A_BATCH)
+        coef[k] = edge_coefficients(evidence[i[k]], evidence[j[k]], width, np.full(len(i[k]), thr))
+    on = coef > 0
+    flat = z.reshape(len(z), -1)
+    out = block_solve(gy, i[on], j[on], coef[on], flat, int(np.abs(gy[i[on]] - gy[j[on]]).max(initial=REACH))).reshape(z.shape)
     core = d["in_core"].to_numpy(bool)
     return pd.DataFrame({"tile": d["tile"][core], "end_id": d["end_id"][core], "cluster": ids[core], "signal": [s.tolist() for s in out[core]]})
 
 
 def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15) -> DataFrame:
-    """signals, evidence (tile, end_id, cluster, signal), loc (tile, cluster, x, y) -> signals with the light of neighbours taken out."""
+    """signals, evidence (tile, end_id, cluster, signal), loc (tile, cluster, x, y) -> signals with the light of neighbours taken out.
+
+    Each cluster goes once to its stripe and to those whose halo holds it; a task holds a stripe of one (tile, end).
+    """
     keys = ["tile", "end_id"]
     ev = kept(cluster_quality(evidence))
     limits = threshold(cycle_width(ev, keys), keys, ks)
-    placed = kept(stripes(grid_snap(loc), F.col("extent"), size, halo))
-    near = neighbours(placed.select("tile", "stripe", "cluster", "gx", "gy"), ["tile", "stripe"])
-    left = ev.where(F.col("qd") < MAX_QD).select(*keys, F.col("cluster").alias("i"), F.col("signal").alias("si"))
-    right = ev.select(*keys, F.col("cluster").alias("j"), F.col("signal").alias("sj"))
-    pairs = near.join(left, ["tile", "i"]).join(right, [*keys, "j"]).join(limits, keys)
-    edges = pairs.select(*keys, "stripe", "i", "j", "si", "sj", "w", "thr").mapInPandas(_search, "tile string, end_id int, stripe int, i int, j int, coef double").where("coef > 0")
-    by_i = edges.groupBy(*keys, "stripe", "i").agg(F.collect_list(F.struct("j", "coef")).alias("edges")).withColumnRenamed("i", "cluster")
-    rows = signals.join(placed.select("tile", "cluster", "stripe", "in_core"), ["tile", "cluster"]).join(by_i, [*keys, "stripe", "cluster"], "left")
-    rows = rows.select(*keys, "stripe", "cluster", "in_core", "signal", "edges")
-    return rows.groupBy(*keys, "stripe").applyInPandas(_solve, "tile string, end_id int, cluster int, signal array<array<double>>")
+    placed = stripes(grid_snap(loc), F.col("extent"), size, halo).select("tile", "cluster", "gx", "gy", "stripe", "in_core")
+    rows = signals.join(ev.select(*keys, "cluster", "qd", F.col("signal").alias("evidence")), [*keys, "cluster"]).join(placed, ["tile", "cluster"]).join(F.broadcast(limits), keys)
+    return rows.groupBy(*keys, "stripe").applyInPandas(_stripe, "tile string, end_id int, cluster int, signal array<array<double>>")

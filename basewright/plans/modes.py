@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basewright.functions import expr as E
 from basewright.operators.estimate import basecall
-from basewright.operators.quality import fastq, reads
+from basewright.operators.quality import FEATURES, fastq, reads
 from basewright.operators.spatial import correct_acc
 from basewright.operators.state import kept
 
@@ -30,6 +30,8 @@ class Options:
     def __post_init__(self):
         if not (self.tensor or self.quality or self.again):
             raise ValueError("one of tensor, quality and again is needed")
+        if (self.again or self.quality and not self.tensor) and len(self.weights) != FEATURES:
+            raise ValueError(f"qualities need a model of {FEATURES} weights")
 
 
 def quantised(signals: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def run(signals: DataFrame, loc: DataFrame, options: Options) -> dict[str, DataF
         z = clean if not options.spatial and not options.tensor else kept(correct_acc(clean, clean, loc))
         if options.tensor:
             out["tensor"] = quantised(z)
-        out["reads"] = fastq(reads(z, keys, options.weights or [0.0] * 70, constant=options.tensor))
+        out["reads"] = fastq(reads(z, keys, options.weights or [0.0] * FEATURES, constant=options.tensor))
     else:
         out["tensor"] = quantised(correct_acc(signals, clean, loc) if options.spatial else signals)
     return out

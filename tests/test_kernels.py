@@ -36,7 +36,7 @@ def frame(spark, x, tile="t"):
 @pytest.mark.parametrize("fast", [False, True])
 def test_deconvolution_recovers_calls(fast):
     truth, x = simulated()
-    z = estimate.Chunk(x).run(5, fast)
+    z = estimate.Chunk(x).run(estimate.schedule(0, 3 if fast else 4, fast), fast)
     assert (estimate.calls_of(z) == truth).mean() > 0.99
 
 
@@ -70,7 +70,7 @@ def test_spatial_correction(spark):
     assert all(np.allclose(same[i], x[i]) for i in range(n))
 
 
-@pytest.mark.parametrize("options,wanted", [(Options(quality=True), {"reads"}), (Options(tensor=True, quality=True, inner=True), {"reads", "tensor", "inner"}), (Options(again=True, tensor=True, weights=synthetic_weights()), {"reads", "tensor"}), (Options(tensor=True, spatial=False), {"tensor"})])
+@pytest.mark.parametrize("options,wanted", [(Options(quality=True, weights=synthetic_weights()), {"reads"}), (Options(tensor=True, quality=True, inner=True), {"reads", "tensor", "inner"}), (Options(again=True, tensor=True, weights=synthetic_weights()), {"reads", "tensor"}), (Options(tensor=True, spatial=False), {"tensor"})])
 def test_modes(spark, options, wanted):
     _, x = simulated(60, 8)
     loc = spark.createDataFrame([("t", i, float(i * 3 % 50), float(i * 7 % 40)) for i in range(60)], "tile string, cluster int, x double, y double")
@@ -79,8 +79,10 @@ def test_modes(spark, options, wanted):
 
 
 def test_mode_is_needed():
-    with pytest.raises(ValueError):
-        Options()
+    for wrong in ({}, {"quality": True}, {"again": True}, {"quality": True, "weights": [1.0]}):
+        with pytest.raises(ValueError):
+            Options(**wrong)
+    Options(tensor=True, quality=True)
 
 
 def test_cif(spark, tmp_path):
