@@ -74,3 +74,33 @@ def md_flags(md: Column) -> Column:
     tokens = F.regexp_extract_all(md, F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), 1)
     one = lambda t: F.when(t.rlike(r"^\d+$"), F.array_repeat(F.lit(2), t.cast("int"))).when(t.startswith("^"), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
     return F.flatten(F.transform(tokens, one))
+
+
+def rotated(signal: Column) -> Column:
+    """Channels of cycles instead of cycles of channels, and back."""
+    width = F.size(F.element_at(signal, 1))
+    return F.transform(F.sequence(F.lit(1), width), lambda c: F.transform(signal, lambda v: F.element_at(v, c)))
+
+
+def assigned(signal: Column, index: Column | int, value: Column) -> Column:
+    """signal with the part at an index (from 0) replaced."""
+    at = F.lit(index) if isinstance(index, int) else index
+    return F.transform(signal, lambda v, i: F.when(i == at, value).otherwise(v))
+
+
+def multiplied(signal: Column, matrix: list[list[float]]) -> Column:
+    """matrix times the channels of each cycle."""
+    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in matrix]
+    dot = lambda v, row: F.aggregate(F.zip_with(v, row, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.transform(signal, lambda v: F.array(*[dot(v, row) for row in rows]))
+
+
+def picked(values: Column, mask: Column) -> Column:
+    """The elements where the mask (an array of booleans) is true, in order."""
+    both = F.filter(F.zip_with(values, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda x: x["m"])
+    return F.transform(both, lambda x: x["v"])
+
+
+def gathered(values: Column, indices: Column) -> Column:
+    """The elements at the indices (from 0), in their order; null beyond the ends."""
+    return F.transform(indices, lambda i: F.try_element_at(values, i + 1))

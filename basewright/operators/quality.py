@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewright.functions import expr as E
@@ -15,36 +15,53 @@ def synthetic_weights() -> list[float]:
     return [((i * 37) % 19 - 9) / 10 for i in range(1, FEATURES + 1)]
 
 
+def with_scores(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cycles, tsr, var, sig, n: cycles is an array with v, call, gap, top, second, rank (of the runner-up among the other channels) and prev of each cycle; the others are the read's. All in the row, without a shuffle."""
+    t = signals.select(*keys, "signal")
+    one = lambda v: F.struct(v.alias("v"), E.call(v).alias("call"), E.gap(v).alias("gap"), F.array_max(v).alias("top"), E.runner_up(v).alias("second"))
+    t = t.select(*keys, F.transform("signal", one).alias("c"), F.size("signal").cast("long").alias("n"))
+    before = F.transform("c", lambda x, i: F.struct(*[x[f].alias(f) for f in ("v", "call", "gap", "top", "second")], (x["second"] - (x["second"] > x["call"]).cast("int")).alias("rank"), F.when(i > 0, F.try_element_at("c", i)["call"]).alias("prev")))
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, x: a + f(x)) / F.col("n")
+    t = t.withColumn("tsr", total(lambda x: x["gap"]))
+    return t.select(*keys, before.alias("cycles"), "tsr", total(lambda x: (x["gap"] - F.col("tsr")) ** 2).alias("var"), total(lambda x: x["top"]).alias("sig"), "n")
+
+
 def scored_cycles(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each cycle: keys, cycle, v, call, rank (of the runner-up among the other channels), gap, prev, and the read's tsr, var, sig, n."""
-    long = signals.select(*keys, F.posexplode("signal").alias("cycle", "v"))
-    long = long.withColumns({"call": E.call(F.col("v")), "gap": E.gap(F.col("v")), "top": F.array_max("v"), "second": E.runner_up(F.col("v"))})
-    long = long.withColumn("rank", F.col("second") - (F.col("second") > F.col("call")).cast("int"))
-    read, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("cycle")
-    return long.withColumns({"prev": F.lag("call").over(order), "tsr": F.avg("gap").over(read), "var": F.var_pop("gap").over(read), "sig": F.avg("top").over(read), "n": F.count("*").over(read)})
+    """A row for each cycle: keys, cycle, v, call, gap, top, second, rank, prev, and the read's tsr, var, sig, n."""
+    long = with_scores(signals, keys).select(*keys, F.posexplode("cycles").alias("cycle", "c"), "tsr", "var", "sig", "n")
+    return long.select(*keys, "cycle", *[f"c.{f}" for f in ("v", "call", "gap", "top", "second", "rank", "prev")], "tsr", "var", "sig", "n")
+
 
+def _bare(name: str) -> Column:
+    return F.col(name)
 
-def log_odds(weights: Column, compat: bool = True) -> Column:
-    """The score of a scored_cycles row. compat keeps feature 14's larger clamp at the first cycle."""
+
+def log_odds(weights: Column, compat: bool = True, of=_bare) -> Column:
+    """The score of a cycle; of gives its gap, var, sig, n, cycle, prev, call and rank by name, as scored_cycles has them. compat keeps feature 14's larger clamp at the first cycle."""
     w = lambda i: F.element_at(weights, i if isinstance(i, Column) else F.lit(i))
-    s = F.least(5 * F.col("gap"), F.lit(19.5))
+    s = F.least(5 * of("gap"), F.lit(19.5))
     b = E.hat_bin(s)
     beta = E.hat_beta(s, b)
-    var = F.least("var", F.lit(1.0))
-    sig = F.greatest(F.least("sig", F.lit(3.0)), F.lit(0.0))
-    first = F.greatest(F.least("sig", F.lit(30.0)), F.lit(3.0)) if compat else F.lit(3.0)
+    var = F.least(of("var"), F.lit(1.0))
+    sig = F.greatest(F.least(of("sig"), F.lit(3.0)), F.lit(0.0))
+    first = F.greatest(F.least(of("sig"), F.lit(30.0)), F.lit(3.0)) if compat else F.lit(3.0)
     z = w(b + 1) * beta + w(b + 2) * (1 - beta) + w(10) / (0.02 + F.sqrt(var)) + w(11) * F.log(0.02 + var) + w(12) / (0.01 + sig)
-    z += w(13) / (F.col("n") - F.col("cycle")) + w(14) * F.when(F.col("cycle") == 0, first).otherwise(3.0) + w(70)
-    z += F.when(F.col("cycle") <= 6, w(F.least("cycle", F.lit(6)) + 15)).otherwise(0.0)
-    return z + F.when(F.col("cycle") > 0, w(F.coalesce("prev", F.lit(0)) * 12 + F.col("call") * 3 + F.col("rank") + 22)).otherwise(0.0)
+    z += w(13) / (of("n") - of("cycle")) + w(14) * F.when(of("cycle") == 0, first).otherwise(3.0) + w(70)
+    z += F.when(of("cycle") <= 6, w(F.least(of("cycle"), F.lit(6)) + 15)).otherwise(0.0)
+    return z + F.when(of("cycle") > 0, w(F.coalesce(of("prev"), F.lit(0)) * 12 + of("call") * 3 + of("rank") + 22)).otherwise(0.0)
 
 
 def reads(signals: DataFrame, keys: list[str], weights: list[float], constant: bool = False) -> DataFrame:
-    """keys, seq, qual; constant: every quality is that of a log odds of 5."""
-    z = F.lit(5.0) if constant else log_odds(F.array(*[F.lit(float(w)) for w in weights]))
-    rows = scored_cycles(signals, keys).select(*keys, F.struct("cycle", E.base(F.col("call")).alias("b"), E.quality_char(E.phred(z)).alias("q")).alias("r"))
-    out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return out.select(*keys, F.array_join(F.col("r.b"), "").alias("seq"), F.array_join(F.col("r.q"), "").alias("qual"))
+    """keys, seq, qual; constant: every quality is that of a log odds of 5. Each read stays in its row."""
+    table = F.array(*[F.lit(float(w)) for w in weights])
+
+    def quality(x: Column, i: Column) -> Column:
+        read = {n: F.col(n) for n in ("var", "sig", "n")} | {"cycle": i}
+        z = F.lit(5.0) if constant else log_odds(F.col("w"), of=lambda name: read[name] if name in read else x[name])
+        return E.quality_char(E.phred(z))
+
+    t = with_scores(signals, keys).withColumn("w", table)
+    return t.select(*keys, F.array_join(F.transform("cycles", lambda x: E.base(x["call"])), "").alias("seq"), F.array_join(F.transform("cycles", quality), "").alias("qual"))
 
 
 def fastq(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +14,47 @@ from basewright.operators.quality import FEATURES, scored_cycles
 MOST, C = 29_000_000, 0.2
 
 
-def labelled(signals: DataFrame, alignments: DataFrame, most: int = MOST) -> DataFrame:
-    """A row for each known base: scored_cycles' columns and label 1 (match) or 0; reverse reads are turned round."""
+def matched(signals: DataFrame, alignments: DataFrame) -> DataFrame:
+    """A row for each cycle of aligned reads: scored_cycles' columns and label, 1 (match), 0 or null (beyond the tag); reverse reads are turned round."""
     keys = ["tile", "cluster"]
     flags = E.md_flags(F.col("md"))
     al = alignments.select(*keys, F.when(F.col("flag").bitwiseAND(16) != 0, F.reverse(flags)).otherwise(flags).alias("flags"))
-    rows = scored_cycles(signals, keys).join(al, keys).withColumn("label", F.try_element_at("flags", F.col("cycle") + 1) - 1).where("label IS NOT NULL").drop("flags")
-    total = rows.count()
-    if total <= most:
+    return scored_cycles(signals, keys).join(al, keys).withColumn("label", F.try_element_at("flags", F.col("cycle") + 1) - 1).drop("flags")
+
+
+def labelled(signals: DataFrame, alignments: DataFrame, most: int = MOST) -> DataFrame:
+    """The known bases of matched.
+
+    At most about `most` of them: of N clusters of c cycles, with n the lesser of most and N * c, the first (N / 2 - n / c) / 2 are
+    passed over and so many after them taken that there are no more than n known bases. A cluster is taken whole or not at all.
+    """
+    rows = matched(signals, alignments).where("label IS NOT NULL")
+    size = signals.agg((F.max("cluster") + 1).alias("clusters"), F.max(F.size("signal")).alias("cycles")).first()
+    if not size.clusters or not size.cycles:
+        return rows
+    n = min(most, size.clusters * size.cycles)
+    start = max(0, math.ceil((size.clusters / 2 - n / size.cycles) / 2))
+    rows, width = rows.where(F.col("cluster") >= start), max(1, size.clusters)
+    if rows.count() <= n:
         return rows
-    n = signals.agg(F.max("cluster")).first()[0] + 1
-    half = int(n * most / total / 2)
-    return rows.where(F.col("cluster").between(n // 2 - half, n // 2 + half))
+    low, end = start, start + width
+    while end - low > 1:  # the last cluster that still fits, by counts of 1,000 stretches at a time
+        step, room = max(1, -(-(end - low) // 1000)), n - rows.where(F.col("cluster") < low).count()
+        counts = {r.k: r["count"] for r in rows.where(F.col("cluster").between(low, end - 1)).groupBy(F.floor((F.col("cluster") - low) / step).alias("k")).count().collect()}
+        k = 0
+        while k * step < end - low and counts.get(k, 0) <= room:
+            room -= counts.get(k, 0)
+            k += 1
+        low, end = low + k * step, min(end, low + (k + 1) * step)
+        if step == 1:
+            break
+    return rows.where(F.col("cluster") < low)
+
+
+def diagnostics(signals: DataFrame, alignments: DataFrame) -> DataFrame:
+    """mean_s and sd_s of the score basis' variable over all cycles of aligned reads, and the number of mismatched bases."""
+    s = F.least(5 * F.col("gap"), F.lit(19.5))
+    return matched(signals, alignments).agg(F.avg(s).alias("mean_s"), F.stddev_pop(s).alias("sd_s"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("mismatches"))
 
 
 def features(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basewright.functions import expr as E
+
 _HEADER, _WIDTHS = 13, {1: "<i1", 2: "<i2", 4: "<i4"}
 CLUSTERS_A_BATCH = 4096
 
@@ -66,6 +68,99 @@ def read_cif_folders(spark: SparkSession, path: str, first: int, last: int, comp
     return have.select("tile", "cluster", F.transform(F.sequence(F.lit(first), F.lit(last)), lambda c: F.coalesce(F.try_element_at("m", c), zero)).alias("signal"))
 
 
+def output_name(tile: str, prefix: str = "", suffix: str = "", end: int | None = None, inner: bool = False) -> str:
+    """A result's name without its folder and extension: the end's number where a run has several, `inner` for the inner tensor."""
+    return prefix + tile + suffix + ("_inner" if inner else "" if end is None else f"_end{end}")
+
+
+def _put(path: str, data: bytes) -> str:
+    """Write a file, through pyarrow's file systems, so that any store it knows works from an executor."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(name) as out:
+        out.write(data)
+    return path
+
+
+def _joined(parts: list[str]) -> str:
+    return "/".join(p.rstrip("/") for p in parts)
+
+
+def write_cif(signals: DataFrame, path: str, prefix: str = "", suffix: str = "", first: int = 0, folders: bool = False, scale: bool | None = None) -> list[str]:
+    """Write signals (tile, cluster, signal) as intensity files of int16 and return their paths.
+
+    folders: one file for each cycle, C{n}.1/<tile>.cif with n from first + 1 on, else one file a tile. Values in unit scale, tile
+    by tile (scale: so or not for all), are written times 4000. A task holds a cycle's plane, or the planes of one tile's file;
+    clusters are written in their order. The folder must be one that all executors can write to.
+    """
+    big = F.aggregate(F.flatten("signal"), F.lit(0), lambda a, x: a + (F.abs(x) > 10).cast("int"))
+    unit = F.sum(big) < 0.5 * F.sum(F.size(F.flatten("signal"))) if scale is None else F.first(F.lit(scale))
+    factors = signals.groupBy("tile").agg(F.when(unit, 4000.0).otherwise(1.0).alias("factor"))
+    planes = signals.select("tile", "cluster", F.posexplode("signal").alias("cycle", "v")).join(F.broadcast(factors), "tile")
+    values = planes.select("tile", "cycle", "cluster", F.transform("v", lambda x: E.quantise(x, F.col("factor"))).alias("v"))
+
+    def plane(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("cluster")
+        data, tile, cycle = np.stack(d["v"].to_numpy()).T.astype("<i2"), d["tile"].iloc[0], int(d["cycle"].iloc[0])
+        name = ""
+        if folders:
+            name = _put(_joined([path, f"C{first + cycle + 1}.1", output_name(tile, prefix, suffix) + ".cif"]), cif_bytes(data[None]))
+        return pd.DataFrame({"tile": [tile], "cycle": [cycle], "clusters": [data.shape[1]], "name": [name], "data": [b"" if folders else data.tobytes()]})
+
+    def whole(d: pd.DataFrame) -> pd.DataFrame:
+        d, clusters = d.sort_values("cycle"), int(d["clusters"].iloc[0])
+        head = b"CIF" + bytes([1, 2]) + struct.pack("<HHI", 1, len(d), clusters)
+        return pd.DataFrame({"name": [_put(_joined([path, output_name(d["tile"].iloc[0], prefix, suffix) + ".cif"]), head + b"".join(d["data"]))]})
+
+    out = values.groupBy("tile", "cycle").applyInPandas(plane, "tile string, cycle int, clusters long, name string, data binary")
+    if not folders:
+        out = out.groupBy("tile").applyInPandas(whole, "name string")
+    return sorted(r.name for r in out.select("name").collect())  # a name a file
+
+
+def read_cif_ranges(spark: SparkSession, path: str, clusters: int = 50_000, cycles: tuple[int, int] | None = None, compat: bool = False) -> DataFrame:
+    """As read_cif, for files of any size: a row for each file and range of clusters is dealt out, and a task reads only the pieces of
+    the planes that its range needs. The store must be one that pyarrow knows; read_cif works with any that Spark reads."""
+    begin, count = (cycles[0] - 1, cycles[1] - cycles[0] + 1) if cycles else (0, None)
+
+    def opened(p: str):
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
+        return where.open_input_file(name)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows = []
+            for p in d["path"]:
+                with opened(p) as f:
+                    rows.append((p, *cif_header(f.read(_HEADER), compat)))
+            yield pd.DataFrame([(p, width, n_cycles, n) for p, width, _, n_cycles, n in rows], columns=["path", "width", "cycles", "n"])
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for p, width, n_cycles, n, at in zip(d["path"], d["width"], d["cycles"], d["n"], d["at"], strict=True):
+                lo, k = (begin, count) if count is not None and begin + count <= n_cycles else (0, n_cycles)
+                m = min(clusters, n - at)
+                x = np.empty((m, k, 4))
+                with opened(p) as f:
+                    for cycle in range(k):
+                        for channel in range(4):
+                            f.seek(_HEADER + width * (((lo + cycle) * 4 + channel) * n + at))
+                            x[:, cycle, channel] = np.frombuffer(f.read(width * m), _WIDTHS[width])
+                for a in range(0, m, CLUSTERS_A_BATCH):
+                    part = x[a : a + CLUSTERS_A_BATCH]
+                    yield pd.DataFrame({"path": p, "cluster": np.arange(at + a, at + a + len(part), dtype=np.int32), "signal": [s.tolist() for s in part]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cif").load(path).select("path")
+    known = files.mapInPandas(heads, "path string, width int, cycles int, n long").where("n > 0")
+    dealt = known.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(clusters).cast("long"))))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "at")
+    return dealt.mapInPandas(ranges, "path string, cluster int, signal array<array<double>>").select(_stem(r"\.cif").alias("tile"), "cluster", "signal")
+
+
 def _clocs(data: bytes) -> np.ndarray:
     at, block, out = 5, 0, []
     while at < len(data):
@@ -91,7 +186,9 @@ _LOCATIONS = {".clocs": _clocs, ".locs": _locs, "_pos.txt": _pos}
 
 
 def read_locations(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """tile, cluster, x, y from files that end with suffix (.clocs, .locs or _pos.txt)."""
+    """tile, cluster, x, y from files that end with suffix (.clocs, .locs or _pos.txt); another suffix is an error, no such file gives no rows."""
+    if suffix not in _LOCATIONS:
+        raise ValueError(f"no reader for locations in *{suffix}; there are {', '.join(_LOCATIONS)}")
     parse = _LOCATIONS[suffix]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,12 +205,26 @@ def locations_text(loc: DataFrame) -> DataFrame:
     return loc.select("tile", "cluster", F.format_string("%.2f %.2f", "x", "y").alias("value"))
 
 
+def convert_locations(spark: SparkSession, path: str, to: str) -> list[str]:
+    """Every .locs file of a folder as <base>_pos.txt in another; the paths written. A task holds a file."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            names = []
+            for p, data in zip(d["path"], d["content"], strict=True):
+                text = "".join(f"{x:.2f} {y:.2f}\n" for x, y in _locs(data))
+                names.append(_put(_joined([to, p.rpartition("/")[2].removesuffix(".locs") + "_pos.txt"]), text.encode()))
+            yield pd.DataFrame({"name": names})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.locs").load(path).select("path", "content")
+    return sorted(r.name for r in files.mapInPandas(run, "name string").collect())
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """tile, cluster, flag, rname, cigar, md of aligned reads without gaps; the cluster comes from the read's name Cluster_<tile>_<n>."""
     f = F.split("value", "\t")
     t = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(f) > 10))
     name = r"^Cluster_(.*)_(\d+)$"
-    t = t.select(F.regexp_extract(f[0], name, 1).alias("tile"), (F.regexp_extract(f[0], name, 2).cast("int") - 1).alias("cluster"), f[1].cast("int").alias("flag"), f[2].alias("rname"), f[5].alias("cigar"), F.regexp_extract("value", r"\tMD:Z:(\S+)", 1).alias("md"))
+    t = t.select(F.regexp_extract(f[0], name, 1).alias("tile"), (F.regexp_extract(f[0], name, 2).try_cast("int") - 1).alias("cluster"), f[1].try_cast("int").alias("flag"), f[2].alias("rname"), f[5].alias("cigar"), F.regexp_extract("value", r"\tMD:Z:(\S+)", 1).alias("md"))
     return t.where(~F.col("rname").startswith("*") & ~F.col("cigar").rlike("[DI]") & (F.col("md") != ""))
 
 
@@ -121,6 +232,10 @@ def model_text(weights: list[float]) -> str:
     return "#MD3DECFQ\n" + "".join(f"{w:6.4g}," for w in weights) + "\n"
 
 
+def write_model(weights: list[float], path: str) -> str:
+    return _put(path, model_text(weights).encode())
+
+
 def parse_model(text: str) -> list[float]:
     head, _, rest = text.partition("\n")
     if head.strip() != "#MD3DECFQ":

@@ -132,3 +132,144 @@ def test_training_finds_the_gap(spark, tmp_path):
     rows = labelled(frame(spark, x), al)
     w = train(features(rows))
     assert len(w) == 70 and w[4] + w[3] > w[0]
+
+
+def test_writers_and_range_reader(spark, tmp_path):
+    """What is written is read back: whole files, folders of cycles, ranges of clusters, with names, scale and clamps."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.4, (23, 5, 4))
+    x[0, 0] = [9, -9, 0.00026, -0.0003]
+    s = frame(spark, x, "s_1").unionByName(frame(spark, x * 4000, "s_2"))
+    want = np.clip(np.trunc(np.minimum(x * 4000, 32767) + 0.5), -32768, 32767)
+    names = formats.write_cif(s, str(tmp_path / "a"), "p_", "_q")
+    assert [n.rpartition("/")[2] for n in names] == ["p_s_1_q.cif", "p_s_2_q.cif"]
+    head = (tmp_path / "a/p_s_1_q.cif").read_bytes()[:13]
+    assert head == b"CIF" + bytes([1, 2]) + struct.pack("<HHI", 1, 5, 23)
+    for read in (lambda: formats.read_cif(spark, str(tmp_path / "a")), lambda: formats.read_cif_ranges(spark, str(tmp_path / "a"), 7)):
+        got = {(r.tile, r.cluster): np.array(r.signal) for r in read().collect()}
+        assert len(got) == 46 and all((got[(t, i)] == want[i]).all() for t in ("p_s_1_q", "p_s_2_q") for i in range(23))
+    part = {r.cluster: np.array(r.signal) for r in formats.read_cif_ranges(spark, names[0], 10, (2, 4)).collect()}
+    assert all((part[i] == want[i, 1:4]).all() for i in range(23)) and len(part) == 23
+    assert len(formats.write_cif(s.where("tile = 's_1'"), str(tmp_path / "b"), first=10, folders=True)) == 5
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == [f"C{n}.1" for n in range(11, 16)]
+    got = {r.cluster: np.array(r.signal) for r in formats.read_cif_folders(spark, str(tmp_path / "b"), 11, 15).collect()}
+    assert all((got[i] == want[i]).all() for i in range(23))
+    assert formats.output_name("t", "a", "b", 1) == "atb_end1" and formats.output_name("t", inner=True) == "t_inner"
+
+
+def test_location_and_model_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / f"in/{name}.locs").write_bytes(struct.pack("<ifi4f", 1, 1.0, 2, 1.504, 2.5, 3, 4))
+    assert len(formats.convert_locations(spark, str(tmp_path / "in"), str(tmp_path / "out"))) == 2
+    assert (tmp_path / "out/x_pos.txt").read_text() == "1.50 2.50\n3.00 4.00\n"
+    with pytest.raises(ValueError):
+        formats.read_locations(spark, str(tmp_path), ".xyz")
+    assert formats.read_locations(spark, str(tmp_path / "out"), ".clocs").count() == 0
+    formats.write_model(synthetic_weights(), str(tmp_path / "m.model"))
+    assert formats.read_model(spark, str(tmp_path / "m.model")) == synthetic_weights()
+
+
+def test_layout_expressions(spark):
+    d = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]],)], "s array<array<double>>")
+    s = F.col("s")
+    r = d.select(E.rotated(s).alias("a"), E.assigned(s, 1, F.array(F.lit(0.0), F.lit(9.0))).alias("b"), E.multiplied(s, [[1, 1], [0, 2]]).alias("c"), E.gathered(s, F.array(F.lit(2), F.lit(0), F.lit(7))).alias("g"), E.picked(s, F.array(F.lit(True), F.lit(False), F.lit(True))).alias("p")).first()
+    assert r.a == [[1, 3, 5], [2, 4, 6]] and r.b == [[1, 2], [0, 9], [5, 6]] and r.c == [[3, 4], [7, 8], [11, 12]] and r.g == [[5, 6], [1, 2], None] and r.p == [[1, 2], [5, 6]]
+
+
+def test_centred_sample(spark):
+    x = np.random.default_rng(6).uniform(0, 1, (40, 6, 4))
+    al = spark.createDataFrame([("t", i, 0, "6") for i in range(40) if i % 5], "tile string, cluster int, flag int, md string")
+    assert labelled(frame(spark, x), al).count() == 32 * 6
+    few = labelled(frame(spark, x), al, most=60)
+    clusters = sorted({r.cluster for r in few.collect()})
+    known = [i for i in range(5, 40) if i % 5]
+    assert clusters == known[:10] and few.count() == 60
+
+
+def test_block_elimination_equals_dense():
+    rng = np.random.default_rng(7)
+    n = 300
+    gx, gy = rng.integers(0, 40, n), rng.integers(0, 120, n)
+    i, j = spatial.edges_of(gx, gy)
+    coef = rng.uniform(0, 0.3, len(i))
+    a = np.eye(n)
+    np.add.at(a, (i, j), coef)
+    z = rng.normal(size=(n, 5))
+    got = spatial.block_solve(gy, i, j, coef, z, int(np.abs(gy[i] - gy[j]).max()))
+    assert np.abs(a @ got - z).max() < 1e-8 and np.abs(got - np.linalg.solve(a, z)).max() < 1e-6
+
+
+def test_pixel_map_and_edges():
+    rng = np.random.default_rng(8)
+    gx, gy = rng.integers(0, 12, 80), rng.integers(0, 12, 80)
+    cells, row = {}, []
+    for k in range(80):
+        y = int(gy[k])
+        while (int(gx[k]), y) in cells:
+            y += 1
+        cells[(int(gx[k]), y)] = k
+        row.append(y)
+    assert spatial.occupied(gx, gy).tolist() == row
+    want = {(k, cells[(x, y)]) for k in range(80) for x in range(gx[k] - 4, gx[k] + 5) for y in range(gy[k] - 4, gy[k] + 5) if cells.get((x, y), k) != k}
+    got = list(zip(*(v.tolist() for v in spatial.edges_of(gx, gy)), strict=True))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_threshold_by_hand(spark):
+    """Two clusters, two cycles: widths from the second-least magnitudes, mean largest 1.5."""
+    x = np.array([[[1, 0.5, 0.2, 0.0], [2, 0.5, 0.1, 0.0]], [[1, 0.5, 0.4, 0.1], [2, 0.5, 0.1, 0.0]]])
+    t = spatial.threshold(spatial.cycle_width(frame(spark, x), ["tile"]), ["tile"]).first()
+    second = [[sorted(abs(v))[1] for v in c] for c in x]
+    widths = [2 / (second[0][t] + second[1][t]) for t in range(2)]
+    assert abs(t.thr - 0.3 * sum(widths) * 1.5) < 1e-12 and [round(v.width, 9) for v in t.w] == [round(w, 9) for w in widths]
+
+
+def test_chunks_by_tile(spark):
+    """A tile's chunks depend on its own size; boundaries as by the rounding rule."""
+    rows = [(t, 0, i, [[0.0] * 4]) for t, n in (("a", 50), ("b", 7)) for i in range(n)]
+    d = spark.createDataFrame(rows, "tile string, end_id int, cluster int, signal array<array<double>>")
+    got = {(r.tile, r.cluster): r.chunk for r in estimate.in_chunks(d, 12).collect()}
+    for t, n in (("a", 50), ("b", 7)):
+        k = -(-n // 12)
+        bounds = [int(np.floor(n / k * b + 0.5)) for b in range(1, k)]
+        assert all(got[(t, i)] == sum(i >= b for b in bounds) for i in range(n))
+
+
+def test_schedules():
+    r = estimate.schedule(0, 4, False)
+    assert [x.extra for x in r] == [6, 3, 2, 1, 0] and [x.wl for x in r] == [30, 40, 50, 60, 70] and [round(x.stein, 6) for x in r] == [0.05, 0.0338, 0.0176, round(0.0176 / 1.5, 6), round(0.0176 / 2.25, 6)]
+    assert [len(estimate.schedule(k, 3, True)) for k in range(9)] == [4, 2, 0, 0, 1, 0, 0, 0, 1] and [len(estimate.schedule(k, 4, False)) for k in range(6)] == [5, 2, 2, 2, 1, 1]
+    assert [len(estimate.schedule(k, 4, False, True)) for k in range(3)] == [4, 1, 1]
+
+
+def test_serial_schedule_and_reuse():
+    truth, x = simulated()
+    work = estimate.Chunk(x)
+    assert (estimate.calls_of(work.run_serial(estimate.schedule(0, 4, False, True))) == truth).mean() > 0.99
+    again = estimate.Chunk(x, work.params())
+    assert (estimate.calls_of(again.run([], True)) == truth).mean() > 0.99 and all((a == b).all() for a, b in zip(again.params().color, work.params().color, strict=True))
+
+
+def test_neighbour_ratios_by_hand():
+    z = np.array([[[1, 0, 0, 0], [2, 0, 0, 0]], [[1, 0, 0, 0], [4, 0, 0, 0]], [[0, 1, 0, 0], [0, 3, 0, 0]]], float)
+    f = estimate.neighbour_ratios(z, estimate.calls_of(z), np.array([[0.5, 1.5, 1.0]]))
+    assert abs(f[0, 0] - (0.1 + 0.9 * (3 + 6) / (1 + 2))) < 1e-12 and abs(f[1, 1] - (0.1 + 0.9 * (3 + 3) / 2)) < 1e-12 and abs(f[2, 3] - 2.8) < 1e-12
+
+
+def test_sparse_logistic_equals_proximal_gradient(spark):
+    """Spark's fit against a plain proximal gradient descent of the same objective."""
+    rng = np.random.default_rng(9)
+    n, c = 400, 0.2
+    x = np.zeros((n, 70))
+    for row in x:
+        row[rng.choice(69, 6, replace=False)] = rng.normal(size=6)
+    x[:, 69] = 1
+    y = (rng.uniform(size=n) < 1 / (1 + np.exp(-(x[:, :10].sum(axis=1) * 2 + 1)))).astype(int)
+    rows = spark.createDataFrame([(int(b), [(int(i), float(a[i])) for i in np.flatnonzero(a)]) for a, b in zip(x, y, strict=True)], "label int, x array<struct<i:int,v:double>>")
+    got, w = np.array(train(rows, c)), np.zeros(70)
+    sign, step = 2 * y - 1, 1 / (c * np.linalg.norm(x, 2) ** 2 / 4)
+    for _ in range(20_000):
+        w = w + step * c * x.T @ (sign / (1 + np.exp(sign * (x @ w))))
+        w = np.sign(w) * np.maximum(np.abs(w) - step, 0)
+    assert np.abs(got - w).max() < 1e-3 and np.abs(w).max() > 0.1
