@@ -58,13 +58,14 @@ def objective(a: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 
 def edge_coefficients(x: np.ndarray, y: np.ndarray, width: np.ndarray, thr: np.ndarray, step: float = 0.001, top: float = 0.98) -> np.ndarray:
-    """Largest share m of y in x, edge by edge, up to which removing more still pays; 0 for no edge."""
+    """Largest share m of y in x, edge by edge, up to which removing more still pays; 0 for no edge. Each edge's bracket narrows until it is no wider than step."""
     lo, hi = np.zeros(len(x)), np.full(len(x), top)
-    while len(x) and (hi - lo).max() > step:
-        m = 0.618 * lo + 0.382 * hi
-        gain = objective(x - m[:, None, None] * y, width) - objective(x - (m + step)[:, None, None] * y, width)
-        on = gain > thr * step
-        lo, hi = np.where(on, m, lo), np.where(on, hi, m)
+    width, todo = np.broadcast_to(width, (len(x), width.shape[1])), np.arange(len(x))
+    while len(todo := todo[hi[todo] - lo[todo] > step]):
+        m = 0.618 * lo[todo] + 0.382 * hi[todo]
+        gain = objective(x[todo] - m[:, None, None] * y[todo], width[todo]) - objective(x[todo] - (m + step)[:, None, None] * y[todo], width[todo])
+        on = gain > thr[todo] * step
+        lo[todo[on]], hi[todo[~on]] = m[on], m[~on]
     return lo
 
 

@@ -5,11 +5,18 @@ embeddings stand in for intensities: 16 cycles of 4 channels, shifted by 0.6; ve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.functions import expr as E
-from basewright.operators import blocks, quality, spatial
+from basewright.operators import blocks, estimate, quality, spatial, train
+from basewright.operators.blocks import block_plan
+from basewright.operators.state import shared_folder
+from basewright.sources import formats
 
 SHIFT = 0.6
 
@@ -97,8 +104,7 @@ def runner_up_gap(spark, d):
 
 @query(f"WITH {S} SELECT cluster, round(avg(gap), 6) AS tsr, round(var_pop(gap), 6) AS tsr2, round(avg(top), 6) AS sig FROM s GROUP BY cluster")
 def read_stats(spark, d):
-    t = cycles(spark, d)
-    return t.groupBy("cluster").agg(rnd(F.avg(E.gap(F.col("v")))).alias("tsr"), rnd(F.var_pop(E.gap(F.col("v")))).alias("tsr2"), rnd(F.avg(F.array_max("v"))).alias("sig"))
+    return quality.with_scores(signals(spark, d), ["cluster"]).select("cluster", rnd("tsr").alias("tsr"), rnd("var").alias("tsr2"), rnd("sig").alias("sig"))
 
 
 @query(f"WITH {C} SELECT cluster, string_agg(substr('ACGT', {CALL} + 1, 1), '' ORDER BY cycle) AS seq FROM c GROUP BY cluster")
@@ -169,100 +175,251 @@ def chunk_bounds(spark, d):
     return s.join(F.broadcast(total)).groupBy(blocks.chunk_of(F.col("cluster"), F.col("total"), 3).alias("chunk")).agg(F.count("*").alias("clusters"))
 
 
-@query(f"WITH {C}, x AS (SELECT cluster, cycle, v[1] AS v0 FROM c) SELECT cluster, cycle, round(coalesce(sum(v0) OVER (PARTITION BY cluster ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(5, cycle), 6) AS previous FROM x")
+# ---- estimation: the engine's kernels on the table as one chunk, with parameters fixed here and in the SQL
+
+#: Mixing and background, and the share of the own, the last and the next cycle, of the light before and of a constant.
+COLOR = [[1.0, 0.4, 0.0, 0.0, 0.05], [0.5, 1.0, 0.0, 0.0, 0.04], [0.0, 0.0, 1.0, 0.3, 0.03], [0.0, 0.0, 0.2, 1.0, 0.02]]
+OWN, LAST, NEXT, BEFORE, CONST = 0.9, 0.06, 0.04, 0.01, 0.02
+CYCLES = 16
+
+
+def _band() -> np.ndarray:
+    return OWN * np.eye(CYCLES) + LAST * np.eye(CYCLES, k=-1) + NEXT * np.eye(CYCLES, k=1)
+
+
+def _chunk(x: np.ndarray) -> estimate.Chunk:
+    """A chunk with the fixed parameters, and the raw signals' calls."""
+    plan, band = block_plan(x.shape[1]), _band()
+    phase = [np.hstack([band[s : s + n, lo : lo + size], np.full((n, 1), BEFORE), np.full((n, 1), CONST)]) for _, s, n, lo, size in plan]
+    chunk = estimate.Chunk(x, estimate.Params([np.array(COLOR) for _ in plan], phase))
+    chunk.calls = estimate.calls_of(x)
+    return chunk
+
+
+def _on_chunk(spark: SparkSession, d: str, f, schema: str) -> DataFrame:
+    """f(numpy signals) -> {column: array}, with the clusters as `cluster` where arrays are as long as these."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cluster")
+        return f(np.array([np.stack(v) for v in rows["signal"]]), rows["cluster"].to_numpy())
+
+    return signals(spark, d).groupBy("tile", "end_id").applyInPandas(run, schema)
+
+
+def _long(values: np.ndarray, **names) -> pd.DataFrame:
+    """An array as rows: names give the labels of each axis, in order; the last column is v, rounded."""
+    axes = np.meshgrid(*names.values(), indexing="ij")
+    return pd.DataFrame({n: a.ravel() for n, a in zip(names, axes, strict=True)} | {"v": np.round(values.ravel(), R) + 0.0})
+
+
+def _in_blocks(chunk: estimate.Chunk, f) -> np.ndarray:
+    """n x cycles x 4 from f(block)."""
+    return np.concatenate([f(b) for b in range(len(chunk.plan))], axis=1)
+
+
+_N16, _N4 = range(CYCLES), range(4)
+_CC = "[" + ", ".join(f"[{', '.join(map(str, r[:4]))}]" for r in COLOR) + "]"
+_BG = "[" + ", ".join(str(r[4]) for r in COLOR) + "]"
+_H = f"{C}, u AS (SELECT *, CASE WHEN list_max(v) > 0 THEN {CALL} ELSE 0 END AS call FROM c)"
+#: sources after phasing (g: 4 bases a cycle), predicted signals (h), previous light by block (pv), signals less constants (y), and less all but the background (yb)
+_M = f"""{_H}, k AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS k), g0 AS (SELECT a.cluster, a.cycle, k, sum(CASE WHEN b.call <> k THEN 0 WHEN b.cycle = a.cycle THEN {OWN} WHEN b.cycle = a.cycle - 1 THEN {LAST} ELSE {NEXT} END) AS g
+  FROM u a JOIN u b ON a.cluster = b.cluster AND abs(a.cycle - b.cycle) <= 1, k GROUP BY a.cluster, a.cycle, k),
+g AS (SELECT cluster, cycle, list(g ORDER BY k) AS g FROM g0 GROUP BY cluster, cycle),
+h AS (SELECT cluster, cycle, list_transform({_CC}, lambda r: r[1] * g[1] + r[2] * g[2] + r[3] * g[3] + r[4] * g[4]) AS h FROM g),
+pv AS (SELECT cluster, 0 AS block, [0.0, 0.0, 0.0, 0.0] AS p FROM u WHERE cycle = 0 UNION ALL SELECT cluster, 1, list_transform(range(1, 5), lambda i: (a[i] + b[i]) / 5) FROM (SELECT cluster, max(v) FILTER (cycle = 0) AS a, max(v) FILTER (cycle = 1) AS b FROM u GROUP BY cluster)),
+yb AS (SELECT u.cluster, u.cycle, u.cycle // 8 AS block, u.call, u.v, p, list_transform(range(1, 5), lambda i: u.v[i] - {BEFORE} * p[i] - {CONST}) AS yb FROM u JOIN pv ON pv.cluster = u.cluster AND pv.block = u.cycle // 8),
+y AS (SELECT *, list_transform(range(1, 5), lambda i: yb[i] - {_BG}[i]) AS y FROM yb)"""
+_OUT = "CAST(unnest(range(4)) AS INTEGER)"
+
+
+@query(f"WITH {_M} SELECT cluster, CAST(block AS INTEGER) AS block, ch, round(p[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM pv)")
 def previous_mean(spark, d):
-    w = Window.partitionBy("cluster").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
-    return cycles(spark, d).select("cluster", "cycle", rnd(F.coalesce(F.sum(F.col("v")[0]).over(w), F.lit(0.0)) / F.greatest(F.lit(5), "cycle")).alias("previous"))
+    f = lambda x, c: _long(np.stack(_chunk(x).previous, axis=1), cluster=c, block=range(2), ch=_N4)
+    return _on_chunk(spark, d, f, "cluster int, block int, ch int, v double")
 
 
-_K = "k AS (SELECT * FROM (VALUES (0, [0.9, 0.4, 0.0, 0.0]), (1, [0.3, 0.95, 0.0, 0.0]), (2, [0.0, 0.0, 0.9, 0.4]), (3, [0.0, 0.0, 0.3, 0.95])) AS t(k, c))"
-_F = f"{C}, f0 AS (SELECT cluster, v, sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS norm FROM c WHERE cycle = 0), f AS (SELECT * FROM f0 WHERE norm > (SELECT avg(norm) FROM f0) / 2)"
-_A = f"""{_F}, {_K}, cs AS (SELECT cluster, v, norm, list((v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4]) ORDER BY k) AS cos FROM f, k GROUP BY cluster, v, norm),
-a AS (SELECT *, CASE WHEN list_max(cos) > 0 THEN CAST(list_position(cos, list_max(cos)) - 1 AS INTEGER) ELSE 0 END AS cls FROM cs)"""
+@query(f"WITH {_H} SELECT cluster, cycle, ch, CASE WHEN ch = call THEN 1.0 ELSE 0.0 END AS v FROM (SELECT *, {_OUT} AS ch FROM u)")
+def one_hot_source(spark, d):
+    def f(x, c):
+        chunk = _chunk(x)
+        return _long(_in_blocks(chunk, lambda b: chunk.source(b)[:, 8 * b - chunk.plan[b][3] :][:, :8]), cluster=c, cycle=_N16, ch=_N4)
+    return _on_chunk(spark, d, f, "cluster int, cycle int, ch int, v double")
+
 
+@query(f"WITH {_M} SELECT cluster, cycle, ch, round(h[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM h)")
+def predicted_signal(spark, d):
+    def f(x, c):
+        chunk = _chunk(x)
+        return _long(_in_blocks(chunk, chunk.predicted), cluster=c, cycle=_N16, ch=_N4)
+    return _on_chunk(spark, d, f, "cluster int, cycle int, ch int, v double")
 
-def _filtered(spark, d):
-    f = signals(spark, d).select("cluster", F.col("signal")[0].alias("v"))
-    f = f.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    mean = f.agg(F.avg("norm").alias("mean"))
-    return f.join(F.broadcast(mean)).where("norm > mean / 2").drop("mean")
 
+@query(f"WITH {_M} SELECT cluster, cycle, ch, round(y[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM y)")
+def minus_constant(spark, d):
+    def f(x, c):
+        chunk = _chunk(x)
+        return _long(_in_blocks(chunk, lambda b: chunk.own(b) - chunk.constants(b, True)), cluster=c, cycle=_N16, ch=_N4)
+    return _on_chunk(spark, d, f, "cluster int, cycle int, ch int, v double")
 
-def _assigned(spark, d):
-    from basewright.operators.estimate import CENTROIDS
 
-    cos = F.array(*[sum((F.col("v")[i] * float(x) for i, x in enumerate(c)), F.lit(0.0)) / F.col("norm") / float((c @ c) ** 0.5) for c in CENTROIDS])
-    return _filtered(spark, d).withColumn("cos", cos).withColumn("cls", E.positive_call(F.col("cos")))
+_K = "k4 AS (SELECT * FROM (VALUES (0, [3300.0, 3300.0, 0.0, 0.0]), (1, [600.0, 2800.0, 0.0, 0.0]), (2, [0.0, 0.0, 2800.0, 2600.0]), (3, [0.0, 0.0, 0.0, 3300.0])) AS t(k, c))"
+_F = f"{C}, f0 AS (SELECT cluster, v, sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS norm FROM c WHERE cycle = 0), f AS (SELECT * FROM f0 WHERE norm > (SELECT avg(norm) FROM f0) / 2)"
+_A = f"""{_F}, {_K}, cs AS (SELECT cluster, v, norm, list((v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4]) ORDER BY k) AS cos FROM f, k4 GROUP BY cluster, v, norm),
+a AS (SELECT *, CASE WHEN list_max(cos) > 0 THEN CAST(list_position(cos, list_max(cos)) - 1 AS INTEGER) ELSE 0 END AS cls FROM cs),
+c1 AS (SELECT k, coalesce(m, c) AS c FROM k4 LEFT JOIN (SELECT cls, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM a GROUP BY cls) ON cls = k)"""
+
+
+def _trim(before: str, after: str, limit: float) -> str:
+    cos = "(v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4])"
+    return f"""{after} AS (SELECT b.k, CASE WHEN n > 2 THEN list_transform(range(1, 5), lambda i: b.c[i] + 1.25 * (m[i] - b.c[i])) ELSE b.c END AS c FROM {before} b
+ LEFT JOIN (SELECT cls, count(*) AS n, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM a JOIN {before} ON k = cls WHERE 1 - {cos} < {limit} GROUP BY cls) ON cls = b.k)"""
 
 
 @query(f"WITH {_F} SELECT cluster, round(norm, 6) AS norm FROM f")
 def color_norm_filter(spark, d):
-    return _filtered(spark, d).select("cluster", rnd("norm").alias("norm"))
+    f = lambda x, c: pd.DataFrame({"cluster": c, "norm": np.round(np.linalg.norm(x[:, 0], axis=1), R)})[estimate.bright(x[:, 0])]
+    return _on_chunk(spark, d, f, "cluster int, norm double")
 
 
 @query(f"WITH {_A} SELECT cluster, cls FROM a")
 def color_assign(spark, d):
-    return _assigned(spark, d).select("cluster", "cls")
+    def f(x, c):
+        on = estimate.bright(x[:, 0])
+        return pd.DataFrame({"cluster": c[on], "cls": estimate.nearest(x[on, 0], estimate.CENTROIDS)[0]})
+    return _on_chunk(spark, d, f, "cluster int, cls int")
+
 
+def _centroids(x: np.ndarray, trim: bool) -> np.ndarray:
+    x = x[estimate.bright(x[:, 0]), 0]
+    k, _ = estimate.nearest(x, estimate.CENTROIDS)
+    c = estimate.centroids_of(x, k, estimate.CENTROIDS)
+    return np.array([estimate.trimmed(x[k == j], c[j]) for j in range(4)]) if trim else c
 
-@query(f"WITH {_A} SELECT cls, count(*) AS n, round(avg(v[1]), 6) AS m0, round(avg(v[2]), 6) AS m1, round(avg(v[3]), 6) AS m2, round(avg(v[4]), 6) AS m3 FROM a GROUP BY cls")
+
+@query(f"WITH {_A} SELECT CAST(k AS INTEGER) AS cls, ch, round(c[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM c1)")
 def color_means(spark, d):
-    return _assigned(spark, d).groupBy("cls").agg(F.count("*").alias("n"), *[rnd(F.avg(F.col("v")[i])).alias(f"m{i}") for i in range(4)])
+    return _on_chunk(spark, d, lambda x, c: _long(_centroids(x, False), cls=_N4, ch=_N4), "cls int, ch int, v double")
 
 
-_H = f"{C}, u AS (SELECT *, CASE WHEN list_max(v) > 0 THEN {CALL} ELSE 0 END AS call FROM c)"
+_TR = f"{_A}, {_trim('c1', 'c2', 0.2)}, {_trim('c2', 'c3', 0.12)}"
 
 
-def _called(spark, d):
-    return cycles(spark, d).withColumn("call", E.positive_call(F.col("v")))
+@query(f"WITH {_TR} SELECT CAST(k AS INTEGER) AS cls, ch, round(c[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM c3)")
+def color_trim(spark, d):
+    return _on_chunk(spark, d, lambda x, c: _long(_centroids(x, True), cls=_N4, ch=_N4), "cls int, ch int, v double")
 
 
-@query(f"WITH {_H}, x AS (SELECT cluster, list_concat(list_transform(range(4), lambda k: CASE WHEN k = call THEN 1.0 ELSE 0.0 END), [1.0]) AS r, v FROM u WHERE cycle = cluster % 8) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(r[i + 1] * r[j + 1]), 6) AS g, round(sum(r[i + 1] * v[least(j, 3) + 1]), 6) AS rhs FROM x, range(5) AS a(i), range(5) AS b(j) GROUP BY i, j")
-def gram_color(spark, d):
-    x = _called(spark, d).where(F.col("cycle") == F.col("cluster") % 8)
-    r = F.concat(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == F.col("call"), 1.0).otherwise(0.0)), F.array(F.lit(1.0)))
-    x = x.select("v", r.alias("r")).select("v", "r", F.posexplode("r").alias("i", "a")).select("v", "i", "a", F.posexplode("r").alias("j", "b"))
-    return x.groupBy("i", "j").agg(rnd(F.sum(F.col("a") * F.col("b"))).alias("g"), rnd(F.sum(F.col("a") * F.element_at("v", F.least("j", F.lit(3)) + 1))).alias("rhs"))
+@query(f"""WITH {_TR}, bg AS (SELECT ch, avg(c[ch + 1]) AS b FROM c3, (SELECT {_OUT} AS ch) WHERE (ch < 2) = (k >= 2) GROUP BY ch)
+SELECT ch, CAST(k AS INTEGER) AS base, round(c[ch + 1] - b, 6) AS v FROM c3, bg UNION ALL SELECT ch, 4, round(b, 6) FROM bg""")
+def color_background(spark, d):
+    return _on_chunk(spark, d, lambda x, c: _long(estimate.with_background(_centroids(x, True)), ch=_N4, base=range(5)), "ch int, base int, v double")
 
 
-@query(f"WITH {_H}, x AS (SELECT cluster, list(CASE WHEN call = cluster % 4 THEN 1.0 ELSE 0.0 END ORDER BY cycle)[1:14] AS r, list(v[cluster % 4 + 1] ORDER BY cycle)[1:8] AS y FROM u GROUP BY cluster) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(r[i + 1] * r[j + 1]), 6) AS g, round(sum(r[i + 1] * y[least(j, 7) + 1]), 6) AS rhs FROM x, range(14) AS a(i), range(14) AS b(j) GROUP BY i, j")
+_TW = 0.05
+
+
+@query(f"""WITH {_M}, x AS (SELECT block, list_concat(g, [1.0]) AS r, yb AS y FROM yb JOIN g USING (cluster, cycle) WHERE cycle % 8 = cluster % 8),
+t AS (SELECT block, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j < 5 THEN r[i + 1] * r[least(j, 4) + 1] ELSE r[i + 1] * y[greatest(j, 5) - 4] END) AS s, {_TW} * count(*) AS tw FROM x, range(5) AS a(i), range(9) AS b(j) GROUP BY ALL)
+SELECT CAST(block AS INTEGER) AS block, i, j, round(s + tw * CASE WHEN j = i THEN CASE WHEN i = 4 THEN 3 ELSE 1 END WHEN j < 5 THEN 0 WHEN i = 4 THEN {_BG}[greatest(j, 5) - 4] ELSE {_CC}[greatest(j, 5) - 4][least(i, 3) + 1] END, 6) AS v FROM t""")
+def gram_color(spark, d):
+    """The normal equations of both blocks' color fit, right sides (4 channels) after the 5 x 5 matrix."""
+    def f(x, c):
+        chunk = _chunk(x)
+        return _long(np.array([np.hstack(chunk.color_normal(b, _TW, 2)) for b in range(2)]), block=range(2), i=range(5), j=range(9))
+    return _on_chunk(spark, d, f, "block int, i int, j int, v double")
+
+
+@query(f"""WITH {_M}, x AS (SELECT cluster, block, any_value(p)[cluster % 4 + 1] AS pv, list(yb.v[cluster % 4 + 1] - {_BG}[cluster % 4 + 1] ORDER BY cycle) AS y FROM yb GROUP BY cluster, block),
+cl AS (SELECT cluster, list({_CC}[cluster % 4 + 1][call + 1] ORDER BY cycle) AS s FROM u GROUP BY cluster),
+r AS (SELECT block, list_concat(s[CASE WHEN block = 0 THEN 1 ELSE 3 END:CASE WHEN block = 0 THEN 14 ELSE 16 END], [pv, 1.0]) AS r, y FROM x JOIN cl USING (cluster)),
+t AS (SELECT block, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j < 16 THEN r[i + 1] * r[least(j, 15) + 1] ELSE r[i + 1] * y[greatest(j, 16) - 15] END) AS s, {_TW} * count(*) AS tw FROM r, range(16) AS a(i), range(24) AS b(j) GROUP BY ALL)
+SELECT CAST(block AS INTEGER) AS block, i, j, round(s + tw * CASE WHEN j = i THEN CASE WHEN i = 15 THEN 3 ELSE 1 END WHEN j < 16 THEN 0 WHEN i = 14 THEN {BEFORE} WHEN i = 15 THEN {CONST}
+  ELSE CASE i + 2 * block - (j - 16 + 8 * block) WHEN 0 THEN {OWN} WHEN -1 THEN {LAST} WHEN 1 THEN {NEXT} ELSE 0 END END, 6) AS v FROM t""")
 def gram_phasing(spark, d):
-    s = signals(spark, d)
-    ch = F.pmod("cluster", F.lit(4))
-    r = F.slice(F.transform("signal", lambda v: F.when(E.positive_call(v) == ch, 1.0).otherwise(0.0)), 1, 14)
-    y = F.slice(F.transform("signal", lambda v: F.element_at(v, (ch + 1).cast("int"))), 1, 8)
-    x = s.select(r.alias("r"), y.alias("y")).select("y", "r", F.posexplode("r").alias("i", "a")).select("y", "i", "a", F.posexplode("r").alias("j", "b"))
-    return x.groupBy("i", "j").agg(rnd(F.sum(F.col("a") * F.col("b"))).alias("g"), rnd(F.sum(F.col("a") * F.element_at("y", F.least("j", F.lit(7)) + 1))).alias("rhs"))
+    """The normal equations of both blocks' phasing fit, right sides (8 cycles) after the 16 x 16 matrix; the fixed color has a scale of 1."""
+    def f(x, c):
+        chunk = _chunk(x)
+        return _long(np.array([np.hstack(chunk.phase_normal(b, _TW, 2)) for b in range(2)]), block=range(2), i=range(16), j=range(24))
+    return _on_chunk(spark, d, f, "block int, i int, j int, v double")
 
 
-_L = f"""{_H}, e AS (SELECT cluster, sum(v[call + 1]) AS hy, count(*) AS hh FROM u GROUP BY cluster), sc AS (SELECT cluster, greatest(0.2, least(5, hy / hh)) AS scale FROM e)"""
+_L = f"""{_M}, e AS (SELECT cluster, block, list_sum(list(h[1] * y[1] + h[2] * y[2] + h[3] * y[3] + h[4] * y[4])) AS hy, list_sum(list(h[1] * h[1] + h[2] * h[2] + h[3] * h[3] + h[4] * h[4])) AS hh FROM y JOIN h USING (cluster, cycle) GROUP BY cluster, block),
+sc AS (SELECT cluster, block, greatest(0.2, least(5, hy / hh)) AS scale FROM e)"""
 
 
-def _scales(spark, d):
-    u = _called(spark, d)
-    e = u.groupBy("cluster").agg(F.sum(F.element_at("v", F.col("call") + 1)).alias("hy"), F.count("*").alias("hh"))
-    return e.select("cluster", F.greatest(F.lit(0.2), F.least(F.lit(5.0), F.col("hy") / F.col("hh"))).alias("scale"))
+def _weighed(x: np.ndarray) -> estimate.Chunk:
+    chunk = _chunk(x)
+    for b in range(2):
+        chunk.weigh(b, 30.0)
+    return chunk
 
 
-@query(f"WITH {_L} SELECT cluster, round(scale / (SELECT avg(scale) FROM sc), 6) AS lambda FROM sc")
+@query(f"WITH {_L} SELECT cluster, CAST(block AS INTEGER) AS block, round(scale / avg(scale) OVER (PARTITION BY block), 6) AS v FROM sc")
 def lambda_scale(spark, d):
-    s = _scales(spark, d)
-    return s.join(F.broadcast(s.agg(F.avg("scale").alias("m")))).select("cluster", rnd(F.col("scale") / F.col("m")).alias("lambda"))
+    return _on_chunk(spark, d, lambda x, c: _long(_weighed(x).lam.T, cluster=c, block=range(2)), "cluster int, block int, v double")
 
 
-@query(f"WITH {_L} SELECT cluster, round(exp(-30 * sum((CASE WHEN k = call THEN scale ELSE 0 END - v[k + 1]) ** 2) / 64), 6) AS w FROM u JOIN sc USING (cluster), range(4) AS r(k) GROUP BY cluster")
+@query(f"WITH {_L} SELECT cluster, CAST(block AS INTEGER) AS block, round(exp(-30 * sum((scale * h[1] - y[1]) ** 2 + (scale * h[2] - y[2]) ** 2 + (scale * h[3] - y[3]) ** 2 + (scale * h[4] - y[4]) ** 2) / 32), 6) AS v FROM y JOIN h USING (cluster, cycle) JOIN sc USING (cluster, block) GROUP BY cluster, block")
 def robust_weight(spark, d):
-    u = _called(spark, d).join(_scales(spark, d), "cluster").select("cluster", "call", "scale", F.posexplode("v").alias("k", "x"))
-    r = F.when(F.col("k") == F.col("call"), F.col("scale")).otherwise(0.0) - F.col("x")
-    return u.groupBy("cluster").agg(rnd(F.exp(-30 * F.sum(r * r) / 64)).alias("w"))
+    return _on_chunk(spark, d, lambda x, c: _long(_weighed(x).w.T, cluster=c, block=range(2)), "cluster int, block int, v double")
 
 
-@query(f"""WITH {_H}, p AS (SELECT a.call AS prev, b.call AS call, list_max(b.v) AS top FROM u a JOIN u b ON a.cluster = b.cluster AND a.cycle = 0 AND b.cycle = 1), m AS (SELECT avg(top) AS mean FROM p)
-SELECT prev, call, round(0.1 + 0.9 * (any_value(mean) + sum(top)) / (1 + count(*)), 6) AS factor FROM p, m WHERE top > mean / 2 AND top < 2 * mean GROUP BY prev, call""")
+@query(f"""WITH {_H}, p AS (SELECT a.call AS prev, b.call AS call, list_max(b.v) AS top FROM u a JOIN u b ON a.cluster = b.cluster AND a.cycle = 0 AND b.cycle = 1), m AS (SELECT avg(top) AS mean FROM p),
+s AS (SELECT prev, call, sum(top) AS s, count(*) AS n FROM p, m WHERE top > mean / 2 AND top < 2 * mean GROUP BY prev, call)
+SELECT CAST(a.i AS INTEGER) AS prev, CAST(b.i AS INTEGER) AS call, round(0.1 + 0.9 * (mean + coalesce(s, 0)) / (1 + coalesce(n, 0)), 6) AS v FROM range(4) AS a(i), range(4) AS b(i), m LEFT JOIN s ON prev = a.i AND call = b.i""")
 def neighbour_factor(spark, d):
-    s = signals(spark, d).select(E.positive_call(F.col("signal")[0]).alias("prev"), E.positive_call(F.col("signal")[1]).alias("call"), F.array_max(F.col("signal")[1]).alias("top"))
-    p = s.join(F.broadcast(s.agg(F.avg("top").alias("mean")))).where("top > mean / 2 AND top < 2 * mean")
-    return p.groupBy("prev", "call").agg(rnd(0.1 + 0.9 * (F.first("mean") + F.sum("top")) / (1 + F.count("*"))).alias("factor"))
+    f = lambda x, c: _long(estimate.neighbour_ratios(x, estimate.calls_of(x), np.ones((2, len(x)))), prev=_N4, call=_N4)
+    return _on_chunk(spark, d, f, "prev int, call int, v double")
+
+
+def _sql_matrix(m: np.ndarray) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in m) + "]"
+
+
+def _deconvolved(side: int) -> str:
+    """SQL: signals less constants, times the inverses of mixing and of the band over each block's reach."""
+    spans = [(0, 8) if side < 0 else (0, 14) if side > 0 else (0, 8), (8, 16) if side < 0 else (2, 16)]
+    full = np.zeros((CYCLES, CYCLES))
+    for b, (lo, hi) in enumerate(spans):
+        full[8 * b : 8 * b + 8, lo:hi] = np.linalg.inv(_band()[lo:hi, lo:hi])[8 * b - lo : 8 * b - lo + 8]
+    mix = _sql_matrix(np.linalg.inv(np.array(COLOR)[:, :4]))
+    return f"""WITH {_M}, z AS (SELECT cluster, cycle, list_transform({mix}, lambda r: r[1] * y[1] + r[2] * y[2] + r[3] * y[3] + r[4] * y[4]) AS z FROM y),
+    l AS (SELECT cluster, t, ch, list_sum(list({_sql_matrix(full)}[t + 1][cycle + 1] * z[ch + 1] ORDER BY cycle)) AS v FROM z, (SELECT CAST(unnest(range({CYCLES})) AS INTEGER) AS t), (SELECT {_OUT} AS ch) GROUP BY cluster, t, ch)
+    SELECT cluster, t AS cycle, ch, round(v, 6) AS v FROM l"""
+
+
+def _deconvolve(side: int):
+    def f(x, c):
+        chunk = _chunk(x)
+        return _long(_in_blocks(chunk, lambda b: chunk.deconvolve(b, side)), cluster=c, cycle=_N16, ch=_N4)
+    return lambda spark, d: _on_chunk(spark, d, f, "cluster int, cycle int, ch int, v double")
+
+
+for _name, _side in (("deconvolve_own", -1), ("deconvolve_left", 0), ("deconvolve_both", 1)):
+    QUERIES[_name], SQL[_name] = _deconvolve(_side), _deconvolved(_side)
+
+
+@query("""WITH RECURSIVE a(t, r) AS (SELECT 0, list_transform(range(14), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+  UNION ALL SELECT t + 1, list_transform(range(1, 15), lambda i: 0.997 * (0.002 * r[i] + 0.996 * CASE WHEN i > 1 THEN r[i - 1] ELSE 0 END + 0.002 * CASE WHEN i > 2 THEN r[i - 2] ELSE 0 END)) FROM a WHERE t < 7),
+q AS (SELECT r[9] / r[8] / 8 AS pre, r[7] / r[8] / 8 AS pha, (list_sum(r) + 7) / 8 AS dim, list_concat(r[3:14], [0.0, 0.0]) AS up FROM a WHERE t = 7),
+b(t, r) AS (SELECT -1, up FROM q
+  UNION ALL SELECT t + 1, list_transform(range(1, 15), lambda i: dim * (pha * r[i] + (1 - pha - pre) * CASE WHEN i > 1 THEN r[i - 1] ELSE 0 END + pre * CASE WHEN i > 2 THEN r[i - 2] ELSE 0 END)) FROM b, q WHERE t < 7),
+p AS (SELECT 0 AS block, t, list_concat(r, [CASE WHEN t = 0 THEN 0 ELSE 0.001 END, 0.0]) AS r FROM a UNION ALL SELECT 1, t, list_concat(r, [0.001 * 7 / 8, 0.0]) FROM b WHERE t >= 0)
+SELECT CAST(block AS INTEGER) AS block, CAST(t AS INTEGER) AS t, CAST(s AS INTEGER) AS s, round(r[s + 1], 6) AS v FROM p, range(16) AS x(s)""")
+def phasing_init(spark, d):
+    """The phasing bands of 16 cycles before any fit: 14 cycles, the light before, and a constant a row."""
+    rows = _long(np.array(estimate.phase_seed(block_plan(CYCLES))), block=range(2), t=range(8), s=range(16))
+    return spark.createDataFrame(rows, "block int, t int, s int, v double")
+
+
+@query("""WITH RECURSIVE k AS (SELECT CAST(chunk AS INTEGER) AS chunk, fast FROM range(10) AS a(chunk), (VALUES (0), (1)) AS b(fast)),
+n AS (SELECT *, CASE WHEN chunk = 0 THEN 5 - fast WHEN chunk < 2 OR chunk < 4 AND fast = 0 THEN 2 ELSE 1 END AS n FROM k),
+r AS (SELECT chunk, fast, n, 0 AS i, CASE WHEN chunk = 0 THEN 0.05 ELSE 0.01 END::DOUBLE AS stein, CASE WHEN chunk = 0 THEN 30.0 ELSE 40.0 END::DOUBLE AS wl FROM n WHERE NOT (fast = 1 AND n = 1 AND chunk % 4 <> 0)
+  UNION ALL SELECT chunk, fast, n, i + 1, CASE WHEN stein > 0.02 THEN stein - 0.0162 ELSE stein / 1.5 END, 10.0 * (i + 4) FROM r WHERE i + 1 < n)
+SELECT chunk, CAST(fast AS INTEGER) AS fast, CAST(i AS INTEGER) AS i, round(stein, 6) AS stein, wl, CAST(CASE WHEN n > 1 THEN n - i + 1 - CASE WHEN i > 0 THEN 2 ELSE 0 END ELSE 0 END AS INTEGER) AS extra FROM r""")
+def round_schedule(spark, d):
+    rows = [(k, fast, i, round(r.stein, R), float(r.wl), int(r.extra)) for k in range(10) for fast in (0, 1) for i, r in enumerate(estimate.schedule(k, 3 if fast else 4, bool(fast)))]
+    return spark.createDataFrame(rows, "chunk int, fast int, i int, stein double, wl double, extra int")
 
 
 @query(f"WITH {SNAP} SELECT cluster, gx, gy, extent FROM g")
@@ -290,7 +447,7 @@ def cycle_width(spark, d):
     return spatial.cycle_width(signals(spark, d), ["tile"]).select("cycle", rnd("width").alias("width"), rnd("top").alias("top"))
 
 
-@query(f"WITH {_WD} SELECT round((1.5 * 0.7 - 0.75) * sum(width * top), 6) AS thr FROM w")
+@query(f"WITH {_WD} SELECT round((1.5 * 0.7 - 0.75) * sum(width) * avg(top), 6) AS thr FROM w")
 def acc_threshold(spark, d):
     return spatial.threshold(spatial.cycle_width(signals(spark, d), ["tile"]), ["tile"]).select(rnd("thr").alias("thr"))
 
@@ -312,6 +469,68 @@ def neighbour_count(spark, d):
     return _near(spark, d).groupBy("i").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {SNAP} SELECT cluster, CAST(gy + row_number() OVER (PARTITION BY gx, gy ORDER BY cluster) - 1 AS INTEGER) AS gy FROM g")
+def pixel_rows(spark, d):
+    """Rows in the pixel map. The SQL holds where no pixel that a cluster moves to is another's, as in these tables."""
+    f = lambda p: (lambda p: pd.DataFrame({"cluster": p["cluster"], "gy": spatial.occupied(p["gx"].to_numpy(), p["gy"].to_numpy())}))(p.sort_values("cluster"))
+    return spatial.grid_snap(locations(spark, d)).groupBy("tile").applyInPandas(f, "cluster int, gy int")
+
+
+_PX = f"""{C}, {_NB}, a AS (SELECT cluster, cycle, list_sort({ABS}) AS s FROM c), w AS (SELECT cycle, count(*) / sum(s[2]) AS width, avg(s[4]) AS top FROM a GROUP BY cycle),
+x AS (SELECT cluster, flatten(list(v ORDER BY cycle)) AS x FROM c GROUP BY cluster), ws AS (SELECT list(width ORDER BY cycle) AS ws, 0.3 * sum(width) * avg(top) AS thr FROM w),
+px AS (SELECT i, j, a.x AS x, b.x AS y, ws, thr FROM nb JOIN x a ON a.cluster = i JOIN x b ON b.cluster = j, ws)"""
+_OBJ = "list_sum(list_transform(range(16), lambda t: ws[t + 1] * (list_sum(list_transform(x[4 * t + 1:4 * t + 4], lambda e, n: abs(e - ({m}) * y[4 * t + n]))) - abs(list_max(list_transform(x[4 * t + 1:4 * t + 4], lambda e, n: e - ({m}) * y[4 * t + n]))))))"
+
+
+def _pairs(spark, d):
+    s = signals(spark, d)
+    ws = spatial.threshold(spatial.cycle_width(s, ["tile"]), ["tile"])
+    side = lambda name, to: s.select("tile", F.col("cluster").alias(name), F.col("signal").alias(to))
+    return _near(spark, d).join(side("i", "x"), ["tile", "i"]).join(side("j", "y"), ["tile", "j"]).join(F.broadcast(ws), "tile")
+
+
+def _per_edge(f):
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x, y = (np.array([np.stack(v) for v in b[c]]) for c in ("x", "y"))
+                width = np.array([[v["width"] for v in w] for w in b["w"]])
+                yield pd.DataFrame({"i": b["i"], "j": b["j"], "v": np.round(f(x, y, width, b["thr"].to_numpy()), R)})
+    return run
+
+
+@query(f"WITH {_PX} SELECT i, j, round({_OBJ.format(m='0.25')}, 6) AS v FROM px")
+def edge_objective(spark, d):
+    """The weighted light beside the main channel after a quarter of the neighbour is taken out."""
+    f = _per_edge(lambda x, y, w, thr: spatial.objective(x - 0.25 * y, w))
+    return _pairs(spark, d).mapInPandas(f, "i int, j int, v double")
+
+
+@query(f"""WITH RECURSIVE {_PX}, lo(i, j, x, y, ws, thr, l, h) AS (SELECT i, j, x, y, ws, thr, 0.0::DOUBLE, 0.98::DOUBLE FROM px
+  UNION ALL SELECT i, j, x, y, ws, thr, CASE WHEN up THEN m ELSE l END, CASE WHEN up THEN h ELSE m END FROM (SELECT *, {_OBJ.format(m='m')} - {_OBJ.format(m='m + 0.001')} > thr * 0.001 AS up FROM (SELECT *, 0.618 * l + 0.382 * h AS m FROM lo WHERE h - l > 0.001)))
+SELECT i, j, round(l, 6) AS v FROM lo WHERE h - l <= 0.001""")
+def edge_share(spark, d):
+    """The share of each neighbour that pays to take out."""
+    return _pairs(spark, d).mapInPandas(_per_edge(spatial.edge_coefficients), "i int, j int, v double")
+
+
+@query(f"""WITH RECURSIVE {C}, {_NB}, e AS (SELECT i, j, ((i * 7 + j * 3) % 10) / 100.0 AS coef FROM nb), t(k, cluster, v) AS (SELECT 0, cluster, v[1]::DOUBLE FROM c WHERE cycle = 0
+  UNION ALL SELECT t.k + 1, e.i, -sum(e.coef * t.v) FROM t JOIN e ON e.j = t.cluster WHERE t.k < 80 GROUP BY t.k, e.i)
+SELECT cluster, round(sum(v), 6) AS v FROM t GROUP BY cluster""")
+def acc_solve(spark, d):
+    """(I + shares) x = first values, by elimination; the SQL sums the series of the inverse, which these shares let converge."""
+    placed = spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gx", "gy").join(signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("z")), ["tile", "cluster"])
+    edges = _near(spark, d).groupBy("tile", "i").agg(F.collect_list("j").alias("js")).withColumnRenamed("i", "cluster")
+
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        at = {int(c): k for k, c in enumerate(p["cluster"])}
+        e = np.array([(at[int(c)], at[int(j)], (c * 7 + j * 3) % 10 / 100) for c, js in zip(p["cluster"], p["js"], strict=True) if js is not None for j in js])
+        x = spatial.block_solve(p["gy"].to_numpy(), e[:, 0].astype(int), e[:, 1].astype(int), e[:, 2], p[["z"]].to_numpy(), spatial.REACH)
+        return pd.DataFrame({"cluster": p["cluster"], "v": np.round(x[:, 0], R)})
+
+    return placed.join(edges, ["tile", "cluster"], "left").groupBy("tile").applyInPandas(f, "cluster int, v double")
+
+
 @query(f"WITH {C}, {_NB}, v AS (SELECT cluster, v[1] AS v FROM c WHERE cycle = 0), e AS (SELECT i, sum(((i * 7 + j * 3) % 10) / 100.0 * v.v) AS d FROM nb JOIN v ON v.cluster = j GROUP BY i) SELECT v.cluster, round(v.v - coalesce(d, 0), 6) AS v FROM v LEFT JOIN e ON e.i = v.cluster")
 def acc_jacobi_1(spark, d):
     values = signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("v"))
@@ -322,10 +541,10 @@ def acc_jacobi_1(spark, d):
 _MD = "md AS (SELECT vec_id AS k, CAST(vec_id % 9 + 1 AS VARCHAR) || substr('ACGT', CAST(vec_id % 4 AS INTEGER) + 1, 1) || CAST(9 - vec_id % 9 AS VARCHAR) || CASE WHEN vec_id % 5 = 0 THEN '^AC3' ELSE '' END AS md FROM embeddings)"
 
 
-def _md(spark, d):
+def _md(spark, d, what="flags"):
     k = F.col("vec_id")
     md = F.concat((k % 9 + 1).cast("string"), F.lit("ACGT").substr((k % 4 + 1).cast("int"), F.lit(1)), (9 - k % 9).cast("string"), F.when(k % 5 == 0, "^AC3").otherwise(""))
-    return spark.read.parquet(f"{d}/embeddings.parquet").select(k.alias("k"), E.md_flags(md).alias("flags"))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(k.alias("k"), (E.md_flags(md) if what == "flags" else md).alias(what))
 
 
 _FL = f"{_MD}, fl AS (SELECT k, flatten(list_transform(regexp_extract_all(md, '\\d+|\\^[A-Z]+|[A-Z]'), lambda t: CASE WHEN regexp_full_match(t, '\\d+') THEN list_transform(range(CAST(CASE WHEN regexp_full_match(t, '\\d+') THEN t ELSE '0' END AS BIGINT)), lambda x: 2) WHEN starts_with(t, '^') THEN [] ELSE [1] END)) AS f FROM md)"
@@ -342,6 +561,140 @@ def mismatch_rate_by_cycle(spark, d):
     return x.groupBy("cycle").agg(F.count("*").alias("n"), rnd(F.avg(F.when(F.col("f") == 1, 1.0).otherwise(0.0))).alias("rate"))
 
 
+@query(f"WITH {C} SELECT cluster, CAST(ch AS INTEGER) AS ch, cycle, round(v[ch + 1], 6) AS v FROM c, range(4) AS r(ch)")
+def tensor_rotate(spark, d):
+    rows = signals(spark, d).select("cluster", F.posexplode(E.rotated(F.col("signal"))).alias("ch", "x"))
+    return rows.select("cluster", "ch", F.posexplode("x").alias("cycle", "v")).withColumn("v", rnd("v"))
+
+
+@query(f"WITH {C} SELECT cluster, cycle, CASE WHEN cycle = 3 THEN 7.0 ELSE round(v[2], 6) END AS v FROM c")
+def slice_assign(spark, d):
+    new = E.assigned(F.col("signal"), 3, F.array_repeat(F.lit(7.0), 4))
+    return signals(spark, d).select("cluster", F.posexplode(new).alias("cycle", "v")).select("cluster", "cycle", rnd(F.col("v")[1]).alias("v"))
+
+
+@query(f"WITH {C} SELECT cluster, cycle, CAST(ch AS INTEGER) AS ch, round(m[1] * v[1] + m[2] * v[2] + m[3] * v[3] + m[4] * v[4], 6) AS v FROM (SELECT *, {_CC}[ch + 1] AS m FROM c, range(4) AS r(ch))")
+def axis_product(spark, d):
+    new = E.multiplied(F.col("signal"), [r[:4] for r in COLOR])
+    return signals(spark, d).select("cluster", F.posexplode(new).alias("cycle", "v")).select("cluster", "cycle", F.posexplode("v").alias("ch", "v")).withColumn("v", rnd("v"))
+
+
+@query(f"WITH {C} SELECT cluster, CAST(n AS INTEGER) AS n, round(v0, 6) AS v FROM (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY cycle) - 1 AS n, v[1] AS v0 FROM c WHERE v[1] > 0.6)")
+def masked_pick(spark, d):
+    mask = F.transform("signal", lambda v: v[0] > 0.6)
+    return signals(spark, d).select("cluster", F.posexplode(E.picked(F.col("signal"), mask)).alias("n", "v")).select("cluster", "n", rnd(F.col("v")[0]).alias("v"))
+
+
+@query(f"WITH {C} SELECT cluster, CAST(n - 1 AS INTEGER) AS n, round(v[1], 6) AS v FROM c JOIN (VALUES (1, 5), (2, 0), (3, 15), (4, 5)) AS t(n, p) ON p = cycle")
+def index_gather(spark, d):
+    at = F.array(*[F.lit(i) for i in (5, 0, 15, 5)])
+    return signals(spark, d).select("cluster", F.posexplode(E.gathered(F.col("signal"), at)).alias("n", "v")).select("cluster", "n", rnd(F.col("v")[0]).alias("v"))
+
+
+@query(f"WITH {C} SELECT cluster, round(min(list_min(v)), 6) AS low, round(max(list_max(v)), 6) AS high FROM c GROUP BY cluster")
+def value_range(spark, d):
+    flat = F.flatten("signal")
+    return signals(spark, d).select("cluster", rnd(F.array_min(flat)).alias("low"), rnd(F.array_max(flat)).alias("high"))
+
+
+def _aligned(spark, d):
+    """An alignment for each cluster: the tags above, every third reverse."""
+    k = F.col("k")
+    return _md(spark, d, "md").select(F.lit("t").alias("tile"), k.cast("int").alias("cluster"), F.when(k % 3 == 0, 16).otherwise(0).alias("flag"), "md")
+
+
+_AL = f"{S}, {_FL}, l AS (SELECT CAST(k AS INTEGER) AS cluster, CASE WHEN k % 3 = 0 THEN list_reverse(f) ELSE f END AS f FROM fl), lb AS (SELECT s.*, f[cycle + 1] - 1 AS label FROM s JOIN l USING (cluster))"
+
+
+@query(f"WITH {_AL} SELECT cluster, cycle, CAST(label AS INTEGER) AS label FROM lb WHERE label IS NOT NULL")
+def train_labels(spark, d):
+    return train.labelled(signals(spark, d), _aligned(spark, d)).select("cluster", "cycle", "label")
+
+
+@query(f"WITH {_AL} SELECT round(avg(least(5 * gap, 19.5)), 6) AS mean_s, round(stddev_pop(least(5 * gap, 19.5)), 6) AS sd_s, count(*) FILTER (label = 0) AS mismatches FROM lb")
+def train_diagnostics(spark, d):
+    return train.diagnostics(signals(spark, d), _aligned(spark, d)).select(rnd("mean_s").alias("mean_s"), rnd("sd_s").alias("sd_s"), "mismatches")
+
+
+@query(f"""WITH {_AL}, h0 AS (SELECT *, least(5 * gap, 19.5) AS sc FROM lb WHERE label IS NOT NULL), h1 AS (SELECT *, CAST(least(CASE WHEN sc >= 8 THEN floor((sc + 1) / 3 + 2) WHEN sc >= 2 THEN floor(sc / 2 + 1) ELSE floor(sc) END, 7) AS INTEGER) AS bin FROM h0),
+h AS (SELECT *, 1 - (sc - [0,1,2,4,6,8,11,14,17][bin + 1]) / ([0,1,2,4,6,8,11,14,17][bin + 2] - [0,1,2,4,6,8,11,14,17][bin + 1]) AS beta FROM h1),
+x AS (SELECT bin AS i, beta AS v FROM h UNION ALL SELECT bin + 1, 1 - beta FROM h UNION ALL SELECT 9, 1 / (0.02 + sqrt(least(var, 1))) FROM h UNION ALL SELECT 10, ln(0.02 + least(var, 1)) FROM h UNION ALL SELECT 11, 1 / (0.01 + greatest(least(sig, 3), 0)) FROM h
+ UNION ALL SELECT 12, 1.0 / (n - cycle) FROM h UNION ALL SELECT 13, 3.0 FROM h UNION ALL SELECT 69, 1.0 FROM h UNION ALL SELECT cycle + 14, 1.0 FROM h WHERE cycle <= 6 UNION ALL SELECT prev * 12 + call * 3 + rank + 21, 1.0 FROM h WHERE cycle > 0)
+SELECT CAST(i AS INTEGER) AS i, count(*) AS n, round(sum(v), 4) AS v FROM x GROUP BY i""")
+def train_features(spark, d):
+    x = train.features(train.labelled(signals(spark, d), _aligned(spark, d))).select(F.explode("x").alias("x"))
+    return x.groupBy("x.i").agg(F.count("*").alias("n"), rnd(F.sum("x.v"), 4).alias("v"))
+
+
+# ---- files: written to a new folder beside the checkpoints and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+_QU = "CAST(greatest(trunc(least(v[ch + 1] * 4000, 32767) + 0.5), -32768) AS DOUBLE)"
+
+
+@query(f"WITH {C0} SELECT 'p_t_q' AS tile, cluster, cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch)")
+def cif_file(spark, d):
+    to = _folder(spark)
+    formats.write_cif(signals(spark, d, 0.0), to, "p_", "_q")
+    back = formats.read_cif(spark, to).select("tile", "cluster", F.posexplode("signal").alias("cycle", "v"))
+    return back.select("tile", "cluster", "cycle", F.posexplode("v").alias("ch", "v"))
+
+
+@query(f"WITH {C0} SELECT cluster, CAST(cycle - 4 AS INTEGER) AS cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) WHERE cycle BETWEEN 4 AND 9")
+def cif_ranges(spark, d):
+    """Cycles 5 to 10 of a file, read by ranges of clusters."""
+    to = _folder(spark)
+    formats.write_cif(signals(spark, d, 0.0), to)
+    back = formats.read_cif_ranges(spark, to, 128, (5, 10)).select("cluster", F.posexplode("signal").alias("cycle", "v"))
+    return back.select("cluster", "cycle", F.posexplode("v").alias("ch", "v"))
+
+
+@query(f"WITH {C0} SELECT cluster, cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) UNION ALL SELECT cluster, 16, CAST(ch AS INTEGER), 0.0 FROM c, range(4) AS r(ch) WHERE cycle = 0")
+def cif_folders(spark, d):
+    """A folder for each cycle; one more cycle is asked for than there are files."""
+    to = _folder(spark)
+    formats.write_cif(signals(spark, d, 0.0), to, first=2, folders=True)
+    back = formats.read_cif_folders(spark, to, 3, 19).select("cluster", F.posexplode("signal").alias("cycle", "v"))
+    return back.select("cluster", "cycle", F.posexplode("v").alias("ch", "v"))
+
+
+@query(f"WITH {XY} SELECT cluster, x + 0.25 AS x, y / 4 AS y FROM xy")
+def location_files(spark, d):
+    """.locs files converted to _pos.txt, and read."""
+    a, b = _folder(spark), _folder(spark)
+    formats.write_locs(locations(spark, d).select("tile", "cluster", (F.col("x") + 0.25).alias("x"), (F.col("y") / 4).alias("y")), a)
+    formats.convert_locations(spark, a, b)
+    return formats.read_locations(spark, b, "_pos.txt").select("cluster", "x", "y")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, ((i * 37) % 19 - 9) / 10.0 AS w FROM range(1, 71) AS r(i)")
+def model_file(spark, d):
+    to = _folder(spark) + "/a.model"
+    formats.write_model(quality.synthetic_weights(), to)
+    return spark.createDataFrame(list(enumerate(formats.read_model(spark, to), 1)), "i int, w double")
+
+
+@query(f"WITH {S}, {HAT}, {Z}, r AS (SELECT cluster, unnest(['@Cluster_t_' || CAST(cluster + 1 AS VARCHAR), string_agg(substr('ACGT', call + 1, 1), '' ORDER BY cycle), '+', string_agg(chr(q + 33), '' ORDER BY cycle)]) AS line FROM q GROUP BY cluster) SELECT line FROM r")
+def fastq_file(spark, d):
+    to = _folder(spark)
+    formats.write_fastq(quality.fastq(quality.reads(signals(spark, d), ["tile", "cluster"], quality.synthetic_weights())), to)
+    return spark.read.text(to).withColumnRenamed("value", "line")
+
+
+@query(f"WITH {_MD} SELECT CAST(k AS INTEGER) AS cluster, CASE WHEN k % 3 = 0 THEN 16 ELSE 0 END AS flag, md FROM md WHERE k % 7 <> 0 AND k % 11 <> 0")
+def sam_file(spark, d):
+    """Unmapped reads and those with gaps stay out."""
+    to = _folder(spark)
+    k = F.col("cluster")
+    line = F.concat_ws("\t", F.concat(F.lit("Cluster_t_"), (k + 1).cast("string")), F.col("flag").cast("string"), F.when(k % 7 == 0, "*").otherwise("ref"), F.lit("1"), F.lit("9"), F.when(k % 11 == 0, "5M1D5M").otherwise("10M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("IIIIIIIIII"), F.concat(F.lit("MD:Z:"), F.col("md")))
+    _aligned(spark, d).select(line.alias("value")).write.text(to)
+    return formats.read_sam(spark, to).select("cluster", "flag", "md")
+
+
 @query("SELECT page_id, url FROM pages WHERE ends_with(split_part(split_part(url, '?', 1), '#', 1), '5') AND (url LIKE 'http://%' OR url LIKE 'https://m.%')")
 def tile_filter(spark, d):
     from basewright.plans.tiles import matching
@@ -352,9 +705,7 @@ def tile_filter(spark, d):
 
 @query(None)
 def deconvolve_full(spark, d):
-    from basewright.operators.estimate import basecall
-
-    return basecall(signals(spark, d)).select("cluster", F.posexplode("signal").alias("cycle", "v")).select("cluster", "cycle", E.base(E.positive_call(F.col("v"))).alias("base"))
+    return estimate.basecall(signals(spark, d)).select("cluster", F.posexplode("signal").alias("cycle", "v")).select("cluster", "cycle", E.base(E.positive_call(F.col("v"))).alias("base"))
 
 
 @query(None)

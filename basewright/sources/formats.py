@@ -77,7 +77,7 @@ def _put(path: str, data: bytes) -> str:
     """Write a file, through pyarrow's file systems, so that any store it knows works from an executor."""
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     where.create_dir(name.rpartition("/")[0], recursive=True)
     with where.open_output_stream(name) as out:
         out.write(data)
@@ -205,6 +205,15 @@ def locations_text(loc: DataFrame) -> DataFrame:
     return loc.select("tile", "cluster", F.format_string("%.2f %.2f", "x", "y").alias("value"))
 
 
+def write_locs(loc: DataFrame, path: str) -> list[str]:
+    """loc (tile, cluster, x, y) as one .locs file a tile, in order of clusters; the paths written. A task holds a tile's locations."""
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        xy = d.sort_values("cluster")[["x", "y"]].to_numpy("<f4")
+        return pd.DataFrame({"name": [_put(_joined([path, d["tile"].iloc[0] + ".locs"]), struct.pack("<ifi", 1, 1.0, len(xy)) + xy.tobytes())]})
+
+    return sorted(r.name for r in loc.groupBy("tile").applyInPandas(run, "name string").collect())
+
+
 def convert_locations(spark: SparkSession, path: str, to: str) -> list[str]:
     """Every .locs file of a folder as <base>_pos.txt in another; the paths written. A task holds a file."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
