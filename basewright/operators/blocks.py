@@ -24,8 +24,8 @@ def cycle_blocks(spark: SparkSession, cycles: int) -> DataFrame:
     return spark.createDataFrame(block_plan(cycles), "block int, start int, len int, buf_start int, buf_len int")
 
 
-def chunk_size(blocks):
-    return 625 * (2 * BUFFER + BLOCK + 2) * blocks
+def chunk_size(blocks, size: int = BLOCK):
+    return 625 * (2 * BUFFER + size + 2) * blocks
 
 
 def chunk_of(cluster, total, chunks):

@@ -147,10 +147,10 @@ def normal(x: np.ndarray, y: np.ndarray, prior: np.ndarray, tw: float, extra: fl
 class Chunk:
     """One chunk's state; signal is n x cycles x 4."""
 
-    def __init__(self, signal: np.ndarray, params: Params | None = None):
+    def __init__(self, signal: np.ndarray, params: Params | None = None, block: int = BLOCK):
         self.x = signal.astype(float)
         n, cycles, _ = self.x.shape
-        self.plan, self.fresh = block_plan(cycles), params is None
+        self.plan, self.fresh = block_plan(cycles, block), params is None
         color = color_seed(self.x[:, 0]) if params is None else None
         self.color = [color.copy() for _ in self.plan] if params is None else [c.copy() for c in params.color]
         self.phase = phase_seed(self.plan) if params is None else [p.copy() for p in params.phase]
@@ -305,7 +305,7 @@ def neighbour_factor(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.nd
     return out
 
 
-def _kernel(chunk: int, iterations: int, fast: bool, serial: bool):
+def _kernel(chunk: int, iterations: int, fast: bool, serial: bool, block: int):
     """Clusters of one chunk of one (tile, end) and the parameters so far -> deconvolved clusters and a row (cluster -1) with the new parameters."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -314,7 +314,7 @@ def _kernel(chunk: int, iterations: int, fast: bool, serial: bool):
             return state(right["params"].iloc[0])
         left = left.sort_values("cluster")
         before = Params(*pickle.loads(right["params"].iloc[0])) if len(right) else None  # noqa: S301  our own bytes
-        work, rounds = Chunk(np.array([np.stack(s) for s in left["signal"]]), before), schedule(chunk, iterations, fast, serial)
+        work, rounds = Chunk(np.array([np.stack(s) for s in left["signal"]]), before, block), schedule(chunk, iterations, fast, serial)
         z = work.run_serial(rounds) if serial else work.run(rounds, fast)
         p = work.params()
         rows = pd.DataFrame({"tile": key[0], "end_id": key[1], "cluster": left["cluster"].to_numpy(), "signal": [s.tolist() for s in z], "params": None})
@@ -322,16 +322,16 @@ def _kernel(chunk: int, iterations: int, fast: bool, serial: bool):
     return run
 
 
-def in_chunks(clusters: DataFrame, most: int | None = None) -> DataFrame:
-    """clusters with their chunk: each (tile, end) is divided by its own numbers of clusters and cycles."""
+def in_chunks(clusters: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """clusters with their chunk: each (tile, end) is divided by its own numbers of clusters and cycles. most: clusters of a chunk, or below 0 about the number of chunks."""
     keys = ["tile", "end_id"]
     sizes = clusters.groupBy(*keys).agg(F.count("*").alias("total"), F.max(F.size("signal")).alias("cycles"))
-    size = F.lit(most) if most else chunk_size(F.ceil(F.col("cycles") / BLOCK))
+    size = F.lit(most) if most and most > 0 else F.floor(F.col("total") / -most) + 2 if most else chunk_size(F.ceil(F.col("cycles") / block), block)
     sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int"))
     return clusters.join(F.broadcast(sizes), keys).withColumn("chunk", chunk_of(F.col("cluster"), F.col("total"), F.col("chunks"))).drop("total", "cycles")
 
 
-def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most: int | None = None, serial: bool = False) -> DataFrame:
+def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most: int | None = None, serial: bool = False, block: int = BLOCK) -> DataFrame:
     """clusters (tile, end_id, cluster, signal) -> the same with deconvolved signals. All clusters of a tile have as many cycles and are numbered from 0.
 
     Chunks of a (tile, end) run one after another, as each starts from the parameters of the one before; (tile, end)s run side
@@ -340,7 +340,7 @@ def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most:
     from basewright.operators.state import kept
 
     iterations = 3 if fast and iterations == 4 else iterations
-    data = kept(in_chunks(clusters.select("tile", "end_id", "cluster", "signal"), most))
+    data = kept(in_chunks(clusters.select("tile", "end_id", "cluster", "signal"), most, block))
     chunks = data.agg(F.max("chunks")).first()[0]
     if not chunks:
         return clusters.select("tile", "end_id", "cluster", "signal")
@@ -350,7 +350,7 @@ def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most:
         now = data.where(F.col("chunk") == k).select("tile", "end_id", "cluster", "signal").groupBy("tile", "end_id")
         if params is None:
             params = data.sparkSession.createDataFrame([], "tile string, end_id int, params binary")
-        out = kept(now.cogroup(params.groupBy("tile", "end_id")).applyInPandas(_kernel(k, iterations, fast, serial), schema))
+        out = kept(now.cogroup(params.groupBy("tile", "end_id")).applyInPandas(_kernel(k, iterations, fast, serial, block), schema))
         params = out.where("cluster = -1").select("tile", "end_id", "params")
         parts.append(out.where("cluster >= 0").select("tile", "end_id", "cluster", "signal"))
     result = parts[0]

@@ -35,24 +35,24 @@ class Options:
 
 
 def quantised(signals: DataFrame) -> DataFrame:
-    """Signals as int16 values; those in unit scale, as a whole, times 4000."""
-    flat = signals.select(F.explode(F.flatten("signal")).alias("x"))
-    unit = flat.agg((F.sum(F.when(F.abs("x") > 10, 1).otherwise(0)) < 0.5 * F.count("*")).alias("unit"))
+    """Signals as int16 values; those of a tile and end in unit scale times 4000."""
+    flat = F.flatten("signal")
+    big = F.aggregate(flat, F.lit(0), lambda a, x: a + (F.abs(x) > 10).cast("int"))
+    unit = signals.groupBy("tile", "end_id").agg((F.sum(big) < 0.5 * F.sum(F.size(flat))).alias("unit"))
     scale = F.when(F.col("unit"), 4000.0).otherwise(1.0)
-    return signals.join(F.broadcast(unit)).select("tile", "end_id", "cluster", F.transform("signal", lambda v: F.transform(v, lambda x: E.quantise(x, scale))).alias("signal"))
+    return signals.join(F.broadcast(unit), ["tile", "end_id"]).select("tile", "end_id", "cluster", F.transform("signal", lambda v: F.transform(v, lambda x: E.quantise(x, scale))).alias("signal"))
 
 
 def run(signals: DataFrame, loc: DataFrame, options: Options) -> dict[str, DataFrame]:
-    """tensor, reads and inner, as far as they are asked for."""
+    """tensor, reads and inner, as far as they are asked for; inner holds the signals that the reads come from, before the correction of neighbours."""
     keys, out = ["tile", "end_id", "cluster"], {}
     clean = kept(basecall(signals, options.iterations, options.fast))
-    if options.inner:
-        out["inner"] = quantised(clean)
     if options.again:
         raw = kept(correct_acc(signals, clean, loc)) if options.spatial else signals
         if options.tensor:
             out["tensor"] = quantised(raw)
-        out["reads"] = fastq(reads(basecall(raw, options.iterations, options.fast), keys, options.weights))
+        clean = kept(basecall(raw, options.iterations, options.fast))
+        out["reads"] = fastq(reads(clean, keys, options.weights))
     elif options.quality:
         z = clean if not options.spatial and not options.tensor else kept(correct_acc(clean, clean, loc))
         if options.tensor:
@@ -60,4 +60,6 @@ def run(signals: DataFrame, loc: DataFrame, options: Options) -> dict[str, DataF
         out["reads"] = fastq(reads(z, keys, options.weights or [0.0] * FEATURES, constant=options.tensor))
     else:
         out["tensor"] = quantised(correct_acc(signals, clean, loc) if options.spatial else signals)
+    if options.inner and "reads" in out:
+        out["inner"] = quantised(clean)
     return out

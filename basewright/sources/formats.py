@@ -259,3 +259,12 @@ def read_model(spark: SparkSession, path: str) -> list[float]:
 def write_fastq(rows: DataFrame, path: str) -> None:
     """rows (tile, cluster, record), in order of tile and cluster over the parts."""
     rows.repartitionByRange("tile", "cluster").sortWithinPartitions("tile", "cluster").select(F.expr("substring(record, 1, length(record) - 1)").alias("value")).write.text(path)
+
+
+def write_fastq_files(rows: DataFrame, path: str, prefix: str = "", suffix: str = "") -> list[str]:
+    """rows (tile, cluster, record) as one file a tile, in order of clusters; the paths written. A task holds a tile's text; write_fastq has no such bound."""
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        text = "".join(d.sort_values("cluster")["record"])
+        return pd.DataFrame({"name": [_put(_joined([path, output_name(d["tile"].iloc[0], prefix, suffix) + ".fastq"]), text.encode())]})
+
+    return sorted(r.name for r in rows.select("tile", "cluster", "record").groupBy("tile").applyInPandas(run, "name string").collect())
