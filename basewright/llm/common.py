@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -12,7 +13,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Rows and bytes of an Arrow batch, where the session leaves them to Spark: whole texts can be long, and each Python worker holds some batches.
-BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -34,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect garbage on the driver: only then does Spark drop shuffle files, broadcasts and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that holds it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

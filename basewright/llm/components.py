@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewright.llm.common import checkpointed
+from basewright.llm.common import checkpointed, swept
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,6 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = _minimum(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        large = low = small = both = None  # spent
+        swept(edges.sparkSession)
         before, state = state, _state(e)
         if before == state:
             break

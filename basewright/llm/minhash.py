@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import checkpointed, shuffle_partitions, small_enough, table
+from basewright.llm.common import checkpointed, shuffle_partitions, small_enough, swept, table
 from basewright.llm.components import connected_components
 
 ROWS, BANDS = 4, 32
@@ -316,10 +316,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     shared = checkpointed(buckets.join(pivots, "bucket").select("bucket", "doc_id", "p"))
     links = _links(texts, sigs, shared.where("doc_id <> p").select("p", F.col("doc_id").alias("d")).distinct(), k, percent)
     links = links.unionByName(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    swept(documents.sparkSession)
     comps = checkpointed(connected_components(links).select(F.col("node").alias("doc_id"), "component"))
     placed = shared.where("doc_id <> p").join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     groups = checkpointed(_groups(checkpointed(placed)))
     hopeful = checkpointed(_by_blocks(groups, sigs.withColumnRenamed("sig", "data"), _with_partner).toDF("key", "doc_id"))
+    swept(documents.sparkSession)
     if not hopeful.isEmpty():
         groups = checkpointed(groups.join(hopeful, ["key", "doc_id"]).join(reps.select("doc_id", "n_shingles"), "doc_id"))
         ids = checkpointed(groups.select("doc_id").distinct())

@@ -122,16 +122,6 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
 
-def _counted(terms: set[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(terms & terms_of(fold(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-    return run
-
-
 def _contexts(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -183,16 +173,15 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
         p_all, n_all = sizes.get(1, 0), sizes.get(0, 0)
         if not p_all:
             return Lexicon({}, [], [-3.0, 0, 0, 0, 0])
-        pos = rows.where("toxic = 1").select("text").mapInArrow(_candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(min(LEAST_DOCS, max(1, p_all // 3)), p_all // 150))
-        p = {r.term: r.n for r in pos.collect()}
-        n = {r.term: r.n for r in rows.where("toxic = 0").select("text").mapInArrow(_counted(set(p)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        scored = []
-        for t, a in p.items():
-            b = n.get(t, 0)
-            expected = (a + b) * p_all / (p_all + n_all)
-            weight = math.log((a + 0.5) / (p_all + 1)) - math.log((b + 0.5) / (n_all + 1))
-            if a / p_all > 4 * b / max(n_all, 1) and a - expected > 3.5 * math.sqrt(expected + 0.25) and weight > 2:
-                scored.append(((a - expected) / math.sqrt(expected + 0.25), t[-1] == " ", len(t), t, weight))
+        count = lambda kind: rows.where(F.col("toxic") == kind).select("text").mapInArrow(_candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        pos = count(1).where(F.col("n") >= max(min(LEAST_DOCS, max(1, p_all // 3)), p_all // 150)).withColumnRenamed("n", "a")
+        both = pos.join(count(0).withColumnRenamed("n", "b"), "term", "left").fillna(0, ["b"])
+        a, b = F.col("a"), F.col("b")
+        expected = (a + b) * p_all / (p_all + n_all)
+        surplus = (a - expected) / F.sqrt(expected + 0.25)
+        weight = F.log((a + 0.5) / (p_all + 1)) - F.log((b + 0.5) / (n_all + 1))
+        telling = both.where((a / p_all > 4 * b / max(n_all, 1)) & (surplus > 3.5) & (weight > 2)).select(surplus.alias("surplus"), "term", weight.alias("weight"))
+        scored = [(r.surplus, r.term[-1] == " ", len(r.term), r.term, r.weight) for r in telling.collect()]  # bounded by the rows of the fit
         chosen: dict[str, float] = {}
         begun: set[str] = set()  # beginnings of chosen terms
         for _, _, _, t, weight in sorted(scored, reverse=True):
