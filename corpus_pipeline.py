@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{base}/{i}-{name}")
         if i:
             common.removed(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
+        common.swept(spark)
     return docs
