@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def freed(kernel):
+    """A kernel over batches that gives Arrow's unused memory back to the system at its end: workers are used again by other stages."""
+
+    def run(batches):
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def swept(spark: SparkSession) -> None:
     """Collect garbage on the driver: only then does Spark drop shuffle files, broadcasts and checkpoints that nothing refers to any more."""
     gc.collect()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basewright.llm.common import checkpointed, table, unused
+from basewright.llm.common import checkpointed, freed, table, unused
 
 WORDS, MOST_WINDOWS = 10, 100_000
 
@@ -111,7 +111,7 @@ def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
 def repeated_runs(documents: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text), cut: the lines of each document that repeat earlier ones. Rows with a null doc_id take no part."""
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    found = texts.mapInArrow(_fingerprints, "doc_id long, version long, pos int, before int, after int, h long")
+    found = texts.mapInArrow(freed(_fingerprints), "doc_id long, version long, pos int, before int, after int, h long")
     found = checkpointed(found)
     place = F.struct("doc_id", "version", (F.col("pos") - F.col("before")).alias("line"))
     first = found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", "f")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import checkpointed, shuffle_partitions, small_enough, swept, table
+from basewright.llm.common import checkpointed, freed, shuffle_partitions, small_enough, swept, table
 from basewright.llm.components import connected_components
 
 ROWS, BANDS = 4, 32
@@ -249,7 +249,7 @@ def _by_blocks(rows: DataFrame, data: DataFrame, decide, weight=None) -> DataFra
     placed = rows.join(_near_to(sizes, BROADCAST_ROWS), "key").withColumn("side", side).join(data, "doc_id").withColumn("other", F.explode(others))
     placed = placed.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
     placed = placed.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
-    return placed.mapInArrow(_blocks(decide), "a long, b long").distinct()
+    return placed.mapInArrow(freed(_blocks(decide)), "a long, b long").distinct()
 
 
 def _confirmed(k: int, percent: int):
@@ -286,7 +286,7 @@ def _links(texts: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent:
     wanted = checkpointed(docs.unionByName(own))
     rows = texts.join(_near_to(wanted, BROADCAST_ROWS), "doc_id").select("p", "salt", "role", "doc_id", "text")
     rows = rows.repartition(shuffle_partitions(spark), "p", "salt").sortWithinPartitions("p", "salt", "role", "doc_id")
-    return checkpointed(rows.mapInArrow(_confirmed(k, percent), "u long, v long").distinct())
+    return checkpointed(rows.mapInArrow(freed(_confirmed(k, percent)), "u long, v long").distinct())
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -302,7 +302,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 or more")
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    f = checkpointed(texts.mapInArrow(_features(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"))
+    f = checkpointed(texts.mapInArrow(freed(_features(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"))
     real = f.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = checkpointed(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("k1", "k2", "rep"))
     member = checkpointed(real.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"]).select("doc_id", "rep"))
@@ -326,7 +326,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         groups = checkpointed(groups.join(hopeful, ["key", "doc_id"]).join(reps.select("doc_id", "n_shingles"), "doc_id"))
         ids = checkpointed(groups.select("doc_id").distinct())
         wanted = texts.join(_near_to(ids, BROADCAST_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        more = _by_blocks(groups, wanted.mapInArrow(_sets(k), "doc_id long, data binary"), _spanning(percent), F.col("n_shingles"))
+        more = _by_blocks(groups, wanted.mapInArrow(freed(_sets(k)), "doc_id long, data binary"), _spanning(percent), F.col("n_shingles"))
         joined = checkpointed(connected_components(more.toDF("u", "v"))).withColumnRenamed("component", "least")
         renamed = comps.join(joined.withColumnRenamed("node", "component"), "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
         alone = joined.join(comps.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("least").alias("component"))

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import checkpointed, shuffle_partitions, table
+from basewright.llm.common import checkpointed, freed, shuffle_partitions, table
 
 CAPACITY, END = 4096, 1
 PER_PARTITION, LAST, SLACK, ROUNDS = 200_000, 50_000, 8, 6
-CACHE = 250_000
+CACHE = 100_000
 
 
 class _Recent:
@@ -202,7 +202,7 @@ def _pack(capacity: int, last: bool):
 
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each row's pieces; a null or empty text is its end id alone."""
-    return documents.select("doc_id", "text").mapInArrow(_pieces(path, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select("doc_id", "text").mapInArrow(freed(_pieces(path, capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import crc_mod, table
+from basewright.llm.common import crc_mod, freed, table
 
 TRAIN_ROWS, LEAST_DOCS = 12_000, 4
 PREFIX = range(4, 10)
@@ -210,7 +210,7 @@ def _scored(lexicon: Lexicon):
 
 def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score of each row. Null and empty texts score as texts without matches; repeated rows score alike; null ids stay; extra columns are ignored."""
-    return documents.select("doc_id", "text").mapInArrow(_scored(lexicon), "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(freed(_scored(lexicon)), "doc_id long, score double")
 
 
 def _clean(lexicon: Lexicon, at: int):
@@ -222,7 +222,7 @@ def _clean(lexicon: Lexicon, at: int):
 
 def keep_clean(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of documents, with all their columns, that score under 0.5."""
-    return documents.mapInArrow(_clean(lexicon, documents.columns.index("text")), documents.schema)
+    return documents.mapInArrow(freed(_clean(lexicon, documents.columns.index("text"))), documents.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
