@@ -2,7 +2,8 @@
 
 1. A pass over the whole texts makes, for each document, the set of its distinct word shingles (64-bit hashes), a 128-bit
    digest of that set, MINIMA minima of universal hashes and a key for each of BANDS bands of ROWS minima.
-2. Documents with equal sets are one class; only its least doc_id goes on, so exact copies cost a count, not pairs.
+2. Documents with equal sets are one class; only its least doc_id goes on, so exact copies cost a count, not pairs, and take
+   their representative's component at the end.
 3. Buckets with the same members are one. In each, every member is paired with one pivot, never with all others. Signatures
    drop pairs that agree in fewer than AGREE of the minima (chance of dropping a pair of similarity 0.8: about 4e-7).
 4. Whole texts of the pairs left are dealt by (pivot, salt), SALT documents to each copy of the pivot, and the exact
@@ -232,7 +233,7 @@ def _groups(members: DataFrame) -> DataFrame:
     whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
     key = F.when(F.col("n") > LARGE, F.xxhash64(F.lit("component"), "m.c")).otherwise(F.col("bucket"))
     whole = checkpointed(whole.select("bucket", key.alias("key"), F.col("m.c").alias("main")))
-    return members.join(_near_to(whole, BROADCAST_ROWS), "bucket").select("key", "main", "doc_id", "c").distinct()
+    return members.join(whole, "bucket").select("key", "main", "doc_id", "c").distinct()
 
 
 def _by_blocks(rows: DataFrame, data: DataFrame, decide, weight=None) -> DataFrame:
@@ -246,7 +247,7 @@ def _by_blocks(rows: DataFrame, data: DataFrame, decide, weight=None) -> DataFra
     sizes = checkpointed(rows.groupBy("key").agg(blocks(~is_main).alias("rest"), blocks(is_main).alias("more")))
     side = F.when(is_main, F.col("rest") + F.pmod(place, F.col("more"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
     others = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1)
-    placed = rows.join(_near_to(sizes, BROADCAST_ROWS), "key").withColumn("side", side).join(data, "doc_id").withColumn("other", F.explode(others))
+    placed = rows.join(sizes, "key").withColumn("side", side).join(data, "doc_id").withColumn("other", F.explode(others))
     placed = placed.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
     placed = placed.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
     return placed.mapInArrow(freed(_blocks(decide)), "a long, b long").distinct()
@@ -315,7 +316,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     pivots = checkpointed(held.groupBy("p", "q", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "p"))
     shared = checkpointed(buckets.join(pivots, "bucket").select("bucket", "doc_id", "p"))
     links = _links(texts, sigs, shared.where("doc_id <> p").select("p", F.col("doc_id").alias("d")).distinct(), k, percent)
-    links = links.unionByName(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     swept(documents.sparkSession)
     comps = checkpointed(connected_components(links).select(F.col("node").alias("doc_id"), "component"))
     placed = shared.where("doc_id <> p").join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
@@ -331,6 +331,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         renamed = comps.join(joined.withColumnRenamed("node", "component"), "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
         alone = joined.join(comps.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("least").alias("component"))
         comps = renamed.unionByName(alone)
+    kept = checkpointed(comps)
+    of_class = member.join(kept.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    comps = kept.join(member.select("doc_id"), "doc_id", "left_anti").unionByName(of_class)
     out = f.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
