@@ -8,11 +8,18 @@ from pyspark.sql import SparkSession
 
 from basewright import queries as base
 
-HEADLINE = ["fastq_record", "phred", "quality_histogram", "color_means", "gram_phasing", "robust_weight", "stripe_halo", "neighbour_pairs", "cycle_width", "acc_jacobi_1", "mismatch_rate_by_cycle"]
+HEADLINE = [
+    "fastq_record", "phred", "quality_histogram", "line_reads", "color_means", "gram_phasing", "robust_weight", "deconvolve_both", "stripe_halo",
+    "neighbour_pairs", "cycle_width", "edge_share", "acc_solve", "acc_jacobi_1", "mismatch_rate_by_cycle", "acc_full", "deconvolve_full",
+]
 
 if __name__ == "__main__":
     cpus, sf = os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
+    settings = {
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g",
+    }
+    spark = SparkSession.builder.master(f"local[{cpus}]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     every, took = base.queries(), {}
     every["call_base"](spark, sf).write.format("noop").mode("overwrite").save()

@@ -273,3 +273,71 @@ def test_sparse_logistic_equals_proximal_gradient(spark):
         w = w + step * c * x.T @ (sign / (1 + np.exp(sign * (x @ w))))
         w = np.sign(w) * np.maximum(np.abs(w) - step, 0)
     assert np.abs(got - w).max() < 1e-3 and np.abs(w).max() > 0.1
+
+
+def test_fits_equal_augmented_least_squares():
+    """Both fits against numpy's least squares with the pull toward the old parameters as further rows."""
+    _, x = simulated(300, 16)
+    work = estimate.Chunk(x)
+    work.solve(range(2), -1, 30.0, lambda b: True)
+    for b in range(2):
+        w, n, p, c = work.w[b][:, None], np.arange(300), work.phase[b], work.color[b]
+        h = work.source(b) @ c[:, :4].T
+        a = np.hstack([h[n, :, n % 4], work.previous[b][n, n % 4][:, None], np.full((300, 1), work.scale)]) * w
+        y = (work.own(b)[n, :, n % 4] - c[n % 4, 4][:, None]) * w
+        pull = np.sqrt(0.05 * work.scale**2 * (w**2).sum()) * np.eye(a.shape[1])
+        hold = pull.copy()
+        hold[-1, -1] *= np.sqrt(3)
+        # the extra hold on the last term pulls it toward a third of its old value's weight
+        want = np.linalg.solve(a.T @ a + hold @ hold, a.T @ y + pull @ pull @ p.T).T
+        assert np.abs(work.fit_phase(b, 0.05, 2) - want).max() < 1e-8
+        plain = np.linalg.lstsq(np.vstack([a, pull]), np.vstack([y, pull @ p.T]), rcond=None)[0].T
+        assert np.abs(work.fit_phase(b, 0.05, 0) - plain).max() < 1e-8
+        t = n % work.plan[b][2]
+        g = np.hstack([np.einsum("ns,nsk->nk", p[t, :-2], work.source(b)), np.ones((300, 1))]) * w
+        y = (work.own(b)[n, t] - work.previous[b] * p[t, -2][:, None] - p[t, -1][:, None] * work.scale) * w
+        pull = np.sqrt(0.05 * (w**2).sum()) * np.eye(5)
+        plain = np.linalg.lstsq(np.vstack([g, pull]), np.vstack([y, pull @ c.T]), rcond=None)[0].T
+        plain[:, :4] *= 2 * work.scale / np.linalg.norm(np.diag(plain[:, :4]))
+        assert np.abs(work.fit_color(b, 0.05, 0) - plain).max() < 1e-8
+
+
+def test_stripes_equal_one_dense_system(spark):
+    """All of correct_acc on a tile of two stripes against edge-by-edge search and one dense solve of each stripe."""
+    rng = np.random.default_rng(10)
+    n, cycles = 120, 6
+    x = np.abs(np.eye(4)[rng.integers(0, 4, (n, cycles))] + rng.normal(0, 0.1, (n, cycles, 4)))
+    xy = np.stack([rng.integers(0, 400, n), rng.integers(0, 20, n)], axis=1).astype(float)
+    loc = spark.createDataFrame([("t", i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "tile string, cluster int, x double, y double")
+    s = frame(spark, x)
+    out = {r.cluster: np.array(r.signal) for r in spatial.correct_acc(s, s, loc).collect()}
+    gx, gy = (xy - xy.min(axis=0)).astype(int).T
+    mags = np.sort(np.abs(x), axis=2)
+    qd = (mags[:, :, 3] - mags[:, :, 2]).min(axis=1) / mags[:, :, 3].max(axis=1)
+    width = n / mags[:, :, 1].sum(axis=0)
+    thr = 0.3 * width.sum() * mags[:, :, 3].mean()
+    value = lambda v: sum(w * (np.abs(c).sum() - abs(c.max())) for w, c in zip(width, v, strict=True))
+
+    def share(a, b):
+        lo, hi = 0.0, 0.98
+        while hi - lo > 0.001:
+            m = 0.618 * lo + 0.382 * hi
+            lo, hi = (m, hi) if value(x[a] - m * x[b]) - value(x[a] - (m + 0.001) * x[b]) > thr * 0.001 else (lo, m)
+        return lo
+
+    stripes, done = -(-(gx.max() + 1) // 250), 0
+    for k in range(stripes):
+        low, high = 250 * k - 15, (250 * k + 235 if k < stripes - 1 else 10**9)
+        ids = [i for i in range(n) if low - 15 <= gx[i] < high + 15]
+        row = spatial.occupied(gx[ids], gy[ids])
+        a = np.eye(len(ids))
+        for p, i in enumerate(ids):
+            for q, j in enumerate(ids):
+                if i != j and qd[i] < 0.7 and abs(gx[i] - gx[j]) <= 4 and abs(gy[i] - row[q]) <= 4:
+                    a[p, q] += share(i, j)
+        z = np.linalg.solve(a, x[ids].reshape(len(ids), -1)).reshape(len(ids), cycles, 4)
+        for p, i in enumerate(ids):
+            if low <= gx[i] < high:
+                done += 1
+                assert np.abs(out[i] - z[p]).max() < 1e-6
+    assert done == n == len(out)
