@@ -115,17 +115,17 @@ def read_string(spark, d):
 def line_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as clusters and their lines as cycles, up to 7: a tensor that grows with the tables."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    v = F.array(*[F.round(x, 6) for x in (F.avg("l_quantity") / 50, F.avg("l_extendedprice") / 100_000, F.avg("l_discount") * 10, F.avg("l_tax") * 12)])
+    v = F.array(*[F.round(x, 10) for x in (F.avg("l_quantity") / 50, F.avg("l_extendedprice") / 100_000, F.avg("l_discount") * 10, F.avg("l_tax") * 12)])
     lines = t.groupBy("l_orderkey", "l_linenumber").agg(v.alias("v"))
     rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))).alias("r"))
     return rows.select(F.col("l_orderkey").alias("cluster"), F.col("r.v").alias("signal"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, [round(avg(l_quantity) / 50, 6), round(avg(l_extendedprice) / 100000, 6), round(avg(l_discount) * 10, 6), round(avg(l_tax) * 12, 6)] AS v FROM lineitem GROUP BY l_orderkey, l_linenumber)
-SELECT l_orderkey AS cluster, string_agg(substr('ACGT', CAST(list_position(v, list_max(v)) AS INTEGER), 1), '' ORDER BY l_linenumber) AS seq, round(sum(list_max(v)), 6) AS light FROM l GROUP BY l_orderkey""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, [round(avg(l_quantity) / 50, 10), round(avg(l_extendedprice) / 100000, 10), round(avg(l_discount) * 10, 10), round(avg(l_tax) * 12, 10)] AS v FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey AS cluster, string_agg(substr('ACGT', CAST(list_position(v, list_max(v)) AS INTEGER), 1), '' ORDER BY l_linenumber) AS seq FROM l GROUP BY l_orderkey""")
 def line_reads(spark, d):
     rows = quality.with_scores(line_signals(spark, d), ["cluster"])
-    return rows.select("cluster", F.array_join(F.transform("cycles", lambda x: E.base(x["call"])), "").alias("seq"), rnd(F.col("sig") * F.col("n")).alias("light"))
+    return rows.select("cluster", F.array_join(F.transform("cycles", lambda x: E.base(x["call"])), "").alias("seq"))
 
 
 @query(f"WITH {S}, {HAT} SELECT cluster, cycle, bin, round(beta, 6) AS beta FROM h")
