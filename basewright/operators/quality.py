@@ -16,19 +16,20 @@ def synthetic_weights() -> list[float]:
 
 
 def with_scores(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, cycles, tsr, var, sig, n: cycles is an array with v, call, gap, top, second, rank (of the runner-up among the other channels) and prev of each cycle; the others are the read's. All in the row, without a shuffle."""
+    """keys, cycles, tsr, var, sig, n: cycles is an array with v, call, gap, top, second, rank (of the runner-up among the other channels) and prev of each cycle; the others are the read's, 0 for a read without cycles and null for a null signal. All in the row, without a shuffle."""
     t = signals.select(*keys, "signal")
     one = lambda v: F.struct(v.alias("v"), E.call(v).alias("call"), E.gap(v).alias("gap"), F.array_max(v).alias("top"), E.runner_up(v).alias("second"))
     t = t.select(*keys, F.transform("signal", one).alias("c"), F.size("signal").cast("long").alias("n"))
     before = F.transform("c", lambda x, i: F.struct(*[x[f].alias(f) for f in ("v", "call", "gap", "top", "second")], (x["second"] - (x["second"] > x["call"]).cast("int")).alias("rank"), F.when(i > 0, F.try_element_at("c", i)["call"]).alias("prev")))
-    total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, x: a + f(x)) / F.col("n")
+    total = lambda f: F.aggregate("c", F.lit(0.0), lambda a, x: a + f(x)) / F.greatest("n", F.lit(1))
     t = t.withColumn("tsr", total(lambda x: x["gap"]))
     return t.select(*keys, before.alias("cycles"), "tsr", total(lambda x: (x["gap"] - F.col("tsr")) ** 2).alias("var"), total(lambda x: x["top"]).alias("sig"), "n")
 
 
 def scored_cycles(signals: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each cycle: keys, cycle, v, call, gap, top, second, rank, prev, and the read's tsr, var, sig, n."""
-    long = with_scores(signals, keys).select(*keys, F.posexplode("cycles").alias("cycle", "c"), "tsr", "var", "sig", "n")
+    # the plain posexplode makes a filter of the array's size, which is pushed below and works out all of it once more for each cycle
+    long = with_scores(signals, keys).select(*keys, F.posexplode_outer("cycles").alias("cycle", "c"), "tsr", "var", "sig", "n").where("c IS NOT NULL")
     return long.select(*keys, "cycle", *[f"c.{f}" for f in ("v", "call", "gap", "top", "second", "rank", "prev")], "tsr", "var", "sig", "n")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from basewright.functions import expr as E
 from basewright.operators import blocks, estimate, spatial
-from basewright.operators.quality import synthetic_weights
+from basewright.operators.quality import reads, scored_cycles, synthetic_weights
 from basewright.operators.train import features, labelled, train
 from basewright.plans.modes import Options, run
 from basewright.sources import formats
@@ -341,3 +341,15 @@ def test_stripes_equal_one_dense_system(spark):
                 done += 1
                 assert np.abs(out[i] - z[p]).max() < 1e-6
     assert done == n == len(out)
+
+
+def test_scores_of_odd_reads(spark):
+    """Reads without cycles and null signals give no cycle rows, and cost the others no second pass over the signal."""
+    rows = [(0, [[0.9, 0.1, 0.2, 0.0], [0.0, 0.3, 0.8, 0.1]]), (1, []), (2, None), (3, [[0.5, 0.5, 0.0, 0.0]])]
+    signals = spark.createDataFrame(rows, "cluster int, signal array<array<double>>")
+    scored = scored_cycles(signals, ["cluster"])
+    got = {(r.cluster, r.cycle): (r.call, r.second, r["rank"], r.prev, round(r.gap, 9)) for r in scored.collect()}
+    assert got == {(0, 0): (0, 2, 1, None, 0.7), (0, 1): (2, 1, 1, 0, 0.5), (3, 0): (0, 1, 0, None, 0.0)}
+    assert "Filter (size(" not in scored._jdf.queryExecution().executedPlan().toString()
+    made = {r.cluster: (r.seq, r.qual) for r in reads(signals, ["cluster"], synthetic_weights()).collect()}
+    assert made[0][0] == "AG" and len(made[0][1]) == 2 and made[1] == ("", "") and made[2] == (None, None)
