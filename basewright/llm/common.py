@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,11 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def freed(kernel):
-    """A kernel over batches that gives Arrow's unused memory back to the system at its end: workers are used again by other stages."""
+    """A kernel over batches that gives unused memory, Arrow's and the C library's, back to the system at its end: workers are used again by other stages."""
 
     def run(batches):
         yield from kernel(batches)
         pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without malloc_trim keeps its free memory
+            ctypes.CDLL(None).malloc_trim(0)
     return run
 
 

@@ -280,7 +280,7 @@ def _links(texts: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent:
     of_pivots = checkpointed(sigs.join(pairs.select(F.col("p").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("p"), F.col("sig").alias("sp")))
     with_d = pairs.join(sigs.select(F.col("doc_id").alias("d"), F.col("sig").alias("sd")), "d")
     both = with_d.join(_near_to(of_pivots, BROADCAST_SIGNATURES), "p")
-    pairs = checkpointed(both.select("p", "d", "sd", "sp").mapInArrow(_agreeing, "p long, d long"))
+    pairs = checkpointed(both.select("p", "d", "sd", "sp").mapInArrow(freed(_agreeing), "p long, d long"))
     sizes = checkpointed(pairs.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / SALT), F.lit(1)).cast("int").alias("salts")))
     docs = pairs.join(_near_to(sizes, BROADCAST_ROWS), "p").select("p", F.pmod(F.xxhash64("d"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("d").alias("doc_id"))
     own = sizes.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("p").alias("doc_id"))

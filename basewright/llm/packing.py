@@ -220,7 +220,7 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         last = parts == 1 or turn == ROUNDS - 1
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)).cast("int"))
         dealt = dealt.repartition(min(parts, shuffle_partitions(spark)), "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "piece")
-        out = dealt.select("part", "length", "doc_id", "piece", "ids_crc32").mapInArrow(_pack(capacity, last), "doc_id long, piece int, length long, ids_crc32 long, part int, bin long, offset long, done boolean, bound long")
+        out = dealt.select("part", "length", "doc_id", "piece", "ids_crc32").mapInArrow(freed(_pack(capacity, last)), "doc_id long, piece int, length long, ids_crc32 long, part int, bin long, offset long, done boolean, bound long")
         out = checkpointed(out.withColumn("turn", F.lit(turn)))
         ready = out.where("done")
         done = ready if done is None else done.unionByName(ready)

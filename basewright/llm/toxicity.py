@@ -173,7 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
         p_all, n_all = sizes.get(1, 0), sizes.get(0, 0)
         if not p_all:
             return Lexicon({}, [], [-3.0, 0, 0, 0, 0])
-        count = lambda kind: rows.where(F.col("toxic") == kind).select("text").mapInArrow(_candidates, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        count = lambda kind: rows.where(F.col("toxic") == kind).select("text").mapInArrow(freed(_candidates), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
         pos = count(1).where(F.col("n") >= max(min(LEAST_DOCS, max(1, p_all // 3)), p_all // 150)).withColumnRenamed("n", "a")
         both = pos.join(count(0).withColumnRenamed("n", "b"), "term", "left").fillna(0, ["b"])
         a, b = F.col("a"), F.col("b")
@@ -190,9 +190,9 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
                 chosen[t] = weight
                 begun.update(stem[:i] for i in range(2, len(stem) + 1))
         lexicon = Lexicon(chosen, [], [0.0] * 5)
-        ctx = rows.mapInArrow(_contexts(lexicon), "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where("p = 0 AND n >= 3")
+        ctx = rows.mapInArrow(freed(_contexts(lexicon)), "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where("p = 0 AND n >= 3")
         lexicon = Lexicon(chosen, sorted(r.term for r in ctx.collect()), [0.0] * 5)
-        got = rows.mapInArrow(_measured(lexicon), "toxic long, x array<double>").collect()
+        got = rows.mapInArrow(freed(_measured(lexicon)), "toxic long, x array<double>").collect()
         x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
         return Lexicon(chosen, lexicon.exceptions, _logistic(x, y))
     finally:
