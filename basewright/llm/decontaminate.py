@@ -51,11 +51,14 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 def _shingled(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """rows (keys, words) -> keys, n (words), pos, w0 ...: a row for each of the k-word shingles."""
+    """rows (keys, words) -> keys, n (words), pos, w0 ...: a row for each of the k-word shingles, and some with nulls where the words end.
+
+    Filters on the words, posexplode's own on the array's size among them, would be pushed below and split the text again.
+    """
     n = F.size("words")
     columns = [(F.slice("words", i + 1, F.greatest(n - i, F.lit(0))) if i else F.col("words")).alias(f"w{i}") for i in range(k)]
-    named = rows.where(n >= k).select(*keys, n.alias("n"), *columns)
-    pairs = named.select(*keys, "n", F.posexplode(F.arrays_zip(*[F.col(f"w{i}") for i in range(k)])).alias("pos", "g"))
+    named = rows.select(*keys, n.alias("n"), *columns)
+    pairs = named.select(*keys, "n", F.posexplode_outer(F.arrays_zip(*[F.col(f"w{i}") for i in range(k)])).alias("pos", "g"))
     return pairs.select(*keys, "n", "pos", *[f"g.w{i}" for i in range(k)])
 
 
@@ -84,7 +87,8 @@ def spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> t
     sizes = [r.k for r in ids.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()]  # SHINGLE rows at most
     if not sizes:
         return owners.sparkSession.createDataFrame([], "doc_id long, version long, window_id string, start int, length int"), owners
-    docs = documents.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    docs = texts.select(*ROW, words(F.col("text")).alias("words"))
     name = lambda k: F.sha2(F.to_json(F.array(*[f"w{i}" for i in range(k)])), 256).alias("shingle")
     own, seen = {}, []
     for k in sizes:
@@ -107,8 +111,8 @@ def spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> t
         found.append(at.select(*ROW, F.struct("window_id", start.alias("start"), "length").alias("c")))
     cand = checkpointed(_union(found).groupBy(*ROW).agg(F.collect_set("c").alias("c")))
     small = string_bytes(cand.select("doc_id", F.to_json("c").alias("c"))) <= BROADCAST_BYTES
-    held = _join_rows(docs, F.broadcast(cand) if small else cand, "inner")
-    got = held.select(*ROW, F.inline(F.transform("c", lambda c: F.struct(c["window_id"].alias("window_id"), c["start"].alias("start"), c["length"].alias("length"), F.slice("words", c["start"] + 1, c["length"]).alias("window")))))
+    held = _join_rows(texts, F.broadcast(cand) if small else cand, "inner").select(*ROW, "c", words(F.col("text")).alias("words"))
+    got = held.select(*ROW, F.inline_outer(F.transform("c", lambda c: F.struct(c["window_id"].alias("window_id"), c["start"].alias("start"), c["length"].alias("length"), F.slice("words", c["start"] + 1, c["length"]).alias("window")))))
     return got.join(_near(ids.select("window_id", "window")), ["window_id", "window"]).select(*ROW, "window_id", "start", "length").distinct(), owners
 
 

@@ -102,6 +102,14 @@ def test_decontaminate_by_shuffle_and_repetitions(spark, monkeypatch):
     assert got == {0: (14, 3), 1: (10, 2), 2: (6, 1), 3: (4, 1)}
 
 
+def test_shingles_split_a_text_once(spark):
+    rows = docs(spark, [(0, "a b c d"), (1, "a b"), (2, ""), (3, None)])
+    out = decontaminate._shingled(rows.select("doc_id", decontaminate.words(F.col("text")).alias("words")), ["doc_id"], 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    whole = out.dropna(subset=["w0", "w1", "w2"])
+    assert sorted((r.doc_id, r.n, r.pos, r.w0 + r.w1 + r.w2) for r in whole.collect()) == [(0, 4, 0, "abc"), (0, 4, 1, "bcd")]
+
+
 def components_of(nodes, links):
     up = {n: n for n in nodes}
 
