@@ -97,6 +97,23 @@ def string_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(size)).first()[0] or 0
 
 
+def numbered(df: DataFrame, order: list[Column], partitions: int) -> tuple[DataFrame, int]:
+    """df with a column ordinal, from 1 on in the given order, and the number of rows.
+
+    A range sort over all executors, written once; each partition is numbered on from those before it. Only the partitions' row
+    counts go through the driver.
+    """
+    held = checkpointed(df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    before, total = [], 0
+    for r in held.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
+        before.append((r.part, total))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    out = held.join(F.broadcast(starts), part == F.col("_part"))
+    return out.withColumn("ordinal", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before"), total
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores added until none of the columns has one of them in any case."""
     taken = {c.lower() for c in columns}

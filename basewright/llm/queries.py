@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basewright.llm import decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, toxicity
+from basewright.llm import decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, resample, toxicity, trie
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_minhash": minhash.op8_minhash,
         "op9_linededup": linededup.op9_linededup,
         "op10_packing": packing.op10_packing,
+        "op11_resample": resample.op11_resample,
+        "op12_trie": trie.op12_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -26,5 +28,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_decontaminate": decontaminate.ORACLE, "op6_preference": preference.ORACLE}
+    out = {"op2_decontaminate": decontaminate.ORACLE, "op6_preference": preference.ORACLE, "op11_resample": resample.ORACLE, "op12_trie": trie.ORACLE}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
