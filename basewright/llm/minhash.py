@@ -1,13 +1,13 @@
 """MinHash near-duplicate detection: universal hash minima, banding, signature and exact verification, star components.
 
-1. A pass over the whole texts makes, for each document, the set of its distinct word shingles (64-bit hashes), a 128-bit
+1. A pass over the whole texts makes, for each row, the set of its distinct word shingles (64-bit hashes), a 128-bit
    digest of that set, MINIMA minima of universal hashes and a key for each of BANDS bands of ROWS minima.
-2. Documents with equal sets are one class; only its least doc_id goes on, so exact copies cost a count, not pairs, and take
-   their representative's component at the end.
+2. Rows with equal sets are one class; only its least row goes on, so exact copies cost a count, not pairs, and take
+   their class's component at the end.
 3. Buckets with the same members are one. In each, every member is paired with one pivot, never with all others. Signatures
    drop pairs that agree in fewer than AGREE of the minima (chance of dropping a pair of similarity 0.8: about 4e-7).
-4. Whole texts of the pairs left are dealt by (pivot, salt), SALT documents to each copy of the pivot, and the exact
-   Jaccard similarity of the full sets confirms each link.
+4. Whole texts of the pairs left are dealt by (pivot, salt), and the exact Jaccard similarity of the full sets confirms each
+   link.
 5. Components of the confirmed links. In a bucket whose members still lie in several components the pivot may have hidden a
    link. Such buckets of over LARGE members are put together by their largest component, so that a document that misses
    the component's pivots meets it once and not once a bucket. Signatures of such a group are compared in blocks of about
@@ -29,36 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import checkpointed, freed, shuffle_partitions, small_enough, swept, table
+from basewright.llm.blocks import by_blocks, column, joined_components, open_groups
+from basewright.llm.classes import classes_of, confirmed_links, documents_of, near, of_classes, rows_of, sets_of, version_of
+from basewright.llm.common import checkpointed, freed, swept, table, unused
 from basewright.llm.components import connected_components
+from basewright.llm.shingles import shingle_set
 
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 AGREE = 80
-SALT, BLOCK, BLOCK_SHINGLES, WIDTH, STEP, LARGE = 64, 512, 2_000_000, 2048, 250_000, 64
-#: Rows up to which ids or pivots' sizes (24 bytes each) and signatures (280 bytes) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS, BROADCAST_SIGNATURES = 1_000_000, 50_000
+WIDTH, STEP = 2048, 250_000
+#: Rows up to which pivots' signatures (280 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_SIGNATURES = 50_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_set(text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle; no words, none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(len(h) - k + 1, 1)
-    x = h[:n].copy()
-    for i in range(1, min(k, len(h))):
-        x *= _P
-        x += h[i : i + n]
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return np.unique(x)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -73,7 +58,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _features(k: int):
@@ -82,7 +67,7 @@ def _features(k: int):
             for part in range(0, batch.num_rows, 1000):
                 piece = batch.slice(part, 1000)
                 n, keys, sigs, bands = [], [], [], []
-                for text in piece.column(1):
+                for text in piece.column(2):
                     s = shingle_set(text.as_py(), k)
                     n.append(len(s))
                     digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -95,7 +80,8 @@ def _features(k: int):
                     else:
                         sigs.append(b"")
                         bands.append([])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_FEATURES)
+                found = [n, [x[0] for x in keys], [x[1] for x in keys], sigs, bands]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *[pa.array(x, f.type) for x, f in zip(found, list(_FEATURES)[2:], strict=True)]], schema=_FEATURES)
     return run
 
 
@@ -108,51 +94,17 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(keep)
 
 
-def _blocks(decide):
-    """Rows (bucket, i, j, side, doc_id, c, data), a block pair (bucket, i, j) together -> what decide(left, right) gives, as (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
-
-        def emit() -> pa.RecordBatch:
-            a, b = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) if out else np.empty(0, np.int64) for i in (0, 1))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        def close() -> None:
-            if len({r[5] for r in rows}) > 1:
-                left = [r for r in rows if r[3] == r[1]]
-                right = [r for r in rows if r[3] == r[2]]
-                if left and right:
-                    out.append(decide(left, right))
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != now:
-                    close()
-                    now, rows = r[:3], []
-                rows.append(r)
-            yield emit()
-        close()
-        yield emit()
-    return run
-
-
-def _column(rows: list[tuple], at: int) -> np.ndarray:
-    return np.array([r[at] for r in rows], np.int64)
-
-
 def _with_partner(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, doc_id) of the rows whose signature agrees with one of another component."""
+    """(key, node) of the rows whose signature agrees with one of another component."""
     sa, sb = (np.frombuffer(b"".join(r[6] for r in x), "<u2").reshape(-1, MINIMA) for x in (left, right))
-    ca, cb = _column(left, 5), _column(right, 5)
+    ca, cb = column(left, 5), column(right, 5)
     x, y = np.zeros(len(left), bool), np.zeros(len(right), bool)
     for at in range(0, len(left), 64):
         agree = (sa[at : at + 64, None, :] == sb[None, :, :]).sum(axis=2, dtype=np.uint8) >= AGREE
         agree &= ca[at : at + 64, None] != cb[None, :]
         x[at : at + 64] |= agree.any(axis=1)
         y |= agree.any(axis=0)
-    docs = np.unique(np.concatenate([_column(left, 4)[x], _column(right, 4)[y]]))
+    docs = np.unique(np.concatenate([column(left, 4)[x], column(right, 4)[y]]))
     return np.full(len(docs), left[0][0]), docs
 
 
@@ -189,7 +141,7 @@ def _spanning(percent: int):
         a, b = ([np.frombuffer(r[6], np.uint64) for r in x] for x in (left, right))
         both = _common(a, b)
         na, nb = (np.array([len(s) for s in x], np.float32) for x in (a, b))
-        ca, cb = _column(left, 5), _column(right, 5)
+        ca, cb = column(left, 5), column(right, 5)
         link = (100 * both.astype(np.float64) >= percent * (na[:, None] + nb[None, :] - both).astype(np.float64)) & (ca[:, None] != cb[None, :])
         u, v = [], []
         new_a, new_b = np.ones(len(left), bool), np.ones(len(right), bool)
@@ -208,86 +160,39 @@ def _spanning(percent: int):
     return decide
 
 
-def _sets(k: int):
-    """(doc_id, text) -> (doc_id, data): the set of shingles as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in piece.column(1)], pa.binary())], names=["doc_id", "data"])
-    return run
-
-
-def _near_to(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if small_enough(df, most) else df
-
-
-def _groups(members: DataFrame) -> DataFrame:
-    """members (bucket, doc_id, c) of all buckets -> (key, main, doc_id, c), each once: the members of the buckets that lie in several components.
-
-    main is the component with most of a bucket's members; buckets of over LARGE members with the same main are one group.
-    """
-    parts = members.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
-    key = F.when(F.col("n") > LARGE, F.xxhash64(F.lit("component"), "m.c")).otherwise(F.col("bucket"))
-    whole = checkpointed(whole.select("bucket", key.alias("key"), F.col("m.c").alias("main")))
-    return members.join(whole, "bucket").select("key", "main", "doc_id", "c").distinct()
-
-
-def _by_blocks(rows: DataFrame, data: DataFrame, decide, weight=None) -> DataFrame:
-    """rows (key, main, doc_id, c) and data (doc_id, data) -> distinct (a, b) that decide gives for the pairs of a group's blocks.
-
-    The members of the component `main` fill blocks of their own, which meet only the others' blocks, never each other.
-    """
-    is_main, place = F.col("c") == F.col("main"), F.xxhash64("doc_id")
-    w = F.lit(0) if weight is None else weight
-    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, w).otherwise(0)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sizes = checkpointed(rows.groupBy("key").agg(blocks(~is_main).alias("rest"), blocks(is_main).alias("more")))
-    side = F.when(is_main, F.col("rest") + F.pmod(place, F.col("more"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1)
-    placed = rows.join(sizes, "key").withColumn("side", side).join(data, "doc_id").withColumn("other", F.explode(others))
-    placed = placed.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "c", "data")
-    placed = placed.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
-    return placed.mapInArrow(freed(_blocks(decide)), "a long, b long").distinct()
-
-
-def _confirmed(k: int, percent: int):
-    """Rows (p, salt, role, doc_id, text), a pivot before its documents -> links (u, v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
-        for batch in batches:
-            u, v = [], []
-            for p, role, d, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                if role == 0:
-                    if p != pivot:
-                        pivot, own = p, shingle_set(text.as_py(), k)
-                elif p == pivot:
-                    s = shingle_set(text.as_py(), k)
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
-                        u.append(d)
-                        v.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-    return run
+def _agreed(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (p, d), each once -> those whose signatures agree. A hot pivot's signature is broadcast, or joined where Spark splits it."""
+    of_pivots = checkpointed(sigs.join(near(checkpointed(pairs.select(F.col("p").alias("node")).distinct())), "node").select(F.col("node").alias("p"), F.col("sig").alias("sp")))
+    with_d = pairs.join(sigs.select(F.col("node").alias("d"), F.col("sig").alias("sd")), "d")
+    both = with_d.join(near(of_pivots, BROADCAST_SIGNATURES), "p")
+    return checkpointed(both.select("p", "d", "sd", "sp").mapInArrow(freed(_agreeing), "p long, d long").distinct())
 
 
-def _links(texts: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (p, d), each once -> those confirmed on full sets, as (u, v). A hot pivot's signature and size are broadcast, or joined where AQE splits them."""
-    spark = texts.sparkSession
-    of_pivots = checkpointed(sigs.join(pairs.select(F.col("p").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("p"), F.col("sig").alias("sp")))
-    with_d = pairs.join(sigs.select(F.col("doc_id").alias("d"), F.col("sig").alias("sd")), "d")
-    both = with_d.join(_near_to(of_pivots, BROADCAST_SIGNATURES), "p")
-    pairs = checkpointed(both.select("p", "d", "sd", "sp").mapInArrow(freed(_agreeing), "p long, d long"))
-    sizes = checkpointed(pairs.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / SALT), F.lit(1)).cast("int").alias("salts")))
-    docs = pairs.join(_near_to(sizes, BROADCAST_ROWS), "p").select("p", F.pmod(F.xxhash64("d"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("d").alias("doc_id"))
-    own = sizes.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("p").alias("doc_id"))
-    wanted = checkpointed(docs.unionByName(own))
-    rows = texts.join(_near_to(wanted, BROADCAST_ROWS), "doc_id").select("p", "salt", "role", "doc_id", "text")
-    rows = rows.repartition(shuffle_partitions(spark), "p", "salt").sortWithinPartitions("p", "salt", "role", "doc_id")
-    return checkpointed(rows.mapInArrow(freed(_confirmed(k, percent)), "u long, v long").distinct())
+def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, version, n_shingles, component_id, first: a row for each row of documents, as in near_duplicates and documents_of."""
+    if percent < 80:
+        raise ValueError("the bands are laid out for similarities of 0.8 or more")
+    texts = rows_of(documents)
+    f = checkpointed(texts.mapInArrow(freed(_features(k)), "doc_id long, version long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"))
+    nodes = classes_of(f)
+    sigs = checkpointed(of_classes(f, nodes, ["n_shingles", "sig", "bands"]))
+    buckets = sigs.select("node", F.explode("bands").alias("bucket")).distinct()
+    held = buckets.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("p <> q")
+    pivots = checkpointed(held.groupBy("p", "q", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "p"))
+    shared = checkpointed(buckets.join(pivots, "bucket").select("bucket", "node", "p"))
+    pairs = _agreed(sigs.select("node", "sig"), shared.where("node <> p").select("p", F.col("node").alias("d")).distinct())
+    links = confirmed_links(texts, nodes, pairs, k, percent)
+    swept(documents.sparkSession)
+    comps = checkpointed(connected_components(links))
+    placed = shared.where("node <> p").join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    groups = checkpointed(open_groups(checkpointed(placed)))
+    hopeful = checkpointed(by_blocks(groups, sigs.select("node", F.col("sig").alias("data")), _with_partner).toDF("key", "node"))
+    swept(documents.sparkSession)
+    if not hopeful.isEmpty():
+        groups = checkpointed(groups.join(hopeful, ["key", "node"]).join(sigs.select("node", "n_shingles").distinct(), "node"))
+        data = sets_of(texts, nodes, groups.select("node").distinct(), k)
+        comps = checkpointed(joined_components(comps, by_blocks(groups, data, _spanning(percent), F.col("n_shingles"))))
+    return documents_of(f, nodes, comps)
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -296,47 +201,21 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     Links join documents whose sets of k-word shingles (ASCII white space between words, A-Z lower-cased) have
     100 * intersection >= percent * union; component_id is the least doc_id reachable. percent below 80 is refused, as the
     bands are laid out for 80. Defined cases: null, empty and wordless texts have no shingles and are linked with nothing;
-    a text of fewer than k words is one shingle; ties need no order; rows that repeat a doc_id are one node, each row is
-    returned; a null doc_id is never linked and gives component_id null, kept true; an empty table gives no rows; extra
-    columns are ignored.
+    a text of fewer than k words is one shingle; ties need no order; a doc_id that stands on several texts has the links of
+    all of them, and each of its rows is returned; a null doc_id is never linked and gives component_id null, kept true; an
+    empty table gives no rows; extra columns are ignored.
     """
-    if percent < 80:
-        raise ValueError("the bands are laid out for similarities of 0.8 or more")
-    texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    f = checkpointed(texts.mapInArrow(freed(_features(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"))
-    real = f.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("k1", "k2", "rep"))
-    member = checkpointed(real.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"]).select("doc_id", "rep"))
-    spare = member.where("doc_id <> rep").select("doc_id").distinct()
-    reps = real.join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    sigs = reps.select("doc_id", "sig")
-    texts = texts.where("doc_id IS NOT NULL")
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    held = buckets.groupBy("bucket").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).where("p <> q")
-    pivots = checkpointed(held.groupBy("p", "q", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "p"))
-    shared = checkpointed(buckets.join(pivots, "bucket").select("bucket", "doc_id", "p"))
-    links = _links(texts, sigs, shared.where("doc_id <> p").select("p", F.col("doc_id").alias("d")).distinct(), k, percent)
-    swept(documents.sparkSession)
-    comps = checkpointed(connected_components(links).select(F.col("node").alias("doc_id"), "component"))
-    placed = shared.where("doc_id <> p").join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    groups = checkpointed(_groups(checkpointed(placed)))
-    hopeful = checkpointed(_by_blocks(groups, sigs.withColumnRenamed("sig", "data"), _with_partner).toDF("key", "doc_id"))
-    swept(documents.sparkSession)
-    if not hopeful.isEmpty():
-        groups = checkpointed(groups.join(hopeful, ["key", "doc_id"]).join(reps.select("doc_id", "n_shingles"), "doc_id"))
-        ids = checkpointed(groups.select("doc_id").distinct())
-        wanted = texts.join(_near_to(ids, BROADCAST_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        more = _by_blocks(groups, wanted.mapInArrow(freed(_sets(k)), "doc_id long, data binary"), _spanning(percent), F.col("n_shingles"))
-        joined = checkpointed(connected_components(more.toDF("u", "v"))).withColumnRenamed("component", "least")
-        renamed = comps.join(joined.withColumnRenamed("node", "component"), "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
-        alone = joined.join(comps.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("least").alias("component"))
-        comps = renamed.unionByName(alone)
-    kept = checkpointed(comps)
-    of_class = member.join(kept.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    comps = kept.join(member.select("doc_id"), "doc_id", "left_anti").unionByName(of_class)
-    out = f.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = near_components(documents, k, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows and columns of documents, but for the rows whose text is linked, directly or through others, with that of a lesser
+    (doc_id, version). A doc_id that stands on several texts loses only the linked ones; equal rows stay or go together."""
+    gone_id, version = unused(documents.columns, "gone_id", "gone_version")
+    gone = near_components(documents, k, percent).where("NOT first").select(F.col("doc_id").alias(gone_id), F.col("version").alias(version)).distinct()
+    same = (F.col("doc_id") == F.col(gone_id)) & (version_of(F.col("text")) == F.col(version))
+    return documents.join(checkpointed(gone), same, "left_anti")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from basewright.llm import decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, resample, toxicity, trie
+from basewright.llm import decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, resample, sigtree, toxicity, trie
+from basewright.llm.shingles import components_sql
 
 
 def queries() -> dict:
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op10_packing": packing.op10_packing,
         "op11_resample": resample.op11_resample,
         "op12_trie": trie.op12_trie,
+        "op13_sigtree": sigtree.op13_sigtree,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     out = {"op2_decontaminate": decontaminate.ORACLE, "op6_preference": preference.ORACLE, "op11_resample": resample.ORACLE, "op12_trie": trie.ORACLE}
+    out |= {"op8_minhash": components_sql(4, True), "op13_sigtree": components_sql(5, False)}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
