@@ -25,18 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basewright.llm.common import checkpointed, freed, numbered, shuffle_partitions, small_enough, swept, table
+from basewright.llm.common import checkpointed, freed, numbered, shuffle_partitions, swept, table
 
 GROUP, SHARED, CHUNK, PIECE, HEAD = 20, 4, 256, 50_000, 64
-#: Rows up to which the far side of a join by node is broadcast (about 100 bytes each); beyond that Spark may split the near side.
-BROADCAST_ROWS = 100_000
 LANES = ["a", "b", "c", "d"]
 
 
-def _near(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
-
-
 def turns_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, pos, digest, n_words) of every turn, pos from 1, and (conv_id, n) of every conversation."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
@@ -49,14 +43,15 @@ def turns_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, _ = numbered(rows, order, shuffle_partitions(conversations.sparkSession))
     rows = rows.select("conv_id", "ordinal", "digest", "n_words")
     sizes = checkpointed(rows.groupBy("conv_id").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")))
-    placed = rows.join(_near(sizes.select("conv_id", "first")), "conv_id").select("conv_id", (F.col("ordinal") - F.col("first") + 1).alias("pos"), "digest", "n_words")
-    return checkpointed(placed), sizes.select("conv_id", "n")
+    placed = rows.join(sizes.select("conv_id", "first"), "conv_id").select("conv_id", (F.col("ordinal") - F.col("first") + 1).alias("pos"), "digest", "n_words")
+    return placed, sizes.select("conv_id", "n")
 
 
 def rebuilt(conversations: DataFrame, group: int = GROUP, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """Turns and (conv_id, n) of the conversations in which each begins as the first of its group: its first h turns, fewer if it has
     fewer, then the conversation's own after its first h; h is crc32 of the decimal conv_id modulo `shared`."""
     turns, sizes = turns_of(conversations)
+    turns = checkpointed(turns)
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % shared).alias("h")
     heads = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
     known = sizes.select("conv_id", "n", h, (F.col("conv_id") - F.col("conv_id") % group).alias("base")).join(heads, "base", "left")
@@ -64,7 +59,7 @@ def rebuilt(conversations: DataFrame, group: int = GROUP, shared: int = SHARED)
     known = checkpointed(known.select("conv_id", "base", "n", "h", taken))
     opening = turns.where(F.col("pos") < shared).withColumnRenamed("conv_id", "base").join(known.where("taken > 0").select("conv_id", "base", "taken"), "base")
     opening = opening.where("pos <= taken").select("conv_id", "pos", "digest", "n_words")
-    own = turns.join(_near(known.select("conv_id", "h", "taken")), "conv_id").where("pos > h")
+    own = turns.join(known.select("conv_id", "h", "taken"), "conv_id").where("pos > h")
     own = own.select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "digest", "n_words")
     total = F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
     return opening.unionByName(own), known.select("conv_id", total.alias("n"))
@@ -89,7 +84,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     totals = run.where((F.col("pos") % CHUNK == 0)).select("conv_id", (F.col("chunk") + 1).alias("chunk"), *[F.col(f"r{x}").alias(x) for x in LANES])
     upto = Window.partitionBy("conv_id").orderBy("chunk")  # a row for each CHUNK turns
     before = totals.select("conv_id", "chunk", *[F.bit_xor(x).over(upto).alias(f"b{x}") for x in LANES])
-    run = run.join(_near(checkpointed(before)), ["conv_id", "chunk"], "left")
+    run = run.join(before, ["conv_id", "chunk"], "left")
     at = [F.col(f"r{x}").bitwiseXOR(F.coalesce(f"b{x}", F.lit(0))) for x in LANES]
     up = [a.bitwiseXOR(F.col(x)) for a, x in zip(at, LANES, strict=True)]
     return run.select("conv_id", F.col("pos").alias("depth"), _key(F.col("pos"), at).alias("node"), _key(F.col("pos") - 1, up).alias("parent"), "n_words")
@@ -155,12 +150,11 @@ def rolled_up(nodes: DataFrame, values: list[str]) -> DataFrame:
         moving = state.where("ptr IS NOT NULL")
         if moving.isEmpty():
             return state.drop("ptr")
-        sums = checkpointed(moving.groupBy("ptr").agg(*[F.sum(v).alias(f"more_{v}") for v in values]))
-        targets = sums.select(F.col("ptr").alias("node")).join(moving.select("node", F.col("ptr").alias("next")), "node")  # of nodes pointed to
-        hops = checkpointed(targets.select(F.col("node").alias("ptr"), "next"))
-        jumped = state.join(_near(hops), "ptr", "left").drop("ptr").withColumnRenamed("next", "ptr")
-        jumped = jumped.join(_near(sums.withColumnRenamed("ptr", "node")), "node", "left")
+        sums = moving.groupBy(F.col("ptr").alias("node")).agg(*[F.sum(v).alias(f"more_{v}") for v in values])
+        hops = moving.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
+        jumped = state.join(hops, "ptr", "left").select("node", F.col("next").alias("ptr"), *values).join(sums, "node", "left")
         state = checkpointed(jumped.select("node", "ptr", *[(F.col(v) + F.coalesce(f"more_{v}", F.lit(0))).alias(v) for v in values]))
+        moving = sums = hops = jumped = None  # spent
         swept(nodes.sparkSession)
 
 
@@ -173,14 +167,14 @@ def prefix_trie(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     at = checkpointed(at)
     nodes = at.groupBy("node").agg(F.min("conv_id").alias("conv_id"), F.max("depth").alias("depth"), F.max("parent").alias("parent"), F.count("*").alias("n_convs"), F.max("n_words").alias("n_words"))
     nodes = checkpointed(nodes)
-    ends = at.join(_near(sizes.withColumnRenamed("conv_id", "c")), (F.col("conv_id") == F.col("c")) & (F.col("depth") == F.col("n"))).select("node", "conv_id")
+    ends = at.join(sizes.withColumnRenamed("conv_id", "c"), (F.col("conv_id") == F.col("c")) & (F.col("depth") == F.col("n"))).select("node", "conv_id")
     children = checkpointed(nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children")))
-    nodes = nodes.join(_near(children), "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
+    nodes = nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
     nodes = checkpointed(nodes.join(ends_digests(ends), "node", "left"))
     own = nodes.select("node", "parent", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("n_words")).alias("saved_tokens"))
     sums = rolled_up(own, ["n_leaves", "saved_tokens"])
-    above = checkpointed(nodes.join(children.select("node"), "node", "left_semi").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id")))
-    out = nodes.join(_near(above), "parent", "left").join(sums, "node")
+    above = nodes.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    out = nodes.join(above, "parent", "left").join(sums, "node")
     return out.select("node", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
