@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("train", help="a score model from intensities and alignments (.sam is added)")
     for name in ("intensities", "alignments", "model"):
         one.add_argument(name)
+    one.add_argument("--pair", choices=("row", "name"), default="row", help="how alignments find their clusters")
     two = sub.add_parser("locs2txt", help="one .locs file or a folder of them to _pos.txt")
     for name in ("source", "to"):
         two.add_argument(name)
@@ -91,23 +93,35 @@ def tiles(spark: SparkSession, path: str, suffix: str, patterns: list[str]) -> l
 def _intensities(spark: SparkSession, a: argparse.Namespace, cycles: tuple[int, int] | None) -> DataFrame:
     if a.s and cycles is None:
         raise ValueError("-s needs -c")
-    rows = formats.read_cif_folders(spark, a.inpath, *cycles) if a.s else formats.read_cif(spark, a.inpath, cycles)
+    rows = formats.read_intensities(spark, a.inpath, cycles, a.s, mode="PERMISSIVE")
     inner = F.expr(f"substring(tile, {len(a.inprefix) + 1}, length(tile) - {len(a.inprefix) + len(a.insubfix)})")
     return rows.where(F.col("tile").startswith(a.inprefix) & F.col("tile").endswith(a.insubfix)).withColumn("tile", inner)
 
 
+def _reported(outcomes: DataFrame, names: list[str], end: int) -> None:
+    """Every tile that has failed, and why, on stderr; an error if none has gone well."""
+    seen = {r.tile: r for r in outcomes.collect()}  # a row a file
+    bad = {t: f"{seen[t].stage}: {seen[t].error}" if t in seen else "read: no intensities" for t in names if t not in seen or seen[t].error is not None}
+    for tile, why in sorted(bad.items()):
+        print(f"tile {tile}, end {end} failed: {why}", file=sys.stderr)
+    if names and len(bad) == len(names):
+        raise ValueError("every tile has failed")
+
+
 def call(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     suffix = "_pos.txt" if a.L else a.loctype
     weights = formats.read_model(spark, a.m) if a.m else []
     options = Options(tensor=a.t, quality=a.q or a.r, again=a.r, inner=a.z, spatial=not a.n, fast=a.f, weights=weights)
     names = tiles(spark, a.inpath, suffix, a.patterns)
     print(f"{len(names)} tiles: {' '.join(names)}", file=sys.stderr)
-    loc = formats.read_locations(spark, a.inpath, suffix).where(F.col("tile").isin(names))
+    loc = formats.read_locations(spark, a.inpath, suffix, permissive=True).where(F.col("tile").isin(names))
     written: list[str] = []
     for end, cycles in enumerate(_cycles(a.c, a.e)):
         signals = _intensities(spark, a, cycles).where(F.col("tile").isin(names)).withColumn("end_id", F.lit(end))
-        out, first = run(signals.select("tile", "end_id", "cluster", "signal"), loc, options), cycles[0] - 1 if cycles else 0
+        out = run(signals.select("tile", "end_id", "cluster", "signal", "error"), loc, options, outcomes=True)
+        first = cycles[0] - 1 if cycles else 0
         tag = f"_end{end}" if a.e > 1 else ""
+        _reported(out["outcomes"], names, end)
         if "tensor" in out:
             written += formats.write_cif(out["tensor"], a.outpath, a.oprefix, a.osubfix + ("" if a.S else tag), first, a.S, scale=False)
         if "inner" in out:
@@ -118,10 +132,13 @@ def call(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def train_model(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Alignments pair with clusters by their order, as the files are made; --pair name takes the numbers in the reads' names."""
     unit = F.transform("signal", lambda v: F.transform(v, lambda x: x / _FULL))
-    signals = formats.read_cif(spark, a.intensities if a.intensities.endswith(".cif") else a.intensities + ".cif").withColumn("signal", unit)
-    aligned = formats.read_sam(spark, a.alignments + ".sam")
+    signals = formats.read_intensities(spark, a.intensities if a.intensities.endswith(".cif") else a.intensities + ".cif").withColumn("signal", unit)
+    aligned = formats.read_sam(spark, a.alignments + ".sam", a.pair)
     aligned = aligned.drop("tile").join(F.broadcast(signals.select("tile").distinct()))  # one tile
+    pairs = train.pairing(signals, aligned).first()
+    print(f"{pairs.paired} of {pairs.aligned} aligned reads pair with {pairs.clusters} clusters; {pairs.unpaired_reads} reads don't", file=sys.stderr)
     seen = train.diagnostics(signals, aligned).first()
     print(f"mean of s {seen.mean_s}, deviation {seen.sd_s}, mismatched bases {seen.mismatches}", file=sys.stderr)
     weights = train.train(train.features(train.labelled(signals, aligned)))
@@ -129,7 +146,7 @@ def train_model(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def _one(spark: SparkSession, name: str) -> DataFrame:
-    return formats.read_cif(spark, name + ".cif").withColumn("end_id", F.lit(0))
+    return formats.read_intensities(spark, name + ".cif").withColumn("end_id", F.lit(0))
 
 
 def recall(spark: SparkSession, a: argparse.Namespace) -> list[str]:
@@ -161,8 +178,8 @@ def main(argv: list[str] | None = None) -> int:
             written = formats.convert_locations(spark, a.source, a.to)
         else:
             written = {"call": call, "train": train_model, "recall": recall, "correct": correct}[a.program](spark, a)
-    except ValueError as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, FileNotFoundError, PySparkException) as e:
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
     print("\n".join(written))
     return 0

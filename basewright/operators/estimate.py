@@ -1,20 +1,21 @@
-"""Color and phasing estimation: numpy kernels for one chunk, and the loop over chunks as cogrouped maps.
+"""Color and phasing estimation: numpy kernels for one chunk, and the chain of chunks as ordered, stateful grouped processing.
 
-A chunk is bounded (chunk_size clusters), so a task holds one chunk of one (tile, end). Chunks start from the parameters of the
-one before, as the method asks for; tiles and ends run side by side.
+A chunk is bounded (chunk_size clusters). Chunks start from the parameters of the one before, as the method asks for, so the rows of
+a (tile, end) reach one task in order and stream through it: it holds one chunk and the parameters. Tiles and ends run side by side.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewright.operators.blocks import BLOCK, block_plan, chunk_of, chunk_size
+from basewright.operators.tensor import FAULTS, ROWS, ROWS_DDL, batches_of, failure, tensor_of
 
 #: The four bases' signals in channel space that k-means starts from.
 CENTROIDS = np.array([[3300.0, 3300.0, 0.0, 0.0], [600.0, 2800.0, 0.0, 0.0], [0.0, 0.0, 2800.0, 2600.0], [0.0, 0.0, 0.0, 3300.0]])
@@ -305,55 +306,76 @@ def neighbour_factor(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.nd
     return out
 
 
-def _kernel(chunk: int, iterations: int, fast: bool, serial: bool, block: int):
-    """Clusters of one chunk of one (tile, end) and the parameters so far -> deconvolved clusters and a row (cluster -1) with the new parameters."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        state = lambda p: pd.DataFrame({"tile": [key[0]], "end_id": [key[1]], "cluster": [-1], "signal": [None], "params": [p]})
-        if left.empty:
-            return state(right["params"].iloc[0])
-        left = left.sort_values("cluster")
-        before = Params(*pickle.loads(right["params"].iloc[0])) if len(right) else None  # noqa: S301  our own bytes
-        work, rounds = Chunk(np.array([np.stack(s) for s in left["signal"]]), before, block), schedule(chunk, iterations, fast, serial)
-        z = work.run_serial(rounds) if serial else work.run(rounds, fast)
-        p = work.params()
-        rows = pd.DataFrame({"tile": key[0], "end_id": key[1], "cluster": left["cluster"].to_numpy(), "signal": [s.tolist() for s in z], "params": None})
-        return pd.concat([rows, state(pickle.dumps((p.color, p.phase)))], ignore_index=True)
+class ReadError(ValueError):
+    """A (tile, end) came with an error from its files."""
+
+
+def _chain(iterations: int, fast: bool, serial: bool, block: int, outcomes: bool):
+    """The chunks of one (tile, end), in order -> their deconvolved clusters. With outcomes, what goes wrong is a last row without a cluster."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, end_id = (k.as_py() for k in key)
+        params, chunk, held = None, None, []
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            nonlocal params
+            ids, x = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            held.clear()
+            work, rounds = Chunk(x, params, block), schedule(chunk, iterations, fast, serial)
+            z = work.run_serial(rounds) if serial else work.run(rounds, fast)
+            params = work.params()
+            if not np.isfinite(z).all():
+                raise FloatingPointError(f"chunk {chunk} has no finite solution")
+            yield from batches_of(ROWS, tile, end_id, ids, z)
+
+        try:
+            for batch in batches:
+                if batch.column("error").null_count < batch.num_rows:
+                    raise ReadError(batch.column("error").drop_null()[0].as_py())
+                ids, of = (np.asarray(batch.column(c)) for c in ("cluster", "chunk"))
+                x = tensor_of(batch.column("signal"))
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if hi > lo:
+                        if held and chunk != int(of[lo]):
+                            yield from solved()
+                        chunk = int(of[lo])
+                        held.append((ids[lo:hi], x[lo:hi]))
+            if held:
+                yield from solved()
+        except FAULTS as e:
+            if not outcomes:
+                raise
+            for _ in batches:  # the rest of the group
+                pass
+            yield failure(tile, end_id, e)
     return run
 
 
 def in_chunks(clusters: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
-    """clusters with their chunk: each (tile, end) is divided by its own numbers of clusters and cycles. most: clusters of a chunk, or below 0 about the number of chunks."""
-    keys = ["tile", "end_id"]
-    sizes = clusters.groupBy(*keys).agg(F.count("*").alias("total"), F.max(F.size("signal")).alias("cycles"))
+    """clusters with their chunk: each (tile, end) is divided by its own numbers of clusters and cycles. most: clusters of a chunk, or below 0 about the number of chunks.
+
+    The numbers come from a window over (tile, end), which deals the rows as the chain needs them: no second scan or shuffle.
+    """
+    whole = Window.partitionBy("tile", "end_id")
+    sized = clusters.withColumns({"total": F.count("*").over(whole), "cycles": F.max(F.size("signal")).over(whole)})
     size = F.lit(most) if most and most > 0 else F.floor(F.col("total") / -most) + 2 if most else chunk_size(F.ceil(F.col("cycles") / block), block)
-    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int"))
-    return clusters.join(F.broadcast(sizes), keys).withColumn("chunk", chunk_of(F.col("cluster"), F.col("total"), F.col("chunks"))).drop("total", "cycles")
+    sized = sized.withColumn("chunks", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int"))
+    return sized.withColumn("chunk", chunk_of(F.col("cluster"), F.col("total"), F.col("chunks"))).drop("total", "cycles")
 
 
-def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most: int | None = None, serial: bool = False, block: int = BLOCK) -> DataFrame:
+def basecall(clusters: DataFrame, iterations: int = 4, fast: bool = False, most: int | None = None, serial: bool = False, block: int = BLOCK, outcomes: bool = False) -> DataFrame:
     """clusters (tile, end_id, cluster, signal) -> the same with deconvolved signals. All clusters of a tile have as many cycles and are numbered from 0.
 
-    Chunks of a (tile, end) run one after another, as each starts from the parameters of the one before; (tile, end)s run side
-    by side. The table of (tile, end) sizes is broadcast: a row for each input file.
+    Chunks of a (tile, end) run one after another, as each starts from the parameters of the one before: the rows are dealt by
+    (tile, end), sorted by chunk and cluster, and streamed, in one scan and one shuffle. A lost task begins its (tile, end) again.
+    outcomes: a (tile, end) that can't be solved, or has a row with an error in a column of that name, doesn't end the job but gives
+    a row with a null cluster and what is wrong in the further column error; rows of chunks before the faulty one may be there, too.
     """
-    from basewright.operators.state import kept
-
     iterations = 3 if fast and iterations == 4 else iterations
-    data = kept(in_chunks(clusters.select("tile", "end_id", "cluster", "signal"), most, block))
-    chunks = data.agg(F.max("chunks")).first()[0]
-    if not chunks:
-        return clusters.select("tile", "end_id", "cluster", "signal")
-    params, parts = None, []
-    schema = "tile string, end_id int, cluster int, signal array<array<double>>, params binary"
-    for k in range(chunks):
-        now = data.where(F.col("chunk") == k).select("tile", "end_id", "cluster", "signal").groupBy("tile", "end_id")
-        if params is None:
-            params = data.sparkSession.createDataFrame([], "tile string, end_id int, params binary")
-        out = kept(now.cogroup(params.groupBy("tile", "end_id")).applyInPandas(_kernel(k, iterations, fast, serial, block), schema))
-        params = out.where("cluster = -1").select("tile", "end_id", "params")
-        parts.append(out.where("cluster >= 0").select("tile", "end_id", "cluster", "signal"))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    error = F.col("error") if "error" in clusters.columns else F.lit(None).cast("string")
+    data = in_chunks(clusters.select("tile", "end_id", "cluster", "signal", error.alias("error")), most, block)
+    data = data.sortWithinPartitions("tile", "end_id", "chunk", "cluster").select("tile", "end_id", "cluster", "chunk", "signal", "error")  # null clusters first
+    chain = _chain(iterations, fast, serial, block, outcomes)
+    out = data.groupBy("tile", "end_id").applyInArrow(chain, ROWS_DDL)
+    return out if outcomes else out.drop("error")

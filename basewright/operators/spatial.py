@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basewright.operators.blocks import stripes
 from basewright.operators.state import kept
+from basewright.operators.tensor import FAULTS, ROWS, ROWS_DDL, batches_of, failure, tensor_of
 
 KS, REACH, MAX_QD, CELL = 0.7, 4, 0.7, 9
 
@@ -166,34 +167,56 @@ def block_solve(rows: np.ndarray, i: np.ndarray, j: np.ndarray, coef: np.ndarray
 EDGES_A_BATCH = 20_000
 
 
-def _stripe(d: pd.DataFrame) -> pd.DataFrame:
-    """One stripe with its halo, each cluster once: neighbours, their shares, and the solve; core rows go out."""
-    d = d.sort_values("cluster")
-    ids, gx, gy, qd = (d[c].to_numpy() for c in ("cluster", "gx", "gy", "qd"))
-    shape = (len(d), -1, 4)
-    z, evidence = (np.array([np.concatenate(list(s)) for s in d[c]], float).reshape(shape) for c in ("signal", "evidence"))
-    width, thr = np.array([w["width"] for w in d["w"].iloc[0]], float)[None], float(d["thr"].iloc[0])
-    i, j = edges_of(gx, gy)
-    i, j = i[qd[i] < MAX_QD], j[qd[i] < MAX_QD]
-    coef = np.zeros(len(i))
-    for at in range(0, len(i), EDGES_A_BATCH):
-        k = slice(at, at + EDGES_A_BATCH)
-        coef[k] = edge_coefficients(evidence[i[k]], evidence[j[k]], width, np.full(len(i[k]), thr))
-    on = coef > 0
-    flat = z.reshape(len(z), -1)
-    out = block_solve(gy, i[on], j[on], coef[on], flat, int(np.abs(gy[i[on]] - gy[j[on]]).max(initial=REACH))).reshape(z.shape)
-    core = d["in_core"].to_numpy(bool)
-    return pd.DataFrame({"tile": d["tile"][core], "end_id": d["end_id"][core], "cluster": ids[core], "signal": [s.tolist() for s in out[core]]})
-
-
-def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15) -> DataFrame:
+def _stripe(outcomes: bool):
+    """One stripe with its halo, each cluster once, and the tile's limits: neighbours, their shares, and the solve; core rows go out."""
+
+    def solved(d: pa.Table, limits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        d = d.sort_by("cluster")
+        ids, gx, gy, qd = (d.column(c).to_numpy() for c in ("cluster", "gx", "gy", "qd"))
+        z = tensor_of(d.column("signal"))
+        evidence = tensor_of(d.column("evidence")) if "evidence" in d.column_names else z
+        width, thr = np.array(limits.column("w")[0].as_py(), float)[None], limits.column("thr")[0].as_py()
+        i, j = edges_of(gx, gy)
+        i, j = i[qd[i] < MAX_QD], j[qd[i] < MAX_QD]
+        coef = np.zeros(len(i))
+        for at in range(0, len(i), EDGES_A_BATCH):
+            k = slice(at, at + EDGES_A_BATCH)
+            coef[k] = edge_coefficients(evidence[i[k]], evidence[j[k]], width, np.full(len(i[k]), thr))
+        on = coef > 0
+        out = block_solve(gy, i[on], j[on], coef[on], z.reshape(len(z), -1), int(np.abs(gy[i[on]] - gy[j[on]]).max(initial=REACH))).reshape(z.shape)
+        core = d.column("in_core").to_numpy(zero_copy_only=False)
+        return ids[core], out[core]
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, limits: pa.Table) -> pa.Table:
+        tile, end_id, _ = (k.as_py() for k in key)
+        if not rows.num_rows or not limits.num_rows:
+            return ROWS.empty_table()
+        try:
+            return pa.Table.from_batches(batches_of(ROWS, tile, end_id, *solved(rows, limits)), ROWS)
+        except FAULTS as e:
+            if not outcomes:
+                raise
+            return pa.Table.from_batches([failure(tile, end_id, e)], ROWS)
+    return run
+
+
+def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15, outcomes: bool = False) -> DataFrame:
     """signals, evidence (tile, end_id, cluster, signal), loc (tile, cluster, x, y) -> signals with the light of neighbours taken out.
 
-    Each cluster goes once to its stripe and to those whose halo holds it; a task holds a stripe of one (tile, end).
+    Each cluster goes once to its stripe and to those whose halo holds it; a task holds a stripe of one (tile, end), and the tile's
+    limits once. Signals that are their own evidence aren't joined with themselves. outcomes: a stripe that can't be solved gives a
+    row with a null cluster and what is wrong in the further column error.
     """
     keys = ["tile", "end_id"]
+    own = signals is evidence
     ev = kept(cluster_quality(evidence))
     limits = threshold(cycle_width(ev, keys), keys, ks)
-    placed = stripes(grid_snap(loc), F.col("extent"), size, halo).select("tile", "cluster", "gx", "gy", "stripe", "in_core")
-    rows = signals.join(ev.select(*keys, "cluster", "qd", F.col("signal").alias("evidence")), [*keys, "cluster"]).join(placed, ["tile", "cluster"]).join(F.broadcast(limits), keys)
-    return rows.groupBy(*keys, "stripe").applyInPandas(_stripe, "tile string, end_id int, cluster int, signal array<array<double>>")
+    snapped = grid_snap(loc)
+    placed = stripes(snapped, F.col("extent"), size, halo).select("tile", "cluster", "gx", "gy", "stripe", "in_core")
+    extents = snapped.groupBy("tile").agg(F.greatest(F.ceil(F.max("extent") / size), F.lit(1)).cast("int").alias("count"))  # a row for each file
+    of_stripes = limits.join(F.broadcast(extents), "tile").select(*[F.col(c).alias(c) for c in keys], F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("stripe"), "thr", F.col("w.width").alias("w"))
+    rows = ev if own else signals.join(ev.select(*keys, "cluster", "qd", F.col("signal").alias("evidence")), [*keys, "cluster"])
+    rows = rows.select(*keys, "cluster", "qd", "signal", *["evidence"] * (not own)).join(placed, ["tile", "cluster"])
+    groups = [d.groupBy(*keys, "stripe") for d in (rows, of_stripes)]
+    out = groups[0].cogroup(groups[1]).applyInArrow(_stripe(outcomes), ROWS_DDL)
+    return out if outcomes else out.drop("error")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basewright.functions import expr as E
 from basewright.operators.quality import FEATURES, scored_cycles
+from basewright.operators.state import kept
 
 MOST, C = 29_000_000, 0.2
 
@@ -70,16 +73,109 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("label", F.concat(F.array(*fixed), early, after).alias("x"))
 
 
-def train(rows: DataFrame, c: float = C) -> list[float]:
-    """L1 logistic regression without intercept. Every second row is mirrored (features and label), which leaves the loss as it is and keeps the constant feature's column from looking constant."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+def pairing(signals: DataFrame, alignments: DataFrame) -> DataFrame:
+    """clusters, aligned, paired, unpaired_clusters, unpaired_reads: how many find each other, and how many don't. One row."""
+    keys = ["tile", "cluster"]
+    a = signals.groupBy(*keys).agg(F.count("*").alias("a"))
+    b = alignments.groupBy(*keys).agg(F.count("*").alias("b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    pairs = a.join(b, (a.tile.eqNullSafe(b.tile)) & (a.cluster == b.cluster), "full")
+    n = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias
+    return pairs.agg(n("a", F.lit(True))("clusters"), n("b", F.lit(True))("aligned"), n("b", both)("paired"), n("a", ~both)("unpaired_clusters"), n("b", ~both)("unpaired_reads"))
+
+
+def entries(x: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, value) of each entry of a column of sparse features."""
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    flat, sizes = x.flatten(), np.diff(np.asarray(x.offsets))
+    return np.repeat(np.arange(len(x)), sizes), np.asarray(flat.field("i"), np.int64), np.asarray(flat.field("v"), float)
+
+
+def partial_sums(w: np.ndarray, label: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the logistic loss of these rows, from their entries alone: the features are never dense."""
+    n, k = len(label), len(w)
+    sign = 2.0 * label - 1
+    margin = sign * np.bincount(row, value * w[index], n)
+    p = 1 / (1 + np.exp(np.minimum(margin, 700.0)))  # 1 - probability of the label
+    gradient = np.bincount(index, value * (-sign * p)[row], k)
+    hessian = np.zeros((k, k))
+    starts = np.searchsorted(row, np.arange(n))
+    sizes = np.diff(np.append(starts, len(row)))
+    for shift in range(int(sizes.max(initial=0))):  # each entry with the entry `shift` places on in its row
+        left = np.flatnonzero(np.arange(len(row)) - starts[row] + shift < sizes[row])
+        right = left + shift
+        part = np.bincount(index[left] * k + index[right], value[left] * value[right] * (p * (1 - p))[row[left]], k * k).reshape(k, k)
+        hessian += part if shift == 0 else part + part.T
+    return float(np.logaddexp(0, -margin).sum()), gradient, hessian
+
+
+def sums_at(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """partial_sums over all rows, added up in a tree: a task hands over one row of FEATURES**2 numbers."""
+    k = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + k + k * k)
+        for b in batches:
+            loss, g, h = partial_sums(w, np.asarray(b.column("label"), float), *entries(b.column("x")))
+            total += np.concatenate([[loss], g, h.reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1).sum(axis=0) for b in batches if b.num_rows), np.zeros(1 + k + k * k))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.select("label", "x").mapInArrow(run, "s array<double>")
+    total = np.sum([r.s for r in parts.repartition(16).mapInArrow(add, "s array<double>").collect()], axis=0)  # 16 rows
+    return float(total[0]), total[1 : 1 + k], total[1 + k :].reshape(k, k)
+
+
+def newton_step(w: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The least of the quadratic model with the L1 norm, by coordinate descent."""
+    d, hd = np.zeros_like(w), np.zeros_like(w)
+    for _ in range(1000):
+        most = 0.0
+        for i in range(len(w)):
+            a, b, c = h[i, i], g[i] + hd[i], w[i] + d[i]
+            z = -c if b + 1 >= a * c and b - 1 <= a * c else (-(b + 1) / a if b + 1 < a * c else -(b - 1) / a)
+            if z:
+                d[i] += z
+                hd += z * h[:, i]
+                most = max(most, abs(z))
+        if most < 1e-10:
+            break
+    return d
+
+
+def violation(w: np.ndarray, g: np.ndarray) -> float:
+    """How far w is from optimal: the size of the least subgradient."""
+    at_zero = np.maximum(np.abs(g) - 1, 0)
+    return float(np.where(w > 0, np.abs(g + 1), np.where(w < 0, np.abs(g - 1), at_zero)).sum())
 
-    n = rows.count()
-    if not n:
+
+def train(rows: DataFrame, c: float = C, eps: float = 1e-5, rounds: int = 100) -> list[float]:
+    """L1 logistic regression without intercept over rows (label, x): the weights.
+
+    Newton's method with coordinate descent for the step: a round takes one pass over the kept rows, which gives loss, gradient and
+    Hessian; the step's length is halved until it pays. Ends when the least subgradient is eps times the first one.
+    """
+    rows = kept(rows.select(F.col("label").cast("double").alias("label"), "x"))
+    if rows.isEmpty():
         raise ValueError("no labelled bases")
-    flip = F.pmod(F.xxhash64("x"), F.lit(2)) == 1
-    dense = F.aggregate("x", F.array_repeat(F.lit(0.0), FEATURES), lambda a, e: F.transform(a, lambda v, i: F.when(i == e["i"], v + e["v"]).otherwise(v)))
-    data = rows.select(F.when(flip, 1 - F.col("label")).otherwise(F.col("label")).cast("double").alias("label"), array_to_vector(F.transform(dense, lambda v: F.when(flip, -v).otherwise(v))).alias("features"))
-    model = LogisticRegression(elasticNetParam=1.0, regParam=1 / (c * n), fitIntercept=False, standardization=False, maxIter=200, tol=1e-6).fit(data)
-    return [float(w) for w in np.asarray(model.coefficients.toArray())]
+    w = np.zeros(FEATURES)
+    loss, g, h = sums_at(rows, w)
+    first = None
+    for _ in range(rounds):
+        g, h = c * g, c * h + 1e-12 * np.eye(len(w))
+        first = violation(w, g) if first is None else first
+        if violation(w, g) <= eps * first:
+            break
+        d = newton_step(w, g, h)
+        gain = g @ d + np.abs(w + d).sum() - np.abs(w).sum()
+        step, now = 1.0, c * loss + np.abs(w).sum()
+        while True:
+            loss, g, h = sums_at(rows, w + step * d)
+            if c * loss + np.abs(w + step * d).sum() - now <= 0.01 * step * gain or step < 1e-6:
+                break
+            step /= 2
+        w = w + step * d
+    return w.tolist()

@@ -43,23 +43,82 @@ def quantised(signals: DataFrame) -> DataFrame:
     return signals.join(F.broadcast(unit), ["tile", "end_id"]).select("tile", "end_id", "cluster", F.transform("signal", lambda v: F.transform(v, lambda x: E.quantise(x, scale))).alias("signal"))
 
 
-def run(signals: DataFrame, loc: DataFrame, options: Options) -> dict[str, DataFrame]:
-    """tensor, reads and inner, as far as they are asked for; inner holds the signals that the reads come from, before the correction of neighbours."""
-    keys, out = ["tile", "end_id", "cluster"], {}
-    clean = kept(basecall(signals, options.iterations, options.fast))
+def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """rows of the (tile, end)s that aren't in bad, a row for each file at most."""
+    return rows.join(F.broadcast(bad.select("tile", "end_id").distinct()), ["tile", "end_id"], "left_anti")
+
+
+class _Outcomes:
+    """What has become of each (tile, end): those that fail at a stage leave the run there, the others go on."""
+
+    def __init__(self, on: bool):
+        self.on, self.failed, self.seen = on, [], None
+
+    def _fail(self, bad: DataFrame, stage: str) -> DataFrame:
+        bad = kept(bad.groupBy("tile", "end_id").agg(F.min("error").alias("error")).withColumn("stage", F.when(F.col("error").startswith("ReadError"), "read").otherwise(stage)))
+        self.failed.append(bad)
+        return bad
+
+    def passed(self, rows: DataFrame, stage: str) -> DataFrame:
+        """rows (..., error) of a stage, kept, without those of (tile, end)s that have an error there."""
+        rows = kept(rows)
+        if not self.on:
+            return rows
+        if self.seen is None:
+            self.seen = rows.groupBy("tile", "end_id").agg(F.count("cluster").alias("clusters"))
+        return _without(rows.where("error IS NULL").drop("error"), self._fail(rows.where("error IS NOT NULL"), stage))
+
+    def located(self, signals: DataFrame, loc: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """signals of tiles with locations, and the locations."""
+        if not self.on:
+            return signals, loc
+        error = F.min("error") if "error" in loc.columns else F.lit(None).cast("string")
+        tiles = loc.groupBy("tile").agg(error.alias("wrong"), F.lit(True).alias("found"))
+        known = signals.select("tile", "end_id").distinct().join(tiles, "tile", "left")
+        bad = self._fail(known.withColumn("error", F.when(F.col("found"), F.col("wrong")).otherwise("no locations")).where("error IS NOT NULL"), "locations")
+        return _without(signals, bad), loc.where("error IS NULL").drop("error") if "error" in loc.columns else loc
+
+    def table(self) -> DataFrame:
+        """tile, end_id, clusters, stage, error: a row for each (tile, end); the last two are null where all went well."""
+        bad = self.failed[0]
+        for b in self.failed[1:]:
+            bad = bad.unionByName(b)
+        return kept(self.seen.join(F.broadcast(bad.groupBy("tile", "end_id").agg(F.min_by("stage", "error").alias("stage"), F.min("error").alias("error"))), ["tile", "end_id"], "left"))
+
+
+def run(signals: DataFrame, loc: DataFrame, options: Options, outcomes: bool = False) -> dict[str, DataFrame]:
+    """tensor, reads and inner, as far as they are asked for; inner holds the signals that the reads come from, before the correction of neighbours.
+
+    outcomes: a (tile, end) with an error in the columns of that name of signals or loc, without locations, or that a kernel can't
+    solve is left out instead of ending the job, and a further table outcomes tells what has become of each.
+    """
+    keys, out, state = ["tile", "end_id", "cluster"], {}, _Outcomes(outcomes)
+    clean = state.passed(_called(signals, options, outcomes), "call")
+    signals = signals.where("error IS NULL").drop("error") if "error" in signals.columns else signals
+    if options.spatial or options.quality and options.tensor and not options.again:
+        clean, loc = state.located(clean, loc)
+    if outcomes:
+        signals = signals.join(F.broadcast(clean.select("tile", "end_id").distinct()), ["tile", "end_id"], "left_semi")
+    correct = lambda s, e: state.passed(correct_acc(s, e, loc, outcomes=outcomes), "correct")
     if options.again:
-        raw = kept(correct_acc(signals, clean, loc)) if options.spatial else signals
+        raw = correct(signals, clean) if options.spatial else signals
         if options.tensor:
             out["tensor"] = quantised(raw)
-        clean = kept(basecall(raw, options.iterations, options.fast))
+        clean = state.passed(_called(raw, options, outcomes), "call")
         out["reads"] = fastq(reads(clean, keys, options.weights))
     elif options.quality:
-        z = clean if not options.spatial and not options.tensor else kept(correct_acc(clean, clean, loc))
+        z = clean if not options.spatial and not options.tensor else correct(clean, clean)
         if options.tensor:
             out["tensor"] = quantised(z)
         out["reads"] = fastq(reads(z, keys, options.weights or [0.0] * FEATURES, constant=options.tensor))
     else:
-        out["tensor"] = quantised(correct_acc(signals, clean, loc) if options.spatial else signals)
+        out["tensor"] = quantised(correct(signals, clean) if options.spatial else signals)
     if options.inner and "reads" in out:
         out["inner"] = quantised(clean)
+    if outcomes:
+        out["outcomes"] = state.table()
     return out
+
+
+def _called(signals: DataFrame, options: Options, outcomes: bool) -> DataFrame:
+    return basecall(signals, options.iterations, options.fast, outcomes=outcomes)

@@ -1,4 +1,8 @@
-"""Readers and writers of the native formats, by path through Spark's binary and text readers, so that any store works."""
+"""Readers and writers of the native formats.
+
+Intensities are read by the data source `intensities` from stores that pyarrow knows, or by Spark's binary reader from any other
+(one file a row, under 2 GB). All files are written by the data source `files`, whole or not at all.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from basewright.functions import expr as E
+from basewright.sources.files import write_files
+from basewright.sources.intensities import CLUSTERS_A_BATCH, HEADER, WIDTHS, cif_header, registered, taken
 
-_HEADER, _WIDTHS = 13, {1: "<i1", 2: "<i2", 4: "<i4"}
-CLUSTERS_A_BATCH = 4096
-
-
-def cif_header(data: bytes, compat: bool = False) -> tuple[int, int, int, int]:
-    """(bytes per value, first cycle, cycles, clusters); compat takes width 3 as int32."""
-    if data[:3] != b"CIF" or len(data) < _HEADER:
-        raise ValueError("not a CIF file")
-    width, first, cycles, clusters = data[4], *struct.unpack_from("<HHI", data, 5)
-    width = 4 if compat and width == 3 else width
-    if width not in _WIDTHS:
-        raise ValueError(f"{width} bytes a value")
-    return width, first, cycles, clusters
+#: Clusters of a piece of a plane that is written.
+CLUSTERS_A_PIECE = 4096
 
 
 def cif_bytes(values: np.ndarray, first: int = 1) -> bytes:
@@ -38,9 +35,8 @@ def _decoded(compat: bool, begin: int, count: int | None):
         for d in batches:
             for path, data in zip(d["path"], d["content"], strict=True):
                 width, _, cycles, clusters = cif_header(data, compat)
-                # a range beyond the file falls back to all of it
-                lo, n = (begin, count) if count is not None and begin + count <= cycles else (0, cycles)
-                x = np.frombuffer(data, _WIDTHS[width], cycles * 4 * clusters, _HEADER).reshape(cycles, 4, clusters)[lo : lo + n]
+                lo, n = taken(begin, count, cycles)
+                x = np.frombuffer(data, WIDTHS[width], cycles * 4 * clusters, HEADER).reshape(cycles, 4, clusters)[lo : lo + n]
                 for at in range(0, clusters, CLUSTERS_A_BATCH):
                     part = x[:, :, at : at + CLUSTERS_A_BATCH].transpose(2, 0, 1).astype(float)
                     yield pd.DataFrame({"path": path, "cluster": np.arange(at, at + len(part), dtype=np.int32), "signal": [s.tolist() for s in part]})
@@ -68,97 +64,63 @@ def read_cif_folders(spark: SparkSession, path: str, first: int, last: int, comp
     return have.select("tile", "cluster", F.transform(F.sequence(F.lit(first), F.lit(last)), lambda c: F.coalesce(F.try_element_at("m", c), zero)).alias("signal"))
 
 
+def read_intensities(spark: SparkSession, path: str, cycles: tuple[int, int] | None = None, folders: bool = False, **options: str) -> DataFrame:
+    """The data source `intensities`: files of any size, by ranges of clusters. options as there, such as layout, mode, clusters and compat."""
+    if cycles:
+        options["cycles"] = f"{cycles[0]},{cycles[1]}"
+    return registered(spark).read.format("intensities").options(folders=str(folders).lower(), **options).load(path)
+
+
+def read_cif_ranges(spark: SparkSession, path: str, clusters: int = 50_000, cycles: tuple[int, int] | None = None, compat: bool = False) -> DataFrame:
+    """read_intensities with so many clusters a task at most."""
+    return read_intensities(spark, path, cycles, partitionClusters=str(clusters), compat=str(compat).lower())
+
+
 def output_name(tile: str, prefix: str = "", suffix: str = "", end: int | None = None, inner: bool = False) -> str:
     """A result's name without its folder and extension: the end's number where a run has several, `inner` for the inner tensor."""
     return prefix + tile + suffix + ("_inner" if inner else "" if end is None else f"_end{end}")
 
 
-def _put(path: str, data: bytes) -> str:
-    """Write a file, through pyarrow's file systems, so that any store it knows works from an executor."""
-    from pyarrow import fs
-
-    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    where.create_dir(name.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(name) as out:
-        out.write(data)
-    return path
+_PIECES = pa.schema([("tile", pa.string()), ("cycle", pa.int32()), ("channel", pa.int32()), ("piece", pa.int32()), ("data", pa.binary())])
 
 
-def _joined(parts: list[str]) -> str:
-    return "/".join(p.rstrip("/") for p in parts)
+def _planes(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters of one (tile, piece), in order -> their part of each plane."""
+    values = []
+    for batch in batches:
+        flat = batch.column("values").flatten()
+        values.append(np.asarray(flat, np.int16).reshape(batch.num_rows, -1))
+    x = np.concatenate(values).astype("<i2")
+    n = x.shape[1]
+    at = np.arange(n, dtype=np.int32)
+    tile, piece = (k.as_py() for k in key)
+    yield pa.RecordBatch.from_arrays([pa.array([tile] * n), pa.array(at // 4), pa.array(at % 4), pa.array([piece] * n, pa.int32()), pa.array([x[:, k].tobytes() for k in at], pa.binary())], schema=_PIECES)
 
 
 def write_cif(signals: DataFrame, path: str, prefix: str = "", suffix: str = "", first: int = 0, folders: bool = False, scale: bool | None = None) -> list[str]:
     """Write signals (tile, cluster, signal) as intensity files of int16 and return their paths.
 
     folders: one file for each cycle, C{n}.1/<tile>.cif with n from first + 1 on, else one file a tile. Values in unit scale, tile
-    by tile (scale: so or not for all), are written times 4000. A task holds a cycle's plane, or the planes of one tile's file;
-    clusters are written in their order. The folder must be one that all executors can write to.
+    by tile (scale: so or not for all), are written times 4000. Clusters are written in their order; numbers may be left out, but not
+    twice there. Planes are cut into pieces of CLUSTERS_A_PIECE numbers, made side by side, and a file is one task's work, piece by
+    piece. All clusters of a tile have as many cycles.
     """
-    big = F.aggregate(F.flatten("signal"), F.lit(0), lambda a, x: a + (F.abs(x) > 10).cast("int"))
-    unit = F.sum(big) < 0.5 * F.sum(F.size(F.flatten("signal"))) if scale is None else F.first(F.lit(scale))
-    factors = signals.groupBy("tile").agg(F.when(unit, 4000.0).otherwise(1.0).alias("factor"))
-    planes = signals.select("tile", "cluster", F.posexplode("signal").alias("cycle", "v")).join(F.broadcast(factors), "tile")
-    values = planes.select("tile", "cycle", "cluster", F.transform("v", lambda x: E.quantise(x, F.col("factor"))).alias("v"))
-
-    def plane(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("cluster")
-        data, tile, cycle = np.stack(d["v"].to_numpy()).T.astype("<i2"), d["tile"].iloc[0], int(d["cycle"].iloc[0])
-        name = ""
-        if folders:
-            name = _put(_joined([path, f"C{first + cycle + 1}.1", output_name(tile, prefix, suffix) + ".cif"]), cif_bytes(data[None]))
-        return pd.DataFrame({"tile": [tile], "cycle": [cycle], "clusters": [data.shape[1]], "name": [name], "data": [b"" if folders else data.tobytes()]})
-
-    def whole(d: pd.DataFrame) -> pd.DataFrame:
-        d, clusters = d.sort_values("cycle"), int(d["clusters"].iloc[0])
-        head = b"CIF" + bytes([1, 2]) + struct.pack("<HHI", 1, len(d), clusters)
-        return pd.DataFrame({"name": [_put(_joined([path, output_name(d["tile"].iloc[0], prefix, suffix) + ".cif"]), head + b"".join(d["data"]))]})
-
-    out = values.groupBy("tile", "cycle").applyInPandas(plane, "tile string, cycle int, clusters long, name string, data binary")
-    if not folders:
-        out = out.groupBy("tile").applyInPandas(whole, "name string")
-    return sorted(r.name for r in out.select("name").collect())  # a name a file
-
-
-def read_cif_ranges(spark: SparkSession, path: str, clusters: int = 50_000, cycles: tuple[int, int] | None = None, compat: bool = False) -> DataFrame:
-    """As read_cif, for files of any size: a row for each file and range of clusters is dealt out, and a task reads only the pieces of
-    the planes that its range needs. The store must be one that pyarrow knows; read_cif works with any that Spark reads."""
-    begin, count = (cycles[0] - 1, cycles[1] - cycles[0] + 1) if cycles else (0, None)
-
-    def opened(p: str):
-        from pyarrow import fs
-
-        where, name = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
-        return where.open_input_file(name)
-
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            rows = []
-            for p in d["path"]:
-                with opened(p) as f:
-                    rows.append((p, *cif_header(f.read(_HEADER), compat)))
-            yield pd.DataFrame([(p, width, n_cycles, n) for p, width, _, n_cycles, n in rows], columns=["path", "width", "cycles", "n"])
-
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for p, width, n_cycles, n, at in zip(d["path"], d["width"], d["cycles"], d["n"], d["at"], strict=True):
-                lo, k = (begin, count) if count is not None and begin + count <= n_cycles else (0, n_cycles)
-                m = min(clusters, n - at)
-                x = np.empty((m, k, 4))
-                with opened(p) as f:
-                    for cycle in range(k):
-                        for channel in range(4):
-                            f.seek(_HEADER + width * (((lo + cycle) * 4 + channel) * n + at))
-                            x[:, cycle, channel] = np.frombuffer(f.read(width * m), _WIDTHS[width])
-                for a in range(0, m, CLUSTERS_A_BATCH):
-                    part = x[a : a + CLUSTERS_A_BATCH]
-                    yield pd.DataFrame({"path": p, "cluster": np.arange(at + a, at + a + len(part), dtype=np.int32), "signal": [s.tolist() for s in part]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cif").load(path).select("path")
-    known = files.mapInPandas(heads, "path string, width int, cycles int, n long").where("n > 0")
-    dealt = known.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(clusters).cast("long"))))
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "at")
-    return dealt.mapInPandas(ranges, "path string, cluster int, signal array<array<double>>").select(_stem(r"\.cif").alias("tile"), "cluster", "signal")
+    flat = F.flatten("signal")
+    big = F.aggregate(flat, F.lit(0), lambda a, x: a + (F.abs(x) > 10).cast("int"))
+    unit = F.sum(big) < 0.5 * F.sum(F.size(flat)) if scale is None else F.first(F.lit(scale))
+    tiles = signals.groupBy("tile").agg(F.when(unit, 4000.0).otherwise(1.0).alias("factor"), F.count("*").alias("clusters"), F.max(F.size("signal")).alias("cycles"))
+    tiles = F.broadcast(tiles)  # a row for each file
+    rows = signals.join(tiles, "tile").select("tile", F.floor(F.col("cluster") / CLUSTERS_A_PIECE).cast("int").alias("piece"), "cluster", F.transform(flat, lambda x: E.quantise(x, F.col("factor"))).cast("array<short>").alias("values"))
+    rows = rows.repartition("tile", "piece").sortWithinPartitions("tile", "piece", "cluster")
+    pieces = rows.groupBy("tile", "piece").applyInArrow(_planes, "tile string, cycle int, channel int, piece int, data binary")
+    name = F.concat(F.lit(prefix), "tile", F.lit(suffix + ".cif"))
+    if folders:
+        name = F.concat(F.lit("C"), (F.col("cycle") + first + 1).cast("string"), F.lit(".1/"), name)
+    heads = tiles.select("tile", F.explode(F.sequence(F.lit(0), F.col("cycles") - 1 if folders else F.lit(0)).cast("array<int>")).alias("cycle"), "clusters", (F.lit(1) if folders else F.col("cycles")).alias("n"))
+    little = lambda c, size: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(size)])
+    head = F.concat(F.lit(b"CIF\x01\x02"), little(F.lit(1).cast("long"), 2), little(F.col("n").cast("long"), 2), little(F.col("clusters"), 4))
+    heads = heads.select(name.alias("name"), F.lit(-1).alias("cycle"), F.lit(0).alias("channel"), F.lit(0).alias("piece"), head.alias("data"))
+    return write_files(heads.unionByName(pieces.select(name.alias("name"), "cycle", "channel", "piece", "data")), path, "cycle", "channel", "piece")
 
 
 def _clocs(data: bytes) -> np.ndarray:
@@ -185,8 +147,11 @@ def _pos(data: bytes) -> np.ndarray:
 _LOCATIONS = {".clocs": _clocs, ".locs": _locs, "_pos.txt": _pos}
 
 
-def read_locations(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """tile, cluster, x, y from files that end with suffix (.clocs, .locs or _pos.txt); another suffix is an error, no such file gives no rows."""
+def read_locations(spark: SparkSession, path: str, suffix: str, permissive: bool = False) -> DataFrame:
+    """tile, cluster, x, y from files that end with suffix (.clocs, .locs or _pos.txt); another suffix is an error, no such file gives no rows.
+
+    permissive: a bad file gives one row of nulls with what is wrong in the further column error.
+    """
     if suffix not in _LOCATIONS:
         raise ValueError(f"no reader for locations in *{suffix}; there are {', '.join(_LOCATIONS)}")
     parse = _LOCATIONS[suffix]
@@ -194,46 +159,88 @@ def read_locations(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             for p, data in zip(d["path"], d["content"], strict=True):
-                xy = parse(data)
-                yield pd.DataFrame({"path": p, "cluster": np.arange(len(xy), dtype=np.int32), "x": xy[:, 0], "y": xy[:, 1]})
+                try:
+                    xy = parse(data)
+                except (ValueError, struct.error) as e:
+                    if not permissive:
+                        raise
+                    yield pd.DataFrame({"path": [p], "cluster": pd.array([None], "Int32"), "x": [None], "y": [None], "error": [f"{p}: {e}"]})
+                    continue
+                yield pd.DataFrame({"path": p, "cluster": pd.array(np.arange(len(xy)), "Int32"), "x": xy[:, 0], "y": xy[:, 1], "error": None})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, cluster int, x double, y double").select(_stem(suffix.replace(".", r"\.")).alias("tile"), "cluster", "x", "y")
+    rows = files.mapInPandas(run, "path string, cluster int, x double, y double, error string")
+    return rows.select(_stem(suffix.replace(".", r"\.")).alias("tile"), "cluster", "x", "y", *["error"] * permissive)
 
 
 def locations_text(loc: DataFrame) -> DataFrame:
     return loc.select("tile", "cluster", F.format_string("%.2f %.2f", "x", "y").alias("value"))
 
 
-def write_locs(loc: DataFrame, path: str) -> list[str]:
-    """loc (tile, cluster, x, y) as one .locs file a tile, in order of clusters; the paths written. A task holds a tile's locations."""
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        xy = d.sort_values("cluster")[["x", "y"]].to_numpy("<f4")
-        return pd.DataFrame({"name": [_put(_joined([path, d["tile"].iloc[0] + ".locs"]), struct.pack("<ifi", 1, 1.0, len(xy)) + xy.tobytes())]})
+def _locs_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, cluster, x, y) -> (name, cluster, data): each pair as two floats."""
+    for batch in batches:
+        xy = np.stack([np.asarray(batch.column(i), "<f4") for i in (2, 3)], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in xy], pa.binary())], names=["name", "cluster", "data"])
+
+
+@F.pandas_udf(BinaryType())
+def _locs_head(n: pd.Series) -> pd.Series:
+    return n.map(lambda k: struct.pack("<ifi", 1, 1.0, k))
+
 
-    return sorted(r.name for r in loc.groupBy("tile").applyInPandas(run, "name string").collect())
+def write_locs(loc: DataFrame, path: str) -> list[str]:
+    """loc (tile, cluster, x, y) as one .locs file a tile, in order of clusters; the paths written. A file is one task's work, batch by batch."""
+    name = F.concat("tile", F.lit(".locs")).alias("name")
+    heads = loc.groupBy(name).agg(F.count("*").alias("n")).select("name", F.lit(-1).alias("cluster"), _locs_head("n").alias("data"))
+    rows = loc.select(name, F.col("cluster").cast("int").alias("cluster"), "x", "y").mapInArrow(_locs_bytes, "name string, cluster int, data binary")
+    return write_files(heads.unionByName(rows), path, "cluster")
 
 
 def convert_locations(spark: SparkSession, path: str, to: str) -> list[str]:
     """Every .locs file of a folder as <base>_pos.txt in another; the paths written. A task holds a file."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            names = []
             for p, data in zip(d["path"], d["content"], strict=True):
                 text = "".join(f"{x:.2f} {y:.2f}\n" for x, y in _locs(data))
-                names.append(_put(_joined([to, p.rpartition("/")[2].removesuffix(".locs") + "_pos.txt"]), text.encode()))
-            yield pd.DataFrame({"name": names})
+                yield pd.DataFrame({"name": [p.rpartition("/")[2].removesuffix(".locs") + "_pos.txt"], "data": [text.encode()]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.locs").load(path).select("path", "content")
-    return sorted(r.name for r in files.mapInPandas(run, "name string").collect())
+    return write_files(files.mapInPandas(run, "name string, data binary"), to)
+
+
+def numbered_lines(spark: SparkSession, path: str, keep=None) -> DataFrame:
+    """row, value: the lines of a text that keep (a column over value) takes, numbered from 0 in order of files and places, without a sort.
+
+    Spark reads a file in splits, each in order, side by side. Lines are counted by split, the counts of the splits before are added
+    up (a row for each split), and a line's number is that sum and its place in its split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(keep) if keep is not None else lines
+    lines = lines.withColumn("at", F.monotonically_increasing_id())  # runs on within a split
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select((F.col("at") + F.col("shift")).alias("row"), "value")
+
 
+def read_sam(spark: SparkSession, path: str, pairing: str = "name") -> DataFrame:
+    """tile, cluster, flag, rname, cigar, md of aligned reads without gaps.
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """tile, cluster, flag, rname, cigar, md of aligned reads without gaps; the cluster comes from the read's name Cluster_<tile>_<n>."""
+    pairing "name": the cluster comes from the read's name, Cluster_<tile>_<n>. "row": from the line's place among those that are
+    neither header lines nor empty, whatever the names; tile is null then.
+    """
+    if pairing not in ("name", "row"):
+        raise ValueError("pairing is by name or row")
     f = F.split("value", "\t")
-    t = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(f) > 10))
-    name = r"^Cluster_(.*)_(\d+)$"
-    t = t.select(F.regexp_extract(f[0], name, 1).alias("tile"), (F.regexp_extract(f[0], name, 2).try_cast("int") - 1).alias("cluster"), f[1].try_cast("int").alias("flag"), f[2].alias("rname"), f[5].alias("cigar"), F.regexp_extract("value", r"\tMD:Z:(\S+)", 1).alias("md"))
+    if pairing == "row":
+        lines = numbered_lines(spark, path, ~F.col("value").startswith("@") & (F.col("value") != ""))
+        cluster, tile = F.col("row").cast("int"), F.lit(None).cast("string")
+    else:
+        lines = spark.read.text(path).where(~F.col("value").startswith("@"))
+        name = r"^Cluster_(.*)_(\d+)$"
+        cluster, tile = F.regexp_extract(f[0], name, 2).try_cast("int") - 1, F.regexp_extract(f[0], name, 1)
+    t = lines.where(F.size(f) > 10).select(tile.alias("tile"), cluster.alias("cluster"), f[1].try_cast("int").alias("flag"), f[2].alias("rname"), f[5].alias("cigar"), F.regexp_extract("value", r"\tMD:Z:(\S+)", 1).alias("md"))
     return t.where(~F.col("rname").startswith("*") & ~F.col("cigar").rlike("[DI]") & (F.col("md") != ""))
 
 
@@ -242,7 +249,10 @@ def model_text(weights: list[float]) -> str:
 
 
 def write_model(weights: list[float], path: str) -> str:
-    return _put(path, model_text(weights).encode())
+    """The path; the file is there whole or not at all."""
+    folder, _, name = path.rpartition("/")
+    piece = SparkSession.active().createDataFrame([(name, bytearray(model_text(weights).encode()))], "name string, data binary")
+    return write_files(piece, folder or ("/" if path.startswith("/") else "."))[0]
 
 
 def parse_model(text: str) -> list[float]:
@@ -262,9 +272,6 @@ def write_fastq(rows: DataFrame, path: str) -> None:
 
 
 def write_fastq_files(rows: DataFrame, path: str, prefix: str = "", suffix: str = "") -> list[str]:
-    """rows (tile, cluster, record) as one file a tile, in order of clusters; the paths written. A task holds a tile's text; write_fastq has no such bound."""
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        text = "".join(d.sort_values("cluster")["record"])
-        return pd.DataFrame({"name": [_put(_joined([path, output_name(d["tile"].iloc[0], prefix, suffix) + ".fastq"]), text.encode())]})
-
-    return sorted(r.name for r in rows.select("tile", "cluster", "record").groupBy("tile").applyInPandas(run, "name string").collect())
+    """rows (tile, cluster, record) as one file a tile, in order of clusters; the paths written. A file is one task's work, batch by batch; write_fastq has no such bound."""
+    name = F.concat(F.lit(prefix), "tile", F.lit(suffix + ".fastq"))
+    return write_files(rows.select(name.alias("name"), "cluster", F.col("record").cast("binary").alias("data")), path, "cluster")

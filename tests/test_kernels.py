@@ -91,7 +91,7 @@ def test_cif(spark, tmp_path):
     got = {r.cluster: r.signal for r in formats.read_cif(spark, str(tmp_path)).collect()}
     assert got[1] == v[:, :, 1].tolist()
     assert len(formats.read_cif(spark, str(tmp_path), (2, 2)).first().signal) == 1
-    assert len(formats.read_cif(spark, str(tmp_path), (2, 9)).first().signal) == 2
+    assert len(formats.read_cif(spark, str(tmp_path), (2, 9)).first().signal) == 1  # a range beyond the file takes what remains from its first cycle on
     with pytest.raises(ValueError):
         formats.cif_header(b"BAD" + bytes(20))
     for c in (1, 3):
