@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, BUFFER, STRIPE, HALO = 14, 6, 250, 15
@@ -20,8 +20,15 @@ def block_plan(cycles: int, size: int = BLOCK, buffer: int = BUFFER) -> list[tup
     return out
 
 
-def cycle_blocks(spark: SparkSession, cycles: int) -> DataFrame:
-    return spark.createDataFrame(block_plan(cycles), "block int, start int, len int, buf_start int, buf_len int")
+def cycle_blocks(runs: DataFrame, size: int = BLOCK, buffer: int = BUFFER) -> DataFrame:
+    """runs (cycles) -> cycles, block, start, len, buf_start, buf_len: block_plan of each row."""
+    n, cycles, k = F.greatest(F.ceil(F.col("cycles") / size), F.lit(1)).cast("int"), F.col("cycles"), F.col("block")
+    rows = runs.select("cycles", n.alias("n")).select("cycles", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    each, more = F.floor(cycles / F.col("n")).cast("int"), cycles % F.col("n")
+    start, length = each * k + F.least(k, more), each + (k < more).cast("int")
+    rows = rows.select("cycles", "block", start.alias("start"), length.alias("len"))
+    low = F.greatest(F.col("start") - buffer, F.lit(0))
+    return rows.select("cycles", "block", "start", "len", low.alias("buf_start"), (F.least(F.col("start") + F.col("len") + buffer, cycles) - low).alias("buf_len"))
 
 
 def chunk_size(blocks, size: int = BLOCK):

@@ -310,39 +310,55 @@ class ReadError(ValueError):
     """A (tile, end) came with an error from its files."""
 
 
+class Chain:
+    """The chunks of one (tile, end), in order: clusters go in by and by, and each chunk's come out when the next begins."""
+
+    def __init__(self, iterations: int = 4, fast: bool = False, serial: bool = False, block: int = BLOCK):
+        self.iterations, self.fast, self.serial, self.block = iterations, fast, serial, block
+        self.params: Params | None = None
+        self.chunk: int | None = None
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def push(self, ids: np.ndarray, of: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Clusters, their chunks (none before one that has begun) and signals -> clusters and deconvolved signals of chunks that have ended."""
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                if self.held and self.chunk != int(of[lo]):
+                    yield self.solved()
+                self.chunk = int(of[lo])
+                self.held.append((ids[lo:hi], x[lo:hi]))
+
+    def end(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held:
+            yield self.solved()
+
+    def solved(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, x = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        self.held.clear()
+        work, rounds = Chunk(x, self.params, self.block), schedule(self.chunk, self.iterations, self.fast, self.serial)
+        z = work.run_serial(rounds) if self.serial else work.run(rounds, self.fast)
+        self.params = work.params()
+        if not np.isfinite(z).all():
+            raise FloatingPointError(f"chunk {self.chunk} has no finite solution")
+        return ids, z
+
+
 def _chain(iterations: int, fast: bool, serial: bool, block: int, outcomes: bool):
     """The chunks of one (tile, end), in order -> their deconvolved clusters. With outcomes, what goes wrong is a last row without a cluster."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, end_id = (k.as_py() for k in key)
-        params, chunk, held = None, None, []
-
-        def solved() -> Iterator[pa.RecordBatch]:
-            nonlocal params
-            ids, x = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            held.clear()
-            work, rounds = Chunk(x, params, block), schedule(chunk, iterations, fast, serial)
-            z = work.run_serial(rounds) if serial else work.run(rounds, fast)
-            params = work.params()
-            if not np.isfinite(z).all():
-                raise FloatingPointError(f"chunk {chunk} has no finite solution")
-            yield from batches_of(ROWS, tile, end_id, ids, z)
-
+        chain = Chain(iterations, fast, serial, block)
         try:
             for batch in batches:
                 if batch.column("error").null_count < batch.num_rows:
                     raise ReadError(batch.column("error").drop_null()[0].as_py())
                 ids, of = (np.asarray(batch.column(c)) for c in ("cluster", "chunk"))
-                x = tensor_of(batch.column("signal"))
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    if hi > lo:
-                        if held and chunk != int(of[lo]):
-                            yield from solved()
-                        chunk = int(of[lo])
-                        held.append((ids[lo:hi], x[lo:hi]))
-            if held:
-                yield from solved()
+                for out in chain.push(ids, of, tensor_of(batch.column("signal"))):
+                    yield from batches_of(ROWS, tile, end_id, *out)
+            for out in chain.end():
+                yield from batches_of(ROWS, tile, end_id, *out)
         except FAULTS as e:
             if not outcomes:
                 raise

@@ -167,32 +167,33 @@ def block_solve(rows: np.ndarray, i: np.ndarray, j: np.ndarray, coef: np.ndarray
 EDGES_A_BATCH = 20_000
 
 
+def stripe_solved(d: pa.Table, width: np.ndarray, thr: float) -> tuple[np.ndarray, np.ndarray]:
+    """Clusters of a stripe with its halo, in order -> the core's clusters and signals: neighbours, their shares, and the solve."""
+    ids, gx, gy, qd = (d.column(c).to_numpy() for c in ("cluster", "gx", "gy", "qd"))
+    z = tensor_of(d.column("signal"))
+    evidence = tensor_of(d.column("evidence")) if "evidence" in d.column_names else z
+    i, j = edges_of(gx, gy)
+    i, j = i[qd[i] < MAX_QD], j[qd[i] < MAX_QD]
+    coef = np.zeros(len(i))
+    for at in range(0, len(i), EDGES_A_BATCH):
+        k = slice(at, at + EDGES_A_BATCH)
+        coef[k] = edge_coefficients(evidence[i[k]], evidence[j[k]], width[None], np.full(len(i[k]), thr))
+    on = coef > 0
+    out = block_solve(gy, i[on], j[on], coef[on], z.reshape(len(z), -1), int(np.abs(gy[i[on]] - gy[j[on]]).max(initial=REACH))).reshape(z.shape)
+    core = d.column("in_core").to_numpy(zero_copy_only=False)
+    return ids[core], out[core]
+
+
 def _stripe(outcomes: bool):
-    """One stripe with its halo, each cluster once, and the tile's limits: neighbours, their shares, and the solve; core rows go out."""
-
-    def solved(d: pa.Table, limits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        d = d.sort_by("cluster")
-        ids, gx, gy, qd = (d.column(c).to_numpy() for c in ("cluster", "gx", "gy", "qd"))
-        z = tensor_of(d.column("signal"))
-        evidence = tensor_of(d.column("evidence")) if "evidence" in d.column_names else z
-        width, thr = np.array(limits.column("w")[0].as_py(), float)[None], limits.column("thr")[0].as_py()
-        i, j = edges_of(gx, gy)
-        i, j = i[qd[i] < MAX_QD], j[qd[i] < MAX_QD]
-        coef = np.zeros(len(i))
-        for at in range(0, len(i), EDGES_A_BATCH):
-            k = slice(at, at + EDGES_A_BATCH)
-            coef[k] = edge_coefficients(evidence[i[k]], evidence[j[k]], width, np.full(len(i[k]), thr))
-        on = coef > 0
-        out = block_solve(gy, i[on], j[on], coef[on], z.reshape(len(z), -1), int(np.abs(gy[i[on]] - gy[j[on]]).max(initial=REACH))).reshape(z.shape)
-        core = d.column("in_core").to_numpy(zero_copy_only=False)
-        return ids[core], out[core]
+    """One stripe with its halo, each cluster once, and the tile's limits -> its core's rows."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, limits: pa.Table) -> pa.Table:
         tile, end_id, _ = (k.as_py() for k in key)
         if not rows.num_rows or not limits.num_rows:
             return ROWS.empty_table()
         try:
-            return pa.Table.from_batches(batches_of(ROWS, tile, end_id, *solved(rows, limits)), ROWS)
+            found = stripe_solved(rows.sort_by("cluster"), np.array(limits.column("w")[0].as_py(), float), limits.column("thr")[0].as_py())
+            return pa.Table.from_batches(batches_of(ROWS, tile, end_id, *found), ROWS)
         except FAULTS as e:
             if not outcomes:
                 raise
@@ -200,13 +201,9 @@ def _stripe(outcomes: bool):
     return run
 
 
-def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15, outcomes: bool = False) -> DataFrame:
-    """signals, evidence (tile, end_id, cluster, signal), loc (tile, cluster, x, y) -> signals with the light of neighbours taken out.
-
-    Each cluster goes once to its stripe and to those whose halo holds it; a task holds a stripe of one (tile, end), and the tile's
-    limits once. Signals that are their own evidence aren't joined with themselves. outcomes: a stripe that can't be solved gives a
-    row with a null cluster and what is wrong in the further column error.
-    """
+def placed_rows(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Clusters (tile, end_id, stripe, in_core, cluster, gx, gy, qd, signal, and evidence where it is another table) once for each
+    stripe that holds them, and the limits (tile, end_id, stripe, thr, w), a row for each stripe."""
     keys = ["tile", "end_id"]
     own = signals is evidence
     ev = kept(cluster_quality(evidence))
@@ -216,7 +213,17 @@ def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: flo
     extents = snapped.groupBy("tile").agg(F.greatest(F.ceil(F.max("extent") / size), F.lit(1)).cast("int").alias("count"))  # a row for each file
     of_stripes = limits.join(F.broadcast(extents), "tile").select(*[F.col(c).alias(c) for c in keys], F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("stripe"), "thr", F.col("w.width").alias("w"))
     rows = ev if own else signals.join(ev.select(*keys, "cluster", "qd", F.col("signal").alias("evidence")), [*keys, "cluster"])
-    rows = rows.select(*keys, "cluster", "qd", "signal", *["evidence"] * (not own)).join(placed, ["tile", "cluster"])
-    groups = [d.groupBy(*keys, "stripe") for d in (rows, of_stripes)]
+    return rows.select(*keys, "cluster", "qd", "signal", *["evidence"] * (not own)).join(placed, ["tile", "cluster"]), of_stripes
+
+
+def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15, outcomes: bool = False) -> DataFrame:
+    """signals, evidence (tile, end_id, cluster, signal), loc (tile, cluster, x, y) -> signals with the light of neighbours taken out.
+
+    Each cluster goes once to its stripe and to those whose halo holds it; a task holds a stripe of one (tile, end), and the tile's
+    limits once. Signals that are their own evidence aren't joined with themselves. outcomes: a stripe that can't be solved gives a
+    row with a null cluster and what is wrong in the further column error.
+    """
+    rows, limits = placed_rows(signals, evidence, loc, ks, size, halo)
+    groups = [d.groupBy("tile", "end_id", "stripe") for d in (rows, limits)]
     out = groups[0].cogroup(groups[1]).applyInArrow(_stripe(outcomes), ROWS_DDL)
     return out if outcomes else out.drop("error")

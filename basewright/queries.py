@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ from basewright.functions import expr as E
 from basewright.operators import blocks, estimate, quality, spatial, train
 from basewright.operators.blocks import block_plan
 from basewright.operators.state import shared_folder
+from basewright.operators.tensor import tensor_of
 from basewright.sources import formats
+from basewright.sources.files import write_files
 
-SHIFT = 0.6
+#: Clusters of a chunk that a kernel takes at once, and of a tile.
+SHIFT, CHUNK, TILE = 0.6, 128, 250
 
 
 def signals(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame:
@@ -27,6 +31,12 @@ def signals(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame
     return t.select(F.lit("t").alias("tile"), F.lit(0).alias("end_id"), F.col("vec_id").cast("int").alias("cluster"), cycles.alias("signal"))
 
 
+def tiles(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame:
+    """The same signals as tiles of TILE clusters, so that there are more with the table."""
+    k = F.col("cluster")
+    return signals(spark, sf_dir, shift).select(F.concat(F.lit("t"), F.floor(k / TILE).cast("string")).alias("tile"), "end_id", (k % TILE).alias("cluster"), "signal")
+
+
 def cycles(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame:
     return signals(spark, sf_dir, shift).select("cluster", F.posexplode("signal").alias("cycle", "v"))
 
@@ -38,6 +48,9 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB: the same relations as above.
 _C = "c AS (SELECT CAST(vec_id AS INTEGER) AS cluster, i AS cycle, list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: CAST(x AS DOUBLE) + {shift}) AS v FROM (SELECT *, CAST(unnest(range(16)) AS INTEGER) AS i FROM embeddings))"
+_T = "c AS (SELECT 't' || CAST(vec_id // 250 AS VARCHAR) AS tile, CAST(vec_id % 250 AS INTEGER) AS cluster, i AS cycle, list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: CAST(x AS DOUBLE) + {shift}) AS v FROM (SELECT *, CAST(unnest(range(16)) AS INTEGER) AS i FROM embeddings))"
+T, T0 = _T.format(shift="0.6"), _T.format(shift="0.0")
+CH = "CAST(cluster // 128 AS INTEGER)"
 C, C0 = _C.format(shift="0.6"), _C.format(shift="0.0")
 XY = "xy AS (SELECT CAST(vec_id AS INTEGER) AS cluster, CAST((vec_id * vec_id * 31 + vec_id * 7919) % 499 AS DOUBLE) AS x, CAST((vec_id * vec_id * 17 + vec_id * 10473) % 97 AS DOUBLE) AS y FROM embeddings)"
 CALL = "CAST(list_position(v, list_max(v)) - 1 AS INTEGER)"
@@ -176,12 +189,12 @@ def autoscale_flag(spark, d):
     return x.agg(F.count("*").alias("n"), (big < 0.5 * F.count("*")).alias("multiscale"))
 
 
-@query("""WITH p AS (SELECT n AS cycles, CAST(ceil(n / 14.0) AS INTEGER) AS nb FROM (SELECT unnest([16, 37, 101]) AS n)), b AS (SELECT *, unnest(range(nb)) AS block FROM p),
+@query("""WITH p AS (SELECT cycles, CAST(ceil(cycles / 14.0) AS INTEGER) AS nb FROM (SELECT DISTINCT CAST(n_chars % 150 + 1 AS INTEGER) AS cycles FROM documents)), b AS (SELECT *, unnest(range(nb)) AS block FROM p),
 l AS (SELECT *, cycles // nb + CASE WHEN block < cycles % nb THEN 1 ELSE 0 END AS len FROM b), s AS (SELECT *, sum(len) OVER (PARTITION BY cycles ORDER BY block) - len AS start FROM l)
 SELECT CAST(cycles AS INTEGER) AS cycles, CAST(block AS INTEGER) AS block, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len, CAST(greatest(start - 6, 0) AS INTEGER) AS buf_start, CAST(least(start + len + 6, cycles) - greatest(start - 6, 0) AS INTEGER) AS buf_len FROM s""")
 def cycle_blocks(spark, d):
-    out = [blocks.cycle_blocks(spark, n).withColumn("cycles", F.lit(n)) for n in (16, 37, 101)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """The blocks of runs of as many cycles as documents have characters, modulo 150."""
+    return blocks.cycle_blocks(spark.read.parquet(f"{d}/documents.parquet").select((F.col("n_chars") % 150 + 1).cast("int").alias("cycles")).distinct())
 
 
 @query("WITH t AS (SELECT count(*) AS n FROM embeddings) SELECT CAST(k AS INTEGER) AS chunk, count(*) AS clusters FROM (SELECT (vec_id >= floor(n / 3.0 * 1 + 0.5))::INT + (vec_id >= floor(n / 3.0 * 2 + 0.5))::INT AS k FROM embeddings, t) GROUP BY k")
@@ -212,14 +225,17 @@ def _chunk(x: np.ndarray) -> estimate.Chunk:
     return chunk
 
 
-def _on_chunk(spark: SparkSession, d: str, f, schema: str) -> DataFrame:
-    """f(numpy signals) -> {column: array}, with the clusters as `cluster` where arrays are as long as these."""
+def _on_chunk(spark: SparkSession, d: str, f, schema: str, chunk: bool = False) -> DataFrame:
+    """f(numpy signals, clusters) of each CHUNK clusters, as rows; with their chunk's number if it is asked for."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cluster")
-        return f(np.array([np.stack(v) for v in rows["signal"]]), rows["cluster"].to_numpy())
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cluster")
+        out = f(tensor_of(rows.column("signal")), rows.column("cluster").to_numpy())
+        out = out.assign(chunk=key[0].as_py()) if chunk else out
+        return pa.Table.from_pandas(out.astype({c: np.int32 for c in out if out[c].dtype == np.int64}), preserve_index=False)
 
-    return signals(spark, d).groupBy("tile", "end_id").applyInPandas(run, schema)
+    groups = signals(spark, d).groupBy(F.floor(F.col("cluster") / CHUNK).cast("int").alias("chunk"))
+    return groups.applyInArrow(run, schema + ", chunk int" * chunk)
 
 
 def _long(values: np.ndarray, **names) -> pd.DataFrame:
@@ -279,16 +295,17 @@ def minus_constant(spark, d):
 
 
 _K = "k4 AS (SELECT * FROM (VALUES (0, [3300.0, 3300.0, 0.0, 0.0]), (1, [600.0, 2800.0, 0.0, 0.0]), (2, [0.0, 0.0, 2800.0, 2600.0]), (3, [0.0, 0.0, 0.0, 3300.0])) AS t(k, c))"
-_F = f"{C}, f0 AS (SELECT cluster, v, sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS norm FROM c WHERE cycle = 0), f AS (SELECT * FROM f0 WHERE norm > (SELECT avg(norm) FROM f0) / 2)"
-_A = f"""{_F}, {_K}, cs AS (SELECT cluster, v, norm, list((v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4]) ORDER BY k) AS cos FROM f, k4 GROUP BY cluster, v, norm),
+_F = f"{C}, f0 AS (SELECT cluster, {CH} AS chunk, v, sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS norm FROM c WHERE cycle = 0), f AS (SELECT * EXCLUDE (mean) FROM (SELECT *, avg(norm) OVER (PARTITION BY chunk) AS mean FROM f0) WHERE norm > mean / 2)"
+_A = f"""{_F}, {_K}, cs AS (SELECT cluster, chunk, v, norm, list((v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4]) ORDER BY k) AS cos FROM f, k4 GROUP BY cluster, chunk, v, norm),
 a AS (SELECT *, CASE WHEN list_max(cos) > 0 THEN CAST(list_position(cos, list_max(cos)) - 1 AS INTEGER) ELSE 0 END AS cls FROM cs),
-c1 AS (SELECT k, coalesce(m, c) AS c FROM k4 LEFT JOIN (SELECT cls, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM a GROUP BY cls) ON cls = k)"""
+ck AS (SELECT DISTINCT chunk FROM a),
+c1 AS (SELECT ck.chunk, k, coalesce(m, c) AS c FROM k4 CROSS JOIN ck LEFT JOIN (SELECT chunk, cls, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM a GROUP BY chunk, cls) x ON cls = k AND x.chunk = ck.chunk)"""
 
 
 def _trim(before: str, after: str, limit: float) -> str:
     cos = "(v[1]*c[1]+v[2]*c[2]+v[3]*c[3]+v[4]*c[4]) / norm / sqrt(c[1]*c[1]+c[2]*c[2]+c[3]*c[3]+c[4]*c[4])"
-    return f"""{after} AS (SELECT b.k, CASE WHEN n > 2 THEN list_transform(range(1, 5), lambda i: b.c[i] + 1.25 * (m[i] - b.c[i])) ELSE b.c END AS c FROM {before} b
- LEFT JOIN (SELECT cls, count(*) AS n, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM a JOIN {before} ON k = cls WHERE 1 - {cos} < {limit} GROUP BY cls) ON cls = b.k)"""
+    return f"""{after} AS (SELECT b.chunk, b.k, CASE WHEN n > 2 THEN list_transform(range(1, 5), lambda i: b.c[i] + 1.25 * (m[i] - b.c[i])) ELSE b.c END AS c FROM {before} b
+ LEFT JOIN (SELECT a.chunk, cls, count(*) AS n, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM a JOIN {before} o ON o.k = cls AND o.chunk = a.chunk WHERE 1 - {cos} < {limit} GROUP BY a.chunk, cls) x ON cls = b.k AND x.chunk = b.chunk)"""
 
 
 @query(f"WITH {_F} SELECT cluster, round(norm, 6) AS norm FROM f")
@@ -312,51 +329,51 @@ def _centroids(x: np.ndarray, trim: bool) -> np.ndarray:
     return np.array([estimate.trimmed(x[k == j], c[j]) for j in range(4)]) if trim else c
 
 
-@query(f"WITH {_A} SELECT CAST(k AS INTEGER) AS cls, ch, round(c[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM c1)")
+@query(f"WITH {_A} SELECT chunk, CAST(k AS INTEGER) AS cls, ch, round(c[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM c1)")
 def color_means(spark, d):
-    return _on_chunk(spark, d, lambda x, c: _long(_centroids(x, False), cls=_N4, ch=_N4), "cls int, ch int, v double")
+    return _on_chunk(spark, d, lambda x, c: _long(_centroids(x, False), cls=_N4, ch=_N4), "cls int, ch int, v double", True)
 
 
 _TR = f"{_A}, {_trim('c1', 'c2', 0.2)}, {_trim('c2', 'c3', 0.12)}"
 
 
-@query(f"WITH {_TR} SELECT CAST(k AS INTEGER) AS cls, ch, round(c[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM c3)")
+@query(f"WITH {_TR} SELECT chunk, CAST(k AS INTEGER) AS cls, ch, round(c[ch + 1], 6) AS v FROM (SELECT *, {_OUT} AS ch FROM c3)")
 def color_trim(spark, d):
-    return _on_chunk(spark, d, lambda x, c: _long(_centroids(x, True), cls=_N4, ch=_N4), "cls int, ch int, v double")
+    return _on_chunk(spark, d, lambda x, c: _long(_centroids(x, True), cls=_N4, ch=_N4), "cls int, ch int, v double", True)
 
 
-@query(f"""WITH {_TR}, bg AS (SELECT ch, avg(c[ch + 1]) AS b FROM c3, (SELECT {_OUT} AS ch) WHERE (ch < 2) = (k >= 2) GROUP BY ch)
-SELECT ch, CAST(k AS INTEGER) AS base, round(c[ch + 1] - b, 6) AS v FROM c3, bg UNION ALL SELECT ch, 4, round(b, 6) FROM bg""")
+@query(f"""WITH {_TR}, bg AS (SELECT chunk, ch, avg(c[ch + 1]) AS b FROM c3, (SELECT {_OUT} AS ch) WHERE (ch < 2) = (k >= 2) GROUP BY chunk, ch)
+SELECT chunk, ch, CAST(k AS INTEGER) AS base, round(c[ch + 1] - b, 6) AS v FROM c3 JOIN bg USING (chunk) UNION ALL SELECT chunk, ch, 4, round(b, 6) FROM bg""")
 def color_background(spark, d):
-    return _on_chunk(spark, d, lambda x, c: _long(estimate.with_background(_centroids(x, True)), ch=_N4, base=range(5)), "ch int, base int, v double")
+    return _on_chunk(spark, d, lambda x, c: _long(estimate.with_background(_centroids(x, True)), ch=_N4, base=range(5)), "ch int, base int, v double", True)
 
 
 _TW = 0.05
 
 
-@query(f"""WITH {_M}, x AS (SELECT block, list_concat(g, [1.0]) AS r, yb AS y FROM yb JOIN g USING (cluster, cycle) WHERE cycle % 8 = cluster % 8),
-t AS (SELECT block, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j < 5 THEN r[i + 1] * r[least(j, 4) + 1] ELSE r[i + 1] * y[greatest(j, 5) - 4] END) AS s, {_TW} * count(*) AS tw FROM x, range(5) AS a(i), range(9) AS b(j) GROUP BY ALL)
-SELECT CAST(block AS INTEGER) AS block, i, j, round(s + tw * CASE WHEN j = i THEN CASE WHEN i = 4 THEN 3 ELSE 1 END WHEN j < 5 THEN 0 WHEN i = 4 THEN {_BG}[greatest(j, 5) - 4] ELSE {_CC}[greatest(j, 5) - 4][least(i, 3) + 1] END, 6) AS v FROM t""")
+@query(f"""WITH {_M}, x AS (SELECT {CH} AS chunk, block, list_concat(g, [1.0]) AS r, yb AS y FROM yb JOIN g USING (cluster, cycle) WHERE cycle % 8 = cluster % 8),
+t AS (SELECT chunk, block, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j < 5 THEN r[i + 1] * r[least(j, 4) + 1] ELSE r[i + 1] * y[greatest(j, 5) - 4] END) AS s, {_TW} * count(*) AS tw FROM x, range(5) AS a(i), range(9) AS b(j) GROUP BY ALL)
+SELECT chunk, CAST(block AS INTEGER) AS block, i, j, round(s + tw * CASE WHEN j = i THEN CASE WHEN i = 4 THEN 3 ELSE 1 END WHEN j < 5 THEN 0 WHEN i = 4 THEN {_BG}[greatest(j, 5) - 4] ELSE {_CC}[greatest(j, 5) - 4][least(i, 3) + 1] END, 6) AS v FROM t""")
 def gram_color(spark, d):
     """The normal equations of both blocks' color fit, right sides (4 channels) after the 5 x 5 matrix."""
     def f(x, c):
         chunk = _chunk(x)
         return _long(np.array([np.hstack(chunk.color_normal(b, _TW, 2)) for b in range(2)]), block=range(2), i=range(5), j=range(9))
-    return _on_chunk(spark, d, f, "block int, i int, j int, v double")
+    return _on_chunk(spark, d, f, "block int, i int, j int, v double", True)
 
 
 @query(f"""WITH {_M}, x AS (SELECT cluster, block, any_value(p)[cluster % 4 + 1] AS pv, list(yb.v[cluster % 4 + 1] - {_BG}[cluster % 4 + 1] ORDER BY cycle) AS y FROM yb GROUP BY cluster, block),
 cl AS (SELECT cluster, list({_CC}[cluster % 4 + 1][call + 1] ORDER BY cycle) AS s FROM u GROUP BY cluster),
-r AS (SELECT block, list_concat(s[CASE WHEN block = 0 THEN 1 ELSE 3 END:CASE WHEN block = 0 THEN 14 ELSE 16 END], [pv, 1.0]) AS r, y FROM x JOIN cl USING (cluster)),
-t AS (SELECT block, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j < 16 THEN r[i + 1] * r[least(j, 15) + 1] ELSE r[i + 1] * y[greatest(j, 16) - 15] END) AS s, {_TW} * count(*) AS tw FROM r, range(16) AS a(i), range(24) AS b(j) GROUP BY ALL)
-SELECT CAST(block AS INTEGER) AS block, i, j, round(s + tw * CASE WHEN j = i THEN CASE WHEN i = 15 THEN 3 ELSE 1 END WHEN j < 16 THEN 0 WHEN i = 14 THEN {BEFORE} WHEN i = 15 THEN {CONST}
+r AS (SELECT {CH} AS chunk, block, list_concat(s[CASE WHEN block = 0 THEN 1 ELSE 3 END:CASE WHEN block = 0 THEN 14 ELSE 16 END], [pv, 1.0]) AS r, y FROM x JOIN cl USING (cluster)),
+t AS (SELECT chunk, block, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CASE WHEN j < 16 THEN r[i + 1] * r[least(j, 15) + 1] ELSE r[i + 1] * y[greatest(j, 16) - 15] END) AS s, {_TW} * count(*) AS tw FROM r, range(16) AS a(i), range(24) AS b(j) GROUP BY ALL)
+SELECT chunk, CAST(block AS INTEGER) AS block, i, j, round(s + tw * CASE WHEN j = i THEN CASE WHEN i = 15 THEN 3 ELSE 1 END WHEN j < 16 THEN 0 WHEN i = 14 THEN {BEFORE} WHEN i = 15 THEN {CONST}
   ELSE CASE i + 2 * block - (j - 16 + 8 * block) WHEN 0 THEN {OWN} WHEN -1 THEN {LAST} WHEN 1 THEN {NEXT} ELSE 0 END END, 6) AS v FROM t""")
 def gram_phasing(spark, d):
     """The normal equations of both blocks' phasing fit, right sides (8 cycles) after the 16 x 16 matrix; the fixed color has a scale of 1."""
     def f(x, c):
         chunk = _chunk(x)
         return _long(np.array([np.hstack(chunk.phase_normal(b, _TW, 2)) for b in range(2)]), block=range(2), i=range(16), j=range(24))
-    return _on_chunk(spark, d, f, "block int, i int, j int, v double")
+    return _on_chunk(spark, d, f, "block int, i int, j int, v double", True)
 
 
 _L = f"""{_M}, e AS (SELECT cluster, block, list_sum(list(h[1] * y[1] + h[2] * y[2] + h[3] * y[3] + h[4] * y[4])) AS hy, list_sum(list(h[1] * h[1] + h[2] * h[2] + h[3] * h[3] + h[4] * h[4])) AS hh FROM y JOIN h USING (cluster, cycle) GROUP BY cluster, block),
@@ -370,7 +387,7 @@ def _weighed(x: np.ndarray) -> estimate.Chunk:
     return chunk
 
 
-@query(f"WITH {_L} SELECT cluster, CAST(block AS INTEGER) AS block, round(scale / avg(scale) OVER (PARTITION BY block), 6) AS v FROM sc")
+@query(f"WITH {_L} SELECT cluster, CAST(block AS INTEGER) AS block, round(scale / avg(scale) OVER (PARTITION BY block, {CH}), 6) AS v FROM sc")
 def lambda_scale(spark, d):
     return _on_chunk(spark, d, lambda x, c: _long(_weighed(x).lam.T, cluster=c, block=range(2)), "cluster int, block int, v double")
 
@@ -380,12 +397,12 @@ def robust_weight(spark, d):
     return _on_chunk(spark, d, lambda x, c: _long(_weighed(x).w.T, cluster=c, block=range(2)), "cluster int, block int, v double")
 
 
-@query(f"""WITH {_H}, p AS (SELECT a.call AS prev, b.call AS call, list_max(b.v) AS top FROM u a JOIN u b ON a.cluster = b.cluster AND a.cycle = 0 AND b.cycle = 1), m AS (SELECT avg(top) AS mean FROM p),
-s AS (SELECT prev, call, sum(top) AS s, count(*) AS n FROM p, m WHERE top > mean / 2 AND top < 2 * mean GROUP BY prev, call)
-SELECT CAST(a.i AS INTEGER) AS prev, CAST(b.i AS INTEGER) AS call, round(0.1 + 0.9 * (mean + coalesce(s, 0)) / (1 + coalesce(n, 0)), 6) AS v FROM range(4) AS a(i), range(4) AS b(i), m LEFT JOIN s ON prev = a.i AND call = b.i""")
+@query(f"""WITH {_H}, p AS (SELECT CAST(a.cluster // 128 AS INTEGER) AS chunk, a.call AS prev, b.call AS call, list_max(b.v) AS top FROM u a JOIN u b ON a.cluster = b.cluster AND a.cycle = 0 AND b.cycle = 1), m AS (SELECT chunk, avg(top) AS mean FROM p GROUP BY chunk),
+s AS (SELECT chunk, prev, call, sum(top) AS s, count(*) AS n FROM p JOIN m USING (chunk) WHERE top > mean / 2 AND top < 2 * mean GROUP BY chunk, prev, call)
+SELECT m.chunk, CAST(a.i AS INTEGER) AS prev, CAST(b.i AS INTEGER) AS call, round(0.1 + 0.9 * (mean + coalesce(s, 0)) / (1 + coalesce(n, 0)), 6) AS v FROM range(4) AS a(i), range(4) AS b(i), m LEFT JOIN s ON prev = a.i AND call = b.i AND s.chunk = m.chunk""")
 def neighbour_factor(spark, d):
     f = lambda x, c: _long(estimate.neighbour_ratios(x, estimate.calls_of(x), np.ones((2, len(x)))), prev=_N4, call=_N4)
-    return _on_chunk(spark, d, f, "prev int, call int, v double")
+    return _on_chunk(spark, d, f, "prev int, call int, v double", True)
 
 
 def _sql_matrix(m: np.ndarray) -> str:
@@ -421,21 +438,26 @@ q AS (SELECT r[9] / r[8] / 8 AS pre, r[7] / r[8] / 8 AS pha, (list_sum(r) + 7) /
 b(t, r) AS (SELECT -1, up FROM q
   UNION ALL SELECT t + 1, list_transform(range(1, 15), lambda i: dim * (pha * r[i] + (1 - pha - pre) * CASE WHEN i > 1 THEN r[i - 1] ELSE 0 END + pre * CASE WHEN i > 2 THEN r[i - 2] ELSE 0 END)) FROM b, q WHERE t < 7),
 p AS (SELECT 0 AS block, t, list_concat(r, [CASE WHEN t = 0 THEN 0 ELSE 0.001 END, 0.0]) AS r FROM a UNION ALL SELECT 1, t, list_concat(r, [0.001 * 7 / 8, 0.0]) FROM b WHERE t >= 0)
-SELECT CAST(block AS INTEGER) AS block, CAST(t AS INTEGER) AS t, CAST(s AS INTEGER) AS s, round(r[s + 1], 6) AS v FROM p, range(16) AS x(s)""")
+SELECT chunk, CAST(block AS INTEGER) AS block, CAST(t AS INTEGER) AS t, CAST(s AS INTEGER) AS s, round(r[s + 1], 6) AS v FROM p, range(16) AS x(s), (SELECT DISTINCT CAST(vec_id // 128 AS INTEGER) AS chunk FROM embeddings)""")
 def phasing_init(spark, d):
-    """The phasing bands of 16 cycles before any fit: 14 cycles, the light before, and a constant a row."""
-    rows = _long(np.array(estimate.phase_seed(block_plan(CYCLES))), block=range(2), t=range(8), s=range(16))
-    return spark.createDataFrame(rows, "block int, t int, s int, v double")
+    """The phasing bands that each chunk would start from: 14 cycles, the light before, and a constant a row."""
+    f = lambda x, c: _long(np.array(estimate.phase_seed(block_plan(x.shape[1]))), block=range(2), t=range(8), s=range(16))
+    return _on_chunk(spark, d, f, "block int, t int, s int, v double", True)
 
 
-@query("""WITH RECURSIVE k AS (SELECT CAST(chunk AS INTEGER) AS chunk, fast FROM range(10) AS a(chunk), (VALUES (0), (1)) AS b(fast)),
+@query("""WITH RECURSIVE k AS (SELECT chunk, fast FROM (SELECT DISTINCT CAST(vec_id // 64 AS INTEGER) AS chunk FROM embeddings), (VALUES (0), (1)) AS b(fast)),
 n AS (SELECT *, CASE WHEN chunk = 0 THEN 5 - fast WHEN chunk < 2 OR chunk < 4 AND fast = 0 THEN 2 ELSE 1 END AS n FROM k),
 r AS (SELECT chunk, fast, n, 0 AS i, CASE WHEN chunk = 0 THEN 0.05 ELSE 0.01 END::DOUBLE AS stein, CASE WHEN chunk = 0 THEN 30.0 ELSE 40.0 END::DOUBLE AS wl FROM n WHERE NOT (fast = 1 AND n = 1 AND chunk % 4 <> 0)
   UNION ALL SELECT chunk, fast, n, i + 1, CASE WHEN stein > 0.02 THEN stein - 0.0162 ELSE stein / 1.5 END, 10.0 * (i + 4) FROM r WHERE i + 1 < n)
 SELECT chunk, CAST(fast AS INTEGER) AS fast, CAST(i AS INTEGER) AS i, round(stein, 6) AS stein, wl, CAST(CASE WHEN n > 1 THEN n - i + 1 - CASE WHEN i > 0 THEN 2 ELSE 0 END ELSE 0 END AS INTEGER) AS extra FROM r""")
 def round_schedule(spark, d):
-    rows = [(k, fast, i, round(r.stein, R), float(r.wl), int(r.extra)) for k in range(10) for fast in (0, 1) for i, r in enumerate(estimate.schedule(k, 3 if fast else 4, bool(fast)))]
-    return spark.createDataFrame(rows, "chunk int, fast int, i int, stein double, wl double, extra int")
+    """The rounds of each chunk of 64 clusters, slow and fast."""
+    def f(batches):
+        for b in batches:
+            rows = [(k, fast, i, round(r.stein, R), float(r.wl), int(r.extra)) for k in b["chunk"] for fast in (0, 1) for i, r in enumerate(estimate.schedule(k, 3 if fast else 4, bool(fast)))]
+            yield pd.DataFrame(rows, columns=["chunk", "fast", "i", "stein", "wl", "extra"])
+    chunks = signals(spark, d).select(F.floor(F.col("cluster") / 64).cast("int").alias("chunk")).distinct()
+    return chunks.mapInPandas(f, "chunk int, fast int, i int, stein double, wl double, extra int")
 
 
 @query(f"WITH {SNAP} SELECT cluster, gx, gy, extent FROM g")
@@ -485,11 +507,16 @@ def neighbour_count(spark, d):
     return _near(spark, d).groupBy("i").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SNAP} SELECT cluster, CAST(gy + row_number() OVER (PARTITION BY gx, gy ORDER BY cluster) - 1 AS INTEGER) AS gy FROM g")
+@query(f"""WITH RECURSIVE {SNAP}, o AS (SELECT gx, row_number() OVER (PARTITION BY gx ORDER BY cluster) AS n, cluster, gy FROM g),
+p(gx, n, cluster, row, taken) AS (SELECT gx, n, cluster, gy, [gy] FROM o WHERE n = 1
+  UNION ALL SELECT gx, n, cluster, row, list_append(taken, row) FROM (SELECT o.gx, o.n, o.cluster, taken, list_min(list_filter(range(o.gy, o.gy + len(taken) + 1), lambda y: NOT list_contains(taken, y))) AS row FROM p JOIN o ON o.gx = p.gx AND o.n = p.n + 1))
+SELECT cluster, CAST(row AS INTEGER) AS gy FROM p""")
 def pixel_rows(spark, d):
-    """Rows in the pixel map. The SQL holds where no pixel that a cluster moves to is another's, as in these tables."""
-    f = lambda p: (lambda p: pd.DataFrame({"cluster": p["cluster"], "gy": spatial.occupied(p["gx"].to_numpy(), p["gy"].to_numpy())}))(p.sort_values("cluster"))
-    return spatial.grid_snap(locations(spark, d)).groupBy("tile").applyInPandas(f, "cluster int, gy int")
+    """Rows in the pixel map, column by column: a cluster's row is the first free one from its own on, after all clusters before it."""
+    def f(p: pa.Table) -> pa.Table:
+        p = p.sort_by("cluster")
+        return pa.table({"cluster": p.column("cluster"), "gy": pa.array(spatial.occupied(p.column("gx").to_numpy(), p.column("gy").to_numpy()), pa.int32())})
+    return spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gx", "gy").groupBy("tile", "gx").applyInArrow(f, "cluster int, gy int")
 
 
 _PX = f"""{C}, {_NB}, a AS (SELECT cluster, cycle, list_sort({ABS}) AS s FROM c), w AS (SELECT cycle, count(*) / sum(s[2]) AS width, avg(s[4]) AS top FROM a GROUP BY cycle),
@@ -530,21 +557,22 @@ def edge_share(spark, d):
     return _pairs(spark, d).mapInPandas(_per_edge(spatial.edge_coefficients), "i int, j int, v double")
 
 
-@query(f"""WITH RECURSIVE {C}, {_NB}, e AS (SELECT i, j, ((i * 7 + j * 3) % 10) / 100.0 AS coef FROM nb), t(k, cluster, v) AS (SELECT 0, cluster, v[1]::DOUBLE FROM c WHERE cycle = 0
+@query(f"""WITH RECURSIVE {C}, {_NB}, e AS (SELECT i, j, ((i * 7 + j * 3) % 10) / 100.0 AS coef FROM nb WHERE i // 128 = j // 128), t(k, cluster, v) AS (SELECT 0, cluster, v[1]::DOUBLE FROM c WHERE cycle = 0
   UNION ALL SELECT t.k + 1, e.i, -sum(e.coef * t.v) FROM t JOIN e ON e.j = t.cluster WHERE t.k < 80 GROUP BY t.k, e.i)
 SELECT cluster, round(sum(v), 6) AS v FROM t GROUP BY cluster""")
 def acc_solve(spark, d):
-    """(I + shares) x = first values, by elimination; the SQL sums the series of the inverse, which these shares let converge."""
-    placed = spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gx", "gy").join(signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("z")), ["tile", "cluster"])
-    edges = _near(spark, d).groupBy("tile", "i").agg(F.collect_list("j").alias("js")).withColumnRenamed("i", "cluster")
-
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        at = {int(c): k for k, c in enumerate(p["cluster"])}
-        e = np.array([(at[int(c)], at[int(j)], (c * 7 + j * 3) % 10 / 100) for c, js in zip(p["cluster"], p["js"], strict=True) if js is not None for j in js])
-        x = spatial.block_solve(p["gy"].to_numpy(), e[:, 0].astype(int), e[:, 1].astype(int), e[:, 2], p[["z"]].to_numpy(), spatial.REACH)
+    """(I + shares) x = first values within each chunk of clusters, by elimination; the SQL sums the series of the inverse, which these shares let converge."""
+    chunk = lambda c: F.floor(F.col(c) / CHUNK).cast("int")
+    placed = spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gy").join(signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("z")), ["tile", "cluster"])
+    edges = _near(spark, d).where(chunk("i") == chunk("j")).select(chunk("i").alias("chunk"), "i", "j")
+
+    def f(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("cluster")
+        at = pd.Series(np.arange(len(p)), p["cluster"])
+        x = spatial.block_solve(p["gy"].to_numpy(), at[e["i"]].to_numpy(), at[e["j"]].to_numpy(), ((e["i"] * 7 + e["j"] * 3) % 10 / 100).to_numpy(), p[["z"]].to_numpy(), spatial.REACH)
         return pd.DataFrame({"cluster": p["cluster"], "v": np.round(x[:, 0], R)})
 
-    return placed.join(edges, ["tile", "cluster"], "left").groupBy("tile").applyInPandas(f, "cluster int, v double")
+    return placed.withColumn("chunk", chunk("cluster")).groupBy("chunk").cogroup(edges.groupBy("chunk")).applyInPandas(f, "cluster int, v double")
 
 
 @query(f"WITH {C}, {_NB}, v AS (SELECT cluster, v[1] AS v FROM c WHERE cycle = 0), e AS (SELECT i, sum(((i * 7 + j * 3) % 10) / 100.0 * v.v) AS d FROM nb JOIN v ON v.cluster = j GROUP BY i) SELECT v.cluster, round(v.v - coalesce(d, 0), 6) AS v FROM v LEFT JOIN e ON e.i = v.cluster")
@@ -652,48 +680,83 @@ def _folder(spark: SparkSession) -> str:
 _QU = "CAST(greatest(trunc(least(v[ch + 1] * 4000, 32767) + 0.5), -32768) AS DOUBLE)"
 
 
-@query(f"WITH {C0} SELECT 'p_t_q' AS tile, cluster, cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch)")
+@query(f"WITH {T0} SELECT 'p_' || tile || '_q' AS tile, cluster, cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch)")
 def cif_file(spark, d):
     to = _folder(spark)
-    formats.write_cif(signals(spark, d, 0.0), to, "p_", "_q")
+    formats.write_cif(tiles(spark, d, 0.0), to, "p_", "_q")
     back = formats.read_cif(spark, to).select("tile", "cluster", F.posexplode("signal").alias("cycle", "v"))
     return back.select("tile", "cluster", "cycle", F.posexplode("v").alias("ch", "v"))
 
 
-@query(f"WITH {C0} SELECT cluster, CAST(cycle - 4 AS INTEGER) AS cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) WHERE cycle BETWEEN 4 AND 9")
+@query(f"WITH {T0} SELECT tile, cluster, CAST(cycle - 4 AS INTEGER) AS cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) WHERE cycle BETWEEN 4 AND 9")
 def cif_ranges(spark, d):
-    """Cycles 5 to 10 of a file, read by ranges of clusters."""
+    """Cycles 5 to 10 of each file, read by ranges of clusters."""
     to = _folder(spark)
-    formats.write_cif(signals(spark, d, 0.0), to)
-    back = formats.read_cif_ranges(spark, to, 128, (5, 10)).select("cluster", F.posexplode("signal").alias("cycle", "v"))
-    return back.select("cluster", "cycle", F.posexplode("v").alias("ch", "v"))
+    formats.write_cif(tiles(spark, d, 0.0), to)
+    back = formats.read_cif_ranges(spark, to, 64, (5, 10)).select("tile", "cluster", F.posexplode("signal").alias("cycle", "v"))
+    return back.select("tile", "cluster", "cycle", F.posexplode("v").alias("ch", "v"))
 
 
-@query(f"WITH {C0} SELECT cluster, cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) UNION ALL SELECT cluster, 16, CAST(ch AS INTEGER), 0.0 FROM c, range(4) AS r(ch) WHERE cycle = 0")
+@query(f"WITH {T0} SELECT tile, cluster, cycle + 1 AS cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) WHERE cycle BETWEEN 2 AND 8 AND cluster >= 17 AND cluster < 140 AND tile <> 't1' AND v[1] <> 0")
+def intensity_cycles(spark, d):
+    """The data source by cycles: cycles and clusters are filtered in the files, the rest by Spark."""
+    to = _folder(spark)
+    formats.write_cif(tiles(spark, d, 0.0), to)
+    rows = formats.read_intensities(spark, to, layout="cycles", partitionClusters="50")
+    rows = rows.where("cycle > 2 AND cycle <= 9 AND cluster >= 17 AND cluster < 140 AND tile <> 't1' AND tile LIKE 't%'")
+    first = tiles(spark, d, 0.0).where("signal IS NOT NULL").select("tile", "cluster", F.posexplode("signal").alias("cycle", "s")).where("s[0] <> 0").select("tile", "cluster", (F.col("cycle") + 1).alias("cycle"))
+    return rows.join(first, ["tile", "cluster", "cycle"]).select("tile", "cluster", "cycle", F.posexplode("v").alias("ch", "v"))
+
+
+@query(f"WITH {T0}, k AS (SELECT tile, count(DISTINCT cluster) AS clusters, CAST(substr(tile, 2) AS INTEGER) % 2 = 1 AS bad FROM c GROUP BY tile) SELECT tile, CASE WHEN bad THEN 0 ELSE clusters END AS clusters, bad FROM k")
+def intensity_outcomes(spark, d):
+    """Every second tile's file is cut short; the others' clusters are all there, and the bad ones are listed."""
+    whole, to = _folder(spark), _folder(spark)
+    formats.write_cif(tiles(spark, d, 0.0), whole)
+    data = spark.read.format("binaryFile").load(whole).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
+    cut = F.regexp_extract("name", r"(\d+)\.cif$", 1).cast("int") % 2 == 1
+    write_files(data.select("name", F.when(cut, F.expr("substring(content, 1, length(content) - 5)")).otherwise(F.col("content")).alias("data")), to)
+    rows = formats.read_intensities(spark, to, mode="PERMISSIVE")
+    return rows.groupBy("tile").agg(F.count("cluster").alias("clusters"), F.max(F.col("error").isNotNull()).alias("bad"))
+
+
+@query(f"WITH {T0} SELECT tile, cluster, cycle, CAST(ch AS INTEGER) AS ch, {_QU} AS v FROM c, range(4) AS r(ch) UNION ALL SELECT tile, cluster, 16, CAST(ch AS INTEGER), 0.0 FROM c, range(4) AS r(ch) WHERE cycle = 0")
 def cif_folders(spark, d):
     """A folder for each cycle; one more cycle is asked for than there are files."""
     to = _folder(spark)
-    formats.write_cif(signals(spark, d, 0.0), to, first=2, folders=True)
-    back = formats.read_cif_folders(spark, to, 3, 19).select("cluster", F.posexplode("signal").alias("cycle", "v"))
-    return back.select("cluster", "cycle", F.posexplode("v").alias("ch", "v"))
+    formats.write_cif(tiles(spark, d, 0.0), to, first=2, folders=True)
+    back = formats.read_intensities(spark, to, (3, 19), folders=True).select("tile", "cluster", F.posexplode("signal").alias("cycle", "v"))
+    return back.select("tile", "cluster", "cycle", F.posexplode("v").alias("ch", "v"))
 
 
-@query(f"WITH {XY} SELECT cluster, x + 0.25 AS x, y / 4 AS y FROM xy")
+@query(f"WITH {XY} SELECT 't' || CAST(cluster // 250 AS VARCHAR) AS tile, CAST(cluster % 250 AS INTEGER) AS cluster, x + 0.25 AS x, y / 4 AS y FROM xy")
 def location_files(spark, d):
     """.locs files converted to _pos.txt, and read."""
     a, b = _folder(spark), _folder(spark)
-    formats.write_locs(locations(spark, d).select("tile", "cluster", (F.col("x") + 0.25).alias("x"), (F.col("y") / 4).alias("y")), a)
+    k = F.col("cluster")
+    formats.write_locs(locations(spark, d).select(F.concat(F.lit("t"), F.floor(k / TILE).cast("string")).alias("tile"), (k % TILE).alias("cluster"), (F.col("x") + 0.25).alias("x"), (F.col("y") / 4).alias("y")), a)
     formats.convert_locations(spark, a, b)
-    return formats.read_locations(spark, b, "_pos.txt").select("cluster", "x", "y")
+    return formats.read_locations(spark, b, "_pos.txt").select("tile", "cluster", "x", "y")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, ((i * 37) % 19 - 9) / 10.0 AS w FROM range(1, 71) AS r(i)")
+@query("SELECT CAST(vec_id % 70 + 1 AS INTEGER) AS i, sum(vec_id // 70 * 7 + vec_id % 70) % 1000 / 10.0 AS w FROM embeddings GROUP BY vec_id % 70")
 def model_file(spark, d):
+    """Weights from the table, in a model file, read again."""
+    k = F.col("vec_id")
+    t = spark.read.parquet(f"{d}/embeddings.parquet").groupBy((k % 70).alias("i")).agg((F.sum(F.floor(k / 70) * 7 + k % 70) % 1000 / 10.0).alias("w"))
     to = _folder(spark) + "/a.model"
-    formats.write_model(quality.synthetic_weights(), to)
+    formats.write_model([r.w for r in t.orderBy("i").collect()], to)  # 70 weights
     return spark.createDataFrame(list(enumerate(formats.read_model(spark, to), 1)), "i int, w double")
 
 
+@query(f"WITH {S}, {HAT}, {Z}, r AS (SELECT cluster, '@Cluster_t' || CAST(cluster // 250 AS VARCHAR) || '_' || CAST(cluster % 250 + 1 AS VARCHAR) || chr(10) || string_agg(substr('ACGT', call + 1, 1), '' ORDER BY cycle) || chr(10) || '+' || chr(10) || string_agg(chr(q + 33), '' ORDER BY cycle) AS record FROM q GROUP BY cluster) SELECT 't' || CAST(cluster // 250 AS VARCHAR) || '_q.fastq' AS name, string_agg(record || chr(10), '' ORDER BY cluster) AS content FROM r GROUP BY cluster // 250")
+def fastq_files(spark, d):
+    """A file of reads for each tile, whole."""
+    to = _folder(spark)
+    formats.write_fastq_files(quality.fastq(quality.reads(tiles(spark, d), ["tile", "cluster"], quality.synthetic_weights())), to, suffix="_q")
+    return spark.read.format("binaryFile").load(to).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("content").cast("string").alias("content"))
+
+
 @query(f"WITH {S}, {HAT}, {Z}, r AS (SELECT cluster, unnest(['@Cluster_t_' || CAST(cluster + 1 AS VARCHAR), string_agg(substr('ACGT', call + 1, 1), '' ORDER BY cycle), '+', string_agg(chr(q + 33), '' ORDER BY cycle)]) AS line FROM q GROUP BY cluster) SELECT line FROM r")
 def fastq_file(spark, d):
     to = _folder(spark)
@@ -711,6 +774,30 @@ def sam_file(spark, d):
     return formats.read_sam(spark, to).select("cluster", "flag", "md")
 
 
+@query(f"WITH {_MD}, r AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS row FROM md WHERE k % 13 <> 5) SELECT CAST(row AS INTEGER) AS cluster, CASE WHEN k % 3 = 0 THEN 16 ELSE 0 END AS flag, md FROM r WHERE k % 7 <> 0 AND k % 11 <> 0")
+def sam_rows(spark, d):
+    """Alignments pair by their place: names say nothing, some lines are empty or header lines, rejected ones keep their number."""
+    to = _folder(spark)
+    _sam_lines(spark, d, F.lit("read")).write.text(to)
+    return formats.read_sam(spark, to, "row").select("cluster", "flag", "md")
+
+
+def _sam_lines(spark, d, name) -> DataFrame:
+    """Lines in order of their number; every 13th cluster's is an empty or a header line."""
+    k = F.col("cluster")
+    line = F.concat_ws("\t", name, F.col("flag").cast("string"), F.when(k % 7 == 0, "*").otherwise("ref"), F.lit("1"), F.lit("9"), F.when(k % 11 == 0, "5M1D5M").otherwise("10M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("IIIIIIIIII"), F.concat(F.lit("MD:Z:"), F.col("md")))
+    line = F.when(k % 13 != 5, line).otherwise(F.when(k % 2 == 0, "@CO").otherwise(""))
+    return _aligned(spark, d).repartitionByRange(4, "cluster").sortWithinPartitions("cluster").select(line.alias("value"))
+
+
+@query(f"WITH {_MD}, r AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS row FROM md WHERE k % 13 <> 5), a AS (SELECT row FROM r WHERE k % 7 <> 0 AND k % 11 <> 0), c AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 1) SELECT (SELECT count(*) FROM c) AS clusters, (SELECT count(*) FROM a) AS aligned, (SELECT count(*) FROM a JOIN c ON row = vec_id) AS paired, (SELECT count(*) FROM c ANTI JOIN a ON row = vec_id) AS unpaired_clusters, (SELECT count(*) FROM a ANTI JOIN c ON row = vec_id) AS unpaired_reads")
+def sam_pairing(spark, d):
+    """How many alignments and clusters find each other by place."""
+    to = _folder(spark)
+    _sam_lines(spark, d, F.lit("read")).write.text(to)
+    return train.pairing(signals(spark, d).where("cluster % 3 <> 1"), formats.read_sam(spark, to, "row").withColumn("tile", F.lit("t")))
+
+
 @query("SELECT page_id, url FROM pages WHERE ends_with(split_part(split_part(url, '?', 1), '#', 1), '5') AND (url LIKE 'http://%' OR url LIKE 'https://m.%')")
 def tile_filter(spark, d):
     from basewright.plans.tiles import matching
@@ -721,7 +808,7 @@ def tile_filter(spark, d):
 
 @query(None)
 def deconvolve_full(spark, d):
-    return estimate.basecall(signals(spark, d)).select("cluster", F.posexplode("signal").alias("cycle", "v")).select("cluster", "cycle", E.base(E.positive_call(F.col("v"))).alias("base"))
+    return estimate.basecall(tiles(spark, d), most=100).select("tile", "cluster", F.posexplode("signal").alias("cycle", "v")).select("tile", "cluster", "cycle", E.base(E.positive_call(F.col("v"))).alias("base"))
 
 
 @query(None)

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("embeddings", "pages", "lineitem"):
+    for t in ("embeddings", "pages", "lineitem", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
