@@ -1,17 +1,18 @@
 """Line deduplication by winnowing.
 
 Lines are compared without outer white space; lines without words carry no weight and are never deleted alone.
-A window is the shortest run of consecutive lines, from any line with words on or up to any such line, with at least WORDS
-words. Its fingerprint is its least line hash (of a line with words, the last of equals), placed at that line and keyed by the
-hash of all lines of the window: a line that is the minimum of several windows is a fingerprint of each. Plain winnowing
-would join a line hash to its first place alone and lose the runs whose minimum stands elsewhere first, or to all its places,
-which a frequent line has millions of; with the window in the key one join to the first place loses none.
-
-Fingerprints of later places are joined to their first place in the corpus, in order of (doc_id, text hash, line). From its
-position a match extends both ways to the ends of its window, and on as far as further windows of the run match: a run of
-WORDS words or more is the union of its windows and of wordless lines before and after them, and a copy of it has the same
-ones, so no repeated run is missed. Every deleted line has an equal line at a strictly earlier place, so the earliest copy
-of any line always stays.
+
+1. Units: from each line with words on, the shortest run of lines with half of WORDS words. Windows: the shortest runs of WORDS
+   words, from any line with words on or up to any such line; each holds a unit, and each longer run holds a window.
+2. Fingerprints: of each window's units only the one of the least hash is kept (the last of equals), with its position. Windows
+   that share their least unit share the fingerprint, so there are fewer of them than lines, and a copy of a run has the same ones.
+3. Positions of equal fingerprints are joined. Most stand once in the corpus and go; of a unit that stands in several places
+   each place is taken on by the windows that chose it, grown from the unit line by line both ways: a frequent unit then meets
+   only places whose neighbours agree as far as the window reaches, and one join to the first such place loses none. A wordless
+   line before or after a window grows it by that line.
+4. A match is a run with an equal one at a strictly earlier place, in order of (doc_id, text hash, line). A run of WORDS words or more
+   is the union of its windows and the wordless lines around them, so no repeated run is missed, and what is deleted always has
+   an earlier copy that stays or whose own first copy does.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from basewright.llm.common import checkpointed, freed, table, unused
 
-WORDS, MOST_WINDOWS = 10, 100_000
+WORDS, MOST_CONTEXTS = 10, 100_000
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
@@ -57,47 +58,87 @@ def windows(weights: list[int], least: int = WORDS) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def fingerprints(hashes: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(position, lines before, lines after, key) of each window's minimum. A wordless line before or after a window is one by
-    itself: its key is that of the window and all lines from it on."""
-    mixed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
-    packed, onward, upto = np.array(hashes, np.int64).tobytes(), {}, {}
-    for first, end in windows(weights):  # in order: of each first line the shortest comes first, of each end last
-        h = mixed(packed[8 * first : 8 * end])
-        onward.setdefault(first, h)
-        upto[end] = h
-        least = first if end == first + 1 else min((i for i in range(first, end) if weights[i]), key=lambda i: (hashes[i], -i))
-        yield least, least - first, end - 1 - least, h
+def mixed(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def units(hashes: list[int], weights: list[int], least: int) -> dict[int, tuple[int, int]]:
+    """first -> (end, hash) of the shortest run of `least` words or more from each line with words on."""
+    packed, out, end, total = np.array(hashes, np.int64).tobytes(), {}, 0, 0
+    for first, w in enumerate(weights):
+        while end < len(weights) and total < least:
+            total += weights[end]
+            end += 1
+        if w and total >= least:
+            out[first] = end, mixed(packed[8 * first : 8 * end])
+        total -= w
+    return out
+
+
+def lowest(found: list[tuple[int, int]]) -> int:
+    """Winnowing's choice among a window's units (hash, first): the least hash, the last of equals."""
+    return min(found, key=lambda x: (x[0], -x[1]))[1]
+
+
+def fingerprints(hashes: list[int], weights: list[int], least: int = WORDS) -> dict[int, tuple[int, list[tuple[int, int, int]]]]:
+    """position -> (unit's hash, contexts) of the units that windows choose. A context is (first, end, key): lines that are a repeat
+    if the key, a hash of all lines of the window that chose the unit, stands at an earlier place; of a wordless line before or
+    after a window, that line with the key of the window grown up to it."""
+    packed, starts = np.array(hashes, np.int64).tobytes(), units(hashes, weights, -(-least // 2))
+    out: dict[int, tuple[int, list[tuple[int, int, int]]]] = {}
+    onward: dict[int, tuple[int, int]] = {}
+    upto: dict[int, tuple[int, int]] = {}
+    for first, end in windows(weights, least):  # in order: of each first line the shortest comes first, of each end last
+        at = lowest([(starts[i][1], i) for i in range(first, end) if i in starts and starts[i][0] <= end])
+        key = mixed(packed[8 * first : 8 * end])
+        out.setdefault(at, (starts[at][1], []))[1].append((first, end, key))
+        onward.setdefault(first, (at, key))
+        upto[end] = at, key
     empty = [i for i, w in enumerate(weights) if not w]
     for i in empty:
         if i in upto:
-            upto[i + 1] = mixed(upto[i].to_bytes(8, "little", signed=True) + b">")
-            yield i, 0, 0, upto[i + 1]
+            at, key = upto[i]
+            upto[i + 1] = at, mixed(key.to_bytes(8, "little", signed=True) + b">")
+            out[at][1].append((i, i + 1, upto[i + 1][1]))
     for i in reversed(empty):
         if i + 1 in onward:
-            onward[i] = mixed(onward[i + 1].to_bytes(8, "little", signed=True) + b"<")
-            yield i, 0, 0, onward[i]
+            at, key = onward[i + 1]
+            onward[i] = at, mixed(key.to_bytes(8, "little", signed=True) + b"<")
+            out[at][1].append((i, i + 1, onward[i][1]))
+    return out
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("h", pa.int64())])
+_CONTEXT = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("key", pa.int64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("unit", pa.int64()), ("contexts", pa.list_(_CONTEXT))])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, version, text) -> each document's fingerprints, in batches of about MOST_WINDOWS."""
+    """Rows (doc_id, version, text) -> each document's fingerprints, in batches of about MOST_CONTEXTS of contexts."""
     def batch_of(rows):
-        cols = zip(*rows, strict=True) if rows else [[] for _ in _FOUND]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
+        ends = np.cumsum([0, *(len(r[4]) for r in rows)])
+        flat = np.array([c for r in rows for c in r[4]], np.int64).reshape(-1, 3)
+        contexts = pa.StructArray.from_arrays([pa.array(flat[:, k], f.type) for k, f in enumerate(_CONTEXT)], fields=list(_CONTEXT))
+        return pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], _FOUND.field(k).type) for k in range(4)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), contexts)], schema=_FOUND)
 
     for batch in batches:
         rows: list[tuple] = []
+        many = 0
         for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            rows.extend((doc, version, *x) for x in fingerprints(*line_hashes(text.as_py())))
-            if len(rows) >= MOST_WINDOWS:
+            for pos, (unit, contexts) in fingerprints(*line_hashes(text.as_py())).items():
+                rows.append((doc, version, pos, unit, contexts))
+                many += len(contexts)
+            if many >= MOST_CONTEXTS:
                 yield batch_of(rows)
-                rows = []
+                rows, many = [], 0
         yield batch_of(rows)
 
 
+@F.pandas_udf(T.BooleanType())
+def _worded(text: pd.Series) -> pd.Series:
+    """Whether a text has a word."""
+    return pd.Series([t is not None and bool(t.strip()) for t in text], dtype=bool)
+
+
 @F.pandas_udf(T.StringType())
 def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
     def one(t, c):
@@ -111,13 +152,17 @@ def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
 def repeated_runs(documents: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text), cut: the lines of each document that repeat earlier ones. Rows with a null doc_id take no part."""
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    found = texts.mapInArrow(freed(_fingerprints), "doc_id long, version long, pos int, before int, after int, h long")
-    found = checkpointed(found)
-    place = F.struct("doc_id", "version", (F.col("pos") - F.col("before")).alias("line"))
-    first = found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", "f")
-    later = found.join(checkpointed(first), "h").where(place != F.col("f"))
-    later = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "before", "after")).alias("at"))  # a document's windows at most
-    lines = F.flatten(F.transform("at", lambda r: F.sequence(r["pos"] - r["before"], r["pos"] + r["after"])))
+    context = "array<struct<first:int,end:int,key:long>>"
+    found = checkpointed(texts.mapInArrow(freed(_fingerprints), f"doc_id long, version long, pos int, unit long, contexts {context}"))
+    place = F.struct("doc_id", "version", "pos")
+    often = found.groupBy("unit").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("unit")
+    at = found.join(often, "unit").select("doc_id", "version", F.explode("contexts").alias("c")).select("doc_id", "version", "c.first", "c.end", "c.key")
+    at = checkpointed(at)
+    place = F.struct("doc_id", "version", "first")
+    firsts = at.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("key", "f")
+    later = at.join(checkpointed(firsts), "key").where(place != F.col("f"))
+    later = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("at"))  # a document's windows at most
+    lines = F.flatten(F.transform("at", lambda r: F.sequence(r["first"], r["end"] - 1)))
     return later.select("doc_id", "version", F.array_sort(F.array_distinct(lines)).alias("cut"))
 
 
@@ -133,7 +178,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """As line_dedup, with the columns of documents alone; documents of which every line with words goes, go as well. n_chars, if there is one, is that of a changed text."""
     out, cut = _with_cuts(documents)
     (new,) = unused(out.columns, "left")
-    out = out.withColumn(new, _without("text", cut)).where(F.col(cut).isNull() | (F.length(F.trim(new)) > 0))
+    out = out.withColumn(new, _without("text", cut))
+    out = out.where(F.col(cut).isNull() | _worded(F.when(F.col(cut).isNotNull(), F.col(new))))
     n_chars = F.when(F.col(cut).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
     instead = {"text": F.col(new), "n_chars": n_chars}
     return out.select(*[instead[c].alias(c) if c in instead else F.col(f"`{c}`") for c in documents.columns])

@@ -69,17 +69,71 @@ def test_run_whose_minimum_stands_first_elsewhere(spark):
         assert [len(x) for x in removed(spark, rows).values()] == [0, 0, 3]
 
 
-def test_minimum_of_each_window():
-    rng = np.random.default_rng(11)
-    text = "\n".join(" ".join("w" * int(n)) for n in rng.integers(0, 8, 60))
-    hashes, weights = linededup.line_hashes(text)
-    seen = {}
-    for pos, before, after, key in linededup.fingerprints(hashes, weights):
-        run = tuple(range(pos - before, pos + after + 1))
-        if weights[pos]:
-            assert sum(weights[i] for i in run) >= 10 and hashes[pos] == min(hashes[i] for i in run if weights[i])
-            assert seen.setdefault(key, tuple(hashes[i] for i in run)) == tuple(hashes[i] for i in run)
-    assert seen
+def some_lines(n, seed):
+    rng = np.random.default_rng(seed)
+    return "\n".join(" ".join(f"w{k}" for k in rng.integers(0, 40, int(m))) for m in rng.integers(0, 8, n))
+
+
+def test_each_window_holds_its_least_unit():
+    hashes, weights = linededup.line_hashes(some_lines(80, 11))
+    units = linededup.units(hashes, weights, 5)
+    assert all(weights[i] and sum(weights[i:e]) >= 5 > sum(weights[i : e - 1]) for i, (e, _) in units.items())
+    found = linededup.fingerprints(hashes, weights)
+    chosen = {(f, e): (pos, unit) for pos, (unit, contexts) in found.items() for f, e, _ in contexts if sum(weights[f:e]) >= 10}
+    assert sorted(chosen) == linededup.windows(weights)
+    for (first, end), (pos, unit) in chosen.items():
+        inside = [h for i, (e, h) in units.items() if first <= i and e <= end]
+        assert unit == units[pos][1] == min(inside)
+
+
+def test_fewer_fingerprints_than_lines():
+    hashes, weights = linededup.line_hashes(some_lines(4000, 12))
+    assert len(linededup.fingerprints(hashes, weights)) < 0.7 * sum(w > 0 for w in weights)
+
+
+def test_any_choice_of_units_finds_the_same_runs(spark, monkeypatch):
+    """Other rules keep other, and more, fingerprints; the lines that go are the same."""
+    rng = np.random.default_rng(13)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 50, int(rng.integers(0, 9)))) for _ in range(14)]
+    rows = [(i, "\n".join(lines[int(k)] for k in rng.integers(0, 14, int(rng.integers(1, 14))))) for i in range(50)]
+    kept = lambda: sum(len(linededup.fingerprints(*linededup.line_hashes(t))) for _, t in rows)
+    want, n = enumerated(rows), kept()
+    assert removed(spark, rows) == want
+    for rule in (lambda found: max(found)[1], lambda found: min(i for _, i in found)):
+        monkeypatch.setattr(linededup, "lowest", rule)
+        hashes = [linededup.fingerprints(*linededup.line_hashes(t)) for _, t in rows]
+        cut = {}
+        first: dict = {}
+        for (d, _), found in sorted(zip(rows, hashes, strict=True), key=lambda x: x[0][0]):
+            for a, e, key in sorted(c for _, contexts in found.values() for c in contexts):
+                cut.setdefault(d, set())
+                if first.setdefault(key, (d, a)) != (d, a):
+                    cut[d].update(range(a, e))
+        assert {d: sorted(cut.get(d, ())) for d, _ in rows} == want
+    assert kept() > n  # every window's first unit
+
+
+def test_a_frequent_unit_meets_equal_neighbours_only(spark):
+    """A unit in 400 places: its contexts part it, and only the place with an equal neighbour is matched."""
+    rows = [(i, f"share this page with friends\nno {i} of all the pages {i}") for i in range(400)]
+    rows += [(500, "x\nshare this page with friends\nno 7 of all the pages 7\ny")]
+    assert {d: c for d, c in removed(spark, rows).items() if c} == {500: [1, 2]}
+
+
+def test_nothing_but_blank_lines_left(spark):
+    """A document of which every line with words goes, goes whole, whatever blank lines it keeps; others keep theirs."""
+    a = "one two three four five six seven eight nine ten"
+    rows = [(1, a), (2, f"\n\n{a}\n \n\t\n"), (3, f"\n{a}\nmore"), (4, " \n"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in linededup.without_repeats(d).collect()} == {(1, a), (3, "more"), (4, " \n"), (5, None)}
+
+
+def test_very_long_texts(spark):
+    """Many short lines, and one line of many words."""
+    many = "\n".join(f"line {i} has few words" for i in range(30_000))
+    wide = "word " * 200_000
+    got = removed(spark, [(1, many), (2, f"new\n{many}"), (3, wide), (4, f"{wide}\nend of it")])
+    assert got == {1: [], 2: list(range(1, 30_001)), 3: [], 4: [0]}
 
 
 def test_repeated_rows_and_ids(spark):
