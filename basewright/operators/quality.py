@@ -52,17 +52,30 @@ def log_odds(weights: Column, compat: bool = True, of=_bare) -> Column:
     return z + F.when(of("cycle") > 0, w(F.coalesce(of("prev"), F.lit(0)) * 12 + of("call") * 3 + of("rank") + 22)).otherwise(0.0)
 
 
-def reads(signals: DataFrame, keys: list[str], weights: list[float], constant: bool = False) -> DataFrame:
-    """keys, seq, qual; constant: every quality is that of a log odds of 5. Each read stays in its row."""
-    table = F.array(*[F.lit(float(w)) for w in weights])
+def _phred(constant: bool):
+    """The quality of a cycle of with_scores, given weights as the column w."""
 
-    def quality(x: Column, i: Column) -> Column:
+    def of(x: Column, i: Column) -> Column:
         read = {n: F.col(n) for n in ("var", "sig", "n")} | {"cycle": i}
-        z = F.lit(5.0) if constant else log_odds(F.col("w"), of=lambda name: read[name] if name in read else x[name])
-        return E.quality_char(E.phred(z))
+        return E.phred(F.lit(5.0) if constant else log_odds(F.col("w"), of=lambda name: read[name] if name in read else x[name]))
+    return of
+
+
+def _weighed(signals: DataFrame, keys: list[str], weights: list[float]) -> DataFrame:
+    return with_scores(signals, keys).withColumn("w", F.array(*[F.lit(float(w)) for w in weights]))
+
 
-    t = with_scores(signals, keys).withColumn("w", table)
-    return t.select(*keys, F.array_join(F.transform("cycles", lambda x: E.base(x["call"])), "").alias("seq"), F.array_join(F.transform("cycles", quality), "").alias("qual"))
+def phreds(signals: DataFrame, keys: list[str], weights: list[float]) -> DataFrame:
+    """keys, cycle, q: scores stay in the read's row, and only their qualities are exploded."""
+    q = _weighed(signals, keys, weights).select(*keys, F.transform("cycles", _phred(False)).alias("q"))
+    return q.select(*keys, F.posexplode_outer("q").alias("cycle", "q")).where("q IS NOT NULL")  # as in scored_cycles
+
+
+def reads(signals: DataFrame, keys: list[str], weights: list[float], constant: bool = False) -> DataFrame:
+    """keys, seq, qual; constant: every quality is that of a log odds of 5. Each read stays in its row."""
+    q = _phred(constant)
+    t = _weighed(signals, keys, weights)
+    return t.select(*keys, F.array_join(F.transform("cycles", lambda x: E.base(x["call"])), "").alias("seq"), F.array_join(F.transform("cycles", lambda x, i: E.quality_char(q(x, i))), "").alias("qual"))
 
 
 def fastq(rows: DataFrame) -> DataFrame:

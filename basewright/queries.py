@@ -126,8 +126,8 @@ def read_string(spark, d):
 
 
 def line_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as clusters and their lines as cycles, up to 7: a tensor that grows with the tables."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    """Orders as clusters and their lines as cycles, up to 7: a tensor that grows with the tables. One shuffle, by order, serves both groupings."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     v = F.array(*[F.round(x, 10) for x in (F.avg("l_quantity") / 50, F.avg("l_extendedprice") / 100_000, F.avg("l_discount") * 10, F.avg("l_tax") * 12)])
     lines = t.groupBy("l_orderkey", "l_linenumber").agg(v.alias("v"))
     rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))).alias("r"))
@@ -159,12 +159,12 @@ def feature_vector(spark, d):
 
 @query(f"WITH {S}, {HAT}, {Z} SELECT cluster, cycle, q FROM q")
 def phred(spark, d):
-    return _scored(spark, d).select("cluster", "cycle", "q")
+    return quality.phreds(signals(spark, d), ["cluster"], quality.synthetic_weights())
 
 
 @query(f"WITH {S}, {HAT}, {Z} SELECT q, count(*) AS n FROM q GROUP BY q")
 def quality_histogram(spark, d):
-    return _scored(spark, d).groupBy("q").agg(F.count("*").alias("n"))
+    return quality.phreds(signals(spark, d), [], quality.synthetic_weights()).groupBy("q").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {S}, {HAT}, {Z} SELECT cluster, '@Cluster_t_' || CAST(cluster + 1 AS VARCHAR) || chr(10) || string_agg(substr('ACGT', call + 1, 1), '' ORDER BY cycle) || chr(10) || '+' || chr(10) || string_agg(chr(q + 33), '' ORDER BY cycle) || chr(10) AS record FROM q GROUP BY cluster")
