@@ -15,8 +15,11 @@ roots down, splits both sides in turn and compares full sets only where two leav
 3. Rows with equal sets are one class and one leaf.
 4. A tree's first traversals: its least and its greatest leaf are met by all others, pruned by size and signature, and whole
    texts confirm the rest. This links groups of copies in one step and without pairs among them.
-5. Trees whose leaves still lie in several components are traversed in blocks inside tasks, against each other where there are
-   several; nodes within one component are pruned. A spanning forest of the links found is given out, at most one a row.
+5. Trees with the same least leaf are one, so that a pair of copies, which share many shingles, meets once. Those whose leaves
+   still lie in several components are traversed in blocks inside tasks, against each other where there are
+   several; nodes within one component are pruned. Signatures go there first; only the leaves that they leave open with one of
+   another component follow with their full sets, to trees of wider bitmaps. A spanning forest of the links found is given out,
+   at most one a row.
 """
 
 from __future__ import annotations
@@ -76,9 +79,21 @@ def may_link(both: np.ndarray | int, na: np.ndarray | int, nb: np.ndarray | int,
     return (100 + percent) * both >= percent * (na + nb)
 
 
-def signatures_allow(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
-    """The bound for two leaves, from their signatures and sizes."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+def signature(s: np.ndarray) -> bytes:
+    """The size of a set and its bitmap."""
+    return len(s).to_bytes(8, "little") + bitmap(s, signature_bits(len(s))).tobytes()
+
+
+def parsed(sig: bytes) -> tuple[int, np.ndarray]:
+    words = np.frombuffer(sig, "<u8")
+    return int(words[0]), words[1:]
+
+
+def signatures_allow(a: bytes, b: bytes, percent: int) -> bool:
+    """The bound for two leaves, from their signatures."""
+    (na, x), (nb, y) = parsed(a), parsed(b)
+    if 100 * na < percent * nb or 100 * nb < percent * na:
+        return False
     bits = 64 * min(len(x), len(y))
     x, y = folded(x, bits), folded(y, bits)
     excess = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
@@ -86,16 +101,14 @@ def signatures_allow(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool
 
 
 class Tree:
-    """A binary tree over sets, level 0 the leaves in order of size and least shingle; each level's arrays hold its nodes in order."""
-
-    def __init__(self, sets: list[np.ndarray], components: np.ndarray, bits: int):
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
-        self.sets = [sets[i] for i in order]
-        self.components = components[order]
-        size = np.array([len(s) for s in self.sets])
-        maps = np.array([bitmap(s, bits) for s in self.sets])
+    """A binary tree over bitmaps, level 0 the leaves in order of size and bitmap; each level's arrays hold its nodes in order."""
+
+    def __init__(self, maps: np.ndarray, size: np.ndarray, components: np.ndarray):
+        """order: which of the given each leaf is."""
+        self.order = np.lexsort((maps[:, 0], size))
+        maps, size, components = maps[self.order], size[self.order], components[self.order]
         excess = size - np.bitwise_count(maps).sum(axis=1).astype(int)
-        self.levels = [(maps, size, size, excess, self.components, self.components)]
+        self.levels = [(maps, size, size, excess, components, components)]
         while len(self.levels[-1][0]) > 1:
             m, lo, hi, ex, c_lo, c_hi = self.levels[-1]
             at = np.arange(0, len(m), 2)
@@ -139,14 +152,51 @@ def leaf_pairs(left: Tree, right: Tree, percent: int) -> tuple[np.ndarray, np.nd
             i, b = i[of], b - 1
 
 
+def set_tree(sets: list[np.ndarray], components: np.ndarray, bits: int) -> Tree:
+    return Tree(np.array([bitmap(s, bits) for s in sets]), np.array([len(s) for s in sets]), components)
+
+
+def hopeful(percent: int):
+    """Rows of two blocks with signatures -> (key, node) of the leaves left open with one of another component.
+
+    Signatures of one length are a tree; it meets that of as long ones, and the folded ones of twice the length, as sets that link
+    are no further apart."""
+
+    def decide(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        sides = []
+        for rows in (left, right):
+            by: dict[int, list[int]] = {}
+            sigs = [parsed(r[6]) for r in rows]
+            for k, (_, words) in enumerate(sigs):
+                by.setdefault(64 * len(words), []).append(k)
+            sides.append((rows, sigs, by, np.zeros(len(rows), bool)))
+
+        def tree(side: tuple, of: int, bits: int) -> Tree:
+            rows, sigs, by, _ = side
+            at = by[of]
+            return Tree(np.array([folded(sigs[k][1], bits) for k in at]), np.array([sigs[k][0] for k in at]), np.array([rows[k][5] for k in at], np.int64))
+
+        for a in sides[0][2]:
+            for b in (a // 2, a, 2 * a):
+                if b in sides[1][2]:
+                    x, y = tree(sides[0], a, min(a, b)), tree(sides[1], b, min(a, b))
+                    i, j = leaf_pairs(x, y, percent)
+                    sides[0][3][np.array(sides[0][2][a])[x.order[i]]] = True
+                    sides[1][3][np.array(sides[1][2][b])[y.order[j]]] = True
+        nodes = np.unique([rows[k][4] for rows, _, _, on in sides for k in np.flatnonzero(on)]).astype(np.int64)
+        return np.full(len(nodes), left[0][0]), nodes
+    return decide
+
+
 def spanning_links(percent: int):
-    """Rows of two blocks -> component pairs of a spanning forest of the links between rows of different components."""
+    """Rows of two blocks with full sets -> component pairs of a spanning forest of the links between rows of different components."""
 
     def decide(left: list[tuple], right: list[tuple]) -> tuple[list[int], list[int]]:
         sides = [[np.frombuffer(r[6], np.uint64) for r in x] for x in (left, right)]
         most = max(len(s) for x in sides for s in x)
-        bits = min(1 << (SPREAD * most - 1).bit_length(), 1 << 18)
-        a, b = (Tree(x, column(rows, 5), max(bits, LEAST_BITS)) for x, rows in zip(sides, (left, right), strict=True))
+        bits = max(min(1 << (SPREAD * most - 1).bit_length(), MOST_BITS), LEAST_BITS)
+        of = [column(x, 5) for x in (left, right)]
+        a, b = (set_tree(x, c, bits) for x, c in zip(sides, of, strict=True))
         up: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -156,10 +206,11 @@ def spanning_links(percent: int):
 
         u, v = [], []
         for i, j in zip(*leaf_pairs(a, b, percent), strict=True):
-            x, y = root(int(a.components[i])), root(int(b.components[j]))
+            i, j = a.order[i], b.order[j]
+            x, y = root(int(of[0][i])), root(int(of[1][j]))
             if x != y:
-                both = len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True))
-                if may_link(both, len(a.sets[i]), len(b.sets[j]), percent):
+                both = len(np.intersect1d(sides[0][i], sides[1][j], assume_unique=True))
+                if may_link(both, len(sides[0][i]), len(sides[1][j]), percent):
                     up[max(x, y)] = min(x, y)
                     u.append(x)
                     v.append(y)
@@ -223,18 +274,18 @@ def _features(k: int, percent: int, levels: np.ndarray):
                 firsts = [prefix(s, levels, percent).view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, firsts)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
-                columns = [[len(s) for s in sets], [x[0] for x in keys], [x[1] for x in keys], [bitmap(s, signature_bits(len(s))).tobytes() for s in sets]]
+                columns = [[len(s) for s in sets], [x[0] for x in keys], [x[1] for x in keys], [signature(s) for s in sets]]
                 arrays = [pa.array(x, f.type) for x, f in zip(columns, list(_FEATURES)[2:6], strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *arrays, lists], schema=_FEATURES)
     return run
 
 
 def _allowed(percent: int):
-    """Rows (p, d, sp, np, sd, nd) -> the pairs (p, d) whose signatures allow a link."""
+    """Rows (p, d, sp, sd) -> the pairs (p, d) whose signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [signatures_allow(a.as_py(), na, b.as_py(), nb, percent) for a, na, b, nb in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True)]
+            keep = [signatures_allow(a.as_py(), b.as_py(), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -253,30 +304,33 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     schema = "doc_id long, version long, n_shingles long, k1 long, k2 long, sig binary, prefix array<long>"
     f = checkpointed(rows.mapInArrow(freed(_features(k, percent, levels)), schema))
     nodes = classes_of(f)
-    leaves = checkpointed(of_classes(f, nodes, ["n_shingles", "sig", "prefix"]))
-    at = leaves.select("node", F.col("n_shingles").alias("n"), F.explode("prefix").alias("bucket"))
-    trees = at.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = checkpointed(at.join(checkpointed(trees), "bucket"))
-    low = shared.where("node <> lo").select(F.col("lo").alias("p"), F.col("node").alias("d"))
+    leaves = of_classes(f, nodes, ["n_shingles", "sig", "prefix"])
+    at = leaves.select("node", F.explode("prefix").alias("bucket"))
+    trees = checkpointed(at.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
+    swept(documents.sparkSession)  # the shuffle of all prefixes
+    shared = checkpointed(at.join(trees, "bucket"))
+    swept(documents.sparkSession)
+    low = checkpointed(shared.where("node <> lo").select(F.col("lo").alias("p"), F.col("node").alias("d")).distinct())
     high = shared.where("node <> lo AND node <> hi").select(F.col("hi").alias("p"), F.col("node").alias("d"))
-    pairs = low.unionByName(high).distinct()
-    sigs = leaves.select("node", F.col("n_shingles").alias("n"), "sig")
     ends = checkpointed(trees.select(F.explode(F.array("lo", "hi")).alias("node")).distinct())
-    of_ends = checkpointed(sigs.join(near(ends), "node"))
-    with_d = checkpointed(pairs).join(sigs.select(F.col("node").alias("d"), F.col("n").alias("nd"), F.col("sig").alias("sd")), "d")
-    both = with_d.join(near(of_ends.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("sig").alias("sp")), BROADCAST_SIGNATURES), "p")
-    both = both.where((100 * F.col("np") >= percent * F.col("nd")) & (100 * F.col("nd") >= percent * F.col("np")))
-    allowed = checkpointed(both.select("p", "d", "sp", "np", "sd", "nd").mapInArrow(freed(_allowed(percent)), "p long, d long").distinct())
+    sigs = checkpointed(leaves.select("node", "sig").distinct())
+    of_ends = checkpointed(sigs.join(near(ends), "node").select(F.col("node").alias("p"), F.col("sig").alias("sp")))
+    with_d = low.unionByName(high).distinct().join(sigs.select(F.col("node").alias("d"), F.col("sig").alias("sd")), "d")
+    both = with_d.join(near(of_ends, BROADCAST_SIGNATURES), "p").select("p", "d", "sp", "sd")
+    allowed = checkpointed(both.mapInArrow(freed(_allowed(percent)), "p long, d long"))
     links = confirmed_links(rows, nodes, allowed, k, percent)
     swept(documents.sparkSession)
     comps = checkpointed(connected_components(links))
-    rest = shared.where("node <> lo AND node <> hi").select("bucket", "node")
-    placed = rest.join(near(comps), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    groups = checkpointed(open_groups(checkpointed(placed.distinct())))
-    if not groups.isEmpty():
-        groups = groups.join(leaves.select("node", "n_shingles").distinct(), "node")
+    placed = low.select(F.col("p").alias("bucket"), F.col("d").alias("node")).join(near(comps), "node", "left")
+    groups = checkpointed(open_groups(checkpointed(placed.select("bucket", "node", F.coalesce("component", "node").alias("c")))))
+    shared = low = high = with_d = both = placed = None  # spent
+    swept(documents.sparkSession)
+    left = checkpointed(by_blocks(groups, sigs.withColumnRenamed("sig", "data"), hopeful(percent)).toDF("key", "node"))
+    if not left.isEmpty():
+        sizes = f.select("k1", "k2", "n_shingles").distinct().join(near(nodes.select("k1", "k2", "node")), ["k1", "k2"]).select("node", "n_shingles")
+        groups = checkpointed(groups.join(left, ["key", "node"]).join(sizes, "node"))
         data = sets_of(rows, nodes, groups.select("node").distinct(), k)
-        more = checkpointed(by_blocks(checkpointed(groups), data, spanning_links(percent), F.col("n_shingles")))
+        more = checkpointed(by_blocks(groups, data, spanning_links(percent), F.col("n_shingles")))
         comps = checkpointed(joined_components(comps, more))
     return documents_of(f, nodes, comps)
 

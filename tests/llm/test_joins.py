@@ -164,8 +164,7 @@ def test_bounds_hold():
         base = rng.integers(0, 2**63, both, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([base, rng.integers(0, 2**63, x, dtype=np.uint64)])) for x in (n, m))
         linked = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
-        sig = lambda s: sigtree.bitmap(s, sigtree.signature_bits(len(s))).tobytes()
-        assert not linked or sigtree.signatures_allow(sig(a), len(a), sig(b), len(b), 80)
+        assert not linked or sigtree.signatures_allow(sigtree.signature(a), sigtree.signature(b), 80)
     x = rng.integers(0, 2**63, 5000, dtype=np.uint64)
     assert (sigtree.folded(sigtree.bitmap(x, 1 << 14), 1 << 10) == sigtree.bitmap(x, 1 << 10)).all()
 
@@ -174,15 +173,28 @@ def test_traversal_equals_all_pairs_and_prunes():
     rows = random_corpus(160, 8, 0.6)
     sets = [shingle_set(t.encode(), 5) for _, t in rows]
     ids = np.arange(len(sets))
-    left, right = sigtree.Tree(sets[:90], ids[:90], 4096), sigtree.Tree(sets[90:], ids[90:], 4096)
+    left, right = sigtree.set_tree(sets[:90], ids[:90], 4096), sigtree.set_tree(sets[90:], ids[90:], 4096)
     i, j = sigtree.leaf_pairs(left, right, 80)
-    found = {(int(left.components[a]), int(right.components[b])) for a, b in zip(i, j, strict=True)}
+    found = {(int(left.order[a]), 90 + int(right.order[b])) for a, b in zip(i, j, strict=True)}
     want = {(a, b) for a in range(90) for b in range(90, 160) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
     assert want <= found and want and len(found) < 90 * 70 / 10
-    same = sigtree.Tree(sets, np.zeros(len(sets), int), 4096)
+    same = sigtree.set_tree(sets, np.zeros(len(sets), int), 4096)
     assert not len(sigtree.leaf_pairs(same, same, 80)[0])
 
 
+def test_leaves_left_open_hold_all_links():
+    """Signatures of several lengths: every leaf with a link to another component is left open, most others aren't."""
+    rng = np.random.default_rng(12)
+    sets = [shingle_set(t.encode(), 5) for _, t in random_corpus(120, 8, 0.6)]
+    for n in (60, 64, 70, 127, 129, 140, 1000, 1100):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base, rng.integers(0, 2**63, int(m), dtype=np.uint64)])) for m in (0, n // 10, n // 5, n // 4)]
+    rows = [(7, 0, 1, int(i % 2), i, i, sigtree.signature(s)) for i, s in enumerate(sets)]
+    key, nodes = sigtree.hopeful(80)([r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1])
+    linked = {x for a in range(0, len(sets), 2) for b in range(1, len(sets), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for x in (a, b)}
+    assert linked <= set(nodes.tolist()) and (key == 7).all() and len(linked) > 20 and len(nodes) < len(sets) * 0.8
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(7)
     levels = rng.integers(0, 5, sigtree.COUNTERS).astype(np.uint8)
