@@ -138,18 +138,24 @@ def schedule(chunk: int, iterations: int, fast: bool, serial: bool = False) -> l
     return out
 
 
-def normal(x: np.ndarray, y: np.ndarray, prior: np.ndarray, tw: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
-    """The normal equations of least squares toward prior (outputs x regressors), with an extra hold on the last regressor."""
-    g = x.T @ x + tw * np.eye(x.shape[1])
+#: Sums over clusters that a fit needs: the regressors' products, those with the outputs, and the squared weights.
+Sums = tuple[np.ndarray, np.ndarray, float]
+
+
+def pulled(sums: Sums, prior: np.ndarray, hold: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+    """The normal equations of least squares toward prior (outputs x regressors), held by `hold` for each squared weight, with an extra hold on the last regressor."""
+    g, r, squares = sums
+    tw = hold * squares
+    g = g + tw * np.eye(len(g))
     g[-1, -1] += tw * extra
-    return g, x.T @ y + tw * prior.T
+    return g, r + tw * prior.T
 
 
 class Chunk:
     """One chunk's state; signal is n x cycles x 4."""
 
     def __init__(self, signal: np.ndarray, params: Params | None = None, block: int = BLOCK):
-        self.x = signal.astype(float)
+        self.x = np.asarray(signal, float)
         n, cycles, _ = self.x.shape
         self.plan, self.fresh = block_plan(cycles, block), params is None
         color = color_seed(self.x[:, 0]) if params is None else None
@@ -161,6 +167,7 @@ class Chunk:
         self.scale = np.linalg.norm(np.diag(self.color[0][:, :4])) / 2
         self.calls = np.zeros((n, cycles), int)
         self.out = np.zeros_like(self.x)
+        self.index = np.arange(n)  # places in the whole chunk, where this is a part of it
 
     def source(self, b: int) -> np.ndarray:
         """n x buffer x 4: one-hot calls times brightness."""
@@ -177,30 +184,36 @@ class Chunk:
         _, start, length, _, _ = self.plan[b]
         return self.x[:, start : start + length]
 
-    def phase_normal(self, b: int, stein: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+    def phase_sums(self, b: int) -> Sums:
         """One channel a cluster, in turn: what the buffer's cycles, the light before and a constant add to the block's cycles."""
         n = len(self.x)
-        c, w = np.arange(n) % 4, self.w[b]
+        c, w = self.index % 4, self.w[b]
         h = self.source(b) @ self.color[b][:, :4].T
         rows = np.arange(n)
         x = np.concatenate([h[rows, :, c], self.previous[b][rows, c][:, None], np.full((n, 1), self.scale)], axis=1) * w[:, None]
         y = (self.own(b)[rows, :, c] - self.color[b][c, 4][:, None]) * w[:, None]
-        return normal(x, y, self.phase[b], stein * self.scale**2 * (w**2).sum(), extra)
+        return x.T @ x, x.T @ y, float((w**2).sum())
+
+    def phase_normal(self, b: int, stein: float, extra: float, sums: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return pulled(sums or self.phase_sums(b), self.phase[b], stein * self.scale**2, extra)
 
-    def fit_phase(self, b: int, stein: float, extra: float) -> np.ndarray:
-        return np.linalg.solve(*self.phase_normal(b, stein, extra)).T
+    def fit_phase(self, b: int, stein: float, extra: float, sums: Sums | None = None) -> np.ndarray:
+        return np.linalg.solve(*self.phase_normal(b, stein, extra, sums)).T
 
-    def color_normal(self, b: int, stein: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+    def color_sums(self, b: int) -> Sums:
         """One cycle a cluster, in turn: what the four bases and a constant add to the channels."""
         n, w = len(self.x), self.w[b]
-        t, rows = np.arange(n) % self.plan[b][2], np.arange(n)
+        t, rows = self.index % self.plan[b][2], np.arange(n)
         h = np.einsum("ns,nsk->nk", self.phase[b][t, :-2], self.source(b))
         x = np.concatenate([h, np.ones((n, 1))], axis=1) * w[:, None]
         y = (self.own(b) - self.constants(b, False))[rows, t] * w[:, None]
-        return normal(x, y, self.color[b], stein * (w**2).sum(), extra)
+        return x.T @ x, x.T @ y, float((w**2).sum())
 
-    def fit_color(self, b: int, stein: float, extra: float) -> np.ndarray:
-        c = np.linalg.solve(*self.color_normal(b, stein, extra)).T
+    def color_normal(self, b: int, stein: float, extra: float, sums: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return pulled(sums or self.color_sums(b), self.color[b], stein, extra)
+
+    def fit_color(self, b: int, stein: float, extra: float, sums: Sums | None = None) -> np.ndarray:
+        c = np.linalg.solve(*self.color_normal(b, stein, extra, sums)).T
         c[:, :4] *= 2 * self.scale / np.linalg.norm(np.diag(c[:, :4]))
         return c
 
@@ -231,14 +244,18 @@ class Chunk:
         part = slice(first - lo, last - lo)
         return np.einsum("ts,nsk->ntk", self.phase[b][:, :-2][:, part], self.source(b)[:, part]) @ self.color[b][:, :4].T
 
-    def weigh(self, b: int, wl: float, side: int = 1) -> None:
-        """Brightness and weight of each cluster in block b, from how its signal fits the prediction."""
+    def brighten(self, b: int, wl: float, side: int = 1) -> None:
+        """Brightness, of any mean, and weight of each cluster in block b, from how its signal fits the prediction."""
         length = self.plan[b][2]
         y, h = self.own(b) - self.constants(b, True), self.predicted(b, side)
         s = np.clip((h * y).sum(axis=(1, 2)) / np.maximum((h * h).sum(axis=(1, 2)), 1e-12), 0.2, 5)
         err = ((s[:, None, None] * h - y) ** 2).sum(axis=(1, 2)) / (4 * length * max(self.color[b][:, :4].max() ** 2, 1e-12))
         self.w[b] = np.exp(-wl * err)
         self.lam[b] *= s
+
+    def weigh(self, b: int, wl: float, side: int = 1) -> None:
+        """brighten, with a mean brightness of 1."""
+        self.brighten(b, wl, side)
         self.lam[b] /= self.lam[b].mean()
 
     def solve(self, blocks: range | list[int], side: int, wl: float, weigh) -> None:
@@ -286,15 +303,20 @@ class Chunk:
 
 def neighbour_ratios(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.ndarray:
     """4 x 4: the light that a base has after the base before it, from the second cycle's clusters of middling light."""
-    top, light = z[:, 1].max(axis=1), lam[0]
-    mean = top.mean()
+    mean = z[:, 1].max(axis=1).mean()
+    return ratios_of(mean, neighbour_sums(z, calls, lam, mean))
+
+
+def neighbour_sums(z: np.ndarray, calls: np.ndarray, lam: np.ndarray, mean: float) -> np.ndarray:
+    """2 x 4 x 4: the light and the brightness of the clusters of middling light, by their first two bases."""
+    top = z[:, 1].max(axis=1)
     use = (top > mean / 2) & (top < 2 * mean)
-    f = np.empty((4, 4))
-    for p in range(4):
-        for c in range(4):
-            m = use & (calls[:, 0] == p) & (calls[:, 1] == c)
-            f[p, c] = 0.1 + 0.9 * (mean + top[m].sum()) / (1 + light[m].sum())
-    return f
+    pair = 4 * calls[use, 0] + calls[use, 1]
+    return np.stack([np.bincount(pair, x[use], 16).reshape(4, 4) for x in (top, lam[0])])
+
+
+def ratios_of(mean: float, sums: np.ndarray) -> np.ndarray:
+    return 0.1 + 0.9 * (mean + sums[0]) / (1 + sums[1])
 
 
 def neighbour_factor(z: np.ndarray, calls: np.ndarray, lam: np.ndarray) -> np.ndarray:
