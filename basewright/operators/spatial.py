@@ -164,6 +164,75 @@ def block_solve(rows: np.ndarray, i: np.ndarray, j: np.ndarray, coef: np.ndarray
     return x
 
 
+#: Clusters from which a stripe is solved over its edges, and the values of a vector that are worked on at once.
+SPARSE, VALUES_AT_ONCE = 20_000, 4_000_000
+
+
+class Edges:
+    """The matrix I + coef at (i, j), by its entries in order of rows."""
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, coef: np.ndarray):
+        order = np.argsort(i, kind="stable")
+        self.n, self.j, self.coef = n, j[order], coef[order][:, None]
+        self.rows, self.starts = np.unique(i[order], return_index=True)
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        out = x.copy()
+        if len(self.rows):
+            out[self.rows] += np.add.reduceat(self.coef * x[self.j], self.starts, axis=0)
+        return out
+
+
+def _stabilised(a: Edges, z: np.ndarray, tolerance: float, rounds: int) -> np.ndarray | None:
+    """x of a x = z, column by column at once, by stabilised biconjugate gradients; null if a column doesn't get there."""
+    goal = tolerance * np.maximum(np.linalg.norm(z, axis=0), 1e-300)
+    x, todo = z.copy(), np.arange(z.shape[1])
+    r = z - a.times(x)
+    shadow, p, v = r.copy(), np.zeros_like(r), np.zeros_like(r)
+    rho = alpha = omega = np.ones(z.shape[1])
+    dot = lambda u, w: np.einsum("nc,nc->c", u, w)
+    safe = lambda d: np.where(np.abs(d) < 1e-300, 1e-300, d)
+    for _ in range(rounds):
+        on = np.linalg.norm(r, axis=0) > goal[todo]
+        if not on.any():
+            return x
+        if not on.all():  # columns that are there stay as they are
+            todo, r, shadow, p, v = todo[on], r[:, on], shadow[:, on], p[:, on], v[:, on]
+            rho, alpha, omega = rho[on], alpha[on], omega[on]
+        new = dot(shadow, r)
+        p = r + new / safe(rho) * (alpha / safe(omega)) * (p - omega * v)
+        v, rho = a.times(p), new
+        alpha = rho / safe(dot(shadow, v))
+        s = r - alpha * v
+        t = a.times(s)
+        omega = dot(t, s) / safe(dot(t, t))
+        x[:, todo] += alpha * p + omega * s
+        r = s - omega * t
+        if not np.isfinite(r).all():
+            return None
+    return None
+
+
+def sparse_solve(i: np.ndarray, j: np.ndarray, coef: np.ndarray, z: np.ndarray, tolerance: float = 1e-10, rounds: int = 400) -> np.ndarray | None:
+    """x of (I + coef at (i, j)) x = z over the edges alone: memory in proportion to edges and columns at once, whatever the shape of
+    the stripe. Null if the iteration doesn't get there, or the true residuals aren't as small."""
+    a, out = Edges(len(z), i, j, coef), np.empty_like(z)
+    step = max(1, VALUES_AT_ONCE // max(len(z), len(i), 1))
+    for at in range(0, z.shape[1], step):
+        part = z[:, at : at + step]
+        x = _stabilised(a, part, tolerance, rounds)
+        if x is None or not np.abs(part - a.times(x)).max() <= 1e-6 * max(np.abs(part).max(), 1e-300):
+            return None
+        out[:, at : at + step] = x
+    return out
+
+
+def solved_system(rows: np.ndarray, i: np.ndarray, j: np.ndarray, coef: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """x of (I + coef at (i, j)) x = z: large stripes over their edges, small ones and those that don't converge by elimination."""
+    x = sparse_solve(i, j, coef, z) if len(z) >= SPARSE else None
+    return block_solve(rows, i, j, coef, z, int(np.abs(rows[i] - rows[j]).max(initial=REACH))) if x is None else x
+
+
 EDGES_A_BATCH = 20_000
 
 
@@ -179,7 +248,7 @@ def stripe_solved(d: pa.Table, width: np.ndarray, thr: float) -> tuple[np.ndarra
         k = slice(at, at + EDGES_A_BATCH)
         coef[k] = edge_coefficients(evidence[i[k]], evidence[j[k]], width[None], np.full(len(i[k]), thr))
     on = coef > 0
-    out = block_solve(gy, i[on], j[on], coef[on], z.reshape(len(z), -1), int(np.abs(gy[i[on]] - gy[j[on]]).max(initial=REACH))).reshape(z.shape)
+    out = solved_system(gy, i[on], j[on], coef[on], z.reshape(len(z), -1)).reshape(z.shape)
     core = d.column("in_core").to_numpy(zero_copy_only=False)
     return ids[core], out[core]
 

@@ -200,6 +200,41 @@ def test_block_elimination_equals_dense():
     assert np.abs(a @ got - z).max() < 1e-8 and np.abs(got - np.linalg.solve(a, z)).max() < 1e-6
 
 
+def test_sparse_solve_equals_dense():
+    rng = np.random.default_rng(17)
+    n = 400
+    gx, gy = rng.integers(0, 40, n), rng.integers(0, 120, n)
+    i, j = spatial.edges_of(gx, gy)
+    coef = rng.uniform(0, 0.3, len(i))
+    a = np.eye(n)
+    np.add.at(a, (i, j), coef)
+    z = np.hstack([rng.normal(size=(n, 7)), np.zeros((n, 1)), np.ones((n, 1))])
+    x = spatial.sparse_solve(i, j, coef, z)
+    assert np.abs(x - np.linalg.solve(a, z)).max() < 1e-6
+    assert (spatial.sparse_solve(i[:0], j[:0], coef[:0], z) == z).all()
+    alone = np.array([0, 1]), np.array([1, 0]), np.array([1.0, 1.0])  # singular: elimination is asked, and says so
+    assert spatial.sparse_solve(*alone, np.array([[1.0], [0.0]])) is None
+
+
+def test_stripe_of_100_000_clusters():
+    """Memory of the solve stays near that of its edges and a few vectors, and the residuals are small."""
+    import tracemalloc
+
+    rng = np.random.default_rng(18)
+    n = 100_000
+    gx, gy = rng.integers(0, 280, n), rng.integers(0, 4000, n)
+    i, j = spatial.edges_of(gx, gy)
+    keep = rng.uniform(size=len(i)) < 0.3
+    i, j = i[keep], j[keep]
+    coef, z = rng.uniform(0, 0.3, len(i)), rng.normal(size=(n, 24))
+    tracemalloc.start()
+    x = spatial.solved_system(gy, i, j, coef, z)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(z - spatial.Edges(n, i, j, coef).times(x)).max() < 1e-6
+    assert len(i) > 100_000 and peak < z.nbytes * 2 + 60 * len(i) + 16 * 8 * spatial.VALUES_AT_ONCE
+
+
 def test_pixel_map_and_edges():
     rng = np.random.default_rng(8)
     gx, gy = rng.integers(0, 12, 80), rng.integers(0, 12, 80)
