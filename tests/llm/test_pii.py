@@ -82,3 +82,57 @@ def test_distinct_and_coreferent_by_brute_force(spark):
     lone = [x for r in out if r.doc_id is None for x in r.text.split(" ; ")]
     assert lone and set(lone) <= set(new) | set(lone) and not set(lone) & set(pool)
     assert all(old.get(new.get(x)) == x for x in lone if x in new)
+
+
+def test_mentions_take_their_part(spark):
+    """The given or the family name alone, with or without a title, before and after the whole name."""
+    rows = [
+        (1, "John Smith met Anna Brown. Smith said hello to Anna. Mr. Smith's dog and SMITH, Anna-like, Smithson."),
+        (2, "Mary Smith met John Smith; later Smith left. Mary stayed."), (3, "Smith and Anna are words here."), (4, "Dr. O'Brien saw Mr Lee and Prof. van der Berg"),
+        (5, "Maria de la Cruz called. Then Cruz wrote."), (6, "MARIA LOPEZ and Anna Brown met; Lopez spoke."),
+    ]
+    out = {i: r.text for i, r in surrogates_of(spark, rows).items()}
+    for x in ("John", "Smith ", "Smith'", "SMITH", "Brown", "Anna.", "to Anna"):
+        assert x not in out[1]
+    john, anna = out[1].split(". ")[0].split(" met ")
+    family, given = john.split(" ")[1], anna.split(" ")[0]
+    assert f". {family} said hello to {given}. Mr. {family}'s dog and {family.upper()}, Anna-like, Smithson." in out[1]
+    first, second = out[2].split(";")[0].split(" met ")
+    assert out[2].endswith(f"; later {second.split(' ')[1]} left. {first.split(' ')[0]} stayed.")
+    assert out[3] == rows[2][1]
+    assert not any(x in out[4] for x in ("Brien", "Lee", "Berg")) and out[4].startswith("Dr. ") and " saw Mr " in out[4] and "Prof. van der " in out[4] and "'" in out[4].split(" ")[1]
+    assert "Cruz" not in out[5] and " de la " in out[5] and out[5].split(" called")[0].split(" ")[-1] == out[5].split("Then ")[1].split(" ")[0]
+    whole = out[6].split(" and ")[0]
+    assert whole.isupper() and out[6].split("; ")[1] == f"{whole.split(' ')[1].capitalize()} spoke."
+    assert "Lopez" not in out[6] and "LOPEZ" not in out[6]
+
+
+def test_long_words_before_a_verb_stay_whole(spark):
+    long = "A" + "b" * 300
+    rows = [(1, f"so Priya {long} said it"), (2, f"{'x' * 500}Priya said it")]
+    out = surrogates_of(spark, rows)
+    assert out[1].kinds == "name=1" and "Priya" not in out[1].text and long not in out[1].text and out[1].text.endswith(" said it")
+    assert (out[2].n_entities, out[2].text) == (0, rows[1][1])
+
+
+def test_account_and_network_numbers(spark):
+    values = {
+        "iban": ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"], "ip6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"],
+        "phone": ["030 1234567", "0171/5551234", "(040) 123456"],
+    }
+    rows = [(10 * k + i, f"at {x} now, at 12:30:45 and 3.141 592653") for k, xs in enumerate(values.values()) for i, x in enumerate(xs)]
+    out = surrogates_of(spark, rows)
+    for k, (kind, xs) in enumerate(values.items()):
+        for i, x in enumerate(xs):
+            r = out[10 * k + i]
+            new = r.text.removeprefix("at ").removesuffix(" now, at 12:30:45 and 3.141 592653")
+            assert r.kinds == f"{kind}=1" and new != x and [c.isalnum() or c for c in new] == [c.isalnum() or c for c in x], (x, r.text)
+            if kind == "iban":
+                plain = new.replace(" ", "")
+                assert plain[:2] == x[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_very_long_texts(spark):
+    text = "Anna Brown said so. " * 5000 + "w" * 300_000 + " mail a.b@example.org " + "Brown " * 2000
+    out = surrogates_of(spark, [(1, text)])[1]
+    assert out.n_entities == 7001 and "Brown" not in out.text and len(set(out.text.split("said")[k].split(". ")[-1] for k in range(1, 4999))) == 1
