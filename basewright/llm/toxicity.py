@@ -1,14 +1,17 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding lower-cases, drops accents and invisible characters, maps look-alike letters, and digits and signs beside a letter to
-the letters they stand for; all else that is not a letter becomes a space, numbers too.
+the letters they stand for (1 an i, 11 two of l), joins single letters parted by a dot or star each, and takes a letter repeated
+three times or more as one; all else that is not a letter becomes a space, numbers too.
 The lexicon is learned from labelled training rows: whole words and word beginnings of PREFIX letters, weighted by their
 log odds; of nested terms the most telling is kept. Phrases of a term and its neighbour that clean training texts have and toxic ones don't
 are exceptions: matches inside them don't count. A small logistic model turns the weight sum, its density over the text's
 length and the length into a score.
 
-The fit uses at most about TRAIN_ROWS labelled rows, drawn by hash of their id, equal texts once; that bounds terms and exceptions,
-of which none are left out. Scoring covers every row, whole texts.
+The fit uses at most about TRAIN_ROWS labelled rows, drawn by hash of their id, equal texts once. A term must stand in LEAST_DOCS toxic
+texts of them (a third of the toxic ones, if that is less), be SURPLUS deviations more frequent there than by chance, and weigh
+LEAST_WEIGHT (log odds) at least; an exception must stand in LEAST_SAFE clean texts and no toxic one. Rarer ones are no evidence at
+this size of sample, and are left out. Scoring covers every row, whole texts.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ from pyspark.sql import functions as F
 
 from basewright.llm.common import crc_mod, freed, table
 
-TRAIN_ROWS, LEAST_DOCS = 12_000, 4
+TRAIN_ROWS, LEAST_DOCS, SURPLUS, LEAST_WEIGHT, LEAST_SAFE = 12_000, 4, 3.5, 2.0, 3
 PREFIX = range(4, 10)
 #: Cyrillic and Greek letters that look like Latin ones, and digits and signs that stand for letters.
-HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x"}
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ӏ": "i", "ı": "i", "ɩ": "i", "ł": "l", "ø": "o", "đ": "d", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "η": "n", "ω": "w", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ʏ": "y"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 _STAND_INS = re.compile(r"(?<=[^\W\d_])[0-9$@]+|[0-9$@]+(?=[^\W\d_])")
+#: Single letters parted by one of these signs each, three at least.
+_PARTED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.*·][^\W\d_]){2,}(?![^\W_])")
+_SIGNS = str.maketrans("", "", ".*·")
+_REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _BLANK = str.maketrans("0123456789$@", " " * 12)
 _LETTERS = str.maketrans(DIGITS | {"2": " ", "6": " ", "$": "s", "@": "a"})
 
@@ -56,9 +63,13 @@ def fold(text: str | None) -> str:
     low = (text or "").lower()
     if not low.isascii():
         low = unicodedata.normalize("NFKD", low)
+    if _PARTED.search(low):
+        low = _PARTED.sub(lambda m: m[0].translate(_SIGNS), low)
     low = low.translate(_FOLD)
     if _STAND_INS.search(low):
-        low = _STAND_INS.sub(lambda m: m[0].translate(_LETTERS), low)
+        low = _STAND_INS.sub(lambda m: m[0].replace("11", "ll").translate(_LETTERS), low)
+    if _REPEATED.search(low):
+        low = _REPEATED.sub(r"\1", low)
     words = low.translate(_BLANK).split()
     return f" {' '.join(words)} " if words else ""
 
@@ -174,13 +185,13 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
         if not p_all:
             return Lexicon({}, [], [-3.0, 0, 0, 0, 0])
         count = lambda kind: rows.where(F.col("toxic") == kind).select("text").mapInArrow(freed(_candidates), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        pos = count(1).where(F.col("n") >= max(min(LEAST_DOCS, max(1, p_all // 3)), p_all // 150)).withColumnRenamed("n", "a")
+        pos = count(1).where(F.col("n") >= min(LEAST_DOCS, max(1, p_all // 3))).withColumnRenamed("n", "a")
         both = pos.join(count(0).withColumnRenamed("n", "b"), "term", "left").fillna(0, ["b"])
         a, b = F.col("a"), F.col("b")
         expected = (a + b) * p_all / (p_all + n_all)
         surplus = (a - expected) / F.sqrt(expected + 0.25)
         weight = F.log((a + 0.5) / (p_all + 1)) - F.log((b + 0.5) / (n_all + 1))
-        telling = both.where((a / p_all > 4 * b / max(n_all, 1)) & (surplus > 3.5) & (weight > 2)).select(surplus.alias("surplus"), "term", weight.alias("weight"))
+        telling = both.where((a / p_all > 4 * b / max(n_all, 1)) & (surplus > SURPLUS) & (weight > LEAST_WEIGHT)).select(surplus.alias("surplus"), "term", weight.alias("weight"))
         scored = [(r.surplus, r.term[-1] == " ", len(r.term), r.term, r.weight) for r in telling.collect()]  # bounded by the rows of the fit
         chosen: dict[str, float] = {}
         begun: set[str] = set()  # beginnings of chosen terms
@@ -190,7 +201,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
                 chosen[t] = weight
                 begun.update(stem[:i] for i in range(2, len(stem) + 1))
         lexicon = Lexicon(chosen, [], [0.0] * 5)
-        ctx = rows.mapInArrow(freed(_contexts(lexicon)), "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where("p = 0 AND n >= 3")
+        ctx = rows.mapInArrow(freed(_contexts(lexicon)), "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where(f"p = 0 AND n >= {LEAST_SAFE}")
         lexicon = Lexicon(chosen, sorted(r.term for r in ctx.collect()), [0.0] * 5)
         got = rows.mapInArrow(freed(_measured(lexicon)), "toxic long, x array<double>").collect()
         x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)

@@ -308,6 +308,11 @@ def test_folding():
         assert toxicity.fold(text).strip() == want
 
 
+def test_folding_of_disguises():
+    for text, want in (("ki11 a11", "kill all"), ("i.d.i.o.t!", "idiot"), ("f*u*c*k", "fuck"), ("fuuuuck soooo", "fuck so"), ("ıdıot ӏdiot", "idiot idiot"), ("e.g. a.m. U.S.A.", "e g a m usa"), ("book wheel", "book wheel")):
+        assert toxicity.fold(text).strip() == want, text
+
+
 def test_matching_equals_naive_scan():
     rng = np.random.default_rng(12)
     word = lambda: "".join("ab"[int(k)] for k in rng.integers(0, 2, int(rng.integers(1, 5))))
