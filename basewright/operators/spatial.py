@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basewright.operators.blocks import stripes
-from basewright.operators.state import kept
+from basewright.operators.state import kept, stored
 from basewright.operators.tensor import FAULTS, ROWS, ROWS_DDL, batches_of, failure, tensor_of
 
 KS, REACH, MAX_QD, CELL = 0.7, 4, 0.7, 9
@@ -270,29 +270,35 @@ def _stripe(outcomes: bool):
     return run
 
 
-def placed_rows(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15) -> tuple[DataFrame, DataFrame]:
-    """Clusters (tile, end_id, stripe, in_core, cluster, gx, gy, qd, signal, and evidence where it is another table) once for each
+def placed_rows(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """buckets: signals, evidence and places go through tables of so many buckets by (tile, end_id, cluster), which join without an exchange. Clusters (tile, end_id, stripe, in_core, cluster, gx, gy, qd, signal, and evidence where it is another table) once for each
     stripe that holds them, and the limits (tile, end_id, stripe, thr, w), a row for each stripe."""
     keys = ["tile", "end_id"]
     own = signals is evidence
-    ev = kept(cluster_quality(evidence))
+    hold = (lambda df: stored(df, buckets, *keys, "cluster")) if buckets else kept
+    ev = hold(cluster_quality(evidence))
     limits = threshold(cycle_width(ev, keys), keys, ks)
     snapped = grid_snap(loc)
     placed = stripes(snapped, F.col("extent"), size, halo).select("tile", "cluster", "gx", "gy", "stripe", "in_core")
     extents = snapped.groupBy("tile").agg(F.greatest(F.ceil(F.max("extent") / size), F.lit(1)).cast("int").alias("count"))  # a row for each file
     of_stripes = limits.join(F.broadcast(extents), "tile").select(*[F.col(c).alias(c) for c in keys], F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("stripe"), "thr", F.col("w.width").alias("w"))
-    rows = ev if own else signals.join(ev.select(*keys, "cluster", "qd", F.col("signal").alias("evidence")), [*keys, "cluster"])
-    return rows.select(*keys, "cluster", "qd", "signal", *["evidence"] * (not own)).join(placed, ["tile", "cluster"]), of_stripes
+    by = ["tile", "cluster"]
+    if buckets:
+        by = [*keys, "cluster"]
+        placed = hold(placed.join(F.broadcast(signals.select(*keys).distinct()), "tile"))  # a row for each file
+    rows = ev if own else (hold(signals) if buckets else signals).join(ev.select(*keys, "cluster", "qd", F.col("signal").alias("evidence")), [*keys, "cluster"])
+    return rows.select(*keys, "cluster", "qd", "signal", *["evidence"] * (not own)).join(placed, by), of_stripes
 
 
-def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15, outcomes: bool = False) -> DataFrame:
+def correct_acc(signals: DataFrame, evidence: DataFrame, loc: DataFrame, ks: float = KS, size: int = 250, halo: int = 15, outcomes: bool = False, buckets: int | None = None) -> DataFrame:
     """signals, evidence (tile, end_id, cluster, signal), loc (tile, cluster, x, y) -> signals with the light of neighbours taken out.
 
     Each cluster goes once to its stripe and to those whose halo holds it; a task holds a stripe of one (tile, end), and the tile's
     limits once. Signals that are their own evidence aren't joined with themselves. outcomes: a stripe that can't be solved gives a
-    row with a null cluster and what is wrong in the further column error.
+    row with a null cluster and what is wrong in the further column error. buckets: the tensors and places go through bucketed tables
+    (state.dropped drops them), so that the only exchange of tensors is the one by stripe.
     """
-    rows, limits = placed_rows(signals, evidence, loc, ks, size, halo)
+    rows, limits = placed_rows(signals, evidence, loc, ks, size, halo, buckets)
     groups = [d.groupBy("tile", "end_id", "stripe") for d in (rows, limits)]
     out = groups[0].cogroup(groups[1]).applyInArrow(_stripe(outcomes), ROWS_DDL)
     return out if outcomes else out.drop("error")

@@ -378,6 +378,32 @@ def test_stripes_equal_one_dense_system(spark):
     assert done == n == len(out)
 
 
+def test_bucketed_tables_are_exchanged_by_stripe_alone(spark):
+    """The same signals as without tables, whether evidence is the signals themselves or another table."""
+    from basewright.operators.state import dropped
+
+    rng = np.random.default_rng(20)
+    x = np.abs(np.eye(4)[rng.integers(0, 4, (90, 5))] + rng.normal(0, 0.1, (90, 5, 4)))
+    xy = np.stack([rng.integers(0, 400, 90), rng.integers(0, 20, 90)], axis=1).astype(float)
+    loc = spark.createDataFrame([(t, i, float(a), float(b)) for t in "tu" for i, (a, b) in enumerate(xy)], "tile string, cluster int, x double, y double")
+    s = frame(spark, x, "t").unionByName(frame(spark, x[:60] * 1.2, "u"))
+    e = s.withColumn("signal", F.transform("signal", lambda v: F.transform(v, lambda a: a * 0.9)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for evidence in (s, e):
+            out = spatial.correct_acc(s, evidence, loc, buckets=4)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+            assert not any("cluster#" in line.split("hashpartitioning")[1].split(")")[0] for line in dealt), plan
+            got = {(r.tile, r.cluster): np.array(r.signal) for r in out.collect()}
+            want = {(r.tile, r.cluster): np.array(r.signal) for r in spatial.correct_acc(s, evidence, loc).collect()}
+            assert set(got) == set(want) and len(got) == 150 and all(np.abs(got[k] - want[k]).max() < 1e-9 for k in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert dropped(spark) == 5 and dropped(spark) == 0
+
+
 def test_scores_of_odd_reads(spark):
     """Reads without cycles and null signals give no cycle rows, and cost the others no second pass over the signal."""
     rows = [(0, [[0.9, 0.1, 0.2, 0.0], [0.0, 0.3, 0.8, 0.1]]), (1, []), (2, None), (3, [[0.5, 0.5, 0.0, 0.0]])]
