@@ -13,8 +13,8 @@ roots down, splits both sides in turn and compares full sets only where two leav
    its prefix, the first n - ceil(percent * n / 100) + 1 shingles of the order. Sets that link share one of their prefixes, so
    there is a tree for each shingle that stands in two prefixes, and none has to hold the whole corpus.
 3. Rows with equal sets are one class and one leaf.
-4. A tree's first traversals: its least and its greatest leaf are met by all others, pruned by size and signature, and whole
-   texts confirm the rest. This links groups of copies in one step and without pairs among them.
+4. A tree's first traversals: its least leaf is met by all others, then its greatest one by those still in another component;
+   sizes and signatures prune, and whole texts confirm the rest. This links groups of copies without pairs among them.
 5. Trees with the same least leaf are one, so that a pair of copies, which share many shingles, meets once. Those whose leaves
    still lie in several components are traversed in blocks inside tasks, against each other where there are
    several; nodes within one component are pruned. Signatures go there first; only the leaves that they leave open with one of
@@ -290,6 +290,25 @@ def _allowed(percent: int):
     return run
 
 
+def _of_near_sizes(groups: DataFrame, percent: int) -> DataFrame:
+    """groups (key, c, n_shingles, ...) without the rows whose size no row of another component in their group is near enough to for a
+    link. Sizes are taken by bands a little wider than the ratio of two that link, which so lie in one band or in two side by side."""
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(101.0 / percent)))
+    rows = groups.withColumn("band", band)
+    beside = rows.select("key", "c", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
+    kept = beside.groupBy("key", "band").agg(F.min("c").alias("v"), F.max("c").alias("w")).where("v <> w").select("key", "band")
+    return rows.join(kept, ["key", "band"]).drop("band")
+
+
+def _met(rows: DataFrame, nodes: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (p, d), each once, of many d with few p -> their links (u, v): signatures first, whole texts of the pairs they allow."""
+    ends = checkpointed(sigs.join(near(checkpointed(pairs.select(F.col("p").alias("node")).distinct())), "node").select(F.col("node").alias("p"), F.col("sig").alias("sp")))
+    with_d = pairs.join(sigs.select(F.col("node").alias("d"), F.col("sig").alias("sd")), "d")
+    both = with_d.join(near(ends, BROADCAST_SIGNATURES), "p").select("p", "d", "sp", "sd")
+    allowed = checkpointed(both.mapInArrow(freed(_allowed(percent)), "p long, d long"))
+    return confirmed_links(rows, nodes, allowed, k, percent)
+
+
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, version, n_shingles, component_id, first: a row for each row of documents; see classes.documents_of.
 
@@ -311,24 +330,26 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     shared = checkpointed(at.join(trees, "bucket"))
     swept(documents.sparkSession)
     low = checkpointed(shared.where("node <> lo").select(F.col("lo").alias("p"), F.col("node").alias("d")).distinct())
-    high = shared.where("node <> lo AND node <> hi").select(F.col("hi").alias("p"), F.col("node").alias("d"))
-    ends = checkpointed(trees.select(F.explode(F.array("lo", "hi")).alias("node")).distinct())
     sigs = checkpointed(leaves.select("node", "sig").distinct())
-    of_ends = checkpointed(sigs.join(near(ends), "node").select(F.col("node").alias("p"), F.col("sig").alias("sp")))
-    with_d = low.unionByName(high).distinct().join(sigs.select(F.col("node").alias("d"), F.col("sig").alias("sd")), "d")
-    both = with_d.join(near(of_ends, BROADCAST_SIGNATURES), "p").select("p", "d", "sp", "sd")
-    allowed = checkpointed(both.mapInArrow(freed(_allowed(percent)), "p long, d long"))
-    links = confirmed_links(rows, nodes, allowed, k, percent)
-    swept(documents.sparkSession)
+    links = _met(rows, nodes, sigs, low, k, percent)
     comps = checkpointed(connected_components(links))
+    high = shared.where("node <> lo AND node <> hi").select(F.col("hi").alias("p"), F.col("node").alias("d")).distinct()
+    of = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    high = high.join(near(of("p")), "p", "left").join(near(of("d")), "d", "left").where("coalesce(cp, p) <> coalesce(cd, d)").select("p", "d")
+    more = _met(rows, nodes, sigs, checkpointed(high), k, percent)
+    shared = high = None  # spent
+    swept(documents.sparkSession)
+    if not more.isEmpty():
+        comps = checkpointed(connected_components(links.unionByName(more)))
     placed = low.select(F.col("p").alias("bucket"), F.col("d").alias("node")).join(near(comps), "node", "left")
-    groups = checkpointed(open_groups(checkpointed(placed.select("bucket", "node", F.coalesce("component", "node").alias("c")))))
-    shared = low = high = with_d = both = placed = None  # spent
+    groups = open_groups(checkpointed(placed.select("bucket", "node", F.coalesce("component", "node").alias("c"))))
+    sizes = checkpointed(f.select("k1", "k2", "n_shingles").distinct().join(near(nodes.select("k1", "k2", "node")), ["k1", "k2"]).select("node", "n_shingles"))
+    groups = checkpointed(_of_near_sizes(checkpointed(groups.join(near(sizes), "node")), percent))
+    low = placed = None  # spent
     swept(documents.sparkSession)
-    left = checkpointed(by_blocks(groups, sigs.withColumnRenamed("sig", "data"), hopeful(percent)).toDF("key", "node"))
+    left = checkpointed(by_blocks(groups.drop("n_shingles"), sigs.withColumnRenamed("sig", "data"), hopeful(percent)).toDF("key", "node"))
     if not left.isEmpty():
-        sizes = f.select("k1", "k2", "n_shingles").distinct().join(near(nodes.select("k1", "k2", "node")), ["k1", "k2"]).select("node", "n_shingles")
-        groups = checkpointed(groups.join(left, ["key", "node"]).join(sizes, "node"))
+        groups = checkpointed(groups.join(left, ["key", "node"]))
         data = sets_of(rows, nodes, groups.select("node").distinct(), k)
         more = checkpointed(by_blocks(groups, data, spanning_links(percent), F.col("n_shingles")))
         comps = checkpointed(joined_components(comps, more))
