@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basewright.llm import decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, toxicity
+from basewright.llm import blocks, decontaminate, linededup, lmscore, media, minhash, packing, pii, preference, quality, toxicity
 from basewright.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, p long, words string, sig string, _doc long, size long, removed string"
@@ -134,8 +134,8 @@ def test_minhash_equals_brute_force(spark):
 
 def test_minhash_group_around_a_base(spark, monkeypatch):
     """Copies at many distances from a base: the pivots alone don't find all links. Small blocks, so that pairs cross them."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "LARGE", 16)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "LARGE", 16)
     rng = np.random.default_rng(1)
     base = ["b" + str(i) for i in range(100)]
     rows = []
@@ -157,7 +157,7 @@ def test_blocks_decide_over_all_pairs_of_two_components():
     other = np.arange(1, minhash.MINIMA + 1, dtype="<u2").tobytes()
     rows = [(7, 0, 0, 0, d, c, s) for d, c, s in ((1, 1, sig), (2, 2, other), (3, 3, other), (4, 4, sig), (5, 5, other[2:] + other[:2]))]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("abcdefg"))
-    out = [tuple(r.values()) for b in minhash._blocks(minhash._with_partner)(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    out = [tuple(r.values()) for b in blocks.pairs_of_blocks(minhash._with_partner)(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
     assert sorted(out) == [(7, 1), (7, 2), (7, 3), (7, 4)]
 
 
