@@ -9,7 +9,7 @@ are exceptions: matches inside them don't count. A small logistic model turns th
 length and the length into a score.
 
 The fit uses at most about TRAIN_ROWS labelled rows, drawn by hash of their id, equal texts once. A term must stand in LEAST_DOCS toxic
-texts of them (a third of the toxic ones, if that is less), be SURPLUS deviations more frequent there than by chance, and weigh
+texts of them (a third of the toxic ones, if that is less) and in one of LEAST_SHARE toxic ones, be SURPLUS deviations more frequent there than by chance, and weigh
 LEAST_WEIGHT (log odds) at least; an exception must stand in LEAST_SAFE clean texts and no toxic one. Rarer ones are no evidence at
 this size of sample, and are left out. Scoring covers every row, whole texts.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from basewright.llm.common import crc_mod, freed, table
 
-TRAIN_ROWS, LEAST_DOCS, SURPLUS, LEAST_WEIGHT, LEAST_SAFE = 12_000, 4, 3.5, 2.0, 3
+TRAIN_ROWS, LEAST_DOCS, SURPLUS, LEAST_WEIGHT, LEAST_SAFE, LEAST_SHARE = 12_000, 4, 3.5, 2.0, 3, 150
 PREFIX = range(4, 10)
 #: Cyrillic and Greek letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ӏ": "i", "ı": "i", "ɩ": "i", "ł": "l", "ø": "o", "đ": "d", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "η": "n", "ω": "w", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ʏ": "y"}
@@ -185,7 +185,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
         if not p_all:
             return Lexicon({}, [], [-3.0, 0, 0, 0, 0])
         count = lambda kind: rows.where(F.col("toxic") == kind).select("text").mapInArrow(freed(_candidates), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        pos = count(1).where(F.col("n") >= min(LEAST_DOCS, max(1, p_all // 3))).withColumnRenamed("n", "a")
+        pos = count(1).where(F.col("n") >= max(min(LEAST_DOCS, max(1, p_all // 3)), p_all // LEAST_SHARE)).withColumnRenamed("n", "a")
         both = pos.join(count(0).withColumnRenamed("n", "b"), "term", "left").fillna(0, ["b"])
         a, b = F.col("a"), F.col("b")
         expected = (a + b) * p_all / (p_all + n_all)
