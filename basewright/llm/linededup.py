@@ -155,7 +155,7 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     context = "array<struct<first:int,end:int,key:long>>"
     found = checkpointed(texts.mapInArrow(freed(_fingerprints), f"doc_id long, version long, pos int, unit long, contexts {context}"))
     place = F.struct("doc_id", "version", "pos")
-    often = found.groupBy("unit").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("unit")
+    often = checkpointed(found.groupBy("unit").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("unit"))
     at = found.join(often, "unit").select("doc_id", "version", F.explode("contexts").alias("c")).select("doc_id", "version", "c.first", "c.end", "c.key")
     at = checkpointed(at)
     place = F.struct("doc_id", "version", "first")
