@@ -1,17 +1,21 @@
 """Document scores of a subword lattice model.
 
 Every word is a lattice of all its segmentations into the pieces of an existing vocabulary, over bytes, so that byte pieces
-cover what no other piece does. The vocabulary's own scores weight the pieces, here and throughout: a word's first piece is
-drawn from those with a leading mark, the others from the rest, each with its score's share. After each piece the word ends
-or goes on with a probability of that piece. The forward recursion in log space sums all segmentations: the marginal
-probability of the word. A text is its words and an end; `score` is its marginal log probability.
+cover what no other piece does. A word's first piece is drawn from those with a leading mark, the others from the rest. After
+each piece the word ends or goes on with a probability of that piece. The forward recursion in log space sums all
+segmentations: the marginal probability of the word.
 
-Learned from the training texts are how often a word ends after each piece (expected uses under the vocabulary's scores, over
-distinct words) and how often a text ends; the counts of the base score; and for the column fitted_score an edge over each
-whole training word, with its count less an absolute discount, beside its lattice.
+Learned from the training texts are the pieces' shares and how often a word ends after each (ROUNDS expectation steps over
+distinct words, which begin at the vocabulary's own scores and keep them as a prior of PRIOR uses); how often a text ends; the
+counts of the base score; and an edge over each whole training word, with its count less an absolute discount, beside its
+lattice. fitted_score is a text's log probability by these words and an end, each drawn alone.
+
+`score` is that of an urn: a text's word is drawn from the same words with weight URN, or is one of the words before it in the
+text, each with weight 1. It's a distribution, and the order of words doesn't matter, so a document's number of words and the
+uses of each are enough. URN was chosen with another seventh of the documents held out (remainder 3).
 
 1. Word counts of the whole corpus, added up within tasks and then by word.
-2. One expectation step over the distinct training words; only vectors as long as the vocabulary come to the driver.
+2. Expectation steps over the distinct training words; only vectors as long as the vocabulary come to the driver.
 3. Lattice scores of all distinct words, once each. Words over LONG bytes are worked on in blocks of STEP bytes by a recursion
    that holds only the last ends, with the same result.
 4. A pass over the texts: at most HOT of the most frequent words, those over a count that a histogram of counts gives, are
@@ -28,12 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import checkpointed, crc_mod, table
 
 HOT, FLUSH, LONG, STEP = 50_000, 200_000, 512, 16_384
+ROUNDS, PRIOR, URN = 2, 1_000, 2_000
 MARK = b" "
 _P = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = math.log(10)
@@ -50,6 +55,7 @@ class Lattice:
         self.pieces, self.first = pieces, np.array([p[:1] == MARK or not p for p in pieces])
         weight = np.asarray(weight, np.float64)
         self.logp = np.log(weight / np.where(self.first, weight[self.first].sum(), weight[~self.first].sum()))
+        self.prior = np.exp(self.logp)
         self.learn_stops(np.zeros(len(pieces)), np.zeros(len(pieces)))
         real = [p for p in pieces if p]
         hashes = self._hash_all(real)
@@ -72,6 +78,13 @@ class Lattice:
         p = (stops + rate) / (uses + 1)
         self.logend, self.loggo = self.logp + np.log(p), self.logp + np.log1p(-np.minimum(p, 1 - 1e-9))
 
+    def learn(self, uses: np.ndarray, stops: np.ndarray) -> None:
+        """Shares of the pieces by their uses and the first weights' shares of PRIOR uses, and how often a word ends after each."""
+        for group in (self.first, ~self.first):
+            n = uses[group] + PRIOR * self.prior[group]
+            self.logp[group] = np.log(n / n.sum())
+        self.learn_stops(uses, stops)
+
     @staticmethod
     def _hash_all(pieces: list[bytes]) -> np.ndarray:
         out = []
@@ -298,15 +311,29 @@ def _word_scores(lattice: Lattice, words: int, distinct: int, discount: float, w
             if words:
                 own = np.log(np.maximum(n - discount, 1e-300) / words)
                 fit = np.logaddexp(np.where(n > 0, own, -np.inf), lp + math.log(discount * distinct / words))
-            logs = [pa.array((x + math.log(word_share)) / LOG10, pa.float64()) for x in (lp, fit)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *logs], names=["word", "n", "lp", "fit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((fit + math.log(word_share)) / LOG10, pa.float64())], names=["word", "n", "fit"])
     return run
 
 
-_PARTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("fit", pa.float64())])
+def _again(fit: float, tf: int, word_share: float) -> float:
+    """log10 of what the urn gives for the uses of a word after its first, over the urn's sizes: sum of log10(URN * p + k * word_share) for k from 1 to tf - 1."""
+    a = URN * 10**fit / word_share
+    return ((tf - 1) * math.log(word_share) + math.lgamma(a + tf) - math.lgamma(a + 1)) / LOG10
+
+
+def _again_column(fit: Column, tf: Column, word_share: float, terms: int = 15) -> Column:
+    """As _again: so many terms one by one, the others by the difference of two Stirling series."""
+    a = F.lit(float(URN)) * F.pow(F.lit(10.0), fit) / word_share
+    series = lambda x: (x - 0.5) * F.log(x) - x + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    first = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(tf - 1, F.lit(terms))), F.lit(0.0), lambda t, k: t + F.log(a + k))
+    rest = F.when(tf - 1 > terms, series(a + tf) - series(a + terms + 1)).otherwise(0.0)
+    return F.when(tf > 1, ((tf - 1) * math.log(word_share) + first + rest) / LOG10).otherwise(0.0)
+
+
+_PARTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("fit", pa.float64()), ("urn", pa.float64())])
 
 
-def _parts(hot):
+def _parts(hot, word_share: float):
     """(doc_id, text) -> a row with the document's sums over hot words, and a row for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +350,7 @@ def _parts(hot):
                 for d, text in zip(piece.column(0).to_pylist(), piece.column(1), strict=True):
                     text = text.as_py() or b""
                     words, version = words_of(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    n_known, base, lp, fit = 0, 0.0, 0.0, 0.0
+                    n_known, base, fit, urn = 0, 0.0, 0.0, 0.0
                     for w, tf in Counter(words).items():
                         got = known.get(w)
                         if got is None:
@@ -331,9 +358,9 @@ def _parts(hot):
                         else:
                             n_known += tf
                             base += tf * got[0]
-                            lp += tf * got[1]
-                            fit += tf * got[2]
-                    put(d, version, None, 0, 1, len(words), n_known, base, lp, fit)
+                            fit += tf * got[1]
+                            urn += math.log10(URN) + got[1] + (_again(got[1], tf, word_share) if tf > 1 else 0.0)
+                    put(d, version, None, 0, 1, len(words), n_known, base, fit, urn + (math.lgamma(URN) - math.lgamma(URN + len(words))) / LOG10)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARTS, strict=True)], schema=_PARTS)
     return run
 
@@ -372,21 +399,24 @@ def score_documents(documents: DataFrame, path: str, held_out_of: int = 7, held_
     discount = min(0.95, max(0.3, row.n1 / (row.n1 + 2 * row.n2))) if row.n1 else 0.5
     end_share = min(ends / n, 0.5) if n else 0.5
     lattice = vocabulary(path)
-    uses, stops = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
-    got = counted.where("n > 0").mapInArrow(_expected(lattice), "piece long, n double, e double").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    for r in got.collect():  # a row a piece
-        uses[r.piece], stops[r.piece] = r.n, r.e
-    lattice.learn_stops(uses, stops)
-    scored = checkpointed(counted.mapInArrow(_word_scores(lattice, words, distinct, discount, 1 - end_share), "word binary, n long, lp double, fit double"))
-    hot = spark.sparkContext.broadcast({bytes(r.word): (math.log10(r.n + 1), r.lp, r.fit) for r in _frequent(scored, HOT)})
-    parts = docs.select("doc_id", "text").mapInArrow(_parts(hot), "doc_id long, version long, word binary, tf long, copies long, n_tokens long, n_known long, base double, lp double, fit double")
+    for _ in range(ROUNDS):
+        uses, stops = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
+        got = counted.where("n > 0").mapInArrow(_expected(lattice), "piece long, n double, e double").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+        for r in got.collect():  # a row a piece
+            uses[r.piece], stops[r.piece] = r.n, r.e
+        lattice.learn(uses, stops)
+    word_share = 1 - end_share
+    scored = checkpointed(counted.mapInArrow(_word_scores(lattice, words, distinct, discount, word_share), "word binary, n long, fit double"))
+    hot = spark.sparkContext.broadcast({bytes(r.word): (math.log10(r.n + 1), r.fit) for r in _frequent(scored, HOT)})
+    parts = docs.select("doc_id", "text").mapInArrow(_parts(hot, word_share), "doc_id long, version long, word binary, tf long, copies long, n_tokens long, n_known long, base double, fit double, urn double")
     parts = checkpointed(parts)
     none = F.lit(0).cast("long")
-    rare = parts.where("word IS NOT NULL").select("doc_id", "version", "word", "tf").join(scored, "word").select(
+    rare = parts.where("word IS NOT NULL").select("doc_id", "version", "word", "tf").join(scored.withColumnRenamed("fit", "each"), "word").select(
         "doc_id", "version", none.alias("copies"), none.alias("n_tokens"), F.when(F.col("n") > 0, F.col("tf")).otherwise(0).alias("n_known"),
-        (F.col("tf") * F.log10(F.col("n") + 1)).alias("base"), (F.col("tf") * F.col("lp")).alias("lp"), (F.col("tf") * F.col("fit")).alias("fit"))
+        (F.col("tf") * F.log10(F.col("n") + 1)).alias("base"), (F.col("tf") * F.col("each")).alias("fit"),
+        (math.log10(URN) + F.col("each") + _again_column(F.col("each"), F.col("tf"), word_share)).alias("urn"))  # not fit: a lambda would take the new column
     sums = parts.where("word IS NULL").drop("word", "tf").unionByName(rare)
-    sums = sums.groupBy("doc_id", "version").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "lp", "fit")])
+    sums = sums.groupBy("doc_id", "version").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "fit", "urn")])
     sums = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     mean = lambda c: F.col(c) / F.col("copies")  # noqa: E731  each repeated row adds the same
     whole = lambda c: (F.col(c) / F.col("copies")).cast("long")
@@ -394,7 +424,7 @@ def score_documents(documents: DataFrame, path: str, held_out_of: int = 7, held_
     return sums.select(
         "doc_id", (crc_mod(F.col("doc_id"), held_out_of) == held_out).alias("held_out"), (whole("n_tokens") + 1).alias("n_tokens"), (whole("n_known") + end_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (mean("base") + end_base - (whole("n_tokens") + 1) * math.log10(n + v + 1)).alias("base_score"),
-        (mean("lp") + math.log10(end_share)).alias("score"), (mean("fit") + math.log10(end_share)).alias("fitted_score"))
+        (mean("urn") + math.log10(end_share)).alias("score"), (mean("fit") + math.log10(end_share)).alias("fitted_score"))
 
 
 def vocabulary_path() -> str:

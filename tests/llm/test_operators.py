@@ -283,6 +283,38 @@ def test_lm_base_score(spark):
         assert abs(got[d].base_score - sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 and got[d].score < 0
 
 
+def test_lm_scores_held_out_texts_near_the_base(spark):
+    """Words of syllables, most of them in no training text: the base gives each of them the same share, the model has to spell them."""
+    rng = np.random.default_rng(5)
+    parts = ["the", "er", "an", "tion", "ing", "re", "ou", "sh", "be", "en", "ly", "st"]
+    rows = [(i, " ".join("".join(parts[int(k)] for k in rng.integers(0, 12, int(rng.integers(1, 5)))) for _ in range(40))) for i in range(300)]
+    got = [r for r in lmscore.score_documents(docs(spark, rows), lmscore.vocabulary_path()).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    assert len(got) > 20 and all(math.isfinite(r.score) for r in got)
+    assert sum(r.score - r.base_score for r in got) / tokens > -0.75
+
+
+def test_urn_equals_its_draws(spark, monkeypatch):
+    """score by closed forms, of frequent words and of the others, equals the draws word by word; held-out texts of one word give each word's share."""
+    held = [i for i in range(100, 400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    alone = dict(zip(("", "one", "two", "three", "four", "rareword"), held, strict=False))
+    seen = {i: ["one", "two", "three", "two", *["rareword"] * (i % 40), "four"] for i in range(40)}
+    rows = [(i, " ".join(w)) for i, w in seen.items()] + [(i, w) for w, i in alone.items()]
+    train = [w for i, w in seen.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    end = len(train) / (len(train) + sum(map(len, train)))
+    for hot in (lmscore.HOT, 0):
+        monkeypatch.setattr(lmscore, "HOT", hot)
+        got = {r.doc_id: r for r in lmscore.score_documents(docs(spark, rows), lmscore.vocabulary_path()).collect()}
+        p = {w: 10 ** (got[i].fitted_score - math.log10(end)) for w, i in alone.items()}
+        assert abs(p[""] - 1) < 1e-9
+        for i, words in seen.items():
+            before, total = Counter(), math.log10(end)
+            for n, w in enumerate(words):
+                total += math.log10((lmscore.URN * p[w] + before[w] * (1 - end)) / (lmscore.URN + n))
+                before[w] += 1
+            assert abs(total - got[i].score) < 1e-6
+
+
 def test_toxicity_learns_terms_and_exceptions(spark):
     rng = np.random.default_rng(7)
     vocab = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
