@@ -557,22 +557,36 @@ def edge_share(spark, d):
     return _pairs(spark, d).mapInPandas(_per_edge(spatial.edge_coefficients), "i int, j int, v double")
 
 
-@query(f"""WITH RECURSIVE {C}, {_NB}, e AS (SELECT i, j, ((i * 7 + j * 3) % 10) / 100.0 AS coef FROM nb WHERE i // 128 = j // 128), t(k, cluster, v) AS (SELECT 0, cluster, v[1]::DOUBLE FROM c WHERE cycle = 0
+@query(f"""WITH RECURSIVE {C}, {_NB}, e AS (SELECT i, j, ((i * 7 + j * 3) % 10) / 100.0 AS coef FROM nb), t(k, cluster, v) AS (SELECT 0, cluster, v[1]::DOUBLE FROM c WHERE cycle = 0
   UNION ALL SELECT t.k + 1, e.i, -sum(e.coef * t.v) FROM t JOIN e ON e.j = t.cluster WHERE t.k < 80 GROUP BY t.k, e.i)
 SELECT cluster, round(sum(v), 6) AS v FROM t GROUP BY cluster""")
 def acc_solve(spark, d):
-    """(I + shares) x = first values within each chunk of clusters, by elimination; the SQL sums the series of the inverse, which these shares let converge."""
-    chunk = lambda c: F.floor(F.col(c) / CHUNK).cast("int")
-    placed = spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gy").join(signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("z")), ["tile", "cluster"])
-    edges = _near(spark, d).where(chunk("i") == chunk("j")).select(chunk("i").alias("chunk"), "i", "j")
-
-    def f(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("cluster")
-        at = pd.Series(np.arange(len(p)), p["cluster"])
-        x = spatial.block_solve(p["gy"].to_numpy(), at[e["i"]].to_numpy(), at[e["j"]].to_numpy(), ((e["i"] * 7 + e["j"] * 3) % 10 / 100).to_numpy(), p[["z"]].to_numpy(), spatial.REACH)
-        return pd.DataFrame({"cluster": p["cluster"], "v": np.round(x[:, 0], R)})
-
-    return placed.withColumn("chunk", chunk("cluster")).groupBy("chunk").cogroup(edges.groupBy("chunk")).applyInPandas(f, "cluster int, v double")
+    """(I + shares) x = first values over all clusters, as the series of the inverse, up to its power 80.
+
+    A share hangs on the last digits of both numbers alone, and is 0 for equal ones, so clusters of one pixel and digit differ by their
+    own values alone. The series is summed over those groups: their number is bounded by the grid, whatever the number of clusters.
+    """
+    placed = spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gx", "gy", (F.col("cluster") % 10).alias("digit")).join(signals(spark, d).select("tile", "cluster", F.col("signal")[0][0].alias("z")), ["tile", "cluster"])
+    by = ["tile", "gx", "gy", "digit"]
+    taken = placed.groupBy(*by).agg(F.count("*").alias("n"), F.sum("z").alias("z")).groupBy("tile").applyInArrow(_light_of_digits, "tile string, gx int, gy int, digit int, v double")
+    return placed.join(taken, by).select("cluster", rnd(F.col("z") - F.col("v")).alias("v"))
+
+
+def _light_of_digits(t: pa.Table) -> pa.Table:
+    """n and z, the number of clusters and the sum of their values, by pixel and digit -> v: what the series takes off each of them."""
+    gx, gy, digit = (t.column(c).to_numpy() for c in ("gx", "gy", "digit"))
+    pixels, at = np.unique(np.stack([gx, gy], axis=1), axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    n, z = np.zeros((2, len(pixels), 10))
+    n[at, digit], z[at, digit] = t.column("n").to_numpy(), t.column("z").to_numpy()
+    share = np.array([[(i * 7 + j * 3) % 10 / 100 for j in range(10)] for i in range(10)])
+    i, j = spatial.pixels_within(pixels[:, 0], pixels[:, 1])
+    near = spatial.Edges(len(pixels), i, j, np.ones(len(i)))  # times() adds the pixel itself
+    x = z
+    for _ in range(80):
+        taken = near.times(x) @ share.T
+        x = z - n * taken
+    return pa.table({"tile": t.column("tile"), "gx": t.column("gx"), "gy": t.column("gy"), "digit": t.column("digit"), "v": taken[at, digit]})
 
 
 @query(f"WITH {C}, {_NB}, v AS (SELECT cluster, v[1] AS v FROM c WHERE cycle = 0), e AS (SELECT i, sum(((i * 7 + j * 3) % 10) / 100.0 * v.v) AS d FROM nb JOIN v ON v.cluster = j GROUP BY i) SELECT v.cluster, round(v.v - coalesce(d, 0), 6) AS v FROM v LEFT JOIN e ON e.i = v.cluster")
