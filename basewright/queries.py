@@ -23,6 +23,8 @@ from basewright.sources.files import write_files
 
 #: Clusters of a chunk that a kernel takes at once, and of a tile.
 SHIFT, CHUNK, TILE = 0.6, 128, 250
+#: Pairs of neighbours whose signals are side by side at once.
+EDGES_AT_ONCE = 1_000
 
 
 def signals(spark: SparkSession, sf_dir: str, shift: float = SHIFT) -> DataFrame:
@@ -525,28 +527,32 @@ px AS (SELECT i, j, a.x AS x, b.x AS y, ws, thr FROM nb JOIN x a ON a.cluster =
 _OBJ = "list_sum(list_transform(range(16), lambda t: ws[t + 1] * (list_sum(list_transform(x[4 * t + 1:4 * t + 4], lambda e, n: abs(e - ({m}) * y[4 * t + n]))) - abs(list_max(list_transform(x[4 * t + 1:4 * t + 4], lambda e, n: e - ({m}) * y[4 * t + n]))))))"
 
 
-def _pairs(spark, d):
+def _per_edge(spark, d, f):
+    """f(x, y, width, thr) for each pair (i, j) of neighbours. Signals go once to each cell that they reach, and are paired there, some rows at a time."""
     s = signals(spark, d)
     ws = spatial.threshold(spatial.cycle_width(s, ["tile"]), ["tile"])
-    side = lambda name, to: s.select("tile", F.col("cluster").alias(name), F.col("signal").alias(to))
-    return _near(spark, d).join(side("i", "x"), ["tile", "i"]).join(side("j", "y"), ["tile", "j"]).join(F.broadcast(ws), "tile")
+    at = spatial.in_cells(spatial.grid_snap(locations(spark, d)).select("tile", "cluster", "gx", "gy"))
+    by = ["tile", "cx", "cy"]
+    limits = at.select(*by).distinct().join(F.broadcast(ws), "tile").select(*[F.col(c).alias(c) for c in by], "w", "thr")
+    groups = [df.groupBy(*by) for df in (at.join(s.select("tile", "cluster", "signal"), ["tile", "cluster"]), limits)]
 
+    def run(p: pa.Table, w: pa.Table) -> pa.Table:
+        x, cluster, gx, gy = tensor_of(p.column("signal")), *(p.column(c).to_numpy() for c in ("cluster", "gx", "gy"))
+        width, thr = np.array([[v["width"] for v in w.column("w")[0].as_py()]]), w.column("thr")[0].as_py()
+        i, j = spatial.pixels_within(gx, gy, of=np.flatnonzero(p.column("own").to_numpy(zero_copy_only=False)))
+        v = np.empty(len(i))
+        for a in range(0, len(i), EDGES_AT_ONCE):
+            k = slice(a, a + EDGES_AT_ONCE)
+            v[k] = f(x[i[k]], x[j[k]], width, np.full(len(i[k]), thr))
+        return pa.table({"i": cluster[i], "j": cluster[j], "v": np.round(v, R)})
 
-def _per_edge(f):
-    def run(batches):
-        for b in batches:
-            if len(b):
-                x, y = (np.array([np.stack(v) for v in b[c]]) for c in ("x", "y"))
-                width = np.array([[v["width"] for v in w] for w in b["w"]])
-                yield pd.DataFrame({"i": b["i"], "j": b["j"], "v": np.round(f(x, y, width, b["thr"].to_numpy()), R)})
-    return run
+    return groups[0].cogroup(groups[1]).applyInArrow(run, "i int, j int, v double")
 
 
 @query(f"WITH {_PX} SELECT i, j, round({_OBJ.format(m='0.25')}, 6) AS v FROM px")
 def edge_objective(spark, d):
     """The weighted light beside the main channel after a quarter of the neighbour is taken out."""
-    f = _per_edge(lambda x, y, w, thr: spatial.objective(x - 0.25 * y, w))
-    return _pairs(spark, d).mapInPandas(f, "i int, j int, v double")
+    return _per_edge(spark, d, lambda x, y, w, thr: spatial.objective(x - 0.25 * y, w))
 
 
 @query(f"""WITH RECURSIVE {_PX}, lo(i, j, x, y, ws, thr, l, h) AS (SELECT i, j, x, y, ws, thr, 0.0::DOUBLE, 0.98::DOUBLE FROM px
@@ -554,7 +560,7 @@ def edge_objective(spark, d):
 SELECT i, j, round(l, 6) AS v FROM lo WHERE h - l <= 0.001""")
 def edge_share(spark, d):
     """The share of each neighbour that pays to take out."""
-    return _pairs(spark, d).mapInPandas(_per_edge(spatial.edge_coefficients), "i int, j int, v double")
+    return _per_edge(spark, d, spatial.edge_coefficients)
 
 
 @query(f"""WITH RECURSIVE {C}, {_NB}, e AS (SELECT i, j, ((i * 7 + j * 3) % 10) / 100.0 AS coef FROM nb), t(k, cluster, v) AS (SELECT 0, cluster, v[1]::DOUBLE FROM c WHERE cycle = 0

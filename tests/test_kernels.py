@@ -414,3 +414,20 @@ def test_scores_of_odd_reads(spark):
     assert "Filter (size(" not in scored._jdf.queryExecution().executedPlan().toString()
     made = {r.cluster: (r.seq, r.qual) for r in reads(signals, ["cluster"], synthetic_weights()).collect()}
     assert made[0][0] == "AG" and len(made[0][1]) == 2 and made[1] == ("", "") and made[2] == (None, None)
+
+
+def test_pixels_within_and_cells_hold_every_pair(spark):
+    rng = np.random.default_rng(4)
+    gx, gy = rng.integers(0, 40, 300), rng.integers(0, 25, 300)
+    want = {(a, b) for a in range(300) for b in range(300) if a != b and abs(gx[a] - gx[b]) <= 4 and abs(gy[a] - gy[b]) <= 4}
+    got = list(zip(*(k.tolist() for k in spatial.pixels_within(gx, gy)), strict=True))
+    assert len(got) == len(want) and set(got) == want
+    points = spark.createDataFrame([("t", k, int(gx[k]), int(gy[k])) for k in range(300)], "tile string, cluster int, gx int, gy int")
+    cells = {}
+    for r in spatial.in_cells(points).collect():
+        cells.setdefault((r.cx, r.cy), []).append(r)
+    found = []
+    for rows in cells.values():
+        i, j = spatial.pixels_within(*(np.array([r[c] for r in rows]) for c in ("gx", "gy")), of=np.flatnonzero([r.own for r in rows]))
+        found += [(rows[a].cluster, rows[b].cluster) for a, b in zip(i, j, strict=True)]
+    assert len(found) == len(want) and set(found) == want
