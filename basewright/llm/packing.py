@@ -18,7 +18,7 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +29,40 @@ from basewright.llm.common import checkpointed, freed, shuffle_partitions, table
 
 CAPACITY, END = 4096, 1
 PER_PARTITION, LAST, SLACK, ROUNDS = 200_000, 50_000, 8, 6
-CACHE = 100_000
+CACHE, LONG, SLICE = 200_000, 100, 4 << 20
+#: What Encoder.encode_all takes apart by itself; a tokenizer that normalizes or splits otherwise encodes each text whole.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+WHITE, LETTER, OTHER, NUMBER, STRANGE = range(5)  # kinds of characters; from NUMBER on each is a part by itself
 
 
 class _Recent:
-    """The values of about the last CACHE to 2 * CACHE keys used."""
+    """The values of about the last CACHE to 2 * CACHE keys used; keys over LONG are not kept."""
 
     def __init__(self, make):
         self.make, self.new, self.old = make, {}, {}
 
-    def miss(self, key: str) -> bytes:
+    def miss(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        self.new[key] = got
+        if len(key) <= LONG:
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[key] = got
         return got
 
+    def all(self, keys: list) -> list:
+        return [self.new.get(k) or self.miss(k) for k in keys]
+
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     The tokenizer turns white space into breaks and never joins across them, so a text's ids are those of its chunks between
-    spaces one after another. Chunks recur, so recent ones are kept. A new chunk of Latin letters and signs, which
-    normalization leaves alone but for the case, is split by the tokenizer's own pattern and its parts take their ids from
-    the merges; any other goes through the whole tokenizer.
+    spaces one after another. Chunks of Latin letters and signs, which normalization leaves alone but for the case, are split
+    into the tokenizer's parts for many texts at once; each distinct part takes its ids from the merges, and recent ones are
+    kept. Any other chunk goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -64,38 +72,111 @@ class Encoder:
         self.tokenize = self.tok.model.tokenize
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        kinds = {k: "".join(re.escape(chr(c)) for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-        split = split.replace("[\\p{L}]", "[" + kinds["L"] + "]").replace("[\\p{N}]", "[" + kinds["N"] + "]").replace("\\p{L}\\p{N}", kinds["L"] + kinds["N"])
-        self.split, self.plain = re.compile(split), re.compile("[!-~\u00a1-\u024f]+")
+            spec = json.load(f)
+        self.known = spec["normalizer"]["normalizers"] == NORMAL and spec["pre_tokenizer"]["pretokenizers"][0] == SPLIT
+        plain = [chr(c) for c in (*range(33, 127), *range(161, 0x250)) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
+        self.kinds = np.zeros(0x250, np.uint8)
+        self.kinds[0] = STRANGE
+        for c in plain:
+            self.kinds[ord(c)] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
+        self.white = re.compile("[ \n\t\r]")
+        self.strange = re.compile("[^ \n\t\r" + re.escape("".join(plain)) + "]")
         # a byte stands for itself where Latin-1 prints it, the others follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
         self.byte = {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
-        self.parts, self.chunks = _Recent(self._part), _Recent(self._chunk)
+        self.parts, self.chunks = _Recent(self._part), _Recent(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(map(self.byte.__getitem__, part.encode()))
+    def _part(self, part: bytes) -> bytes:
+        shown = part.decode() if part.isascii() else "".join(map(self.byte.__getitem__, part))
         return np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        low = chunk.lower()
-        if not self.plain.fullmatch(low) or not self.plain.fullmatch(chunk):
-            return self._whole(chunk)
-        got = [self.parts.new.get(p) or self.parts.miss(p) for p in self.split.findall(low)]
-        return got[0] if len(got) == 1 else b"".join(got)
+    def _starts(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokenizer's parts of UTF-8 text start, and which bytes aren't white space. The text ends with three line ends."""
+        lead = np.flatnonzero(b >= 0xC2)  # all are characters of two bytes
+        kind = self.kinds[b]
+        kind[lead] = kind[lead + 1] = self.kinds[(b[lead] & 0x1F).astype(np.int64) << 6 | b[lead + 1] & 0x3F]
+        solid = kind != WHITE
+        start = solid & (kind >= NUMBER)
+        start[0] = solid[0]
+        start[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+        start[lead + 1] = False
+        at = np.flatnonzero((b == ord("'")) & start)
+        first, second = b[at + 1], b[at + 2]
+        one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+        two = (np.isin(first, np.frombuffer(b"rv", np.uint8)) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+        start[at[one | two] + 1] = False
+        for after in (at[one] + 2, at[two] + 3):
+            start[after] = solid[after]
+        return start, solid
+
+    def _slice(self, texts: list[str], strange: list[str]) -> list[bytes]:
+        """The ids of lower-cased texts, in which a NUL stands for each of the strange chunks."""
+        data = [t.encode() + b"\n" for t in texts]
+        b = np.frombuffer(b"".join([*data, b"\n\n"]), np.uint8)
+        start, solid = self._starts(b)
+        if not start.any():
+            return [b""] * len(texts)
+        heads = np.append(np.flatnonzero(start[solid]), np.count_nonzero(solid)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(heads) - 1, [None, pa.py_buffer(heads), pa.py_buffer(b[solid])]).dictionary_encode()
+        distinct, codes = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        if strange:
+            mark, codes = distinct.index(b"\0"), codes.copy()
+            codes[codes == mark] = np.arange(len(distinct), len(distinct) + len(strange))
+            distinct[mark] = b""
+        ids = pa.array(self.parts.all(distinct) + self.chunks.all(strange), pa.binary()).take(pa.array(codes))
+        ends = np.searchsorted(np.flatnonzero(start), np.cumsum([len(d) for d in data]))
+        cuts = [0, *np.frombuffer(ids.buffers()[1], np.int32)[ends].tolist()]
+        out = memoryview(ids.buffers()[2] or b"")
+        return [bytes(out[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+    def _marked(self, text: str, strange: list[str]) -> str:
+        """The lower-cased text with a NUL for each strange chunk, which goes to the list as it is."""
+        out = []
+        for chunk in self.white.split(text):
+            if self.strange.search(chunk):
+                strange.append(chunk)
+                chunk = "\0"
+            out.append(chunk)
+        return " ".join(out).lower()
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, worked out for about SLICE characters at once; a longer text is parted at white space."""
+        low, last, strange, begun = [], [], [], []
+
+        def ready() -> Iterator[bytes]:
+            for ids, end in zip(self._slice(low, strange), last, strict=True):
+                begun.append(ids)
+                if end:
+                    yield b"".join(begun)
+                    begun.clear()
+            for held in (low, last, strange):
+                held.clear()
+
+        size = 0
+        for text in texts:
+            whole, at = not self.known or any(s in text for s in self.special), 0
+            while at is not None:
+                cut = None if whole or len(text) - at <= SLICE else self.white.search(text, at + SLICE)
+                to = cut.start() if cut else len(text)
+                if whole:
+                    strange.append(text)
+                    low.append("\0")
+                else:
+                    segment = text[at:to]
+                    low.append(self._marked(segment, strange) if self.strange.search(segment) else segment.lower())
+                last.append(cut is None)
+                size, at = size + to - at, to if cut else None
+                if size >= SLICE:
+                    yield from ready()
+                    size = 0
+        yield from ready()
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        out, miss, chunks = [], self.chunks.miss, self.chunks
-        for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            if chunk:
-                out.append(chunks.new.get(chunk) or miss(chunk))
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -106,11 +187,11 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        encode, tail = _encoders[path].encode, np.array([end], "<u4").tobytes()
+        encode, tail = _encoders[path].encode_all, np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for d, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, d = encode(text.as_py() or "") + tail, d.as_py()
+            for d, ids in zip(batch.column(0), encode(t.as_py() or "" for t in batch.column(1)), strict=True):
+                ids, d = ids + tail, d.as_py()
                 for i, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     rows.append((d, i, start // 4, len(part) // 4, zlib.crc32(part)))

@@ -225,6 +225,35 @@ def test_encoder_equals_tokenizer():
         assert e.encode(s) == np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_works_on_distinct_parts(monkeypatch):
+    """Words beside changing signs are looked up and merged once each, not once for each chunk that they stand in."""
+    import itertools
+
+    import pyarrow as pa
+    sought, miss = [], packing._Recent.miss
+    monkeypatch.setattr(packing._Recent, "miss", lambda self, key: sought.append(key) or miss(self, key))
+    monkeypatch.setattr(packing, "_encoders", {})
+    words, signs = [f"word{'x' * i}" for i in range(1, 21)], ["", ".", ",", "'s", "(", "9", "|"]
+    texts = [" ".join(a + w + b for w in words) for a, b in itertools.product(signs, signs)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._pieces(packing.tokenizer_path(), 4096, 1)(iter([batch]))) == len(texts)
+    assert len(sought) == len(set(sought)) <= len(words) + len(signs)
+
+
+def test_encoder_equals_tokenizer_on_many_texts_at_once(monkeypatch):
+    """Texts of many kinds, in slices of any size."""
+    import random
+
+    import tokenizers
+    tok, e = tokenizers.Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    rng, signs = random.Random(4), [*"abstmdrevlSTRE''' \n\t\r01.,-\x00\x0b\x1c\x7f\xa0\xad́", *"é É İ ß ǅ ² ª ¼ 中 Σ σ € ’ 😀 ɏ ɐ Ⱥ".split(), "<|endoftext|>"]
+    texts = ["", " ", *("".join(rng.choices(signs[: rng.choice((24, len(signs)))], k=rng.randrange(50))) for _ in range(2000))]
+    want = [np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in texts]
+    for size in (1 << 20, 40, 5):
+        monkeypatch.setattr(packing, "SLICE", size)
+        assert list(e.encode_all(texts)) == want
+
+
 def test_lattice_equals_sum_over_segmentations():
     lat = lmscore.vocabulary(lmscore.vocabulary_path())
     at = {p: i for i, p in enumerate(lat.pieces[:-1])}
