@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 from contextlib import suppress
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
 def freed(kernel):
     """A kernel over batches that gives unused memory, Arrow's and the C library's, back to the system at its end: workers are used again by other stages."""
 
+    @wraps(kernel)
     def run(batches):
         yield from kernel(batches)
         pa.default_memory_pool().release_unused()

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,8 @@ from pyspark.sql import types as T
 from basewright.llm.common import checkpointed, freed, table, unused
 
 WORDS, MOST_CONTEXTS = 10, 100_000
+#: A fixed value: a character that isn't white space to Python's strip() and split().
+SOLID = r"[^\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
@@ -133,20 +134,20 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch_of(rows)
 
 
-@F.pandas_udf(T.BooleanType())
-def _worded(text: pd.Series) -> pd.Series:
-    """Whether a text has a word."""
-    return pd.Series([t is not None and bool(t.strip()) for t in text], dtype=bool)
-
-
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
+def _rest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(text, cut) -> the text without the cut lines; null for a null text or cut."""
     def one(t, c):
-        if t is None or c is None or not len(c):
-            return t
+        if t is None or c is None:
+            return None
         gone = set(c)
         return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-    return pd.Series([one(t, c) for t, c in zip(text, cut, strict=True)], dtype=object)
+
+    for texts, cuts in batches:
+        yield pa.array([one(t.as_py(), c.as_py()) for t, c in zip(texts, cuts, strict=True)], pa.string())
+
+
+#: Called nondeterministic so that a filter on what it gives isn't pushed below it, which would run it again in workers of its own.
+_without = F.arrow_udf(freed(_rest), T.StringType()).asNondeterministic()
 
 
 def repeated_runs(documents: DataFrame) -> DataFrame:
@@ -178,10 +179,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """As line_dedup, with the columns of documents alone; documents of which every line with words goes, go as well. n_chars, if there is one, is that of a changed text."""
     out, cut = _with_cuts(documents)
     (new,) = unused(out.columns, "left")
-    out = out.withColumn(new, _without("text", cut))
-    out = out.where(F.col(cut).isNull() | _worded(F.when(F.col(cut).isNotNull(), F.col(new))))
-    n_chars = F.when(F.col(cut).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
-    instead = {"text": F.col(new), "n_chars": n_chars}
+    changed = F.col(cut).isNotNull()
+    out = out.withColumn(new, _without(F.when(changed, F.col("text")), cut)).where(~changed | F.col(new).rlike(SOLID))
+    n_chars = F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
+    instead = {"text": F.when(changed, F.col(new)).otherwise(F.col("text")), "n_chars": n_chars}
     return out.select(*[instead[c].alias(c) if c in instead else F.col(f"`{c}`") for c in documents.columns])
 
 
@@ -194,7 +195,9 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     with another text are documents of their own; input columns named n_lines, n_removed or removed are replaced.
     """
     out, cut = _with_cuts(documents)
-    cols = [_without("text", cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed", "removed")]
+    changed = F.col(cut).isNotNull()
+    text = F.when(changed, _without(F.when(changed, F.col("text")), cut)).otherwise(F.col("text"))
+    cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed", "removed")]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     n_removed = F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))
     return out.select(*cols, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.coalesce(cut, F.array().cast("array<int>")).alias("removed"))

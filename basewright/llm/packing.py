@@ -29,7 +29,7 @@ from basewright.llm.common import checkpointed, freed, shuffle_partitions, table
 
 CAPACITY, END = 4096, 1
 PER_PARTITION, LAST, SLACK, ROUNDS = 200_000, 50_000, 8, 6
-CACHE, LONG, SLICE = 200_000, 100, 4 << 20
+CACHE, LONG, SLICE = 200_000, 100, 1 << 20
 #: What Encoder.encode_all takes apart by itself; a tokenizer that normalizes or splits otherwise encodes each text whole.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}

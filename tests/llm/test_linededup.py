@@ -1,5 +1,8 @@
 """Line dedup against plain enumeration of repeated runs."""
 
+import re
+import sys
+
 import numpy as np
 
 from basewright.llm import linededup
@@ -128,6 +131,28 @@ def test_nothing_but_blank_lines_left(spark):
     assert {(r.doc_id, r.text) for r in linededup.without_repeats(d).collect()} == {(1, a), (3, "more"), (4, " \n"), (5, None)}
 
 
+def test_white_space_is_pythons():
+    solid = re.compile(linededup.SOLID)
+    assert [c for c in map(chr, range(sys.maxunicode + 1)) if bool(solid.match(c)) == c.isspace()] == []
+
+
+def test_blank_lines_of_any_white_space(spark):
+    a = "one two three four five six seven eight nine ten"
+    blank = "".join(c for c in map(chr, range(0x4000)) if c.isspace() and c != "\n")
+    rows = [(1, a), (2, f"{blank}\n{a}\n{blank}"), *((3 + i, f"{c}\n{a}\n{c}") for i, c in enumerate("\u200b\U0001f600x\0"))]
+    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.without_repeats(spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")).collect()}
+    assert got == {1: (a, len(a))} | {3 + i: (f"{c}\n{c}", 3) for i, c in enumerate("\u200b\U0001f600x\0")}
+
+
+def test_one_python_step_deletes_lines(spark):
+    """Each step of a task has a Python worker of its own, which then stays: with three, an executor's workers doubled."""
+    a = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, a, 48), (2, f"x\n{a}", 50)], "doc_id long, text string, n_chars long")
+    for out in (linededup.without_repeats(d), linededup.line_dedup(d)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("ArrowEvalPython|BatchEvalPython|MapInArrow", plan)) == 1, plan
+
+
 def test_very_long_texts(spark):
     """Many short lines, and one line of many words."""
     many = "\n".join(f"line {i} has few words" for i in range(30_000))
