@@ -14,9 +14,11 @@ roots down, splits both sides in turn and compares full sets only where two leav
    there is a tree for each shingle that stands in two prefixes, and none has to hold the whole corpus.
 3. Rows with equal sets are one class and one leaf.
 4. A tree's first traversals: its least leaf is met by all others, then its greatest one by those still in another component;
-   sizes and signatures prune, and whole texts confirm the rest. This links groups of copies without pairs among them.
-5. Trees with the same least leaf are one, so that a pair of copies, which share many shingles, meets once. Those whose leaves
-   still lie in several components are traversed in blocks inside tasks, against each other where there are
+   sizes, counts of shared prefix shingles and signatures prune, and whole texts confirm the rest. This links groups of copies
+   without pairs among them.
+5. That settles all pairs with an end of a tree. Of the trees with more than one leaf between the ends, those with the same least
+   leaf are one, of the leaves between, so that a pair of copies, which share many shingles, meets once. Those whose leaves still
+   lie in several components are traversed in blocks inside tasks, against each other where there are
    several; nodes within one component are pruned. Signatures go there first; only the leaves that they leave open with one of
    another component follow with their full sets, to trees of wider bitmaps. A spanning forest of the links found is given out,
    at most one a row.
@@ -31,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basewright.llm.blocks import by_blocks, column, joined_components, open_groups
 from basewright.llm.classes import classes_of, confirmed_links, documents_of, near, of_classes, rows_of, sets_of
@@ -46,6 +49,8 @@ LEAST_BITS, MOST_BITS = 256, 1 << 17
 SPREAD = 32
 #: Words of bitmaps that are compared at once.
 STEP = 1 << 20
+#: Bands of sizes in the ratio of two that link.
+BANDS = 16
 #: Rows up to which the signatures of least and greatest leaves (some hundred bytes each) are broadcast.
 BROADCAST_SIGNATURES = 50_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -291,19 +296,44 @@ def _allowed(percent: int):
 
 
 def _of_near_sizes(groups: DataFrame, percent: int) -> DataFrame:
-    """groups (key, c, n_shingles, ...) without the rows whose size no row of another component in their group is near enough to for a
-    link. Sizes are taken by bands a little wider than the ratio of two that link, which so lie in one band or in two side by side."""
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(101.0 / percent)))
-    rows = groups.withColumn("band", band)
-    beside = rows.select("key", "c", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
-    kept = beside.groupBy("key", "band").agg(F.min("c").alias("v"), F.max("c").alias("w")).where("v <> w").select("key", "band")
-    return rows.join(kept, ["key", "band"]).drop("band")
+    """groups (key, c, n_shingles, inner, ...) without the rows that no row of another component in their group may link with, by
+    their sizes and the prefix shingles they can share: at most `inner`, the trees in which they stand between the ends.
+
+    Two sets of sizes m <= n that share so many link only if (100 + percent) * (inner + percent * n / 100) > percent * (m + n), see
+    _possible. So a row has partners in two ranges of sizes, which are taken by bands; rows of two bands that want each other stay."""
+    step = F.log(F.lit(101.0 / percent)) / BANDS
+    band = lambda n: F.floor(F.log(n.cast("double")) / step)
+    n, shares = F.col("n_shingles"), F.col("inner") * (100 + percent) / percent
+    larger = F.sequence(band(F.greatest(n, F.floor((n - shares) * 100 / percent))), band(F.floor(n * 100 / percent)))
+    smaller = F.sequence(band(F.greatest(F.floor(n * percent / 100), F.lit(1))), band(F.least(n, F.ceil(n * percent / 100 + shares))))
+    rows = groups.withColumn("own", band(n))
+    wanted = rows.withColumn("other", F.explode(F.array_union(smaller, larger))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    found = wanted.groupBy("key", "a", "b").agg(F.min("c").alias("v"), F.max("c").alias("w"), F.min("own").alias("x"), F.max("own").alias("y"))
+    kept = found.where("v <> w AND x = a AND y = b").select("key", "a", "b")
+    return wanted.join(kept, ["key", "a", "b"], "left_semi").select(groups.columns).distinct()
+
+
+def _possible(pairs: DataFrame, own: DataFrame, end: str, percent: int) -> DataFrame:
+    """pairs (p, d, c), p the `end` (lo or hi) of c trees that d stands in -> the pairs (p, d) that sizes and shared prefixes allow.
+
+    own (node, n_shingles, trees, lo, hi, ...): the trees that a node stands in, and is the least and greatest leaf of. If p's prefix ends
+    first in the order, what p and d share is in both prefixes or behind p's; and likewise for d. So they share no more than their
+    prefixes do, and the larger of the sets' rests: that many are ceil(percent * n / 100) - 1 of a set of n."""
+    of = lambda x: near(own.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("trees").alias(f"t{x}"), F.col(end).alias(f"e{x}")))
+    rest = F.ceil(F.greatest("np", "nd") * percent / 100) - 1
+    both = F.least(F.col("c") + F.col("tp") - F.col("ep"), "tp", "td") + rest
+    return pairs.join(of("p"), "p").join(of("d"), "d").where(may_link(F.least(both, "np", "nd"), F.col("np"), F.col("nd"), percent)).select("p", "d")
+
+
+def _sigs_of(sigs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sigs (node, sig), with a row for each row that repeats a class -> those of the nodes in wanted (node), once each."""
+    return sigs.join(near(checkpointed(wanted.distinct())), "node").dropDuplicates(["node"])
 
 
 def _met(rows: DataFrame, nodes: DataFrame, sigs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs (p, d), each once, of many d with few p -> their links (u, v): signatures first, whole texts of the pairs they allow."""
-    ends = checkpointed(sigs.join(near(checkpointed(pairs.select(F.col("p").alias("node")).distinct())), "node").select(F.col("node").alias("p"), F.col("sig").alias("sp")))
-    with_d = pairs.join(sigs.select(F.col("node").alias("d"), F.col("sig").alias("sd")), "d")
+    ends = checkpointed(_sigs_of(sigs, pairs.select(F.col("p").alias("node"))).select(F.col("node").alias("p"), F.col("sig").alias("sp")))
+    with_d = pairs.join(_sigs_of(sigs, pairs.select(F.col("d").alias("node"))).select(F.col("node").alias("d"), F.col("sig").alias("sd")), "d")
     both = with_d.join(near(ends, BROADCAST_SIGNATURES), "p").select("p", "d", "sp", "sd")
     allowed = checkpointed(both.mapInArrow(freed(_allowed(percent)), "p long, d long"))
     return confirmed_links(rows, nodes, allowed, k, percent)
@@ -325,29 +355,36 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     nodes = classes_of(f)
     leaves = of_classes(f, nodes, ["n_shingles", "sig", "prefix"])
     at = leaves.select("node", F.explode("prefix").alias("bucket"))
-    trees = checkpointed(at.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
+    tree = Window.partitionBy("bucket")
+    # all prefixes are exchanged once; the rows of a tree are numbers, which Spark spills
+    ends = at.withColumn("lo", F.min("node").over(tree)).withColumn("hi", F.max("node").over(tree)).where("lo <> hi")
+    within = F.when((F.col("node") != F.col("lo")) & (F.col("node") != F.col("hi")), F.col("node"))
+    between = ends.withColumn("first", F.min(within).over(tree)).withColumn("last", F.max(within).over(tree))
+    shared = checkpointed(between.select("node", "lo", "hi", F.coalesce(within.isNotNull() & (F.col("first") < F.col("last")), F.lit(False)).alias("inner")))
     swept(documents.sparkSession)  # the shuffle of all prefixes
-    shared = checkpointed(at.join(trees, "bucket"))
-    swept(documents.sparkSession)
-    low = checkpointed(shared.where("node <> lo").select(F.col("lo").alias("p"), F.col("node").alias("d")).distinct())
-    sigs = checkpointed(leaves.select("node", "sig").distinct())
-    links = _met(rows, nodes, sigs, low, k, percent)
+    sizes = leaves.select("node", "n_shingles").distinct()
+    own = shared.groupBy("node").agg(F.count("*").alias("trees"), F.count_if(F.expr("node = lo")).alias("lo"), F.count_if(F.expr("node = hi")).alias("hi"), F.count_if("inner").alias("inner"))
+    own = checkpointed(own.join(sizes, "node"))
+    low = shared.where("node <> lo").groupBy(F.col("lo").alias("p"), F.col("node").alias("d")).agg(F.count("*").alias("c"))
+    sigs = checkpointed(leaves.select("node", "sig"))
+    links = _met(rows, nodes, sigs, checkpointed(_possible(low, own, "lo", percent)), k, percent)
     comps = checkpointed(connected_components(links))
-    high = shared.where("node <> lo AND node <> hi").select(F.col("hi").alias("p"), F.col("node").alias("d")).distinct()
+    high = shared.where("node <> hi").groupBy(F.col("hi").alias("p"), F.col("node").alias("d")).agg(F.count("*").alias("c"), F.bool_or(F.expr("node <> lo")).alias("new")).where("new")
     of = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    high = high.join(near(of("p")), "p", "left").join(near(of("d")), "d", "left").where("coalesce(cp, p) <> coalesce(cd, d)").select("p", "d")
+    high = high.join(near(of("p")), "p", "left").join(near(of("d")), "d", "left").where("coalesce(cp, p) <> coalesce(cd, d)").select("p", "d", "c")
+    high = _possible(high, own, "hi", percent)
     more = _met(rows, nodes, sigs, checkpointed(high), k, percent)
-    shared = high = None  # spent
+    inner = checkpointed(shared.where("inner").select(F.col("lo").alias("bucket"), "node").distinct())
+    shared = low = high = None  # spent
     swept(documents.sparkSession)
     if not more.isEmpty():
         comps = checkpointed(connected_components(links.unionByName(more)))
-    placed = low.select(F.col("p").alias("bucket"), F.col("d").alias("node")).join(near(comps), "node", "left")
+    placed = inner.join(near(comps), "node", "left")
     groups = open_groups(checkpointed(placed.select("bucket", "node", F.coalesce("component", "node").alias("c"))))
-    sizes = checkpointed(f.select("k1", "k2", "n_shingles").distinct().join(near(nodes.select("k1", "k2", "node")), ["k1", "k2"]).select("node", "n_shingles"))
-    groups = checkpointed(_of_near_sizes(checkpointed(groups.join(near(sizes), "node")), percent))
-    low = placed = None  # spent
+    groups = checkpointed(_of_near_sizes(checkpointed(groups.join(near(own.select("node", "n_shingles", "inner")), "node")), percent))
+    inner = placed = None  # spent
     swept(documents.sparkSession)
-    left = checkpointed(by_blocks(groups.drop("n_shingles"), sigs.withColumnRenamed("sig", "data"), hopeful(percent)).toDF("key", "node"))
+    left = checkpointed(by_blocks(groups.select("key", "main", "node", "c"), _sigs_of(sigs, groups.select("node")).withColumnRenamed("sig", "data"), hopeful(percent)).toDF("key", "node"))
     if not left.isEmpty():
         groups = checkpointed(groups.join(left, ["key", "node"]))
         data = sets_of(rows, nodes, groups.select("node").distinct(), k)

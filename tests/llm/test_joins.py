@@ -213,3 +213,42 @@ def test_counters_count_all(spark):
     share = np.maximum(seen, 1) / max(seen.mean(), 1)
     want = np.clip(np.round(16 * np.log2(share)), 0, 255).astype(np.uint8)
     assert (sigtree.levels_of(classes.rows_of(table(spark, rows)).repartition(5), 5) == want).all()
+
+
+def test_a_shared_phrase_is_no_pair(spark, monkeypatch):
+    """Documents of one size with a phrase in common share too little of their prefixes: no signature is fetched for them."""
+    met, groups, real_met, real_blocks = [], [], sigtree._met, sigtree.by_blocks
+    monkeypatch.setattr(sigtree, "_met", lambda r, n, s, pairs, *a: met.append(pairs.count()) or real_met(r, n, s, pairs, *a))
+    monkeypatch.setattr(sigtree, "by_blocks", lambda rows, *a: groups.append(rows.count()) or real_blocks(rows, *a))
+    rows = [(i, f"a phrase of five words{i // 20} " + " ".join(f"u{i}x{j}" for j in range(60))) for i in range(60)]
+    assert {(r.doc_id, r.component_id) for r in sigtree.jaccard_components(table(spark, rows)).collect()} == {(i, i) for i in range(60)}
+    assert met == [0, 0] and groups == [0]
+
+
+def test_supersets_at_the_bound(spark):
+    """Links of exactly 80 % between texts of unlike sizes, which may share a single prefix shingle, among others with common phrases."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(40):
+        n = int(rng.integers(4, 17)) * 4
+        base = [f"b{i}w{j}" for j in range(n + 4)]  # n shingles
+        for more in (0, n // 4, n // 4 + 1):  # exactly 80 %, then just below
+            at = int(rng.integers(2))
+            extra = [f"e{i}x{more}y{j}" for j in range(more)]
+            rows.append((int(rng.integers(10**6)), " ".join(extra * at + base + extra * (1 - at))))
+    rows += [(10**6 + i, " ".join(f"b{i % 40}w{j}" for j in range(5 + i % 3)) + " " + " ".join(f"o{i}p{j}" for j in range(int(rng.integers(5, 60))))) for i in range(160)]
+    want, _ = brute(rows, 5)
+    assert {r.doc_id: r.component_id for r in sigtree.jaccard_components(table(spark, rows)).collect()} == want
+    assert 30 < len(rows) - len(set(want.values())) < 100
+
+
+def test_sizes_keep_all_that_may_link(spark):
+    rng = np.random.default_rng(22)
+    rows = [(k, side, 2 * k + side, int(n), int(t)) for k in range(2000) for m in [int(rng.integers(1, 900))] for side, n, t in ((0, m, rng.integers(1, 30)), (1, max(1, m * rng.uniform(0.75, 1.3)), rng.integers(1, 30)))]
+    got = {r.node for r in sigtree._of_near_sizes(spark.createDataFrame(rows, "key long, c long, node long, n_shingles long, inner long"), 80).collect()}
+    want = set()
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        lo, hi = sorted((a[3], b[3]))
+        if 180 * min(min(a[4], b[4]) - (-80 * hi // 100) - 1, lo) >= 80 * (lo + hi):
+            want |= {a[2], b[2]}
+    assert want <= got and len(want) > 400 and len(got) < 1.3 * len(want)
